@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urls
+from . import language, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("phrase_rate")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality": op2_quality,
         "op8_url_filter": op8_url_filter,
+        "op9_language_id": op9_language_id,
     }
 
 
