@@ -49,7 +49,7 @@ def clear_staged() -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for a file scan, the bytes of its files. Sizes the number of buckets."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 1 << 34
 
 
