@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, urls
+from . import ann, hamming, language, packing, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("score", "distance")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -29,17 +33,33 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("phrase_rate")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality": op2_quality,
+        "op4_hamming_topk": op4_hamming_topk,
         "op5_packing": op5_packing,
         "op8_url_filter": op8_url_filter,
         "op9_language_id": op9_language_id,
+        "op10_ann": op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_hamming_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.code) + 1), lambda i: CAST(q.code[i] <> c.code[i] AS INTEGER))) AS BIGINT) AS distance
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.code) = len(c.code) WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+""",
         "op8_url_filter": """
 WITH parts AS (
   SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages
