@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hamming, language, packing, quality, urls
+from . import ann, hamming, language, packing, partenum, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), partenum.Threshold(85, 100, 4))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +43,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_quality": op2_quality,
         "op4_hamming_topk": op4_hamming_topk,
         "op5_packing": op5_packing,
