@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hamming, language, packing, partenum, quality, urls
+from . import ann, hamming, language, packing, partenum, quality, repeats, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("score", "distance")
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_quality": op2_quality,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_hamming_topk": op4_hamming_topk,
         "op5_packing": op5_packing,
         "op8_url_filter": op8_url_filter,
