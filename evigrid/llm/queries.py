@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hamming, language, packing, partenum, quality, repeats, urls
+from . import ann, hamming, language, packing, pages, partenum, quality, repeats, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_hamming_topk": op4_hamming_topk,
         "op5_packing": op5_packing,
+        "op6_html_text": op6_html_text,
         "op8_url_filter": op8_url_filter,
         "op9_language_id": op9_language_id,
         "op10_ann": op10_ann,
