@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +197,16 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id, held_out (crc32 of the id as text, modulo 4, is 2; such rows are never learnt from), lang_pred,
     score (second-fewest phrases over the sum of the two fewest: 0.5 is a tie, towards 1 is clear) and phrase_rate
     (phrases per symbol in the winning language)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    labelled = rows.filter((crc_of("id") % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    out = judged(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample_rows=sample_rows, reference_chars=reference_chars, keep=(id_col,))
+    held = F.coalesce(crc_of(id_col) % 4 == 2, F.lit(False))
+    return out.select(id_col, held.alias("held_out"), "lang_pred", "score", "phrase_rate")
+
+
+def judged(docs: DataFrame, *, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, reference_chars: int = 24_000) -> DataFrame:
+    """The columns `keep` of each document with lang_pred, score and phrase_rate; the languages are learnt as in identify()."""
+    rows = docs.select(F.struct(*keep).alias("id"), F.col(text_col).alias("text"))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter((crc_of("id") % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = Languages(reference_texts(labelled, sample_rows=sample_rows, reference_chars=reference_chars))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.select("id", "text").mapInArrow(_identify(languages), f"id {kind}, lang_pred string, score double, phrase_rate double")
-    held = F.coalesce(crc_of("id") % 4 == 2, F.lit(False))
-    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", "score", "phrase_rate")
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(_identify(languages), f"id {kind}, lang_pred string, score double, phrase_rate double")
+    return out.select(*[F.col("id")[c].alias(c) for c in keep], "lang_pred", "score", "phrase_rate")

@@ -22,7 +22,7 @@ row with null id, and ids never split a class; extra columns are dropped.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -285,7 +285,7 @@ class JaccardJoin:
         first = common.staged(self.texts.mapInArrow(_first_pass(self.threshold, self.n_buckets), f"kind int, id {self.kind}, uid long, key binary, n long, fp binary, counts binary, bucket int, owners binary, sigs binary"), "join-first")
         rows = first.filter("kind = 0").select("id", "uid", "key", "n", "fp")
         classes = common.staged(first.filter("kind = 0 and n > 0").groupBy("fp", "n").agg(F.min("uid").alias("node"), F.min_by("key", "uid").alias("key"), F.min_by("counts", "uid").alias("counts"), F.min("id").alias("least_id")), "join-classes")
-        self.rows = rows.join(classes.select("fp", "n", "node"), ["fp", "n"], "left").select("id", "n", "node")
+        self.rows = rows.join(classes.select("fp", "n", "node"), ["fp", "n"], "left").select("id", "uid", "key", "n", "node")
         self.classes = classes
         node_of = common.staged(rows.filter("n > 0").join(classes.select("fp", "n", "node"), ["fp", "n"]).select("uid", "node"), "join-nodes")
         met = common.staged(first.filter("kind = 1").select("bucket", "uid", "owners", "sigs").groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, members array<long>"), "join-met")
@@ -346,3 +346,18 @@ def jaccard_join(docs: DataFrame, threshold: Threshold = Threshold(), *, id_col:
     named = of_class.join(least, "component").select("node", "component_id")
     out = join.rows.join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: Threshold, *, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns `keep` of one row of each component: that of the least id (null ids last). Rows without shingles stay."""
+    join = JaccardJoin(docs, threshold, id_col, text_col).run()
+    rows = join.rows.join(join.parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
+    chosen = rows.filter("n > 0").groupBy("component").agg(F.min_by("id", first).alias("id"), F.min_by("key", first).alias("key"))
+    named = docs.select(F.struct(*keep).alias("row"), F.col(id_col).alias("id2"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key2"))
+    empties = rows.filter("n = 0").select("id", "key").distinct()
+    picked = common.staged(chosen.select("id", "key").union(empties), "join-kept")
+    kept = named.join(picked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_semi")
+    if not rows.filter("n > 0").groupBy("id", "key").count().filter("count > 1").isEmpty():  # equal rows: one stays
+        kept = kept.dropDuplicates(["id2", "key2"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in keep])

@@ -12,7 +12,7 @@ without any usable label every score is 0.5; extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,13 +184,31 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     return common.staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stats_of, f"id {kind}, x array<double>"), "quality-stats")
 
 
+def learnt(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str) -> Model | None:
+    """The model of the labelled documents, without those whose crc32 of the id as text, modulo 3, is 1."""
+    y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    train = stats.filter(crc_of("id") % 3 != 1).join(y, "id").select("x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("calibrate"))
+    return fit(common.staged(train, "quality-train"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The columns `keep` of each document with score and predicted; learnt as in score_quality()."""
+    model = learnt(document_statistics(docs, id_col=id_col, text_col=text_col), labels, id_col=id_col, label_col=label_col)
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            score = np.full(batch.num_rows, 0.5) if model is None else np.clip(model.score(statistics(*common.text_bytes(batch.column("text")))), 0, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
+
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "score", "predicted")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per document: id, held_out (crc32 of the id as text, modulo 3, is 1; such labels are never learnt), score, predicted."""
     stats = document_statistics(docs, id_col=id_col, text_col=text_col)
-    crc = crc_of("id")
-    y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    train = stats.filter(crc % 3 != 1).join(y, "id").select("x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("calibrate"))
-    model = fit(common.staged(train, "quality-train"))
+    model = learnt(stats, labels, id_col=id_col, label_col=label_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,5 +217,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             score = np.clip(score, 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
-    out = stats.select("id", "x", F.coalesce(crc % 3 == 1, F.lit(False)).alias("held_out")).mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")
+    out = stats.select("id", "x", F.coalesce(crc_of("id") % 3 == 1, F.lit(False)).alias("held_out")).mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)

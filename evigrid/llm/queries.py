@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hamming, language, packing, pages, partenum, quality, repeats, urls
+from . import ann, hamming, language, packing, pages, partenum, pieces, quality, repeats, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"), F.char_length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op4_hamming_topk": op4_hamming_topk,
         "op5_packing": op5_packing,
         "op6_html_text": op6_html_text,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_url_filter": op8_url_filter,
         "op9_language_id": op9_language_id,
         "op10_ann": op10_ann,

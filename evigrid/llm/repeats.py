@@ -20,7 +20,7 @@ repeated rows are repeats of each other; an empty table gives an empty result; e
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -378,3 +378,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = common.staged(removed_spans(docs, text_col=text_col), "repeats-spans")
     out = rows.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
     return out.withColumnRenamed("id", id_col)
+
+
+def cut(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` of each document and kept, its remaining bytes."""
+    out = remove_repeats(docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text")), id_col="row", text_col="text")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "kept")
