@@ -224,20 +224,24 @@ def _meet(group: pa.Table) -> pa.Table:
     })
 
 
-def _may_link(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Drops pairs whose sizes, or part counts, already rule the similarity out."""
+def may_link(n1: np.ndarray, n2: np.ndarray, c1: np.ndarray, c2: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """False where sizes, or part counts, already rule the similarity out: differences in the counts are differences in
+    the sets, and intersection and union are half of (n1 + n2 -/+ differences)."""
+    apart = np.abs(c1 - c2).sum(-1, dtype=np.int64)
+    fine = threshold.den * (n1 + n2 - apart) >= threshold.num * (n1 + n2 + apart)
+    return fine & (threshold.den * np.minimum(n1, n2) >= threshold.num * np.maximum(n1, n2))
 
+
+def counts_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+
+
+def _likely(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
-            c1, c2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16) for c in ("c1", "c2"))
-            apart = np.abs(c1 - c2).sum(1, dtype=np.int64)
-            # intersection = (n1 + n2 - differences) / 2, union = (n1 + n2 + differences) / 2
-            fine = threshold.den * (n1 + n2 - apart) >= threshold.num * (n1 + n2 + apart)
-            fine &= threshold.den * np.minimum(n1, n2) >= threshold.num * np.maximum(n1, n2)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(fine)), batch.column("b").filter(pa.array(fine))], ["a", "b"])
+            if batch.num_rows:
+                fine = pa.array(may_link(batch.column("n1").to_numpy(), batch.column("n2").to_numpy(), counts_of(batch.column("c1")), counts_of(batch.column("c2")), threshold))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(fine), batch.column("b").filter(fine)], ["a", "b"])
 
     return run
 
@@ -300,7 +304,8 @@ class JaccardJoin:
         groups = met.filter("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
         member = groups.select("g", F.explode("members").alias("uid")).join(node_of, "uid").select("g", "node").distinct().join(parts, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
         mixed = member.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("g")
-        more = member.join(mixed, "g").groupBy("g").applyInArrow(_across, "a long, bs array<long>")
+        member = member.join(mixed, "g").join(classes.select("node", "n", "counts"), "node").select("g", "node", "component", "n", "counts").withColumn("bucket", F.pmod("g", F.lit(4 * self.n_buckets)))
+        more = member.groupBy("bucket").applyInArrow(_across(self.threshold), "a long, bs array<long>")
         more = more.select("a", F.explode("bs").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         later = common.staged(self.verified(common.staged(more, "join-more")), "join-links")
         self.links = links.union(later)
@@ -313,7 +318,7 @@ class JaccardJoin:
         """The pairs of nodes that are linked, by their whole texts."""
         for c, k in (("a", "1"), ("b", "2")):
             pairs = pairs.join(self.classes.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")), c)
-        likely = common.staged(pairs.mapInArrow(_may_link(self.threshold), "a long, b long"), "join-likely")
+        likely = common.staged(pairs.mapInArrow(_likely(self.threshold), "a long, b long"), "join-likely")
         if likely.isEmpty():
             return likely
         per = likely.groupBy("a").agg((F.ceil(F.count("*") / SPLIT)).cast("int").alias("splits"))
@@ -327,14 +332,28 @@ class JaccardJoin:
         return centres.groupBy("group1").cogroup(members.groupBy("group")).applyInArrow(_verify(self.threshold), "a long, b long")
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Pairs of one signature group's members that stand in different components, one row per member."""
-    node, part = group.column("node").to_numpy(), group.column("component").to_numpy()
-    order = np.lexsort((node, part))
-    node, part = node[order], part[order]
-    later = np.searchsorted(part, part, side="right")
-    some = np.flatnonzero(later < len(node))
-    return pa.table({"a": pa.array(node[some]), "bs": pa.array([node[later[k] :].tolist() for k in some], pa.list_(pa.int64()))})
+def _across(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of a signature group's members that stand in different components and may be linked, a row per member."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        g, node, part, n = (group.column(c).to_numpy() for c in ("g", "node", "component", "n"))
+        counts = counts_of(group.column("counts"))
+        order = np.lexsort((node, part, g))
+        g, node, part, n, counts = g[order], node[order], part[order], n[order], counts[order]
+        run = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
+        later, stop = np.searchsorted(run, run, side="right"), np.searchsorted(g, g, side="right")
+        a, bs = [], []
+        for k in range(len(node)):
+            found: list[int] = []
+            for at in range(int(later[k]), int(stop[k]), 4096):
+                to = slice(at, min(at + 4096, int(stop[k])))
+                found += node[to][may_link(n[k], n[to], counts[k], counts[to], threshold)].tolist()
+            if found:
+                a.append(int(node[k]))
+                bs.append(found)
+        return pa.table({"a": pa.array(a, pa.int64()), "bs": pa.array(bs, pa.list_(pa.int64()))})
+
+    return pairs
 
 
 def jaccard_join(docs: DataFrame, threshold: Threshold = Threshold(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
