@@ -1,4 +1,4 @@
-"""The queries registered with the driver."""
+"""The queries registered with the driver, gathered from the modules of this package."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evigrid.plans import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (retrieval,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    return retrieval.bm25_top20(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
