@@ -306,7 +306,7 @@ class JaccardJoin:
         mixed = member.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("g")
         member = member.join(mixed, "g").join(classes.select("node", "n", "counts"), "node").select("g", "node", "component", "n", "counts").withColumn("bucket", F.pmod("g", F.lit(4 * self.n_buckets)))
         more = member.groupBy("bucket").applyInArrow(_across(self.threshold), "a long, bs array<long>")
-        more = more.select("a", F.explode("bs").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        more = more.groupBy(F.pmod(F.xxhash64("a"), F.lit(4 * self.n_buckets))).applyInArrow(_distinct, "a long, b long").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         later = common.staged(self.verified(common.staged(more, "join-more")), "join-links")
         self.links = links.union(later)
         if not later.isEmpty():
@@ -342,20 +342,26 @@ def _across(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
         g, node, part, n, counts = g[order], node[order], part[order], n[order], counts[order]
         run = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
         later, stop = np.searchsorted(run, run, side="right"), np.searchsorted(g, g, side="right")
-        a, bs = [], []
+        found: dict[int, list[np.ndarray]] = {}
         for k in range(len(node)):
-            found: list[int] = []
             for at in range(int(later[k]), int(stop[k]), 4096):
                 to = slice(at, min(at + 4096, int(stop[k])))
-                found += node[to][may_link(n[k], n[to], counts[k], counts[to], threshold)].tolist()
-            if found:
-                a.append(int(node[k]))
-                bs.append(found)
-        return pa.table({"a": pa.array(a, pa.int64()), "bs": pa.array(bs, pa.list_(pa.int64()))})
+                if len(some := node[to][may_link(n[k], n[to], counts[k], counts[to], threshold)]):
+                    found.setdefault(int(node[k]), []).append(some)
+        return pa.table({"a": pa.array(list(found), pa.int64()), "bs": pa.array([np.unique(np.concatenate(x)) for x in found.values()], pa.list_(pa.int64()))})
 
     return pairs
 
 
+def _distinct(group: pa.Table) -> pa.Table:
+    """Rows (a, bs) -> the distinct pairs (a, b)."""
+    lists = group.column("bs").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    pairs = np.stack([np.repeat(group.column("a").to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()], 1)
+    pairs = np.unique(pairs, axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def jaccard_join(docs: DataFrame, threshold: Threshold = Threshold(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008  frozen
     """One row per document: id, n_shingles, component_id (the least id of its component; its own without links)."""
     join = JaccardJoin(docs, threshold, id_col, text_col).run()
