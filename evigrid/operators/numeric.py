@@ -1,0 +1,34 @@
+"""Exact-decimal consistency checks by display intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def check_sum(claims: DataFrame) -> DataFrame:
+    """claims: key, rep_lo, rep_hi (the reported interval), lo, hi (the sum of the parts' intervals), wanted, found,
+    missing (parts without value), same_period. The first failing condition is the reason; then the intervals meet or not."""
+    reason = (
+        F.when(F.col("found") < F.col("wanted"), "observation_missing").when(F.col("missing") > 0, "value_missing_or_unresolved").when(~F.col("same_period"), "dimension_mismatch")
+    )
+    status = F.when(reason.isin("observation_missing", "value_missing_or_unresolved"), "not_computable").when(reason.isNotNull(), "not_comparable").when((F.col("lo") <= F.col("rep_hi")) & (F.col("rep_lo") <= F.col("hi")), "consistent").otherwise("inconsistent")
+    return claims.select("key", status.alias("status"), reason.alias("reason"))
+
+
+def rate_interval(base_lo: Column, base_hi: Column, cur_lo: Column, cur_hi: Column, kind: str) -> tuple[Column, Column, Column]:
+    """(low, high, computable) of (current / baseline - 1) * 100, or of its negative for a reduction: extremes over the
+    four corners. A baseline interval that holds zero has no rate."""
+    corners = [((c / b) - 1) * (100 if kind == "growth" else -100) for c in (cur_lo, cur_hi) for b in (base_lo, base_hi)]
+    fine = ~((base_lo <= 0) & (base_hi >= 0))
+    return F.when(fine, F.least(*corners)), F.when(fine, F.greatest(*corners)), fine
+
+
+def rate_meets(rep_lo: Column, rep_hi: Column, base: Column, cur_lo: Column, cur_hi: Column) -> Column:
+    """The same comparison without division, for a positive exact baseline."""
+    return (100 * (cur_lo - base) <= rep_hi * base) & (rep_lo * base <= 100 * (cur_hi - base))
+
+
+def within_threshold(commitment: Column, threshold: Column, capex: Column) -> Column:
+    """commitment <= threshold * capex, exactly."""
+    return commitment.cast("decimal(18,2)") <= threshold.cast("decimal(6,4)") * capex.cast("decimal(18,2)")
