@@ -180,7 +180,7 @@ def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.R
                 order = np.lexsort((doc, bucket)) if rows > 65535 else np.argsort(bucket << 16 | doc, kind="stable")
                 doc, sig, bucket = doc[order].astype(np.uint16), sig[order].astype(np.uint32), bucket[order]
                 each, begin = np.unique(bucket, return_index=True)
-                stop = np.append(begin[1:], len(bucket))
+                stop = np.append(begin[1:], len(bucket))[: len(begin)]
                 m = len(each)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, batch.column("id").type), pa.array(np.full(m, uid)), none(pa.binary(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.binary(), m), pa.array(each.astype(np.int32)), pa.array([doc[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary()), pa.array([sig[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary())], names)
             uid += rows

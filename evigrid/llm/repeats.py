@@ -95,7 +95,7 @@ def dealt(records: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[byte
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
     each, begin = np.unique(bucket, return_index=True)
-    stop = np.append(begin[1:], len(bucket))
+    stop = np.append(begin[1:], len(bucket))[: len(begin)]
     return each.tolist(), [records[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
 
 
@@ -244,7 +244,7 @@ def _extract(n_sorts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             head["key"], head["a"] = key[row], off[row] + from_
             head["b"] = head["a"] + windows
             each, first = np.unique(bucket, return_index=True)
-            stop = np.append(first[1:], len(bucket))
+            stop = np.append(first[1:], len(bucket))[: len(first)]
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.int32()), pa.array([head[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary()), pa.array([text[ends_t[a] : ends_t[b]].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())], ["bucket", "heads", "texts"])
 
     return run
