@@ -58,7 +58,7 @@ def buckets(df: DataFrame, each: int, least: int = 8) -> int:
     return int(min(1 << 20, max(least, -(-input_bytes(df) // each))))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most most_rows rows and about most_bytes bytes of `column` (a longer text stands alone)."""
     for batch in batches:
         ends = text_offsets(batch.column(column))

@@ -159,7 +159,7 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         encoder = encoder_of(path)
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         uid = TaskContext.get().partitionId() << 33
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             raw, ends = common.text_bytes(batch.column("text"))
             raw = raw.tobytes()
             ids, at = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], end_id)

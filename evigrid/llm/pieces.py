@@ -268,7 +268,7 @@ def vocabulary(path: str) -> Vocabulary:
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             ids, ends = own.encode([t or "" for t in batch.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])

@@ -32,7 +32,7 @@ from . import common
 WINDOW, KMER = 200, 48
 #: A perfect difference set, every difference modulo PERIOD occurs.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 _PLACE_BITS = np.uint64(24)
 #: Buckets with more distinct segments than this are split by the minimizer's place.
 WIDE, PLACES = 4096, 16
@@ -366,7 +366,7 @@ def removed_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     wanted = met.filter("kind = 1").select("group", "blob").groupBy("group").applyInArrow(_per_text(_REQUEST), "key long, records binary")
     single = texts.mapInArrow(_once, "key long, text string")
     asked = single.join(wanted, "key").select("text", "records")
-    found = common.staged(asked.mapInArrow(_extract(common.buckets(docs, 4 << 20, 8)), "bucket int, heads binary, texts binary").groupBy("bucket").applyInArrow(_sort_bucket(n_groups), runs), "repeats-found")
+    found = common.staged(asked.mapInArrow(_extract(common.buckets(docs, 2 << 20, 8)), "bucket int, heads binary, texts binary").groupBy("bucket").applyInArrow(_sort_bucket(n_groups), runs), "repeats-found")
     return met.filter("kind = 0").union(found).select("group", "blob").groupBy("group").applyInArrow(_covered, "key long, spans binary")
 
 
