@@ -22,7 +22,10 @@ def area(b: Box) -> Column:
 def iou(a: Box, b: Box) -> Column:
     """Intersection over union; null geometry gives null, never zero."""
     both = area((F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])))
-    return both / (area(a) + area(b) - both)
+    known = F.lit(True)
+    for c in (*a, *b):
+        known = known & c.isNotNull()
+    return F.when(known, F.try_divide(both, area(a) + area(b) - both))
 
 
 def covers(outer: Box, inner: Box) -> Column:
