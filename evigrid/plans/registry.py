@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.plans import decisions, documents, retrieval, tabular
+from evigrid.plans import decisions, documents, gates, retrieval, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, tabular, decisions, documents)
+MODULES = (retrieval, tabular, decisions, documents, gates)
 
 
 def digest(df: DataFrame) -> DataFrame:
