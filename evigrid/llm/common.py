@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,14 +61,26 @@ def buckets(df: DataFrame, each: int, least: int = 8) -> int:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most most_rows rows and about most_bytes bytes of `column` (a longer text stands alone)."""
-    for batch in batches:
-        ends = text_offsets(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            stop = int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1
-            stop = min(max(stop, at + 1), at + most_rows, batch.num_rows)
-            yield batch.slice(at, stop - at)
-            at = stop
+    try:
+        for batch in batches:
+            ends = text_offsets(batch.column(column))
+            at = 0
+            while at < batch.num_rows:
+                stop = int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1
+                stop = min(max(stop, at + 1), at + most_rows, batch.num_rows)
+                yield batch.slice(at, stop - at)
+                at = stop
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and a stage's peaks would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def text_offsets(col: pa.Array) -> np.ndarray:

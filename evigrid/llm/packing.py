@@ -31,7 +31,7 @@ SEQUENCE = 2048
 WINDOW = 64 * SEQUENCE
 END_ID = 1
 #: Distinct pieces kept encoded by each worker (about 40 bytes each); when full, the table starts afresh.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
 
 
 def default_tokenizer() -> str:
@@ -204,6 +204,7 @@ def _cut(wide: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         cuts = np.r_[at, upto[-1:]] - begin[0]
         blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(ids)])
         own = pa.array(doc[packet])
+        common.trim()
         return pa.table({"id": docs.column("id").take(own), "source": docs.column("source").take(own), "start": from_[packet] + at - begin[packet], "length": upto - at, "ids": blob, "doc_tokens": n[doc[packet]], "sequence_id": at // SEQUENCE, "offset": at % SEQUENCE})
 
     return run

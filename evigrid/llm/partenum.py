@@ -216,6 +216,7 @@ def _meet(group: pa.Table) -> pa.Table:
             own = member[begin[k] : begin[k] + size[k]]
             lists[own.tobytes()] = by_rank[own]
     m, n = len(pairs), len(lists)
+    common.trim()
     return pa.table({
         "kind": pa.array(np.repeat([0, 1], [m, n]).astype(np.int32)),
         "a": pa.array(np.concatenate([by_rank[pairs >> 32], np.zeros(n, np.int64)])),

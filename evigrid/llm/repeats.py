@@ -328,6 +328,7 @@ def _sort_bucket(n_groups: int) -> Callable[[pa.Table], pa.Table]:
         row = np.repeat(np.arange(len(head)), windows)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         hit = repeated_windows(text, begin[row] + nth)
+        common.trim()
         edge = np.ones(len(row), bool)
         edge[1:] = (row[1:] != row[:-1]) | ~hit[:-1]
         first = np.flatnonzero(hit & edge)
