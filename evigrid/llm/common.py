@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -49,9 +50,13 @@ def clear_staged() -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; for a file scan, the bytes of its files. Sizes the number of buckets."""
+    """Catalyst's estimate of df's size; for a file scan, the bytes of its files. Sizes the number of buckets. Where
+    Catalyst has none (rows made by the driver), the bytes of the text columns are summed."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 1 << 34
+    if size < 1 << 60:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return int(df.select(F.sum(sum(texts, F.lit(0)).cast("long"))).first()[0] or 0)
 
 
 def buckets(df: DataFrame, each: int, least: int = 8) -> int:

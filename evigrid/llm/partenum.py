@@ -157,7 +157,6 @@ def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.R
         for batch in common.slices(batches, "text"):
             rows = batch.num_rows
             full, short, at = shingle_sets(*common.text_bytes(batch.column("text")), threshold.words)
-            owner = np.repeat(np.arange(rows), np.diff(at))
             sums = np.zeros((2, len(full) + 1), np.uint64)
             np.cumsum(common.mix(full), out=sums[0, 1:])
             np.cumsum(common.mix(full ^ np.uint64(0x9E6C63D0676A9A99)), out=sums[1, 1:])
@@ -172,7 +171,6 @@ def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.R
                 met.clear()
             none = lambda t, n=rows: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column("id"), pa.array(np.arange(uid, uid + rows)), batch.column("key"), pa.array(np.diff(at)), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in part_counts(short, at)], pa.binary()), none(pa.int32()), none(pa.binary()), none(pa.binary())], names)
-            del owner
             parts = list(signatures(full, short, at, np.array(fresh, np.int64), threshold))
             if parts:
                 doc, sig, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
