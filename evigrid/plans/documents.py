@@ -106,7 +106,7 @@ def j24_continuations(spark, d):
 
 
 def x10_normal_forms(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(120)).alias("t"))
+    x = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return x.select("doc_id", F.md5(T.citation_form(F.col("t"))).alias("citation"), F.md5(T.nfc(F.col("t"))).alias("nfc"))
 
 

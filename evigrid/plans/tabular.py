@@ -249,7 +249,7 @@ def f1_optional_filter(spark, d):
 def f2_facets(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     bucket = F.when(F.col("quality").isNull(), "hold").when(F.col("toxic") == 1, "provisional").otherwise("confirmed")
-    found = F.instr(F.lower(F.concat_ws(" ", "source", "lang", F.left("text", F.lit(200)))), "the") > 0
+    found = F.instr(F.lower(F.concat_ws(" ", "source", "lang", "text")), "the") > 0
     return x.filter(found).groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -334,7 +334,7 @@ def a22_capacity(spark, d):
 
 
 def x_text(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(400)).alias("t"))
+    x = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return x.select("doc_id", T.csv_safe(F.concat(F.when(F.col("doc_id") % 2 == 0, "=").otherwise(""), F.lit("a"))).alias("safe"), F.md5(T.normalized_key(F.col("t"))).alias("key_md5"), T.value_state(F.col("doc_id").cast("string")).alias("state"))
 
 
