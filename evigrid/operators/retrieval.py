@@ -13,12 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
+from evigrid.llm import common
+
+#: Input bytes of vectors in a block.
+BLOCK_BYTES = 1 << 20
+
+
+def lengths(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, terms, len of every non-blank text, even with no term; corpus: n, total)."""
+    rows = docs.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms")).withColumn("len", F.size("terms"))
+    return rows, rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(postings: id, term, tf, len; corpus: n, total). Every non-blank text counts, even with no term."""
-    rows = docs.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms")).withColumn("len", F.size("terms"))
-    corpus = rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    rows, corpus = lengths(docs, id_col, text_col)
     each = rows.select("id", "len", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     return each, corpus
 
@@ -26,15 +35,17 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_col: str) -> DataFrame:
     """query_id, id, score for all matches with a positive score: sum over the query's distinct terms of
     ln(1 + (N - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len / avg)). Terms are filtered before the
-    postings are grouped, so only the queried part of the index is shuffled."""
+    postings are grouped, so only the queried part of the index is shuffled, once and by document; the queries' terms
+    with their df (a bounded side) are broadcast, so scores are summed where the postings are."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.search_terms(F.col(query_col)))).alias("term"))
-    each, corpus = postings(docs, id_col, text_col)
-    hits = each.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
+    rows, corpus = lengths(docs, id_col, text_col)
+    terms = rows.select("id", "len", F.explode("terms").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    hits = terms.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    df = hits.groupBy("term").agg(F.count("len").alias("df"))  # naming len keeps both readers' exchange the same, so it is reused
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") * F.col("n") / F.col("total")))
-    return scored.withColumn("w", weight).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
+    return scored.withColumn("w", weight).join(F.broadcast(wanted), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
 
 
 def top(ranked: DataFrame, k: int, *, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "id", digits: int = 6) -> DataFrame:
@@ -53,14 +64,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, filters: Sequence[str] = ()) -> DataFrame:
-    """The k nearest rows by cosine for each of a few query vectors (a bounded, broadcast side), with equal `filters`
-    columns forced on both sides."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"), *[F.col(c).alias(f"q_{c}") for c in filters])
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *filters)
-    same = F.lit(True)
+    """The k nearest rows by cosine for each query vector, with equal `filters` columns forced on both sides. Rows are
+    dealt into blocks of about BLOCK_BYTES and every block is asked every query, so no side is broadcast."""
+    blocks = common.buckets(vectors, BLOCK_BYTES)
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"), *[F.col(c).alias(f"q_{c}") for c in filters]).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *filters).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    same = F.col("block") == F.col("q_block")
     for c in filters:
         same = same & F.col(c).eqNullSafe(F.col(f"q_{c}"))
-    return top(rows.join(F.broadcast(q), same).withColumn("score", cosine(F.col("v"), F.col("qv"))).select("query_id", "id", "score"), k)
+    return top(rows.join(q, same).withColumn("score", cosine(F.col("v"), F.col("qv"))).select("query_id", "id", "score"), k)
 
 
 def fuse(routes: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
