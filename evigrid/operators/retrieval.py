@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
-from evigrid.llm import common
+from evigrid.operators import sizing
 
 #: Input bytes of vectors in a block.
 BLOCK_BYTES = 1 << 20
@@ -66,7 +66,7 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, filters: Sequence[str] = ()) -> DataFrame:
     """The k nearest rows by cosine for each query vector, with equal `filters` columns forced on both sides. Rows are
     dealt into blocks of about BLOCK_BYTES and every block is asked every query, so no side is broadcast."""
-    blocks = common.buckets(vectors, BLOCK_BYTES)
+    blocks = sizing.blocks(vectors, BLOCK_BYTES)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"), *[F.col(c).alias(f"q_{c}") for c in filters]).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *filters).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     same = F.col("block") == F.col("q_block")

@@ -136,7 +136,7 @@ QUERIES = {
     "p23_report_credit": (p22_report_credit, "SELECT source, bool_or(quality = 1) AS index, bool_or(toxic = 0) AS coverage, count(*) AS n, bool_or(quality = 1) AND bool_or(toxic = 0) AS credit FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
     "p30_review": (p30_review, "SELECT o_custkey, count(*) AS revision, true AS current, arg_max(o_orderstatus, o_orderkey) AS resolution FROM orders GROUP BY 1"),
     "j24_continuations": (j24_continuations, "WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2) SELECT conv_id, md5(string_agg(md5(text), '' ORDER BY turn)) AS digest FROM c GROUP BY 1"),
-    "x2_normal_forms": (x10_normal_forms, r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(left(text, 120)), '\s+', ' ', 'g'))) AS citation, md5(nfc_normalize(left(text, 120))) AS nfc FROM documents"),
+    "x2_normal_forms": (x10_normal_forms, r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS citation, md5(nfc_normalize(text)) AS nfc FROM documents"),
     "x40_signature": (x40_signature, """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}') AS signature FROM part"""),
     "x41_json_path": (x41_json_path, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50"),
     "s15_summary": (cube_summary, "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2"),

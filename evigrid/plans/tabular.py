@@ -425,21 +425,21 @@ QUERIES = {
     "j1_citations": (j1_citations, "WITH r AS (SELECT doc_id FROM labels JOIN documents USING (doc_id)) SELECT CASE WHEN doc_id % 11 = 0 THEN 'not_found' WHEN doc_id % 7 = 0 THEN 'label_mismatch' WHEN doc_id % 5 = 0 THEN 'text_mismatch' ELSE 'verified' END AS verdict, count(*) AS n FROM r GROUP BY 1"),
     "j4_span_containment": (j4_span_containment, f'WITH s AS ({SPAN}) SELECT i.k, i.id AS inner_id, o.id AS outer_id FROM s i JOIN s o ON i.k = o.k AND i.id <> o.id AND o.start <= i.start AND i.start < i."end" AND i."end" <= o."end"'),
     "j5_unique_scope": (j5_unique_scope, "SELECT o_custkey, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
-    "j6_complete_bindings": (j6_complete_bindings, "WITH i AS (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 50 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS item FROM lineitem WHERE l_linenumber <= 3), m AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS wanted, count(p_partkey) AS found, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS total FROM i LEFT JOIN part ON p_partkey = item GROUP BY l_orderkey) SELECT l_orderkey, wanted, found, CASE WHEN wanted = found THEN 'complete' ELSE 'observation_missing' END AS state, CASE WHEN wanted = found THEN total END AS total FROM m"),
+    "j6_complete_bindings": (j6_complete_bindings, "WITH i AS (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 50 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS item FROM lineitem), m AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS wanted, count(p_partkey) AS found, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS total FROM i LEFT JOIN part ON p_partkey = item GROUP BY l_orderkey) SELECT l_orderkey, wanted, found, CASE WHEN wanted = found THEN 'complete' ELSE 'observation_missing' END AS state, CASE WHEN wanted = found THEN total END AS total FROM m"),
     "j7_dimension_match": (j7_dimension_match, "WITH c AS (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS customers FROM customer GROUP BY ALL), o AS (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT c.c_nationkey, c.segment, customers, orders FROM c JOIN o ON c.c_nationkey IS NOT DISTINCT FROM o.c_nationkey AND c.segment IS NOT DISTINCT FROM o.segment"),
     "j9_year_over_year": (j9_year_over_year, "WITH o AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(18,2)) AS content FROM orders), a AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(content) AS c FROM o WHERE y = 1996 GROUP BY ALL), b AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(content) AS c FROM o WHERE y = 1995 GROUP BY ALL), x AS (SELECT o_custkey, o_orderpriority, CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'removed_candidate' WHEN a.c <> b.c THEN 'modified' END AS change FROM a FULL JOIN b USING (o_custkey, o_orderpriority)) SELECT * FROM x WHERE change IS NOT NULL"),
     "j10_label_map": (j10_label_map, "WITH l AS (SELECT n_regionkey, n_nationkey AS label FROM nation UNION SELECT n_regionkey, n_nationkey + 1 FROM nation) SELECT n_regionkey, bool_and(s_suppkey IS NOT NULL) AS resolved, count(s_suppkey) AS pages, min(s_suppkey) AS first_page FROM l LEFT JOIN supplier ON s_nationkey = label GROUP BY n_regionkey"),
     "j11_assurance": (j11_assurance, "WITH s AS (SELECT n_regionkey, list(DISTINCT s_nationkey) AS covered FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), c AS (SELECT n_regionkey, c_mktsegment, list(DISTINCT c_nationkey) AS claimed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey, c_mktsegment, CASE WHEN n_regionkey = 4 THEN 'undetermined' WHEN c_mktsegment = 'FURNITURE' OR c_mktsegment = 'MACHINERY' OR NOT list_has_all(covered, claimed) THEN 'not_covered' ELSE 'covered' END AS verdict FROM c JOIN s USING (n_regionkey)"),
     "j13_anti": (j13_anti, "SELECT lang, count(*) AS unlabelled FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang"),
     "j14_claimable": (j14_claimable, "SELECT o_custkey, min(o_orderkey) AS next_run FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderstatus = 'P') AND (SELECT count(*) FROM orders q WHERE q.o_custkey = o.o_custkey) <= 20 GROUP BY o_custkey"),
-    "j17_valid_entry": (j17_valid_entry, "WITH n AS (SELECT s_nationkey, s_suppkey, DATE '1992-01-01' + CAST(s_suppkey % 50 * 40 AS INTEGER) AS starts FROM supplier), o AS (SELECT o_orderkey, c_nationkey, CAST(o_orderdate AS DATE) AS as_of FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0) SELECT o_orderkey, count(s_suppkey) AS matches, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS s_suppkey FROM o LEFT JOIN n ON s_nationkey = c_nationkey AND starts <= as_of AND as_of < starts + 300 GROUP BY o_orderkey"),
+    "j17_valid_entry": (j17_valid_entry, "WITH n AS (SELECT s_nationkey, s_suppkey, DATE '1992-01-01' + CAST(s_suppkey % 50 * 40 AS INTEGER) AS starts FROM supplier), o AS (SELECT o_orderkey, c_nationkey, CAST(o_orderdate AS DATE) AS as_of FROM orders JOIN customer ON o_custkey = c_custkey) SELECT o_orderkey, count(s_suppkey) AS matches, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS s_suppkey FROM o LEFT JOIN n ON s_nationkey = c_nationkey AND starts <= as_of AND as_of < starts + 300 GROUP BY o_orderkey"),
     "j18_as_of": (j18_as_of, "SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY user_id"),
     "j19_lookup": (j19_lookup, "SELECT n_name, CASE WHEN n_regionkey < 3 THEN r_name ELSE 'undetermined' END AS topic FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"),
     "j21_proximity": (j21_proximity, "SELECT user_id, event_id FROM events a WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'click' AND a.user_id = b.user_id AND abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) <= 900)"),
     "u1_u5_sets": (u_sets, "WITH a AS (SELECT c_nationkey AS k, list(DISTINCT c_mktsegment) AS a, coalesce(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 5000), []) AS b FROM customer GROUP BY 1) SELECT k, len(b) > 0 AND list_has_all(a, b) AND list_has_all(b, a) AS same, list_has_all(a, b) AS within, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS missing, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS united FROM a"),
     "u6_union_roles": (u6_union_roles, "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'"),
     "f1_optional_filter": (f1_optional_filter, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT 'low_open', count(*) FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'O' HAVING count(*) > 0"),
-    "f2_facets": (f2_facets, "SELECT lang, CASE WHEN quality IS NULL THEN 'hold' WHEN toxic = 1 THEN 'provisional' ELSE 'confirmed' END AS bucket, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE instr(lower(source || ' ' || lang || ' ' || substr(text, 1, 200)), 'the') > 0 GROUP BY 1, 2"),
+    "f2_facets": (f2_facets, "SELECT lang, CASE WHEN quality IS NULL THEN 'hold' WHEN toxic = 1 THEN 'provisional' ELSE 'confirmed' END AS bucket, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE instr(lower(source || ' ' || lang || ' ' || text), 'the') > 0 GROUP BY 1, 2"),
     "f4_declared_subset": (f4_declared_subset, "SELECT CASE WHEN lang <> 'en' THEN 'other_language' WHEN n_chars < 200 THEN 'too_short' ELSE 'selected' END AS reason, count(*) AS n FROM documents GROUP BY 1"),
     "f5_eligibility": (f5_eligibility, r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)all rights reserved') THEN 'non_claim' WHEN regexp_matches(text, '\b(19|20)[0-9]{2}\b') THEN 'year' WHEN regexp_matches(text, '[0-9]') THEN 'bare_number' ELSE 'plain' END AS gate FROM documents"),
     "f12_readable": (f12_readable, r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 80 AND len(regexp_extract_all(text, '\(cid:')) < 3 AS readable FROM documents"),
@@ -455,7 +455,7 @@ QUERIES = {
     "a21_period_decision": (a21_period_decision, "WITH o AS (SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS n, min(year(o_orderdate)) AS p, count(*) FILTER (o_orderstatus = 'P') AS u FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN n = 1 AND u = 0 THEN 'detected' WHEN n = 0 THEN 'not_found' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 AND u = 0 THEN p END AS period FROM o"),
     "a22_capacity": (a22_capacity, "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)"),
     "x1_sentences": (x1_sentences, None),
-    "x4_x13_text": (x_text, r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''=a' ELSE 'a' END AS safe, md5(lower(trim(regexp_replace(substr(text, 1, 400), '\s+', ' ', 'g')))) AS key_md5, 'present' AS state FROM documents"),
+    "x4_x13_text": (x_text, r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''=a' ELSE 'a' END AS safe, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key_md5, 'present' AS state FROM documents"),
     "x19_periods": (x19_periods, "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 5 AS INTEGER) AS b FROM orders) SELECT o_orderkey, true AS supported, CASE WHEN a <= b THEN a END AS start, CASE WHEN a <= b THEN b END AS \"end\" FROM o"),
     "x24_year_apart": (x24_year_apart, "WITH o AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT o_custkey, year(b) = year(a) + 1 AND month(a) = month(b) AND day(a) = day(b) AS apart, last_day(a) = CAST(a AS DATE) AS month_end FROM o"),
     "x27_amounts": (x27_amounts, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END AS DECIMAL(30,4)) AS amount FROM customer"),
