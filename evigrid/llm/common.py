@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -13,18 +14,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, int]] = []
+
+#: Bytes of an Arrow batch between Spark and a Python worker; a text operator needs a small multiple of it.
+BATCH_BYTES = "2m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (local tests) a temporary one is made and set."""
+    """The folder that spark.checkpoint.dir names. Only where it is unset on one machine (local tests) a temporary one is
+    made and set; on a cluster an unset folder is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches are kept to BATCH_BYTES, unless the user has set their size. The size is read when
+    a plan runs, which may be after the operator has returned, so the setting stays."""
+    conf = df.sparkSession.conf
+    if str(conf.get(_BATCH_KEY)).rstrip("b") == str(64 << 20):  # Spark's own value
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors,
     gives later readers column pruning, and pins values (such as row numbers) that a recomputation could change."""
@@ -33,20 +50,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if not _staged:
         atexit.register(clear_staged)
-    _staged.append((spark, path))
+    _staged.append((spark, path, threading.get_ident()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged() -> None:
-    """Remove the staged tables; called at the driver's exit, or by callers that are done with all results."""
-    while _staged:
-        spark, path = _staged.pop()
+def clear_staged(keep: set[str] | None = None) -> None:
+    """Remove the staged tables, all of them at the driver's exit. With `keep`: those of this thread whose path is not in
+    it, for a caller whose results of the others are written."""
+    own = [x for x in _staged if keep is None or (x[1] not in keep and x[2] == threading.get_ident())]
+    for spark, path, _ in own:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended already
-            return
+            break
+    _staged[:] = [x for x in _staged if x not in own]
+
+
+def staged_paths() -> set[str]:
+    return {path for _, path, _ in _staged}
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -60,11 +83,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def buckets(df: DataFrame, each: int, least: int = 8) -> int:
-    """Buckets of about `each` input bytes, so that a bucket stays as small when the input grows."""
+    """Buckets of about `each` input bytes, so that a bucket stays as small when the input grows (2^20 of them at most,
+    so that at 100 TB a bucket holds about 100 MB of input at least)."""
     return int(min(1 << 20, max(least, -(-input_bytes(df) // each))))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most most_rows rows and about most_bytes bytes of `column` (a longer text stands alone)."""
     try:
         for batch in batches:
@@ -81,6 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
 
 def trim() -> None:
     """Give freed memory back to the system: workers are kept between tasks, and a stage's peaks would stay with them."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -130,7 +155,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        n2 = max(n, 1 << 20)
+        n2 = max(n, 1 << 18)
         up, down = np.full(n2, _BASE, np.uint64), np.full(n2, _BACK, np.uint64)
         up[0] = down[0] = 1
         _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -149,3 +174,16 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """64-bit hash of each byte span [start, end); equal spans have equal hashes wherever they stand."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def dealt(records: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The records of each bucket as one binary value."""
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order]
+    each, begin = np.unique(bucket, return_index=True)
+    stop = np.append(begin[1:], len(bucket))[: len(begin)]
+    return each.tolist(), [records[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
+
+
+def gathered(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in column if x.is_valid)])
