@@ -9,9 +9,10 @@ from . import common
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Every (u, v) with m, the least of u and all its neighbours. Counts are pre-aggregated; a hot u is split by AQE."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least.hint("merge"), "u")
+    """Every (u, v) with m, the least of u and all its neighbours. Minima are pre-aggregated and staged, so that the join
+    has plain scans on both sides: Spark broadcasts a small one, and splits a hot u of a large one."""
+    least = common.staged(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
+    return edges.join(least, "u")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        met = _least(large)
+        met = _least(common.staged(large, "links-large"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = common.staged(small, "links")
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()

@@ -9,10 +9,12 @@ A signature of no shingle at all says little and would gather strangers. With `s
 than `spare` parts agree, so a set with at most `spare` empty signatures may leave those out: of two sets that share
 only empty ones, both have more than `spare` and then both keep them. No link is lost.
 
-Equal sets are one class from the start. Signature groups give candidate pairs in two rounds: every member with one
-centre, then, as all verified pairs have joined their components, members of different components with each other.
+Equal sets are one class from the start. Signatures are dealt into buckets by their own hash, so a bucket's size follows
+the number of buckets only. Signature groups give candidate pairs in two rounds: every member with one centre, then, as
+all verified pairs have joined their components, members of different components with each other, block by block.
 Candidates pass a bound from 128 part counts (their differences never exceed the true one) and are then verified on
-the shingles of the whole texts. Result: links between class representatives, and the components they form.
+the shingles of the whole texts. Result: the components, which are exact, and links between class representatives that
+connect them; a link within a component that other links already imply is not verified, so links are not all of them.
 
 Defined results: null, empty or wordless texts have no shingle, are linked with nothing and are their own component;
 texts shorter than the shingle are one shingle of all their words; repeated rows fall into one class; a null id yields a
@@ -104,8 +106,8 @@ def part_counts(short: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(doc * COUNTS + (short & np.uint64(COUNTS - 1)).astype(np.int64), minlength=docs * COUNTS), 255).reshape(docs, COUNTS).astype(np.uint8)
 
 
-def signatures(full: np.ndarray, short: np.ndarray, at: np.ndarray, which: np.ndarray, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, signature, scheme * 2^20 + first-level part), for the documents `which`: of the own band and of the one below."""
+def signatures(full: np.ndarray, short: np.ndarray, at: np.ndarray, which: np.ndarray, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, signature) for the documents `which`: of the own band and of the one below."""
     low, parts, spare = threshold.bands()
     size = np.diff(at)
     sums = np.zeros(len(full) + 1, np.uint64)
@@ -144,11 +146,10 @@ def signatures(full: np.ndarray, short: np.ndarray, at: np.ndarray, which: np.nd
         keep_empty = (empties > spare[scheme[doc]])[owner]
         for value, empty in found:
             kept = ~empty | keep_empty
-            yield doc[owner[kept]], value[kept], place[kept]
+            yield doc[owner[kept]], value[kept]
 
 
 def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    spread = max(1, n_buckets // 16)
     names = ["kind", "id", "uid", "key", "n", "fp", "counts", "bucket", "owners", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +174,8 @@ def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column("id"), pa.array(np.arange(uid, uid + rows)), batch.column("key"), pa.array(np.diff(at)), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in part_counts(short, at)], pa.binary()), none(pa.int32()), none(pa.binary()), none(pa.binary())], names)
             parts = list(signatures(full, short, at, np.array(fresh, np.int64), threshold))
             if parts:
-                doc, sig, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                bucket = (common.mix((place >> 20 << 12 | (place & 0xFFFFF) % spread).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+                doc, sig = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((doc, bucket)) if rows > 65535 else np.argsort(bucket << 16 | doc, kind="stable")
                 doc, sig, bucket = doc[order].astype(np.uint16), sig[order].astype(np.uint32), bucket[order]
                 each, begin = np.unique(bucket, return_index=True)
@@ -186,9 +187,17 @@ def _first_pass(threshold: Threshold, n_buckets: int) -> Callable[[Iterator[pa.R
     return run
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """One bucket: documents that share a signature. Rows with kind 0 are pairs (centre, member), each once; rows with
-    kind 1 are the distinct groups of three and more."""
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+
+
+def _meet(n_groups: int) -> Callable[[pa.Table], pa.Table]:
+    """One bucket: documents that share a signature. Rows with kind 0 are the pairs (centre, member), each once, packed by
+    groups of centres; rows with kind 1 are the distinct signature groups of three and more: a hash of the group, and up
+    to MEMBERS of its members from the b-th on."""
+    return lambda bucket: _groups_of(bucket, n_groups)
+
+
+def _groups_of(group: pa.Table, n_groups: int) -> pa.Table:
     owners = np.concatenate([np.frombuffer(o.as_py(), np.uint16).astype(np.int64) + u for o, u in zip(group.column("owners"), group.column("uid").to_pylist(), strict=True)])
     sigs = np.concatenate([np.frombuffer(s.as_py(), np.uint32) for s in group.column("sigs")])
     nodes, node = np.unique(owners, return_inverse=True)
@@ -205,24 +214,35 @@ def _meet(group: pa.Table) -> pa.Table:
     index = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     centre, other = np.repeat(member[begin], size), member[index]
     pairs = np.unique(centre[centre != other] << 32 | other[centre != other])
-    big = size > 2
-    lists: dict[bytes, np.ndarray] = {}
-    hashes = np.add.reduceat(common.mix(other.astype(np.uint64) + np.uint64(7)), np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64)
+    first, hashes = np.cumsum(size) - size, np.zeros(0, np.uint64)
+    if len(size):
+        hashes = common.mix(np.add.reduceat(common.mix(by_rank[other].astype(np.uint64) + np.uint64(7)), first) + size.astype(np.uint64))
     _, once = np.unique(hashes, return_index=True)
+    once = once[size[once] > 2]
+    lists: list[tuple[int, int, list[int]]] = []
     for k in once.tolist():
-        if big[k]:
-            own = member[begin[k] : begin[k] + size[k]]
-            lists[own.tobytes()] = by_rank[own]
-    m, n = len(pairs), len(lists)
+        own = by_rank[other[first[k] : first[k] + size[k]]]
+        lists += [(int(hashes[k].astype(np.int64)), n, own[n : n + MEMBERS].tolist()) for n in range(0, len(own), MEMBERS)]
+    found = np.empty(len(pairs), _PAIR)
+    found["a"], found["b"] = by_rank[pairs >> 32], by_rank[pairs & 0xFFFFFFFF]
+    groups, blobs = common.dealt(found, (common.mix(found["a"].astype(np.uint64)) % np.uint64(n_groups)).astype(np.int64))
+    m, n = len(groups), len(lists)
     common.trim()
     return pa.table({
         "kind": pa.array(np.repeat([0, 1], [m, n]).astype(np.int32)),
-        "a": pa.array(np.concatenate([by_rank[pairs >> 32], np.zeros(n, np.int64)])),
-        "b": pa.array(np.concatenate([by_rank[pairs & 0xFFFFFFFF], np.zeros(n, np.int64)])),
-        "members": pa.array([None] * m + [x.tolist() for x in lists.values()], pa.list_(pa.int64())),
+        "a": pa.array([*groups, *(x[0] for x in lists)], pa.int64()),
+        "b": pa.array([0] * m + [x[1] for x in lists], pa.int64()),
+        "pairs": pa.array(blobs + [None] * n, pa.binary()),
+        "members": pa.array([None] * m + [x[2] for x in lists], pa.list_(pa.int64())),
     })
 
 
+def _unpacked(group: pa.Table) -> pa.Table:
+    """The distinct pairs of one group of centres, from all buckets."""
+    found = np.unique(common.gathered(group.column("pairs"), _PAIR))
+    return pa.table({"a": found["a"], "b": found["b"]})
+
+
 def may_link(n1: np.ndarray, n2: np.ndarray, c1: np.ndarray, c2: np.ndarray, threshold: Threshold) -> np.ndarray:
     """False where sizes, or part counts, already rule the similarity out: differences in the counts are differences in
     the sets, and intersection and union are half of (n1 + n2 -/+ differences)."""
@@ -271,6 +291,8 @@ def _verify(threshold: Threshold) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 #: A centre's members are verified in groups of about this many.
 SPLIT = 512
+#: Members of a signature group in one row, and in one block of the second round.
+MEMBERS = 2048
 
 
 class JaccardJoin:
@@ -281,8 +303,8 @@ class JaccardJoin:
         self.threshold = threshold
         self.kind = docs.schema[id_col].dataType.simpleString()
         text = F.col(text_col)
-        self.texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("key"), text.alias("text"))
-        self.n_buckets = common.buckets(docs, 12 << 20, 16)
+        self.texts = common.small_batches(docs).select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("key"), text.alias("text"))
+        self.n_buckets = common.buckets(docs, 3 << 20, 16)
 
     def run(self) -> JaccardJoin:
         first = common.staged(self.texts.mapInArrow(_first_pass(self.threshold, self.n_buckets), f"kind int, id {self.kind}, uid long, key binary, n long, fp binary, counts binary, bucket int, owners binary, sigs binary"), "join-first")
@@ -291,8 +313,9 @@ class JaccardJoin:
         self.rows = rows.join(classes.select("fp", "n", "node"), ["fp", "n"], "left").select("id", "uid", "key", "n", "node")
         self.classes = classes
         node_of = common.staged(rows.filter("n > 0").join(classes.select("fp", "n", "node"), ["fp", "n"]).select("uid", "node"), "join-nodes")
-        met = common.staged(first.filter("kind = 1").select("bucket", "uid", "owners", "sigs").groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, members array<long>"), "join-met")
-        pairs = met.filter("kind = 0").select("a", "b").distinct()
+        n_groups = max(8, self.n_buckets // 4)
+        met = common.staged(first.filter("kind = 1").select("bucket", "uid", "owners", "sigs").groupBy("bucket").applyInArrow(_meet(n_groups), "kind int, a long, b long, pairs binary, members array<long>"), "join-met")
+        pairs = met.filter("kind = 0").select("a", "pairs").groupBy("a").applyInArrow(_unpacked, "a long, b long")
         for c in ("a", "b"):
             pairs = pairs.join(node_of.select(F.col("uid").alias(c), F.col("node").alias(f"node_{c}")), c)
         pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -300,12 +323,14 @@ class JaccardJoin:
         links = common.staged(self.verified(tried), "join-links")
         parts = common.staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
         # second round: groups whose members the first round has left in several components
-        groups = met.filter("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
+        groups = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("part"), "members").dropDuplicates(["g", "part"])
         member = groups.select("g", F.explode("members").alias("uid")).join(node_of, "uid").select("g", "node").distinct().join(parts, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-        mixed = member.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("g")
-        member = member.join(mixed, "g").join(classes.select("node", "n", "counts"), "node").select("g", "node", "component", "n", "counts").withColumn("bucket", F.pmod("g", F.lit(4 * self.n_buckets)))
-        more = member.groupBy("bucket").applyInArrow(_across(self.threshold), "a long, bs array<long>")
-        more = more.groupBy(F.pmod(F.xxhash64("a"), F.lit(4 * self.n_buckets))).applyInArrow(_distinct, "a long, b long").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        member = common.staged(member, "join-members")
+        mixed = member.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).filter("x <> y").select("g", "blocks")
+        member = member.join(mixed, "g").join(classes.select("node", "n", "counts"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        met_with = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "counts")
+        more = met_with.withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(self.n_buckets))).groupBy("bucket").applyInArrow(_across(self.threshold), "a long, bs array<long>")
+        more = more.groupBy(F.pmod(F.xxhash64("a"), F.lit(self.n_buckets))).applyInArrow(_distinct, "a long, b long").join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         later = common.staged(self.verified(common.staged(more, "join-more")), "join-links")
         self.links = links.union(later)
         if not later.isEmpty():
@@ -320,7 +345,7 @@ class JaccardJoin:
         likely = common.staged(pairs.mapInArrow(_likely(self.threshold), "a long, b long"), "join-likely")
         if likely.isEmpty():
             return likely
-        per = likely.groupBy("a").agg((F.ceil(F.count("*") / SPLIT)).cast("int").alias("splits"))
+        per = common.staged(likely.groupBy("a").agg((F.ceil(F.count("*") / SPLIT)).cast("int").alias("splits")), "join-splits")
         n_groups = common.buckets(self.texts, 8 << 20, 16)
         dealt = likely.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("splits"))).withColumn("group", F.pmod(F.xxhash64("a", "salt"), F.lit(n_groups)).cast("int"))
         needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
@@ -332,21 +357,25 @@ class JaccardJoin:
 
 
 def _across(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of a signature group's members that stand in different components and may be linked, a row per member."""
+    """Pairs of a signature group's members that stand in different components and may be linked, a row per member.
+    Members come in pairs (i, j) of blocks: with i = j all of the block meet, else those of one with those of the other."""
 
     def pairs(group: pa.Table) -> pa.Table:
-        g, node, part, n = (group.column(c).to_numpy() for c in ("g", "node", "component", "n"))
+        g, i, j, block, node, part, n = (group.column(c).to_numpy() for c in ("g", "i", "j", "block", "node", "component", "n"))
         counts = counts_of(group.column("counts"))
-        order = np.lexsort((node, part, g))
-        g, node, part, n, counts = g[order], node[order], part[order], n[order], counts[order]
-        run = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
-        later, stop = np.searchsorted(run, run, side="right"), np.searchsorted(g, g, side="right")
+        order = np.lexsort((node, part, j, i, g))
+        g, i, j, block, node, part, n, counts = g[order], i[order], j[order], block[order], node[order], part[order], n[order], counts[order]
+        met = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        run = np.cumsum(np.r_[False, (met[1:] != met[:-1]) | (part[1:] != part[:-1])])
+        later, stop = np.searchsorted(run, run, side="right"), np.searchsorted(met, met, side="right")
         found: dict[int, list[np.ndarray]] = {}
         for k in range(len(node)):
-            for at in range(int(later[k]), int(stop[k]), 4096):
-                to = slice(at, min(at + 4096, int(stop[k])))
-                if len(some := node[to][may_link(n[k], n[to], counts[k], counts[to], threshold)]):
+            if later[k] < stop[k]:
+                to = slice(int(later[k]), int(stop[k]))
+                fine = may_link(n[k], n[to], counts[k], counts[to], threshold) & ((block[to] != block[k]) | (i[k] == j[k]))
+                if len(some := node[to][fine]):
                     found.setdefault(int(node[k]), []).append(some)
+        common.trim()
         return pa.table({"a": pa.array(list(found), pa.int64()), "bs": pa.array([np.unique(np.concatenate(x)) for x in found.values()], pa.list_(pa.int64()))})
 
     return pairs
@@ -373,7 +402,8 @@ def jaccard_join(docs: DataFrame, threshold: Threshold = Threshold(), *, id_col:
 
 
 def one_of_each(docs: DataFrame, threshold: Threshold, *, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns `keep` of one row of each component: that of the least id (null ids last). Rows without shingles stay."""
+    """The columns `keep` of one row of each component: that of the least id (null ids last). Rows without shingles stay;
+    of rows that are equal in id and text one stays."""
     join = JaccardJoin(docs, threshold, id_col, text_col).run()
     rows = join.rows.join(join.parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
@@ -382,6 +412,6 @@ def one_of_each(docs: DataFrame, threshold: Threshold, *, keep: Sequence[str], i
     empties = rows.filter("n = 0").select("id", "key").distinct()
     picked = common.staged(chosen.select("id", "key").union(empties), "join-kept")
     kept = named.join(picked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_semi")
-    if not rows.filter("n > 0").groupBy("id", "key").count().filter("count > 1").isEmpty():  # equal rows: one stays
+    if not rows.groupBy("id", "key").count().filter("count > 1").isEmpty():  # equal rows: one stays
         kept = kept.dropDuplicates(["id2", "key2"])
     return kept.select(*[F.col("row")[c].alias(c) for c in keep])
