@@ -2,11 +2,14 @@
 difference-cover blockwise suffix sorting.
 
 Suffix buckets. The suffixes to sort are the window starts. Consecutive windows are bucketed by their minimizer, the
-KMER-byte string of least hash inside the window (the leftmost of equals): equal windows have equal minimizers at
-equal places. A run of windows with one minimizer occurrence is a segment. A minimizer that occurs once in the corpus
-belongs to windows that occur once, so its bucket needs no sorting; equal segments (by 64-bit hash) are all repeats.
-Only the distinct segments of a repeated minimizer are sorted, each suffix bucket in one task, whose size does not
-grow with the corpus. A bucket with many distinct segments is split by the place of the minimizer in the window.
+KMER-byte string of least hash inside the window (the leftmost of equals), with the SIDE bytes before it where the window
+holds them, else the SIDE bytes after it, which it then holds: equal windows have equal minimizers at equal places, and so
+equal contexts. A run of windows with one minimizer occurrence and one side is a segment. A context that occurs once in
+the corpus belongs to windows that occur once, so its bucket needs no sorting; equal segments (by two 64-bit hashes, of
+context and segment) are all repeats. Tasks reduce equal segments to one before they are shuffled, so a passage in very
+many documents costs its bucket one record a task. Only the distinct segments of a repeated context are sorted, each
+suffix bucket in one task, whose size does not grow with the corpus. A bucket with many distinct segments is split by
+stretches of PLACES places of the minimizer in the window, and by all the bytes that every window of a stretch shares.
 
 Sorting. Positions whose index modulo PERIOD is in the difference cover are the sample; its ranks come from PERIOD-byte
 names and three doublings. Windows are named by their first PERIOD bytes, and longer ties are resolved by the ranks of
@@ -30,12 +33,15 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, KMER = 200, 48
+SIDE = (WINDOW - KMER) // 2
 #: A perfect difference set, every difference modulo PERIOD occurs.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 CHUNK = 2 << 20
 _PLACE_BITS = np.uint64(24)
-#: Buckets with more distinct segments than this are split by the minimizer's place.
+#: Contexts with more distinct segments than this are split by the minimizer's place.
 WIDE, PLACES = 4096, 16
+#: Segments that a task reduces at once, before they are shuffled.
+REDUCED = 400_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +55,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, offset, windows, minimizer place in the first window, minimizer hash, segment hash) of all segments of
+    """(document, offset, windows, minimizer place in the first window, context hash, segment hash) of all segments of
     the documents, at most 16 MB in all."""
     size = np.diff(ends)
     empty = np.zeros(0, np.int64)
@@ -68,10 +74,14 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first[np.cumsum(count) - count] = True
     head = np.flatnonzero(first)
     n = np.diff(np.append(head, len(starts)))
-    a = starts[head]
-    place = (own[head] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    owner = np.repeat(doc, count)[head]
-    return owner, a - ends[owner], n, place - a, kmer[place], common.span_hash(sums, a, a + n + WINDOW - 1)
+    a, owner = starts[head], np.repeat(doc, count)[head]
+    at = (own[head] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    left = np.clip(at - a - SIDE + 1, 0, n)  # windows that hold SIDE bytes before the minimizer: the first ones
+    one, two = np.flatnonzero(left), np.flatnonzero(left < n)
+    context = np.concatenate([common.span_hash(sums, at[one] - SIDE, at[one] + KMER), ~common.span_hash(sums, at[two], at[two] + KMER + SIDE)])
+    owner, at = np.concatenate([owner[one], owner[two]]), np.concatenate([at[one], at[two]])
+    a, n = np.concatenate([a[one], a[two] + left[two]]), np.concatenate([left[one], (n - left)[two]])
+    return owner, a - ends[owner], n, at - a, context, common.span_hash(sums, a, a + n + WINDOW - 1)
 
 
 def chunks_of(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,22 +100,38 @@ _RUN = np.dtype([("key", "<i8"), ("a", "<u4"), ("b", "<u4")])
 _REQUEST = np.dtype([("key", "<i8"), ("h", "<u8"), ("off", "<u4"), ("n", "u1"), ("place", "u1"), ("wide", "u1")])
 
 
-def dealt(records: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """The records of each bucket as one binary value."""
-    order = np.argsort(bucket, kind="stable")
-    records, bucket = records[order], bucket[order]
-    each, begin = np.unique(bucket, return_index=True)
-    stop = np.append(begin[1:], len(bucket))[: len(begin)]
-    return each.tolist(), [records[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
+def runs_of(rec: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rec), _RUN)
+    out["key"], out["a"] = rec["key"], rec["off"]
+    out["b"] = out["a"] + rec["n"]
+    return out
 
 
-def gathered(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in column)])
+def by_segment(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(records by context and segment, the first of each context, the first of each segment)."""
+    rec = rec[np.lexsort((rec["g"], rec["h"]))]
+    new_h, new_g = np.ones(len(rec), bool), np.ones(len(rec), bool)
+    new_h[1:] = rec["h"][1:] != rec["h"][:-1]
+    new_g[1:] = new_h[1:] | (rec["g"][1:] != rec["g"][:-1])
+    return rec, new_h, new_g
 
 
 def _scan(n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One record of each distinct segment, by bucket; runs of windows that repeat within the task, anywhere."""
+
+    def reduced(records: list[np.ndarray]) -> pa.RecordBatch:
+        rec, _, new = by_segment(np.concatenate(records))
+        again = ~new
+        again[:-1] |= ~new[1:]
+        runs, rec = np.unique(runs_of(rec[again])), rec[new]
+        bucket, blob = common.dealt(rec, (common.mix(rec["h"] ^ np.uint64(91)) % np.uint64(n_buckets)).astype(np.int64))
+        bucket2, blob2 = common.dealt(runs, (common.mix(runs["key"].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64))
+        none = lambda n: [None] * n
+        return pa.RecordBatch.from_arrays([pa.array(bucket + bucket2, pa.int32()), pa.array(blob + none(len(blob2)), pa.binary()), pa.array(none(len(blob)) + blob2, pa.binary())], ["bucket", "blob", "runs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, int] = {}
+        records: list[np.ndarray] = []
         for batch in common.slices(batches, "text"):
             keys = batch.column("key").to_pylist()
             fresh = []
@@ -122,38 +148,38 @@ def _scan(n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 record = np.empty(len(doc), _SEGMENT)
                 for name, value in (("h", h), ("g", g), ("key", own[docs[doc]]), ("off", off + base[doc]), ("n", n), ("place", place)):
                     record[name] = value
-                bucket, blob = dealt(record, (common.mix(h ^ np.uint64(91)) % np.uint64(n_buckets)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "blob"])
+                records.append(record)
+                if sum(map(len, records)) > REDUCED:
+                    yield reduced(records)
+                    records = []
+        if records:
+            yield reduced(records)
+        common.trim()
 
     return run
 
 
-def _repeated(n_groups: int) -> Callable[[pa.Table], pa.Table]:
-    """One bucket of minimizers: runs of windows already known as repeats (kind 0), and segments to be sorted (kind 1)."""
+def _repeated(n_groups: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    """One bucket of contexts: runs of windows already known as repeats (kind 0), and segments to be sorted (kind 1)."""
 
     def run(group: pa.Table) -> pa.Table:
-        rec = gathered(group.column("blob"), _SEGMENT)
+        rec = common.gathered(group.column("blob"), _SEGMENT)
+        known = common.gathered(group.column("runs"), _RUN)
         rec = rec[np.argsort(rec["h"], kind="stable")]
         again = np.zeros(len(rec), bool)
         again[1:] = rec["h"][1:] == rec["h"][:-1]
         again[:-1] |= again[1:]
-        rec = rec[again]
-        rec = rec[np.lexsort((rec["off"], rec["key"], rec["n"], rec["g"], rec["h"]))]
-        new_h, new_g = np.ones(len(rec), bool), np.ones(len(rec), bool)
-        new_h[1:] = rec["h"][1:] != rec["h"][:-1]
-        new_g[1:] = new_h[1:] | (rec["g"][1:] != rec["g"][:-1]) | (rec["n"][1:] != rec["n"][:-1])
-        class_of, h_of = np.cumsum(new_g) - 1, np.cumsum(new_h) - 1
-        twice = np.bincount(class_of)[class_of] > 1 if len(rec) else again[:0]
-        distinct = np.bincount(h_of[new_g])[h_of] if len(rec) else again[:0]
-        runs = np.empty(int(twice.sum()), _RUN)
-        runs["key"], runs["a"] = rec["key"][twice], rec["off"][twice]
-        runs["b"] = runs["a"] + rec["n"][twice]
-        runs = np.unique(runs)
-        ask = rec[new_g & (distinct > 1)]
-        wanted = np.empty(len(ask), _REQUEST)
+        rec, new_h, new_g = by_segment(rec[again])
+        twice = ~new_g
+        twice[:-1] |= ~new_g[1:]
+        distinct = np.bincount((np.cumsum(new_h) - 1)[new_g])[np.cumsum(new_h) - 1] if len(rec) else twice.astype(int)
+        runs = np.unique(np.concatenate([known, runs_of(rec[twice])]))
+        asked = new_g & (distinct > 1)
+        wanted = np.empty(int(asked.sum()), _REQUEST)
         for name in ("key", "h", "off", "n", "place"):
-            wanted[name] = ask[name]
-        wanted["wide"] = distinct[new_g & (distinct > 1)] > WIDE
+            wanted[name] = rec[name][asked]
+        wanted["wide"] = distinct[asked] > most
+        common.trim()
         return by_text([runs, wanted], n_groups)
 
     return run
@@ -162,7 +188,7 @@ def _repeated(n_groups: int) -> Callable[[pa.Table], pa.Table]:
 def by_text(parts: list[np.ndarray], n_groups: int) -> pa.Table:
     kinds, groups, blobs = [], [], []
     for kind, records in enumerate(parts):
-        group, blob = dealt(records, (common.mix(records["key"].astype(np.uint64)) % np.uint64(n_groups)).astype(np.int64))
+        group, blob = common.dealt(records, (common.mix(records["key"].astype(np.uint64)) % np.uint64(n_groups)).astype(np.int64))
         kinds += [kind] * len(group)
         groups += group
         blobs += blob
@@ -173,8 +199,8 @@ def _per_text(kind: np.dtype) -> Callable[[pa.Table], pa.Table]:
     """The records of each text as one binary value."""
 
     def run(group: pa.Table) -> pa.Table:
-        rec = gathered(group.column("blob"), kind)
-        keys, blobs = dealt(rec, rec["key"].copy())
+        rec = common.gathered(group.column("blob"), kind)
+        keys, blobs = common.dealt(rec, rec["key"].copy())
         return pa.table({"key": pa.array(keys, pa.int64()), "records": pa.array(blobs, pa.binary())})
 
     return run
@@ -182,7 +208,7 @@ def _per_text(kind: np.dtype) -> Callable[[pa.Table], pa.Table]:
 
 def _covered(group: pa.Table) -> pa.Table:
     """Runs of repeated windows -> for each text, its maximal removed byte spans as (start, end) pairs."""
-    rec = np.sort(gathered(group.column("blob"), _RUN), order=("key", "a"))
+    rec = np.sort(common.gathered(group.column("blob"), _RUN), order=("key", "a"))
     stop = rec["b"].astype(np.int64) + WINDOW - 1
     first = np.ones(len(rec), bool)
     first[1:] = rec["key"][1:] != rec["key"][:-1]
@@ -233,7 +259,12 @@ def _extract(n_sorts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             # windows w of the piece have place - w in [q * stretch, (q + 1) * stretch)
             from_ = np.where(rec["wide"][row] > 0, np.maximum(0, place[row] - (q + 1) * stretch[row] + 1), 0)
             upto = np.where(rec["wide"][row] > 0, np.minimum(n[row], place[row] - q * stretch[row] + 1), n[row])
-            bucket = (common.mix(h[row] + common.mix((q + 1 + (rec["wide"][row].astype(np.int64) << 32)).astype(np.uint64))) % np.uint64(n_sorts)).astype(np.int64)
+            key_of = common.mix(h[row] + common.mix((q + 1 + (rec["wide"][row].astype(np.int64) << 32)).astype(np.uint64)))
+            if (wide := np.flatnonzero(rec["wide"][row])).size:  # every window of a stretch holds the bytes from begin to end
+                sums = common.prefix_hash(raw)
+                begin = (at + place)[row][wide] - q[wide] * PLACES
+                key_of[wide] += common.span_hash(sums, begin, begin + WINDOW - PLACES + 1)
+            bucket = (common.mix(key_of) % np.uint64(n_sorts)).astype(np.int64)
             begin, windows = at[row] + from_, upto - from_
             order = np.argsort(bucket, kind="stable")
             begin, windows, bucket, row, from_ = begin[order], windows[order], bucket[order], row[order], from_[order]
@@ -321,8 +352,8 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _sort_bucket(n_groups: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        head = gathered(group.column("heads"), _RUN)
-        text = gathered(group.column("texts"), np.dtype(np.uint8))
+        head = common.gathered(group.column("heads"), _RUN)
+        text = common.gathered(group.column("texts"), np.dtype(np.uint8))
         windows = (head["b"] - head["a"]).astype(np.int64)
         begin = np.cumsum(windows + WINDOW - 1) - (windows + WINDOW - 1)
         row = np.repeat(np.arange(len(head)), windows)
@@ -360,10 +391,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """key (xxhash64 of the text) and spans (pairs of 32-bit offsets), for each distinct text that loses bytes."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    texts = docs.select(F.xxhash64(text).alias("key"), text)
+    texts = common.small_batches(docs).select(F.xxhash64(text).alias("key"), text)
     n_buckets, n_groups = common.buckets(docs, 8 << 20, 8), common.buckets(docs, 8 << 20, 8)
     runs = "kind int, group int, blob binary"
-    met = common.staged(texts.mapInArrow(_scan(n_buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated(n_groups), runs), "repeats-met")
+    met = common.staged(texts.mapInArrow(_scan(n_buckets), "bucket int, blob binary, runs binary").groupBy("bucket").applyInArrow(_repeated(n_groups, WIDE), runs), "repeats-met")
     wanted = met.filter("kind = 1").select("group", "blob").groupBy("group").applyInArrow(_per_text(_REQUEST), "key long, records binary")
     single = texts.mapInArrow(_once, "key long, text string")
     asked = single.join(wanted, "key").select("text", "records")
