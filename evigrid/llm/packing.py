@@ -1,12 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every source is a queue of packets: whole documents, or SEQUENCE tokens each of longer ones. In each round (a window
-of WINDOW tokens) a source earns its target share of the window as credit and sends packets while its credit covers
-them; what is left is carried to the next window. A packet is thus sent in the first round r with
-carry + r * share * WINDOW >= tokens queued up to and including it, which needs no loop. Documents are dealt into buckets by a hash, so that no source gathers in one task; the credit that
-a bucket starts with, and its first position in the one stream of tokens, are prefix sums over (bucket, source) totals.
-Sequences are cut from that stream at every SEQUENCE tokens, across documents and buckets, so only the last one of
-all can be short.
+of WINDOW tokens while all queues last) a source earns its target share of the window as credit and sends packets while
+its credit covers them; what is left is carried to the next round. A packet is thus sent in the first round r with
+r * share * WINDOW >= tokens of its queue up to and including it, which needs no loop.
+
+A queue's order is that of a hash. Documents are dealt into buckets by that order, so that a bucket holds about ROUNDS
+rounds of every queue, whatever the sizes of the sources, and no source gathers in one task; the tokens that a queue has
+before a bucket, which carry its deficit across buckets exactly, and the bucket's place in the one stream of tokens, are
+prefix sums over (bucket, source) totals. Sequences are cut from that stream at every SEQUENCE tokens, across documents
+and buckets, so only the last one of all can be short. A queue that has run out leaves its share to the others: rounds
+are then shorter.
 
 Defined results: a null text is empty and still yields its end id; a null source is a source of its own; repeated rows
 and repeated ids are packed each; an empty table gives no pieces; extra columns are dropped.
@@ -29,6 +33,10 @@ from . import common
 
 SEQUENCE = 2048
 WINDOW = 64 * SEQUENCE
+#: Rounds of a bucket, at least: about two million tokens.
+ROUNDS = 16
+#: More rounds a bucket, if there would be more buckets than this: their totals pass one task.
+MOST_BUCKETS = 1 << 20
 END_ID = 1
 #: Distinct pieces kept encoded by each worker (about 40 bytes each); when full, the table starts afresh.
 CACHE_PIECES = 400_000
@@ -145,7 +153,7 @@ def _kind_of(c: int) -> int:
 
 
 _KIND = np.array([_kind_of(c) for c in range(65536)], np.int8)
-_encoders: dict[str, WordEncoder] = {}  # kept by a worker between its tasks
+_encoders: dict[str, WordEncoder] = {}  # of the running task
 
 
 def encoder_of(path: str) -> WordEncoder:
@@ -159,14 +167,19 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         encoder = encoder_of(path)
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         uid = TaskContext.get().partitionId() << 33
-        for batch in common.slices(batches, "text", 2 << 20):
-            raw, ends = common.text_bytes(batch.column("text"))
-            raw = raw.tobytes()
-            ids, at = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], end_id)
-            data = ids.astype(np.uint16 if small else np.uint32)
-            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column("id"), batch.column("source"), pa.array(np.diff(at)), blob], ["uid", "id", "source", "n", "ids"])
-            uid += batch.num_rows
+        try:
+            for batch in common.slices(batches, "text"):
+                raw, ends = common.text_bytes(batch.column("text"))
+                raw = raw.tobytes()
+                ids, at = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], end_id)
+                data = ids.astype(np.uint16 if small else np.uint32)
+                blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column("id"), batch.column("source"), pa.array(np.diff(at)), blob], ["uid", "id", "source", "n", "ids"])
+                uid += batch.num_rows
+        finally:
+            _encoders.clear()
+            del encoder
+            common.trim()
 
     return run
 
@@ -181,13 +194,13 @@ def _cut(wide: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         size = np.minimum(SEQUENCE, n[doc] - nth * SEQUENCE)
         place = {s: k for k, s in enumerate(carry.column("source").to_pylist())}
         source = np.array([place[s] for s in docs.column("source").to_pylist()], np.int64)[doc]
-        share, credit = carry.column("share").to_numpy()[source], carry.column("credit").to_numpy()[source]
+        share, sent = carry.column("share").to_numpy()[source], carry.column("sent").to_numpy()[source]
         queue = np.lexsort((nth, docs.column("uid").to_numpy()[doc], docs.column("turn").to_numpy()[doc], source))
         total = np.cumsum(size[queue])
         first = np.r_[True, source[queue][1:] != source[queue][:-1]]
         before = np.maximum.accumulate(np.where(first, total - size[queue], 0))
         due = np.empty(len(doc))
-        due[queue] = np.ceil(((total - before) - credit[queue]) / (np.maximum(share[queue], 1e-12) * WINDOW))
+        due[queue] = np.ceil((total - before + sent[queue]) / (np.maximum(share[queue], 1e-12) * WINDOW))
         rank = np.empty(len(doc), np.int64)
         rank[queue] = np.arange(len(doc))
         order = np.lexsort((rank, due))
@@ -210,30 +223,52 @@ def _cut(wide: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def equal_targets(docs: DataFrame, *, source_col: str = "source", most: int = 64) -> dict[str, float]:
+    """Equal shares for the `most` most frequent sources (a bounded table; null is no name); the others come last."""
+    rows = docs.filter(F.col(source_col).isNotNull()).groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(most).collect()
+    return {r["source"]: 1.0 / len(rows) for r in rows}
+
+
 def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, targets: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece: id, source, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     targets: share of the tokens per source; the default is each source's own share of the corpus. All documents are
-    packed, so sources that outlast the others fill the later sequences. Sources missing in targets come last.
+    packed: while all named sources last, every window has the target mixture; then those that are left go on in their
+    proportion. Sources missing in targets come last, mixed as they are in the corpus.
     """
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    n_buckets = common.buckets(docs, 8 << 20, 1)
+    rows = common.small_batches(docs).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     tokens = common.staged(rows.mapInArrow(_tokenise(path, end_id), f"uid long, id {kind}, source string, n long, ids binary"), "packing-tokens")
-    tokens = tokens.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(n_buckets)).cast("int")).withColumn("turn", F.xxhash64("uid", F.lit(3)))
-    cells = common.staged(tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n")), "packing-totals")
-    if targets is None:
-        share = cells.groupBy("source").agg(F.sum("n").alias("own")).withColumn("share", F.col("own") / F.sum("own").over(Window.partitionBy(F.lit(0)))).select("source", "share")
-    else:
+    turn = F.xxhash64("uid", F.lit(3))
+    place = F.pmod(turn, F.lit(1 << 40)) / float(1 << 40)  # of a document in its queue, as a share of it
+    none = F.lit(None)
+    targets = {s: t for s, t in (targets or {}).items() if t > 0}
+    if targets:
+        named = F.col("source").isin(*targets)
         given = sum(targets.values())
-        share = cells.select("source").distinct().withColumn("share", F.coalesce(F.create_map([F.lit(x) for k, v in targets.items() for x in (k, v / given)])[F.col("source")] if targets else F.lit(None), F.lit(0.0)))
+        sums = {r["source"]: r["n"] for r in tokens.groupBy(F.when(named, F.col("source")).alias("source")).agg(F.sum("n").alias("n")).collect()}
+        rest = sums.pop(None, 0)
+        stream = {s: n * given / targets[s] for s, n in sums.items()}  # tokens until the queue has run out
+        each = max(ROUNDS * WINDOW, max([rest, *stream.values()]) / MOST_BUCKETS)
+        spans = {s: max(1.0, n / each) for s, n in stream.items()}
+        of_source = lambda values: F.when(named, F.create_map([F.lit(x) for s, v in values.items() for x in (s, v)])[F.col("source")]) if values else none.cast("double")
+        last = int(max(spans.values(), default=0)) + 1
+        bucket = F.coalesce(F.floor(place * of_source(spans)), last + F.floor(place * max(1.0, rest / each)))
+        share = of_source({s: targets[s] / given for s in spans})
+    else:
+        total = tokens.agg(F.sum("n")).first()[0] or 0
+        bucket, share = F.floor(place * max(1.0, total / max(ROUNDS * WINDOW, total / MOST_BUCKETS))), none.cast("double")
+    tokens = tokens.withColumn("bucket", bucket.cast("int")).withColumn("turn", F.pmod(turn, F.lit(1 << 40)))
+    cells = common.staged(tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n")).withColumn("target", share), "packing-totals")
+    # sources without a target share the rest as they do in the corpus
+    own = cells.filter("target is null").groupBy("source").agg(F.sum("n").alias("own")).withColumn("own_share", F.col("own") / F.sum("own").over(Window.partitionBy(F.lit(0)))).select(F.col("source").alias("source2"), "own_share")
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begin = cells.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     sent = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     carry = (
-        cells.withColumn("sent", sent).join(begin, "bucket").join(share.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2")))
-        .select("bucket", "source", "share", "begin", (F.col("share") * F.col("begin") - F.col("sent")).alias("credit"))
+        cells.withColumn("sent", sent).join(begin, "bucket").join(own, F.col("source").eqNullSafe(F.col("source2")), "left")
+        .select("bucket", "source", F.coalesce("target", "own_share").alias("share"), "begin", "sent")
     )
     from tokenizers import Tokenizer
 

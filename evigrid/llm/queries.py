@@ -30,8 +30,9 @@ def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = packing.pack(docs, targets=packing.equal_targets(docs))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
