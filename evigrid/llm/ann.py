@@ -22,9 +22,8 @@ PREFIX = 64
 #: Pivots are drawn from a bounded sample of this many rows per vector length.
 SAMPLE_ROWS = 2_048
 SPREAD = 0.5
-#: Share of a shard's vectors measured exactly for each query, and the least number of them.
-CANDIDATES = 0.15
-LEAST_CANDIDATES = 400
+#: Share of a shard's vectors measured exactly for each query, at any size of the table.
+CANDIDATES = 0.35
 
 
 def pivot_order(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -34,7 +33,7 @@ def pivot_order(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndar
     return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
 
 
-def permutation_index(pivots: dict[int, np.ndarray], share: float, least: int) -> Callable[[np.ndarray, int], search.Find]:
+def permutation_index(pivots: dict[int, np.ndarray], share: float) -> Callable[[np.ndarray, int], search.Find]:
     def make(vectors: np.ndarray, k: int) -> search.Find:
         own = pivots[vectors.shape[1]]
         prefix = min(PREFIX, len(own))
@@ -43,7 +42,7 @@ def permutation_index(pivots: dict[int, np.ndarray], share: float, least: int) -
         file_ends = np.searchsorted(order.reshape(-1)[posted], np.arange(len(own) + 1))
         rows, places = posted // prefix, (posted % prefix).astype(np.int32)
         n = len(vectors)
-        most = min(n, max(k, least, int(np.ceil(share * n))))
+        most = min(n, max(k, int(np.ceil(share * n))))
 
         def find(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = np.arange(n)
@@ -85,8 +84,8 @@ def choose_pivots(rows: DataFrame, n_rows: int, n_pivots: int = PIVOTS) -> dict[
     return out
 
 
-def nearest(df: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = CANDIDATES, least: int = LEAST_CANDIDATES) -> DataFrame:
+def nearest(df: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): k nearest of each row whose id is divisible by 100."""
     rows = common.staged(search.usable(df, id_col, vector_col), "ann-vectors")
     n_rows = rows.count()
-    return search.in_blocks(rows, permutation_index(choose_pivots(rows, n_rows), share, least), k, "double", n_rows)
+    return search.in_blocks(rows, permutation_index(choose_pivots(rows, n_rows), share), k, "double", n_rows)

@@ -1,7 +1,9 @@
 """What both vector searches share: usable vectors, dealing a query set against all rows in blocks, merging by rank.
 
 All rows are dealt into shards by a hash of their id and the queries into blocks; each (shard, block) pair is one task
-group of bounded size, which builds its index over the shard and answers the block. Equal vectors of a shard are one
+group of bounded size, which builds its index over the shard and answers the block. A block has as many queries as a
+shard has rows, so an index is built once for that many answers, and a vector is sent once for that many comparisons:
+the queries grow with the rows, and answering them, not moving vectors, is what the work consists of. Equal vectors of a shard are one
 entry with the `k + 1` smallest ids, which is all that any k nearest can need of them, so many copies neither crowd
 an index nor its candidates.
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 16_384
-BLOCK_QUERIES = 2_048
+BLOCK_QUERIES = 16_384
 EVERY = 100
 
 #: A search over one shard: query vector -> (entries, scores), not yet ranked.
