@@ -169,7 +169,7 @@ def test_pages_keep_the_article_only(spark):
 
 
 def test_tree_matching_counts_the_largest_mapping():
-    slot = lambda s, *kids: pages.Slot(s, 1, 0, True, list(kids))
+    slot = lambda s, *kids: pages.Slot(s, 1, (1,), 0, True, 0, False, 0, 0, list(kids))
     a, b = [slot("p"), slot("div", slot("p"), slot("ul")), slot("p")], [slot("div", slot("ul")), slot("p"), slot("p")]
     assert pages.match(a, b)[0] == 3
 
