@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -48,17 +49,35 @@ def invert_affine(m: Sequence[float]) -> tuple[float, ...]:
     return d / det, -b / det, -c / det, a / det, (c * f - d * e) / det, (b * e - a * f) / det
 
 
-def matching_pairs(blocks: DataFrame, least: float = 0.8, cell: float = 50.0) -> DataFrame:
-    """Pairs of blocks of different parsers on one page and of one kind with IoU of at least `least`. Blocks are posted in
-    the grid cell of their centre and met in the neighbouring cells, so the join is an equi-join."""
+def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
+    """Pairs of blocks of different parsers on one page and of one kind with IoU of at least `least` (over 0.5).
+
+    Such boxes differ in width and height by less than a factor of 1 / least, so they stand in the same or in
+    neighbouring size classes of that base, and their centres lie less than (1 - least) / least of the smaller width (and
+    height) apart. The grid's cells are that wide for the larger class of a pair, so a pair meets in one of nine cells,
+    whatever the boxes' size: an equi-join, with no pair lost and no dense cell of small boxes for the large ones."""
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be over 0.5 and at most 1")
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    base = max(1 / least, 1.01) + 1e-9
+    size = blocks.filter((width > 0) & (height > 0)).withColumn("cw", F.floor(F.log(width) / math.log(base)).cast("int")).withColumn("ch", F.floor(F.log(height) / math.log(base)).cast("int"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    home = blocks.withColumn("gx", F.floor(x / cell)).withColumn("gy", F.floor(y / cell))
-    reach = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = home.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy"))
-    keys = ["doc", "page", "kind", "gx", "gy"]
-    left = home.select(*keys, *[F.col(c).alias(f"l_{c}") for c in ("id", "parser", "x0", "y0", "x1", "y1")])
-    right = near.select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("id", "parser", "x0", "y0", "x1", "y1")])
-    both = left.join(right, keys).filter("l_parser < r_parser")
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cell = lambda at, c: F.floor(at / (F.pow(F.lit(base), F.col(c) + 1) * ((1 - least) / least) + 1e-9)).cast("long")
+
+    # the left side is posted under its own class and the one above, so that both sides name the larger class of the pair
+    def posted(side: str, classes: bool, cells: bool) -> DataFrame:
+        out = size.select("doc", "page", "kind", F.explode(F.array("cw", F.col("cw") + 1)).alias("gw") if classes else F.col("cw").alias("gw"), "cw", "ch", x.alias("_x"), y.alias("_y"), *[F.col(c).alias(f"{side}{c}") for c in ("id", "parser", "x0", "y0", "x1", "y1")])
+        out = out.withColumn("gh", F.explode(F.array("ch", F.col("ch") + 1)) if classes else F.col("ch"))
+        out = out.withColumn("gx", cell(F.col("_x"), "gw")).withColumn("gy", cell(F.col("_y"), "gh"))
+        if cells:
+            out = out.withColumn("gx", F.explode(F.transform(near, lambda d: F.col("gx") + d))).withColumn("gy", F.explode(F.transform(near, lambda d: F.col("gy") + d)))
+        return out.select("doc", "page", "kind", "gw", "gh", "gx", "gy", F.col("cw").alias(f"{side}cw"), F.col("ch").alias(f"{side}ch"), *[f"{side}{c}" for c in ("id", "parser", "x0", "y0", "x1", "y1")])
+
+    left, right = posted("l_", True, False), posted("r_", True, True)
+    both = left.join(right, ["doc", "page", "kind", "gw", "gh", "gx", "gy"]).filter("l_parser < r_parser")
+    # a pair of one class also meets one class up: only where both name the larger class it counts
+    both = both.filter((F.col("gw") == F.greatest("l_cw", "r_cw")) & (F.col("gh") == F.greatest("l_ch", "r_ch")))
     return both.withColumn("iou", iou(box_of("l_"), box_of("r_"))).filter(F.col("iou") >= least).select("doc", "page", "kind", "l_id", "r_id", F.round("iou", 6).alias("iou"))
 
 

@@ -1,8 +1,8 @@
 """Decision ladders over facts whose states are kept apart: present, absent, unknown, conflict.
 
 A ladder is a small table of branches. Facts that are neither present nor absent are open; every reachable grade is
-found by letting each open fact be true and false (2^n worlds, n at most MOST_OPEN), which is an explode of a sequence,
-not a join. Branch evaluation is one CASE expression per world.
+found by letting each open fact be true and false (2^n worlds), which is an explode of a sequence, not a join. A ladder
+of more than MOST_FACTS facts is refused. Branch evaluation is one CASE expression per world.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_OPEN = 12
+MOST_FACTS = 12
 
 
 @dataclass(frozen=True)
@@ -95,9 +95,11 @@ def decide(facts: DataFrame, key: str, track: str) -> DataFrame:
     """facts: key and one state column per fact. Returns key, status, grade, label, floor, ceiling and worlds: decided if
     one grade is reachable, blocked_evidence if several are, blocked_rule_gap if none is."""
     names, branches = LADDERS[track]
+    if len(names) > MOST_FACTS:
+        raise ValueError("the ladder has too many facts")
     state = {n: F.coalesce(F.col(n), F.lit("unknown")) for n in names}
     open_facts = F.filter(F.array(*[F.when(~state[n].isin("present", "absent"), n) for n in names]), lambda x: x.isNotNull())
-    each = facts.withColumn("_open", open_facts).withColumn("_n", F.least(F.size("_open"), F.lit(MOST_OPEN)))
+    each = facts.withColumn("_open", open_facts).withColumn("_n", F.size("_open"))
     each = each.withColumn("_world", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("_n")).cast("int") - 1)))
     truth = {n: F.when(state[n] == "present", True).when(state[n] == "absent", False).otherwise(F.expr(f"getbit(_world, array_position(_open, '{n}') - 1) = 1")) for n in names}
     worlds = each.select(F.col(key), F.col("_n"), grade_of(truth, branches).alias("_grade"))

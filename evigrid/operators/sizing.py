@@ -1,8 +1,11 @@
-"""Numbers of blocks that follow the size of the input."""
+"""Numbers of blocks that follow the size of the input, and rounds of iterations that cut their lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,3 +22,24 @@ def input_bytes(df: DataFrame) -> int:
 def blocks(df: DataFrame, each: int, least: int = 8) -> int:
     """Blocks of about `each` input bytes, so that a block stays as small when the input grows."""
     return int(min(1 << 20, max(least, -(-input_bytes(df) // each))))
+
+
+def rounds_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where it is unset (tests) one made here."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rounds-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed."""
+    rounds_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into the same folder and read again: for what several readers need with column pruning."""
+    path = f"{rounds_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ STATE = "CASE WHEN l_quantity > 45 THEN 'conflict' WHEN l_quantity > 40 THEN 'un
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
-    """The first three lines of an order stand for three replicates' votes."""
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey", F.col("l_linenumber").alias("replicate")).agg(F.first("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("value"), F.max("l_tax").alias("l_tax"), F.max("l_quantity").alias("q"))
+    """The lines of an order stand for three replicates' votes in turn; of several of one replicate the greatest counts."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", F.pmod(F.col("l_linenumber") - 1, F.lit(3)).alias("replicate")).agg(F.first("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("value"), F.max("l_tax").alias("l_tax"), F.max("l_quantity").alias("q"))
     return li.withColumn("l_quantity", F.col("q")).select("l_orderkey", "replicate", F.expr(STATE).alias("state"), "value", (F.col("l_tax") < 0.07).alias("verified"))
 
 
@@ -92,42 +94,57 @@ def p8_growth(spark, d):
     return x.select("o_orderpriority", "y", F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high"), fine.alias("computable"))
 
 
+def _gates(k, kind):
+    """Columns of policy and packet in which every line of the gate occurs."""
+    other = F.when(k % 41 == 3, "count").when(k % 43 == 4, "unknown").otherwise(kind)
+    return [
+        (k % 23 != 0).alias("approved"), F.when(k % 29 == 1, 2).otherwise(1).alias("stage"), (k % 3 == 0).alias("synthetic_only"), (k % 31 != 3).alias("synthetic"), (k % 37 != 1).alias("enabled"),
+        F.when(k % 17 == 2, "not_comparable").when(k % 19 == 3, "unknown").otherwise("comparable").alias("comparability"), F.when(k % 43 == 4, "unknown").when(k % 47 == 5, "count").otherwise(kind).alias("left_kind"),
+        F.when(k % 47 == 5, "count").otherwise(other).alias("right_kind"), F.when(k % 2 == 0, F.concat(F.lit("x"), k)).alias("explanation"), (k % 3 == 0).alias("search_complete"), F.concat(F.lit("s"), k).alias("left_source"), F.concat(F.lit("f"), k % 5).alias("right_source"),
+    ]
+
+
+def _outcomes(x, arms):
+    out = reconcile.cascade(x, arms).withColumn("sources", F.array_join(reconcile.source_ids(F.col("left_source"), F.col("right_source"), F.col("cited")), ","))
+    return out.select("k", "execution_state", F.coalesce("status", F.lit("-")).alias("status"), "reason", F.array_join("reasons", ",").alias("reasons"), "sources", "review_required")
+
+
 def p18_c1(spark, d):
-    """Entity sets of customers and suppliers by nation, as two sides of a reconciliation."""
-    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_set(F.substring("c_mktsegment", 1, 2))).alias("left_set"))
-    b = table(spark, d, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_set(F.substring("c_mktsegment", 1, 2))).alias("right_set"))
+    """Entity sets of each customer's market segments and order priorities, as two sides of a reconciliation."""
+    sets = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"), F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")))).alias("b"))
     k = F.col("k")
-    x = a.join(b, "k").select(
-        "k", "left_set", F.when(k % 4 == 1, F.slice("right_set", 1, 2)).otherwise(F.col("right_set")).alias("right_set"), (k % 13 != 0).alias("approved"), (k % 12 != 1).alias("enabled"),
-        F.when(k % 11 == 2, "not_comparable").when(k % 11 == 3, "unknown").otherwise("comparable").alias("comparability"), (k % 10 != 4).alias("kinds_match"), (k % 10 != 5).alias("resolved"),
-        F.lit(True).alias("period_known"), (k % 9 != 6).alias("period_equal"), F.lit(True).alias("consolidation_known"), (k % 2 == 0).alias("explanation"), (k % 3 == 0).alias("search_complete"),
-    )
-    out = reconcile.cascade(x, reconcile.entities_item())
-    return out.select("k", "execution_state", F.coalesce("status", F.lit("-")).alias("status"), "reason", "review_required")
+    start, end = F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date")
+    x = sets.select("k", *_gates(k, "entity_set"), F.when(k % 53 != 6, F.col("a")).alias("left_value"), F.when(k % 59 == 7, F.array().cast("array<string>")).otherwise(F.col("b")).alias("right_value"), F.when(k % 61 != 8, start).alias("period_start"), end.alias("period_end"), start.alias("financial_start"), F.when(k % 13 == 9, F.date_sub(end, 1)).otherwise(end).alias("financial_end"), F.when(k % 11 == 10, "unknown").otherwise("consolidated").alias("consolidation"))
+    return _outcomes(x, reconcile.entities_item())
 
 
 def p18_c2(spark, d):
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.to_date(F.min("o_orderdate")).alias("measured_start"), F.to_date(F.max("o_orderdate")).alias("measured_end"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
     k = F.col("k")
-    x = o.select("k", "measured_start", "measured_end", F.lit("1995-01-01").cast("date").alias("window_start"), F.when(k % 5 == 0, F.col("measured_end")).otherwise(F.lit("1996-12-31").cast("date")).alias("window_end"), F.lit(True).alias("approved"), F.lit(True).alias("enabled"), F.lit("comparable").alias("comparability"), F.lit(True).alias("kinds_match"), (k % 17 != 0).alias("resolved"), (k % 2 == 0).alias("explanation"), (k % 3 == 0).alias("search_complete"))
-    out = reconcile.cascade(x, reconcile.periods_item())
-    return out.select("k", "execution_state", F.coalesce("status", F.lit("-")).alias("status"), "reason", "review_required")
+    x = o.select("k", *_gates(k, "period"), F.when(k % 53 != 6, F.struct(F.col("a").alias("start"), F.col("b").alias("end"))).alias("left_value"), F.struct(F.col("a").alias("start"), F.when(k % 5 == 0, F.col("b")).otherwise(F.lit("1996-12-31").cast("date")).alias("end")).alias("right_value"), F.when(k % 7 != 0, F.lit("1995-01-01").cast("date")).alias("period_start"), F.lit("1995-06-30").cast("date").alias("period_end"))
+    return _outcomes(x, reconcile.periods_item())
 
 
 def p18_c3(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("capex"), F.max(F.col("o_totalprice").cast("decimal(18,2)")).alias("commitment"))
     k = F.col("k")
-    x = o.select("k", "capex", F.when(k % 19 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("commitment")).alias("commitment"), (k % 7 != 0).alias("triggered"), (k % 6 != 1).alias("currency_equal"), (k % 23 == 0).alias("disclosed"), F.lit(True).alias("approved"), F.lit(True).alias("enabled"), F.lit("comparable").alias("comparability"), F.lit(True).alias("kinds_match"), F.lit(True).alias("resolved"), (k % 2 == 0).alias("explanation"), (k % 3 == 0).alias("search_complete"))
-    within = numeric.within_threshold(F.col("commitment"), F.lit("0.1500"), F.col("capex"))
-    out = reconcile.cascade(x, reconcile.spending_item(within))
-    return out.select("k", "execution_state", F.coalesce("status", F.lit("-")).alias("status"), "reason", "review_required")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    zero = F.lit(0).cast("decimal(18,2)")
+    x = o.select(
+        "k", *_gates(k, "currency_amount"), F.when(k % 53 == 6, None).when(k % 67 == 1, zero).otherwise(F.col("commitment")).alias("left_value"), F.when(k % 71 == 2, zero).otherwise(F.col("capex")).alias("right_value"), F.when(k % 9 == 1, "performance").otherwise("goal").alias("track"), (k % 8 != 0).alias("triggered"),
+        F.lit("KRW").alias("currency"), F.when(k % 13 == 1, "USD").otherwise("KRW").alias("left_unit"), F.lit("KRW").alias("right_unit"), (k % 12 != 5).alias("accounts_approved"), F.array(F.lit("a1"), F.lit("a2")).alias("allowed_accounts"), F.when(k % 14 == 3, F.array(F.lit("a1"), F.lit("a9"))).when(k % 15 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("a2"))).alias("accounts"),
+        F.when(k % 16 != 5, day(0)).alias("target_start"), day(700).alias("target_end"), F.when(k % 18 == 7, day(1)).otherwise(day(0)).alias("capex_start"), day(365).alias("capex_end"), day(0).alias("financial_start"), day(365).alias("financial_end"),
+        F.when(k % 10 == 3, F.concat(F.lit("c"), k)).alias("commitment_source"), F.when(k % 4 == 3, F.lit("plan")).alias("funding_source"), F.when(k % 21 != 2, F.lit("0.1500").cast("decimal(6,4)")).alias("threshold"),
+    )
+    return _outcomes(x, reconcile.spending_item(numeric.within_threshold(F.col("left_value"), F.lit("0.1500"), F.col("right_value"))))
 
 
 def p18_c4(spark, d):
     k = F.col("p_partkey")
-    x = table(spark, d, "part").select(k.alias("k"), (k % 2 == 0).alias("defined"), (k % 3 == 0).alias("calculated"), (k % 5 != 0).alias("search_complete"), (k % 31 != 0).alias("approved"), F.lit(True).alias("enabled"), F.lit("comparable").alias("comparability"), F.lit(True).alias("kinds_match"), F.lit(True).alias("resolved"))
-    out = reconcile.cascade(x, reconcile.definition_item())
-    return out.select("k", "execution_state", F.coalesce("status", F.lit("-")).alias("status"), "reason", "review_required")
+    ids = lambda when, name: F.when(when, F.array(F.concat(F.lit(name), k), F.lit("both"))).otherwise(F.array().cast("array<string>"))
+    required = F.when(k % 4 == 0, F.array(F.lit("calculation_basis"), F.lit("definition"))).otherwise(F.array(F.lit("definition"), F.lit("calculation_basis")))
+    x = table(spark, d, "part").select(k.alias("k"), *_gates(k, "classification"), F.when(k % 53 != 6, "v").alias("left_value"), F.lit("w").alias("right_value"), ids(k % 2 == 0, "d").alias("definition_sources"), ids(k % 5 == 0, "c").alias("calculation_sources"), required.alias("required"))
+    return _outcomes(x, reconcile.definition_item())
 
 
 def x28_threshold(spark, d):
@@ -136,17 +153,17 @@ def x28_threshold(spark, d):
 
 
 def _boxes(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
     base = (F.col("l_orderkey") % 200).cast("double")
     return li.select(F.floor(F.col("l_orderkey") / 50).alias("doc"), F.lit(1).alias("page"), F.lit("paragraph").alias("kind"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("p"), (F.col("l_linenumber") % 2).cast("string")).alias("parser"), base.alias("x0"), base.alias("y0"), (base + 40 + F.col("q") / 10).alias("x1"), (base + 20).alias("y1"), (F.col("p") % 5).cast("string").alias("text"))
 
 
 def j2_overlap_pairs(spark, d):
-    return G.matching_pairs(_boxes(spark, d), 0.9)
+    return G.matching_pairs(_boxes(spark, d))
 
 
 def p1_fusion(spark, d):
-    return G.fuse(_boxes(spark, d), 0.9)
+    return G.fuse(_boxes(spark, d))
 
 
 def x29_affine(spark, d):
@@ -163,49 +180,62 @@ def _edges(spark, d):
 
 
 def r1_ancestors(spark, d):
-    return graph.ancestors(_edges(spark, d), 4)
+    return graph.ancestors(_edges(spark, d))
 
 
 def r6_bundles(spark, d):
     blocks = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
     notes = table(spark, d, "nation").select(F.concat(F.lit("note"), "n_nationkey").alias("id"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
-    return graph.bundles(blocks, _edges(spark, d), notes, 4).groupBy("root").agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_list("member")), ",").alias("names"))
+    return graph.bundles(blocks, _edges(spark, d), notes).groupBy("root").agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_list("member")), ",").alias("names"))
+
+
+def _sources(spark, d):
+    """An inline table per nation: a header over two columns, stub names, numbers, dashes and blanks; some are broken."""
+    k = F.col("n_nationkey")
+    fact = F.when(k % 3 == 0, "-").when(k % 3 == 1, "n.m.").otherwise("-4.5")
+    last = F.when(k % 8 == 5, F.lit("<td colspan=0>?</td>")).when(k % 8 == 6, F.lit("<td rowspan=2>-</td>")).when(k % 8 == 7, F.lit("")).otherwise(F.concat(F.lit("<td>"), fact, F.lit("</td>")))
+    html = F.concat(F.lit("<table><tr><th rowspan=2>Metric</th><th colspan=2>2024</th></tr><tr><th>plan</th><th>fact</th></tr><tr><td>"), "n_name", F.lit("</td><td>1,"), F.lpad(k.cast("string"), 3, "0"), F.lit("</td>"), last, F.lit("</tr></table>"))
+    return table(spark, d, "nation").select("n_nationkey", html.alias("html"))
 
 
 def _cells(spark, d):
-    """An inline table per nation: a header over two columns, stub names, numbers, dashes and blanks."""
-    rows = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("<table><tr><th rowspan=2>Metric</th><th colspan=2>2024</th></tr><tr><th>plan</th><th>fact</th></tr><tr><td>"), "n_name", F.lit("</td><td>1,"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit("</td><td>"), F.when(F.col("n_nationkey") % 3 == 0, "-").when(F.col("n_nationkey") % 3 == 1, "n.m.").otherwise("-4.5"), F.lit("</td></tr></table>")).alias("html"))
     html_tables.register(spark)
-    rows.createOrReplaceTempView("_inline_tables")
-    return spark.sql("SELECT n_nationkey AS tbl, row * 100 + col AS cell, row, col, row_span, col_span, text FROM _inline_tables, LATERAL html_table_cells(html) AS t(tbl, row, col, row_span, col_span, text)")
+    name = f"inline_tables_{uuid.uuid4().hex}"
+    _sources(spark, d).createOrReplaceTempView(name)
+    out = spark.sql(f"SELECT n_nationkey AS tbl, status, row * 100 + col AS cell, row, col, row_span, col_span, text FROM {name}, LATERAL html_table_cells(html)")
+    spark.catalog.dropTempView(name)
+    return out
 
 
 def s7_html_cells(spark, d):
-    return _cells(spark, d)
+    return _cells(spark, d).drop("cell").withColumn("text", F.coalesce("text", F.lit("-")))
 
 
 def x33_slots(spark, d):
-    return grids.slots(_cells(spark, d)).groupBy("tbl").agg(F.count("*").alias("slots"), F.count_distinct("cell").alias("cells"))
+    return grids.slots(_cells(spark, d).filter("status = 'ok'")).groupBy("tbl").agg(F.count("*").alias("slots"), F.count_distinct("cell").alias("cells"))
 
 
 def p2_observations(spark, d):
-    out = grids.observations(_cells(spark, d), header_rows=2)
+    out = grids.observations(_cells(spark, d).filter("status = 'ok'"), header_rows=2)
     return out.select("tbl", "r", "c", "header", "metric", "state", F.coalesce("value", F.lit("")).alias("value"))
 
 
-GATE = "CASE WHEN NOT approved THEN 'policy_unapproved' WHEN NOT enabled THEN 'item_not_enabled' WHEN comparability = 'not_comparable' THEN 'not_comparable' WHEN comparability = 'unknown' THEN 'comparability_unknown' WHEN NOT kinds_match THEN 'kind_mismatch' WHEN NOT resolved THEN 'value_unresolved'"
+#: The gate of every item, in the order of its lines; a key in one line may also be in a later one.
+GATE = """CASE WHEN k % 23 = 0 THEN 'policy_unapproved' WHEN k % 29 = 1 THEN 'stage_not_supported' WHEN k % 3 = 0 AND k % 31 = 3 THEN 'synthetic_policy_real_packet' WHEN k % 37 = 1 THEN 'item_not_enabled'
+WHEN k % 17 = 2 THEN 'not_comparable' WHEN k % 19 = 3 THEN 'comparability_unknown' WHEN k % 47 <> 5 AND k % 41 = 3 THEN 'kind_mismatch' WHEN k % 47 = 5 AND k % 43 = 4 THEN 'kind_mismatch' WHEN k % 43 = 4 THEN 'value_unresolved'"""
+OWN = "WHEN k % 47 = 5 THEN 'kind_mismatch' WHEN k % 53 = 6 THEN 'value_unresolved'"
+DIFFER = "WHEN k % 2 = 0 THEN '{0}' WHEN k % 3 = 0 THEN 'explanation_not_found' ELSE 'search_incomplete' END"
 MATCHED = "'same_verified_entity_set', 'difference_explained', 'same_period', 'period_difference_explained', 'commitment_disclosed', 'capex_within_threshold', 'classification_basis_present'"
 
 
-def _outcome(cte: str) -> str:
-    return f"""{cte}, outcome AS (SELECT k, reason, CASE WHEN reason IN ({MATCHED}) THEN 'matched' WHEN reason IN ('not_comparable', 'period_out_of_scope', 'c3_trigger_absent') THEN 'not_applicable' WHEN reason IN ('explanation_not_found', 'definition_not_found', 'calculation_basis_not_found') THEN 'needs_explanation' END AS status FROM r)
-SELECT k, CASE WHEN status IS NULL THEN 'blocked' ELSE 'completed' END AS execution_state, coalesce(status, '-') AS status, reason, status IS NULL AS review_required FROM outcome"""
-
+def _outcome(cte: str, cited: str = "''") -> str:
+    """cte ends in r (k, reason); cited: the comma-led ids that a reason cites, in SQL."""
+    return f"""{cte}, outcome AS (SELECT *, split_part(reason, ',', 1) AS first FROM r), done AS (SELECT *, CASE WHEN first IN ({MATCHED}) THEN 'matched' WHEN first IN ('not_comparable', 'period_out_of_scope', 'c3_trigger_absent') THEN 'not_applicable' WHEN first IN ('explanation_not_found', 'definition_not_found', 'calculation_basis_not_found') THEN 'needs_explanation' END AS status FROM outcome)
+SELECT k, CASE WHEN status IS NULL THEN 'blocked' ELSE 'completed' END AS execution_state, coalesce(status, '-') AS status, first AS reason, reason AS reasons, 's' || k || ',f' || (k % 5) || {cited} || CASE WHEN first IN ('difference_explained', 'period_difference_explained') THEN ',x' || k ELSE '' END AS sources, status IS NULL AS review_required FROM done"""
 
-VOTES = f"WITH v0 AS (SELECT l_orderkey, l_linenumber AS replicate, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS value, max(l_tax) AS l_tax FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), v AS (SELECT l_orderkey, replicate, {STATE} AS state, value, l_tax < 0.07 AS verified FROM v0)"
-BOXES = "WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL), b AS (SELECT CAST(floor(l_orderkey / 50) AS BIGINT) AS doc, l_orderkey * 8 + l_linenumber AS id, l_linenumber % 2 AS parser, CAST(l_orderkey % 200 AS DOUBLE) AS x0, CAST(l_orderkey % 200 AS DOUBLE) AS y0, CAST(l_orderkey % 200 AS DOUBLE) + 40 + q / 10 AS x1, CAST(l_orderkey % 200 AS DOUBLE) + 20 AS y1 FROM l)"
-FLAGS = "true AS approved, true AS enabled, 'comparable' AS comparability, true AS kinds_match"
 
+VOTES = f"WITH v0 AS (SELECT l_orderkey, (l_linenumber - 1) % 3 AS replicate, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS value, max(l_tax) AS l_tax FROM lineitem GROUP BY ALL), v AS (SELECT l_orderkey, replicate, {STATE} AS state, value, l_tax < 0.07 AS verified FROM v0)"
+BOXES = "WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT CAST(floor(l_orderkey / 50) AS BIGINT) AS doc, l_orderkey * 8 + l_linenumber AS id, l_linenumber % 2 AS parser, CAST(l_orderkey % 200 AS DOUBLE) AS x0, CAST(l_orderkey % 200 AS DOUBLE) AS y0, CAST(l_orderkey % 200 AS DOUBLE) + 40 + q / 10 AS x1, CAST(l_orderkey % 200 AS DOUBLE) + 20 AS y1 FROM l)"
 QUERIES = {
     "a5_resolved_votes": (a5_resolved_votes, VOTES + ", a AS (SELECT l_orderkey, count(*) AS n, bool_or(state = 'conflict') AS c, bool_or(state IN ('unreadable', 'missing')) AS lost, count(*) FILTER (verified AND state IN ('present', 'absent')) AS valid, count(DISTINCT state || '|' || value) FILTER (verified AND state IN ('present', 'absent')) AS keys, min(state) FILTER (verified AND state IN ('present', 'absent')) AS s FROM v GROUP BY 1) SELECT l_orderkey, CASE WHEN c THEN 'conflict' WHEN n <> 3 OR lost THEN 'unknown' WHEN keys > 1 THEN 'conflict' WHEN valid >= 2 THEN s ELSE 'unknown' END AS resolved, valid FROM a"),
     "a3_strict_consensus": (a3_strict_consensus, VOTES + ", p AS (SELECT l_orderkey, state, value, count(DISTINCT replicate) AS votes FROM v GROUP BY ALL), b AS (SELECT l_orderkey, max(votes) AS agreement, CASE WHEN max(votes) >= 2 THEN arg_max(state, votes) END AS candidate, sum(votes) AS n, bool_or(state IN ('unknown', 'conflict')) AS open FROM p GROUP BY 1) SELECT l_orderkey, candidate, agreement, agreement = 3 AND n = 3 AND NOT open AS confirmed FROM b"),
@@ -215,17 +245,23 @@ QUERIES = {
     "p10_management_ladder": (_ladder("management"), ladder_sql("management")),
     "p8_sum_check": (p8_sum_check, None),
     "p8_growth_interval": (p8_growth, "WITH y AS (SELECT o_orderpriority, year(o_orderdate) AS y, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL) SELECT a.o_orderpriority, a.y, round(((a.n - 0.5) / (b.n + 0.5) - 1) * 100, 6) AS low, round(((a.n + 0.5) / (b.n - 0.5) - 1) * 100, 6) AS high, b.n > 0.5 AS computable FROM y a JOIN y b ON a.o_orderpriority = b.o_orderpriority AND a.y = b.y + 1"),
-    "p18_c1_entities": (p18_c1, _outcome(f"WITH a AS (SELECT c_nationkey AS k, list_sort(list(DISTINCT substr(c_mktsegment, 1, 2))) AS ls, list_sort(list(DISTINCT substr(c_mktsegment, 1, 2)) FILTER (c_acctbal > 0)) AS rs FROM customer GROUP BY 1), x AS (SELECT k, ls, CASE WHEN k % 4 = 1 THEN rs[1:2] ELSE rs END AS rs, k % 13 <> 0 AS approved, k % 12 <> 1 AS enabled, CASE WHEN k % 11 = 2 THEN 'not_comparable' WHEN k % 11 = 3 THEN 'unknown' ELSE 'comparable' END AS comparability, k % 10 <> 4 AS kinds_match, k % 10 <> 5 AS resolved, k % 9 <> 6 AS period_equal FROM a), r AS (SELECT k, {GATE} WHEN NOT period_equal THEN 'c1_period_mismatch' WHEN ls = rs THEN 'same_verified_entity_set' WHEN k % 2 = 0 THEN 'difference_explained' WHEN k % 3 = 0 THEN 'explanation_not_found' ELSE 'search_incomplete' END AS reason FROM x)")),
-    "p18_c2_periods": (p18_c2, _outcome(f"WITH o AS (SELECT o_custkey AS k, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1), x AS (SELECT k, a, b, DATE '1995-01-01' AS c, CASE WHEN k % 5 = 0 THEN b ELSE DATE '1996-12-31' END AS d, {FLAGS}, k % 17 <> 0 AS resolved FROM o), r AS (SELECT k, {GATE} WHEN b < c OR a > d THEN 'period_out_of_scope' WHEN a = c AND b = d THEN 'same_period' WHEN k % 2 = 0 THEN 'period_difference_explained' WHEN k % 3 = 0 THEN 'explanation_not_found' ELSE 'search_incomplete' END AS reason FROM x)")),
-    "p18_c3_spending": (p18_c3, _outcome(f"WITH o AS (SELECT o_custkey AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS capex, max(CAST(o_totalprice AS DECIMAL(18,2))) AS m FROM orders GROUP BY 1), x AS (SELECT k, capex, CASE WHEN k % 19 = 0 THEN 0 ELSE m END AS commitment, {FLAGS}, true AS resolved FROM o), r AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'c3_trigger_absent' WHEN k % 6 = 1 THEN 'c3_currency_mismatch' WHEN commitment <= 0 THEN 'c3_commitment_not_positive' WHEN capex <= 0 THEN 'c3_capex_not_positive' WHEN k % 23 = 0 THEN 'commitment_disclosed' WHEN commitment * 100 <= capex * 15 THEN 'capex_within_threshold' WHEN k % 2 = 0 THEN 'difference_explained' WHEN k % 3 = 0 THEN 'explanation_not_found' ELSE 'search_incomplete' END AS reason FROM x)")),
-    "p18_c4_definitions": (p18_c4, _outcome("WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 31 = 0 THEN 'policy_unapproved' WHEN p_partkey % 6 = 0 THEN 'classification_basis_present' WHEN p_partkey % 5 = 0 THEN 'search_incomplete' WHEN p_partkey % 2 <> 0 THEN 'definition_not_found' ELSE 'calculation_basis_not_found' END AS reason FROM part)")),
+    "p18_c1_entities": (p18_c1, _outcome(f"WITH a AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS ls, coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus <> 'P')), []) AS rs FROM orders GROUP BY 1), r AS (SELECT k, {GATE} {OWN} WHEN k % 61 = 8 THEN 'c1_period_unresolved' WHEN k % 13 = 9 THEN 'c1_period_mismatch' WHEN k % 11 = 10 THEN 'c1_consolidation_unknown' WHEN k % 59 = 7 OR len(rs) = 0 THEN 'entity_set_empty' WHEN ls = rs THEN 'same_verified_entity_set' {DIFFER.format('difference_explained')} AS reason FROM a)")),
+    "p18_c2_periods": (p18_c2, _outcome(f"WITH o AS (SELECT o_custkey AS k, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1), r AS (SELECT k, {GATE} {OWN} WHEN k % 7 <> 0 AND b < DATE '1995-01-01' OR a > DATE '1995-06-30' THEN 'period_out_of_scope' WHEN k % 5 = 0 OR b = DATE '1996-12-31' THEN 'same_period' {DIFFER.format('period_difference_explained')} AS reason FROM o)")),
+    "p18_c3_spending": (p18_c3, _outcome(f"""WITH o AS (SELECT o_custkey AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS capex, max(CAST(o_totalprice AS DECIMAL(18,2))) AS m FROM orders GROUP BY 1), r AS (SELECT k, {GATE} WHEN k % 9 = 1 OR k % 8 = 0 THEN 'c3_trigger_absent' {OWN} WHEN k % 13 = 1 THEN 'c3_currency_mismatch'
+WHEN k % 12 = 5 OR k % 14 = 3 OR k % 15 = 4 THEN 'c3_policy_unapproved' WHEN k % 16 = 5 THEN 'c3_period_unresolved' WHEN k % 18 = 7 THEN 'c3_capex_period_mismatch' WHEN k % 67 = 1 OR m <= 0 THEN 'c3_commitment_not_positive' WHEN k % 71 = 2 OR capex <= 0 THEN 'c3_capex_not_positive'
+WHEN k % 10 = 3 THEN 'commitment_disclosed' WHEN k % 21 = 2 THEN 'c3_policy_unapproved' WHEN m * 100 <= capex * 15 THEN 'capex_within_threshold' {DIFFER.format('difference_explained')} AS reason,
+({GATE} ELSE '' END) <> '' OR k % 9 = 1 OR k % 8 = 0 AS early FROM o)""", "CASE WHEN early THEN '' ELSE CASE WHEN k % 10 = 3 THEN ',c' || k ELSE '' END || CASE WHEN k % 4 = 3 THEN ',plan' ELSE '' END END")),
+    "p18_c4_definitions": (p18_c4, _outcome(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS d, p_partkey % 5 = 0 AS c FROM part), r AS (SELECT k, d, c, {GATE} {OWN} WHEN d AND c THEN 'classification_basis_present' WHEN k % 3 <> 0 THEN 'search_incomplete' WHEN d THEN 'calculation_basis_not_found' WHEN c THEN 'definition_not_found' WHEN k % 4 = 0 THEN 'calculation_basis_not_found,definition_not_found' ELSE 'definition_not_found,calculation_basis_not_found' END AS reason, ({GATE} {OWN} ELSE '' END) <> '' AS early FROM p)""",
+        "CASE WHEN early THEN '' WHEN d AND c THEN CASE WHEN k % 4 = 0 THEN ',c' || k || ',both,d' || k ELSE ',d' || k || ',both,c' || k END WHEN d THEN ',d' || k || ',both' WHEN c THEN ',c' || k || ',both' ELSE '' END")),
     "x28_threshold": (x28_threshold, "SELECT o_custkey, max(CAST(o_totalprice AS DECIMAL(18,2))) * 100 <= sum(CAST(o_totalprice AS DECIMAL(18,2))) * 15 AS within FROM orders GROUP BY 1"),
-    "j2_overlap_pairs": (j2_overlap_pairs, BOXES + ", p AS (SELECT a.doc, a.id AS l_id, b.id AS r_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM b a JOIN b ON a.doc = b.doc AND a.parser < b.parser) SELECT doc, 1 AS page, 'paragraph' AS kind, l_id, r_id, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.9"),
+    "j2_overlap_pairs": (j2_overlap_pairs, BOXES + ", p AS (SELECT a.doc, a.id AS l_id, b.id AS r_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM b a JOIN b ON a.doc = b.doc AND a.parser < b.parser) SELECT doc, 1 AS page, 'paragraph' AS kind, l_id, r_id, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.8"),
     "p1_fusion": (p1_fusion, None),
     "x29_affine": (x29_affine, BOXES + " SELECT id, round(100 - y1, 6) AS x0, round(2 * x0 + 5, 6) AS y0, round(100 - y0, 6) AS x1, round(2 * x1 + 5, 6) AS y1 FROM b"),
     "r1_ancestors": (r1_ancestors, "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region), c(node, ancestor, distance) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT node, parent, distance + 1 FROM c JOIN e ON ancestor = child) SELECT node, ancestor, min(distance) AS distance FROM c GROUP BY 1, 2"),
     "r6_bundles": (r6_bundles, "WITH m AS (SELECT 's' || s_suppkey AS root, unnest(['s' || s_suppkey, 'n' || s_nationkey, 'note' || s_nationkey, 'r' || n_regionkey, 'world']) AS member FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT root, count(*) AS members, string_agg(member, ',' ORDER BY member) AS names FROM m GROUP BY root"),
-    "s7_html_cells": (s7_html_cells, None),
-    "x33_slots": (x33_slots, "SELECT n_nationkey AS tbl, 9 AS slots, 7 AS cells FROM nation"),
-    "p2_observations": (p2_observations, "SELECT n_nationkey AS tbl, 2 AS r, c, CASE c WHEN 1 THEN '2024 / plan' ELSE '2024 / fact' END AS header, n_name AS metric, CASE WHEN c = 1 OR n_nationkey % 3 = 2 THEN 'present' WHEN n_nationkey % 3 = 0 THEN 'missing' ELSE 'unreadable' END AS state, CASE WHEN c = 1 THEN '1' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') WHEN n_nationkey % 3 = 2 THEN '-4.5' ELSE '' END AS value FROM nation CROSS JOIN (VALUES (1), (2)) AS t(c)"),
+    "s7_html_cells": (s7_html_cells, """SELECT n_nationkey AS tbl, 'ok' AS status, r AS row, c AS col, dr AS row_span, dc AS col_span, CASE WHEN t <> '' THEN t WHEN c = 0 THEN n_name WHEN c = 1 THEN '1,' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') WHEN n_nationkey % 3 = 0 THEN '-' WHEN n_nationkey % 3 = 1 THEN 'n.m.' ELSE '-4.5' END AS text
+FROM nation CROSS JOIN (VALUES (0, 0, 2, 1, 'Metric'), (0, 1, 1, 2, '2024'), (1, 1, 1, 1, 'plan'), (1, 2, 1, 1, 'fact'), (2, 0, 1, 1, ''), (2, 1, 1, 1, ''), (2, 2, 1, 1, '')) AS x(r, c, dr, dc, t) WHERE n_nationkey % 8 < 5
+UNION ALL SELECT n_nationkey, CASE n_nationkey % 8 WHEN 5 THEN 'bad_span' WHEN 6 THEN 'row_span_past_end' ELSE 'ragged' END, -1, -1, -1, -1, '-' FROM nation WHERE n_nationkey % 8 >= 5"""),
+    "x33_slots": (x33_slots, "SELECT n_nationkey AS tbl, 9 AS slots, 7 AS cells FROM nation WHERE n_nationkey % 8 < 5"),
+    "p2_observations": (p2_observations, "SELECT n_nationkey AS tbl, 2 AS r, c, CASE c WHEN 1 THEN '2024 / plan' ELSE '2024 / fact' END AS header, n_name AS metric, CASE WHEN c = 1 OR n_nationkey % 3 = 2 THEN 'present' WHEN n_nationkey % 3 = 0 THEN 'missing' ELSE 'unreadable' END AS state, CASE WHEN c = 1 THEN '1' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') WHEN n_nationkey % 3 = 2 THEN '-4.5' ELSE '' END AS value FROM nation CROSS JOIN (VALUES (1), (2)) AS t(c) WHERE n_nationkey % 8 < 5"),
 }
