@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accepted forms of a period.
-PERIOD_FORM = r"^(?:FY ?)?(?:19|20)[0-9]{2}$|^(?:19|20)[0-9]{2} ?[-~] ?(?:19|20)[0-9]{2}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}/[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+#: Accepted forms of a period: a year, a range of years, a date or a range of dates.
+YEAR_FORM = r"^(?i:FY\s*)?([0-9]{4})(?:년)?(?:\s+[Qq][1-4])?$"
+YEARS_FORM = r"^([0-9]{4})년?\s*[-–—~]\s*([0-9]{4})년?$"
+DATES_FORM = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:\s*(?:~|–|—|to| - )\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?$"
 
 
 def is_supported_period(text: Column) -> Column:
-    return F.coalesce(text.rlike(PERIOD_FORM), F.lit(False))
+    """Is the text a period in an accepted form, with real dates and its start not after its end?"""
+    t = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    part = lambda form, k: F.regexp_extract(t, form, k)
+    start = F.try_to_date(part(DATES_FORM, 1), "yyyy-MM-dd")
+    end = F.when(part(DATES_FORM, 2) == "", start).otherwise(F.try_to_date(part(DATES_FORM, 2), "yyyy-MM-dd"))
+    fine = (
+        F.when(t.rlike(YEAR_FORM), part(YEAR_FORM, 1).cast("int") > 0).when(t.rlike(YEARS_FORM), (part(YEARS_FORM, 1).cast("int") > 0) & (part(YEARS_FORM, 1).cast("int") <= part(YEARS_FORM, 2).cast("int")))
+        .when(t.rlike(DATES_FORM), start <= end)
+    )
+    return F.coalesce(fine, F.lit(False))
 
 
 def parse_period(text: Column) -> Column:
@@ -39,7 +50,7 @@ def valid_at(as_of: Column, starts_on: Column, ends_before: Column) -> Column:
 
 
 #: Multipliers of the Korean currency units.
-UNIT_SCALE = {"원": 1, "천원": 1_000, "백만원": 1_000_000, "억원": 100_000_000, "조원": 1_000_000_000_000}
+UNIT_SCALE = {"": 1, "원": 1, "krw": 1, "천원": 1_000, "백만원": 1_000_000, "억원": 100_000_000, "억": 100_000_000, "조원": 1_000_000_000_000, "조": 1_000_000_000_000}
 
 
 def normalize_amount(raw: Column, unit: Column) -> Column:
@@ -48,7 +59,7 @@ def normalize_amount(raw: Column, unit: Column) -> Column:
     negative = t.rlike(r"^\(.*\)$")
     digits = F.regexp_replace(t, r"[(),]", "")
     number = F.when(digits.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), digits.cast("decimal(24,4)"))
-    scale = F.create_map([F.lit(x) for k, v in UNIT_SCALE.items() for x in (k, v)])[unit].cast("decimal(13,0)")
+    scale = F.create_map([F.lit(x) for k, v in UNIT_SCALE.items() for x in (k, v)])[F.lower(F.trim(F.coalesce(unit, F.lit(""))))].cast("decimal(13,0)")
     return (F.when(negative, -number).otherwise(number) * scale).cast("decimal(38,4)")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,19 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Fixed value: a run of Hangul syllables, of Latin letters, or a number with separators.
-TERM = "[가-힣]+|[a-z]+|[0-9]+(?:[.,][0-9]+)*"
+TERM = r"[가-힣]+|[a-z]+|\p{Nd}+(?:[.,]\p{Nd}+)*"
+#: Characters whose case folding has a Latin letter that lower() does not give.
+FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if re.search("[a-z]", chr(c).casefold()) and chr(c).casefold() != chr(c).lower()}
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased text, case-folded as far as Latin letters are concerned."""
+    out = text
+    for one, letters in FOLDED.items():
+        out = F.replace(out, F.lit(one), F.lit(letters))
+    return F.lower(F.when(text.rlike("[" + "".join(FOLDED) + "]"), out).otherwise(text))
 
 
 def search_terms(text: Column) -> Column:
     """Lexical search terms in order, repeats included: Latin words and numbers whole, Hangul words as pairs of
-    syllables (a single syllable gives none). lower() stands in for case folding."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
+    syllables (a single syllable gives none)."""
+    words = F.regexp_extract_all(folded(text), F.lit(f"({TERM})"), 1)
 
     def cut(word: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word) - 1, F.lit(1))), lambda k: F.substring(word, k, F.lit(2)))
         return F.when(~word.rlike("^[가-힣]"), F.array(word)).when(F.char_length(word) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(words, cut))
+    return F.when(text.rlike("[가-힣]"), F.flatten(F.transform(words, cut))).otherwise(words)
 
 
 def number_literal(text: Column) -> Column:
@@ -59,12 +70,13 @@ def sentences(text: Column) -> Column:
 
 
 def page_refs(text: Column) -> Column:
-    """The distinct pages of a list such as `p. 3-7, 9`, ascending; descending or huge ranges give nothing."""
+    """The distinct pages of a list such as `p. 3-7, 9`, ascending; descending ranges give nothing. Page numbers have at
+    most five digits."""
     parts = F.split(F.regexp_replace(text, r"[^0-9,\-]", ""), ",")
 
     def span(part: Column) -> Column:
         a, b = F.element_at(F.split(part, "-"), 1).cast("int"), F.element_at(F.split(part, "-"), -1).cast("int")
-        return F.when(part.rlike(r"^[0-9]{1,5}(-[0-9]{1,5})?$") & (a <= b) & (b - a < 1000), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        return F.when(part.rlike(r"^[0-9]{1,5}(-[0-9]{1,5})?$") & (a <= b), F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, span))))
 
@@ -94,7 +106,7 @@ def nfkc_fold(text: pd.Series) -> pd.Series:
 
 
 #: Typographic ligatures and their letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
 
 
 def citation_form(text: Column) -> Column:

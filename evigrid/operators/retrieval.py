@@ -19,33 +19,39 @@ from evigrid.operators import sizing
 BLOCK_BYTES = 1 << 20
 
 
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, terms, len of every non-blank text, even with no term; corpus: n, total)."""
-    rows = docs.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms")).withColumn("len", F.size("terms"))
-    return rows, rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+def term_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, terms, len of every non-blank text, even with no term. Staged, so that texts are cut into terms once."""
+    rows = docs.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms"))
+    return sizing.staged(rows.withColumn("len", F.size("terms")), "terms")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, term, tf, len; corpus: n, total). Every non-blank text counts, even with no term."""
-    rows, corpus = lengths(docs, id_col, text_col)
-    each = rows.select("id", "len", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    return each, corpus
+def corpus_of(lists: DataFrame) -> DataFrame:
+    """One row: n (texts) and total (their terms)."""
+    return lists.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+
+
+def frequencies(lists: DataFrame) -> DataFrame:
+    """term, df (texts that have it) and cf (its occurrences). Both counts are pre-aggregated by term, not by text."""
+    df = lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    cf = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    return df.join(cf, "term")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_col: str) -> DataFrame:
     """query_id, id, score for all matches with a positive score: sum over the query's distinct terms of
     ln(1 + (N - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len / avg)). Terms are filtered before the
-    postings are grouped, so only the queried part of the index is shuffled, once and by document; the queries' terms
-    with their df (a bounded side) are broadcast, so scores are summed where the postings are."""
+    postings are grouped, so only the queried part of the index is shuffled, by document, so that a document's scores
+    are summed where its postings are. Spark broadcasts the queries' terms as long as they are few."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.search_terms(F.col(query_col)))).alias("term"))
-    rows, corpus = lengths(docs, id_col, text_col)
-    terms = rows.select("id", "len", F.explode("terms").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    hits = terms.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = hits.groupBy("term").agg(F.count("len").alias("df"))  # naming len keeps both readers' exchange the same, so it is reused
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # one row
+    wanted = sizing.staged(wanted, "query-terms")
+    lists = term_lists(docs, id_col, text_col)
+    terms = lists.select("id", "len", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = sizing.staged(terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+    df = sizing.staged(hits.groupBy("term").agg(F.count("*").alias("df")), "term-df")
+    scored = hits.join(df, "term").crossJoin(F.broadcast(corpus_of(lists)))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") * F.col("n") / F.col("total")))
-    return scored.withColumn("w", weight).join(F.broadcast(wanted), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
+    return scored.withColumn("w", weight).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
 
 
 def top(ranked: DataFrame, k: int, *, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "id", digits: int = 6) -> DataFrame:
@@ -125,3 +131,13 @@ def anchors(text: Column) -> Column:
     years = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1)
     scopes = F.transform(T.axis_numbers(text, "scope"), lambda s: F.concat(F.lit("scope"), s))
     return F.array_sort(F.array_distinct(F.concat(years, scopes)))
+
+
+def repeated_lines(pages: DataFrame, group: str, page: str, text: str, *, most_chars: int = 160, least: int = 3, share: float = 0.2) -> DataFrame:
+    """Running headers and the like: group, line, pages for trimmed lines of at most most_chars characters that stand on
+    at least `least` pages of the group and on `share` of them. Each line counts once a page, in the page's own row."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.char_length(x) <= most_chars)))
+    one = pages.groupBy(group, page).agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("lines"))
+    total = one.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    counted = one.select(group, F.explode("lines").alias("line")).groupBy(group, "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
+    return counted.join(total, F.col(group).eqNullSafe(F.col("_g"))).filter(F.col("pages") >= share * F.col("_n")).select(group, "line", "pages")

@@ -24,16 +24,16 @@ class _Replay:
 
 
 def z1_leases(spark: SparkSession, d: str) -> DataFrame:
-    """Events as lease traffic, folded per job by the same step as the stream."""
-    e = table(spark, d, "events").select(
-        (F.col("user_id") % 40).alias("job"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), F.concat(F.lit("w"), F.col("user_id") % 3).alias("owner"),
-        F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "error", "heartbeat").otherwise("claim").alias("action"), F.lit(0).cast("long").alias("token"),
-    )
+    """Each user's events as the lease traffic of one job, folded by the same step as the stream."""
+    k = F.col("event_id")
+    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "click", "heartbeat").when(k % 11 == 3, "fail").otherwise("claim")
+    # events a few minutes apart become seconds apart, so that leases are met while they run
+    e = table(spark, d, "events").select(F.col("user_id").alias("job"), k.alias("seq"), F.floor(F.unix_timestamp("ts") / 600).alias("at"), F.concat(F.lit("w"), k % 2).alias("owner"), action.alias("action"), (1 + k % 2).alias("token"))
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return next(jobs.lease_step(key, iter([pdf]), _Replay()))
 
-    return e.groupBy("job").applyInPandas(fold, jobs.OUT).groupBy("job", "verdict").agg(F.count("*").alias("n"), F.max("token").alias("token"))
+    return e.groupBy("job").applyInPandas(fold, jobs.OUT).select("job", "seq", "token", "verdict")
 
 
 def z5_outbox(spark, d):
@@ -123,7 +123,17 @@ def cube_summary(spark, d):
 
 
 QUERIES = {
-    "z1_leases": (z1_leases, None),
+    "z1_leases": (z1_leases, """WITH RECURSIVE e AS (SELECT user_id AS job, event_id AS seq, CAST(floor(floor(epoch(ts)) / 600) AS BIGINT) AS tick, 'w' || (event_id % 2) AS owner, CASE WHEN event_type = 'purchase' THEN 'commit' WHEN event_type = 'click' THEN 'heartbeat' WHEN event_id % 11 = 3 THEN 'fail' ELSE 'claim' END AS action, 1 + event_id % 2 AS given,
+  row_number() OVER (PARTITION BY user_id ORDER BY floor(floor(epoch(ts)) / 600), event_id) AS n FROM events),
+s AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, '' AS holder, CAST(0 AS BIGINT) AS token, CAST(0 AS BIGINT) AS expires, 'pending' AS state, CAST(0 AS BIGINT) AS due, CAST(0 AS BIGINT) AS attempts, '' AS verdict FROM e
+UNION ALL
+SELECT job, n, seq, CASE verdict WHEN 'claimed' THEN owner WHEN 'pending' THEN '' WHEN 'failed' THEN '' ELSE holder END, CASE WHEN verdict = 'claimed' THEN token + 1 ELSE token END, CASE WHEN verdict IN ('claimed', 'renewed') THEN tick + 120 ELSE expires END,
+  CASE WHEN verdict IN ('failed', 'committed') THEN verdict ELSE state END, CASE WHEN verdict IN ('pending', 'failed') THEN tick + CAST(pow(2, attempts) AS BIGINT) ELSE due END, CASE WHEN verdict = 'claimed' THEN attempts + 1 ELSE attempts END, verdict
+FROM (SELECT e.*, s.holder, s.token, s.expires, s.state, s.due, s.attempts, CASE WHEN s.state <> 'pending' THEN 'refused_' || s.state
+    WHEN e.action = 'claim' THEN CASE WHEN s.holder <> '' AND e.tick < s.expires THEN 'refused_leased' WHEN e.tick < s.due THEN 'refused_waiting' ELSE 'claimed' END
+    WHEN s.holder = '' OR e.tick >= s.expires OR e.owner <> s.holder OR e.given <> s.token THEN 'refused_fenced' WHEN e.action = 'heartbeat' THEN 'renewed' WHEN e.action = 'fail' THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE 'committed' END AS verdict
+  FROM s JOIN e ON e.job = s.job AND e.n = s.n + 1))
+SELECT job, seq, token, verdict FROM s WHERE n > 0"""),
     "z5_outbox": (z5_outbox, "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS due FROM events WHERE epoch(ts) < 1705000001 AND event_type <> 'view'"),
     "z6_delivery_once": (z6_delivery_once, "SELECT user_id, count(*) AS once, count(*) + count(*) FILTER (event_id % 3 = 0) AS deliveries FROM events GROUP BY 1"),
     "z10_page_ready": (z10_page_ready, "SELECT conv_id, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, count(*) FILTER (role = 'user') = count(*) FILTER (role = 'assistant') AS ready FROM conversations GROUP BY 1"),

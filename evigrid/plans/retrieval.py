@@ -10,7 +10,7 @@ from evigrid.operators import retrieval as R
 from evigrid.sources.tables import table
 
 #: SQL of the tokenizer, shared by the oracles.
-TERMS = r"""list_reduce(list_transform(regexp_extract_all(lower({0}), '[가-힣]+|[a-z]+|[0-9]+(?:[.,][0-9]+)*'),
+TERMS = r"""list_reduce(list_transform(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[가-힣]+|[a-z]+|[0-9]+(?:[.,][0-9]+)*'),
   lambda w: CASE WHEN NOT regexp_matches(w, '^[가-힣]') THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END), lambda a, b: a || b, CAST([] AS VARCHAR[]))"""
 
 
@@ -64,20 +64,17 @@ def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each, corpus = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
+    return R.frequencies(R.term_lists(table(spark, sf_dir, "documents"), "doc_id", "text")).filter("df >= 5")
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, corpus = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    corpus = R.corpus_of(R.term_lists(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return corpus.select("n", "total", F.round(F.col("total") / F.col("n"), 6).alias("avg_len"))
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines that stand in at least max(3, 20 % / 1000) of all documents: each line once per document."""
-    d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).filter("line <> '' and char_length(line) <= 80").distinct()
-    return lines.groupBy("line").agg(F.count("*").alias("docs")).crossJoin(d.agg(F.greatest(F.lit(3.0), F.count("*") * 0.0002).alias("least"))).filter("docs >= least").select("line", "docs")
+    """Lines of at most 160 characters that stand in at least max(3, 20 %) of a source's documents."""
+    return R.repeated_lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +132,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
     "q9_literal_hits": (literal_hits, r"""WITH s AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), c AS (
 SELECT doc_id, CAST((length(t) - length(replace(t, 'ofthe', ''))) / 5 AS BIGINT) AS of_the, CAST((length(t) - length(replace(t, 'tion', ''))) / 4 AS BIGINT) AS tion FROM s)
 SELECT * FROM c WHERE of_the > 0 OR tion > 0"""),
-    "a11_repeated_lines": (repeated_lines, r"""WITH l AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents)
-SELECT line, count(*) AS docs FROM l WHERE line <> '' AND length(line) <= 80 GROUP BY line HAVING count(*) >= greatest(3, (SELECT count(*) FROM documents) * 0.0002)"""),
+    "a11_repeated_lines": (repeated_lines, r"""WITH l AS (SELECT DISTINCT source, doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source)
+SELECT l.source, line, count(*) AS pages FROM l JOIN n ON l.source IS NOT DISTINCT FROM n.source WHERE line <> '' AND length(line) <= 160 GROUP BY l.source, line, n HAVING count(*) >= greatest(3, 0.2 * n)"""),
     "a12_keyword_density": (keyword_density, "SELECT doc_id, round(len(regexp_extract_all(text, '(?:the|le|der|el)[^a-z]')) * 1000.0 / greatest(length(text), 200), 6) AS density FROM documents"),
     "a14_document_frequency": (document_frequency, f"WITH t AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents WHERE trim(text) <> '') SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 5"),
     "a14_corpus_statistics": (corpus_statistics, f"SELECT count(*) AS n, CAST(sum(len({TERMS.format('text')})) AS BIGINT) AS total, round(sum(len({TERMS.format('text')})) / count(*), 6) AS avg_len FROM documents WHERE trim(text) <> ''"),

@@ -166,8 +166,15 @@ def j7_dimension_match(spark, d):
 
 
 def j9_year_over_year(spark, d):
-    o = _orders(spark, d).select("o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.md5(F.concat_ws("|", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)"))).alias("content"))
-    return C.compare(o.filter("y = 1996"), o.filter("y = 1995"), ["o_custkey", "o_orderpriority"], "content")
+    o = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.md5(F.concat_ws("|", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)"))).alias("content"))
+    return C.compare(o.filter("y = 1996"), o.filter("y = 1995"), ["o_custkey", "o_orderpriority"], "content", "o_orderkey")
+
+
+def p20_versions(spark, d):
+    """Each customer's years of orders as report versions: is the one before the latest of the year before?"""
+    v = _orders(spark, d).select("o_custkey", F.year("o_orderdate").alias("y")).distinct()
+    now = v.groupBy("o_custkey").agg(F.max("y").alias("y"))
+    return C.versions_verdict(now, v.join(now, ["o_custkey", "y"], "left_anti"), "o_custkey", "y").withColumn("reason", F.coalesce("reason", F.lit("-")))
 
 
 def j10_label_map(spark, d):
@@ -343,9 +350,11 @@ def x1_sentences(spark, d):
 
 
 def x19_periods(spark, d):
-    o = _orders(spark, d).select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/"), F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 40 - 5).cast("int")), "yyyy-MM-dd")).alias("p"))
+    k = F.col("o_orderkey")
+    a, b = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add("o_orderdate", (k % 40 - 5).cast("int")), "yyyy-MM-dd")
+    o = _orders(spark, d).select("o_orderkey", F.concat(a, F.lit("/"), b).alias("p"), F.when(k % 5 == 0, F.concat(F.year("o_orderdate"), F.lit("년"))).when(k % 5 == 1, F.concat(F.lit("fy "), F.year("o_orderdate"), F.lit(" Q2"))).when(k % 5 == 2, a).when(k % 5 == 3, F.concat(F.year("o_orderdate"), F.lit("-"), F.lit(1995))).otherwise(F.concat(a, F.lit(" ~ "), b)).alias("t"))
     p = D.parse_period(F.col("p"))
-    return o.select("o_orderkey", D.is_supported_period(F.col("p")).alias("supported"), p["start"].alias("start"), p["end"].alias("end"))
+    return o.select("o_orderkey", D.is_supported_period(F.col("t")).alias("supported"), p["start"].alias("start"), p["end"].alias("end"))
 
 
 def x24_year_apart(spark, d):
@@ -357,7 +366,7 @@ def x27_amounts(spark, d):
     c = table(spark, d, "customer")
     money = F.col("c_acctbal").cast("decimal(12,2)")
     raw = F.when(money < 0, F.concat(F.lit("("), (-money).cast("string"), F.lit(")"))).otherwise(F.format_number(money.cast("double"), 2))
-    unit = F.element_at(F.array(F.lit("원"), F.lit("천원"), F.lit("백만원")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    unit = F.element_at(F.array(F.lit("원"), F.lit("천원"), F.lit("백만원"), F.lit("KRW"), F.lit(""), F.lit("억"), F.lit("조"), F.lit(None).cast("string"), F.lit("t")), (F.col("c_custkey") % 9 + 1).cast("int"))
     return c.select("c_custkey", D.normalize_amount(raw, unit).cast("decimal(30,4)").alias("amount"))
 
 
@@ -427,7 +436,14 @@ QUERIES = {
     "j5_unique_scope": (j5_unique_scope, "SELECT o_custkey, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
     "j6_complete_bindings": (j6_complete_bindings, "WITH i AS (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 50 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS item FROM lineitem), m AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS wanted, count(p_partkey) AS found, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS total FROM i LEFT JOIN part ON p_partkey = item GROUP BY l_orderkey) SELECT l_orderkey, wanted, found, CASE WHEN wanted = found THEN 'complete' ELSE 'observation_missing' END AS state, CASE WHEN wanted = found THEN total END AS total FROM m"),
     "j7_dimension_match": (j7_dimension_match, "WITH c AS (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS customers FROM customer GROUP BY ALL), o AS (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT c.c_nationkey, c.segment, customers, orders FROM c JOIN o ON c.c_nationkey IS NOT DISTINCT FROM o.c_nationkey AND c.segment IS NOT DISTINCT FROM o.segment"),
-    "j9_year_over_year": (j9_year_over_year, "WITH o AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(18,2)) AS content FROM orders), a AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(content) AS c FROM o WHERE y = 1996 GROUP BY ALL), b AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(content) AS c FROM o WHERE y = 1995 GROUP BY ALL), x AS (SELECT o_custkey, o_orderpriority, CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'removed_candidate' WHEN a.c <> b.c THEN 'modified' END AS change FROM a FULL JOIN b USING (o_custkey, o_orderpriority)) SELECT * FROM x WHERE change IS NOT NULL"),
+    "j9_year_over_year": (j9_year_over_year, """WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, year(o_orderdate) AS y, o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(18,2)) AS content FROM orders WHERE year(o_orderdate) IN (1995, 1996)),
+n AS (SELECT *, count(*) FILTER (y = 1996) OVER w AS n_now, count(*) FILTER (y = 1995) OVER w AS n_before FROM o WINDOW w AS (PARTITION BY o_custkey, o_orderpriority)),
+a AS (SELECT * FROM n WHERE y = 1996), b AS (SELECT * FROM n WHERE y = 1995)
+SELECT o_custkey, o_orderpriority, CASE WHEN y = 1996 THEN o_orderkey ELSE -1 END AS current_id, CASE WHEN y = 1995 THEN o_orderkey ELSE -1 END AS prior_id, 'ambiguous' AS change, 'comparison_key_not_unique' AS reason FROM n WHERE n_now > 1 OR n_before > 1
+UNION ALL SELECT o_custkey, o_orderpriority, o_orderkey, -1, 'new', 'target_new_in_current_version' FROM a WHERE n_now = 1 AND n_before = 0
+UNION ALL SELECT o_custkey, o_orderpriority, -1, o_orderkey, 'removed_candidate', 'target_missing_from_current_version' FROM b WHERE n_before = 1 AND n_now = 0
+UNION ALL SELECT a.o_custkey, a.o_orderpriority, a.o_orderkey, b.o_orderkey, 'modified', 'target_content_changed' FROM a JOIN b USING (o_custkey, o_orderpriority) WHERE a.n_now = 1 AND a.n_before = 1 AND a.content <> b.content"""),
+    "p20_versions": (p20_versions, "WITH v AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) AS n FROM v) SELECT o_custkey, r.y AS y, CASE WHEN p.y = r.y - 1 THEN 'completed' ELSE 'not_run' END AS state, CASE WHEN p.y IS NULL THEN 'prior_document_version_missing' WHEN p.y <> r.y - 1 THEN 'prior_document_version_not_previous_year' ELSE '-' END AS reason FROM r LEFT JOIN (SELECT o_custkey, y FROM r WHERE n = 2) p USING (o_custkey) WHERE n = 1"),
     "j10_label_map": (j10_label_map, "WITH l AS (SELECT n_regionkey, n_nationkey AS label FROM nation UNION SELECT n_regionkey, n_nationkey + 1 FROM nation) SELECT n_regionkey, bool_and(s_suppkey IS NOT NULL) AS resolved, count(s_suppkey) AS pages, min(s_suppkey) AS first_page FROM l LEFT JOIN supplier ON s_nationkey = label GROUP BY n_regionkey"),
     "j11_assurance": (j11_assurance, "WITH s AS (SELECT n_regionkey, list(DISTINCT s_nationkey) AS covered FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), c AS (SELECT n_regionkey, c_mktsegment, list(DISTINCT c_nationkey) AS claimed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey, c_mktsegment, CASE WHEN n_regionkey = 4 THEN 'undetermined' WHEN c_mktsegment = 'FURNITURE' OR c_mktsegment = 'MACHINERY' OR NOT list_has_all(covered, claimed) THEN 'not_covered' ELSE 'covered' END AS verdict FROM c JOIN s USING (n_regionkey)"),
     "j13_anti": (j13_anti, "SELECT lang, count(*) AS unlabelled FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang"),
@@ -456,9 +472,9 @@ QUERIES = {
     "a22_capacity": (a22_capacity, "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)"),
     "x1_sentences": (x1_sentences, None),
     "x4_x13_text": (x_text, r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''=a' ELSE 'a' END AS safe, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key_md5, 'present' AS state FROM documents"),
-    "x19_periods": (x19_periods, "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 5 AS INTEGER) AS b FROM orders) SELECT o_orderkey, true AS supported, CASE WHEN a <= b THEN a END AS start, CASE WHEN a <= b THEN b END AS \"end\" FROM o"),
+    "x19_periods": (x19_periods, "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 5 AS INTEGER) AS b FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN year(a) <= 1995 WHEN 4 THEN a <= b ELSE true END AS supported, CASE WHEN a <= b THEN a END AS start, CASE WHEN a <= b THEN b END AS \"end\" FROM o"),
     "x24_year_apart": (x24_year_apart, "WITH o AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT o_custkey, year(b) = year(a) + 1 AND month(a) = month(b) AND day(a) = day(b) AS apart, last_day(a) = CAST(a AS DATE) AS month_end FROM o"),
-    "x27_amounts": (x27_amounts, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END AS DECIMAL(30,4)) AS amount FROM customer"),
+    "x27_amounts": (x27_amounts, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * CASE c_custkey % 9 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 5 THEN 100000000 WHEN 6 THEN 1000000000000 WHEN 8 THEN NULL ELSE 1 END AS DECIMAL(30,4)) AS amount FROM customer"),
     "x32_entity_set": (x32_entity_set, "SELECT n_regionkey, '[' || string_agg('\"' || lower(n_name) || '\"', ',' ORDER BY lower(n_name)) || ']' AS entities FROM nation GROUP BY 1"),
     "x35_page_refs": (x35_page_refs, "SELECT p_partkey, array_to_string(range(p_size, p_size + p_partkey % 4 + 1), ',') AS pages FROM part"),
     "s17_csv_sink": (s17_csv_sink, "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '''-' WHEN p_size % 7 = 0 THEN '''@' ELSE '' END || p_name AS cell FROM part"),

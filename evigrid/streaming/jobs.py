@@ -13,37 +13,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LEASE_SECONDS = 120
-OUT = "job long, at long, owner string, token long, verdict string"
-STATE = "owner string, token long, expires long, done boolean"
+#: Seconds of a lease, and attempts of a job.
+LEASE_SECONDS, MOST_ATTEMPTS = 120, 3
+OUT = "job long, seq long, at long, owner string, token long, verdict string"
+STATE = "owner string, token long, expires long, state string, due long, attempts long"
 
 
 def lease_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One job's events in order of time: claim, heartbeat, commit, cancel. A claim takes a free or expired lease and gets
-    a greater fencing token; a heartbeat or commit with an older token, or after expiry, is refused."""
-    owner, token, expires, done = state.get if state.exists else ("", 0, 0, False)
+    """One job's events in order of time: claim, heartbeat, commit, fail, cancel. A claim takes a free or expired lease,
+    from whoever held it, and gets a greater fencing token; while a lease runs nobody gets it, its owner neither. A
+    heartbeat, commit or failure needs the running lease and its token. After a failure the job waits 2^attempt seconds,
+    and is failed after MOST_ATTEMPTS. A trigger's events of one job are ordered as a whole, however many batches hold
+    them; seq orders events of one second."""
+    owner, token, expires, done, due, attempts = state.get if state.exists else ("", 0, 0, "pending", 0, 0)
     rows = []
-    for pdf in batches:
-        for e in pdf.sort_values(["at", "seq"]).itertuples(index=False):
-            held = owner != "" and e.at < expires
-            if done:
-                verdict = "refused_done"
-            elif e.action == "claim":
-                if held and e.owner != owner:
-                    verdict = "refused_leased"
-                else:
-                    owner, token, expires, verdict = e.owner, token + 1, e.at + LEASE_SECONDS, "claimed"
-            elif e.action == "cancel":
-                done, verdict = True, "cancelled"
-            elif not held or e.owner != owner or (e.token and e.token != token):
-                verdict = "refused_fenced"
-            elif e.action == "heartbeat":
-                expires, verdict = e.at + LEASE_SECONDS, "renewed"
+    for e in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples(index=False):
+        held = owner != "" and e.at < expires
+        if done != "pending":
+            verdict = "refused_" + done
+        elif e.action == "claim":
+            if held:
+                verdict = "refused_leased"
+            elif e.at < due:
+                verdict = "refused_waiting"
             else:
-                done, verdict = True, "committed"
-            rows.append((key[0], e.at, e.owner, token, verdict))
-    state.update((owner, token, expires, done))
-    yield pd.DataFrame(rows, columns=["job", "at", "owner", "token", "verdict"])
+                owner, token, expires, attempts, verdict = e.owner, token + 1, e.at + LEASE_SECONDS, attempts + 1, "claimed"
+        elif e.action == "cancel":
+            done = verdict = "cancelled"
+        elif not held or e.owner != owner or e.token != token:
+            verdict = "refused_fenced"
+        elif e.action == "heartbeat":
+            expires, verdict = e.at + LEASE_SECONDS, "renewed"
+        elif e.action == "fail":
+            done = verdict = "failed" if attempts >= MOST_ATTEMPTS else "pending"
+            owner, due = "", e.at + 2**attempts
+        else:
+            done = verdict = "committed"
+        rows.append((key[0], e.seq, e.at, e.owner, token, verdict))
+    state.update((owner, token, expires, done, due, attempts))
+    yield pd.DataFrame(rows, columns=["job", "seq", "at", "owner", "token", "verdict"])
 
 
 def leases(events: DataFrame) -> DataFrame:

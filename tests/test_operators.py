@@ -88,9 +88,57 @@ def test_geometry(spark):
 
 def test_a_cycle_is_an_error(spark):
     with pytest.raises(Exception, match="cycle"):
-        graph.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"), 4).collect()
+        graph.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")).collect()
+    with pytest.raises(Exception, match="cycle"):
+        graph.ancestors(spark.createDataFrame([(k, (k + 1) % 10) for k in range(10)], "child int, parent int")).collect()
+
+
+def test_closures_have_no_depth(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)], "child int, parent int")
+    assert graph.ancestors(chain).count() == 12 * 13 // 2
+    notes = graph.note_targets(spark.createDataFrame([(0,), (11,)], "id int"), chain, spark.createDataFrame([("n", 12), ("m", 0)], "note string, target int"))
+    assert sorted((r["id"], r["note"], r["distance"]) for r in notes.collect()) == [(0, "m", 0), (0, "n", 12), (11, "n", 1)]
+    near = graph.nearest_section(spark.createDataFrame([(0,), (12,)], "id int"), chain, spark.createDataFrame([(5, "h"), (9, "g")], "id int, title string"))
+    assert {(r["id"], r["section"], r["title"]) for r in near.collect()} == {(0, 5, "h"), (12, None, None)}
+
+
+def test_wide_boxes_lose_no_pair(spark):
+    rows = [(1, 1, "p", 1, "a", 0.0, 0.0, 595.0, 100.0, ""), (1, 1, "p", 2, "b", 66.0, 0.0, 661.0, 100.0, "")]
+    for k in range(200):
+        w, h = 3.0 * 1.09 ** (k % 60), 2.0 * 1.07 ** (k % 50)
+        rows += [(2, 1, "p", 10 + 2 * k, "a", 5.0 * k % 97, 3.0 * k % 71, 5.0 * k % 97 + w, 3.0 * k % 71 + h, ""), (2, 1, "p", 11 + 2 * k, "b", 5.0 * k % 97 + w * (k % 9) / 90, 3.0 * k % 71, 5.0 * k % 97 + w, 3.0 * k % 71 + h * 0.95, "")]
+    df = spark.createDataFrame(rows, "doc long, page int, kind string, id long, parser string, x0 double, y0 double, x1 double, y1 double, text string")
+
+    def iou(p, q):
+        w, h = max(0.0, min(p[7], q[7]) - max(p[5], q[5])), max(0.0, min(p[8], q[8]) - max(p[6], q[6]))
+        return w * h / ((p[7] - p[5]) * (p[8] - p[6]) + (q[7] - q[5]) * (q[8] - q[6]) - w * h)
+
+    for least in (0.8, 0.55, 1.0):
+        got = [(r["l_id"], r["r_id"]) for r in geometry.matching_pairs(df, least).collect()]
+        want = {(p[3], q[3]) for p in rows for q in rows if p[0] == q[0] and p[4] < q[4] and iou(p, q) >= least}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("text,fine", [("2024", True), ("FY2024 Q2", True), ("2024년", True), ("2025-2024", False), ("2023 ~ 2024년", True), ("2024-01-01", True), ("2024-01-01 ~ 2024-12-31", True), ("2024-99-99", False), ("2024-02-01 to 2024-01-01", False), ("2024-01-01/2024-12-31", False), ("0000", False), (None, False)])
+def test_period_forms(spark, text, fine):
+    assert one(spark, D.is_supported_period(F.lit(text).cast("string")))[0] is fine
+
+
+@pytest.mark.parametrize("unit,value", [(None, 5), ("KRW", 5), (" 억 ", 500_000_000), ("조", 5 * 10**12), ("t", None)])
+def test_amount_units(spark, unit, value):
+    assert one(spark, D.normalize_amount(F.lit("5"), F.lit(unit).cast("string")))[0] == value
 
 
+def test_terms_are_case_folded(spark):
+    assert one(spark, T.search_terms(F.lit("Straße GROẞ ﬁn ٣٤")))[0] == ["strasse", "gross", "fin", "٣٤"] and one(spark, T.citation_form(F.lit("laﬆ")))[0] == "last"
+
+
+def test_a_ladder_of_too_many_facts_is_refused(spark, monkeypatch):
+    names = tuple(f"f{k}" for k in range(13))
+    monkeypatch.setitem(ladder.LADDERS, "long", (names, (ladder.branch("A", "E1", names),)))
+    with pytest.raises(ValueError, match="too many facts"):
+        states(spark, "long")
+
 def test_containment_equals_brute_force(spark):
     spans = [(k % 3, (k * 7) % 50, (k * 7) % 50 + k % 40 + 1, k) for k in range(80)]
     df = spark.createDataFrame(spans, "key int, start int, end int, id int")
@@ -110,9 +158,19 @@ def test_evidence_packing_retries_without_context(spark):
 
 
 def test_html_tables_place_spans():
-    html = "<table><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td>d</table>"
-    assert list(html_tables.table_cells(html)) == [(0, 0, 0, 2, 1, "a"), (0, 0, 1, 1, 2, "b"), (0, 1, 1, 1, 1, "c"), (0, 1, 2, 1, 1, "d")]
-    assert list(html_tables.table_cells(None)) == []
+    html = "<table><tbody><tr><td rowspan=2>a</td><td colspan=2>b<br>x</td></tr><tr><td>c</td><th> d </th></tr></tbody></table>"
+    assert html_tables.table_cells(html) == [(0, 0, 2, 1, "a"), (0, 1, 1, 2, "b\nx"), (1, 1, 1, 1, "c"), (1, 2, 1, 1, "d")]
+
+
+@pytest.mark.parametrize("html,reason", [
+    (None, "empty"), ("<table></table>", "empty"), ("<table><tr><td>a<td>b</td></tr></table>", "misplaced_cell"), ("<table><tr><td>a</td></tr>", "unclosed"), ("<table><tr><td>a</td></tr></table><table></table>", "not_one_table"),
+    ("<table><tr><td><table></table></td></tr></table>", "not_one_table"), ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", "ragged"), ("<table><tr><td rowspan=2>a</td></tr></table>", "row_span_past_end"),
+    ("<table><tr><td colspan=x>a</td></tr></table>", "bad_span"), ("<table><tr><td colspan=101>a</td></tr></table>", "over_limit"), ("<td>a</td>", "misplaced_cell"), ("<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>", "overlap"),
+    ("<table><tr><td>a</th></tr></table>", "unclosed"), ("x" * 200_001, "over_limit"),
+])
+def test_broken_tables_have_a_reason(html, reason):
+    with pytest.raises(html_tables.Refused, match=reason):
+        html_tables.table_cells(html)
 
 
 def test_files(spark, tmp_path):
@@ -131,13 +189,26 @@ def test_files(spark, tmp_path):
 
 
 def test_leases_are_fenced_in_a_stream(spark, tmp_path):
-    rows = [(1, 1, 0, "w1", "claim", 0), (1, 2, 10, "w2", "claim", 0), (1, 3, 200, "w2", "claim", 0), (1, 4, 210, "w1", "commit", 1), (1, 5, 220, "w2", "heartbeat", 2), (1, 6, 300, "w2", "commit", 2), (1, 7, 310, "w1", "claim", 0)]
+    rows = [(1, 1, 0, "w1", "claim", 0), (1, 2, 10, "w2", "claim", 0), (1, 8, 20, "w1", "claim", 0), (1, 9, 210, "w2", "commit", 0), (1, 3, 200, "w2", "claim", 0), (1, 4, 210, "w1", "commit", 1), (1, 5, 220, "w2", "heartbeat", 2), (1, 6, 300, "w2", "commit", 2), (1, 7, 310, "w1", "claim", 0)]
     schema = "job long, seq long, at long, owner string, action string, token long"
     for k in range(2):
-        spark.createDataFrame(rows[k * 4 : k * 4 + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame(rows[k * 7 : k * 7 + 7], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(f"{tmp_path}/in")
     query = jobs.leases(stream).writeStream.outputMode("append").format("memory").queryName("verdicts").start()
     query.processAllAvailable()
     query.stop()
-    out = [r["verdict"] for r in spark.sql("SELECT * FROM verdicts ORDER BY at").collect()]
-    assert out == ["claimed", "refused_leased", "claimed", "refused_fenced", "renewed", "committed", "refused_done"]
+    out = [r["verdict"] for r in spark.sql("SELECT * FROM verdicts ORDER BY at, seq").collect()]
+    assert out == ["claimed", "refused_leased", "refused_leased", "claimed", "refused_fenced", "refused_fenced", "renewed", "committed", "refused_committed"]
+
+
+def test_a_failed_job_waits_and_gives_up():
+    class Once:
+        exists = False
+
+        def update(self, value):
+            self.get = value
+
+    events = [(0, "claim", 0), (1, "fail", 1), (2, "claim", 0), (3, "claim", 0), (4, "fail", 2), (8, "claim", 0), (9, "fail", 3), (99, "claim", 0)]
+    pdf = pd.DataFrame([(1, n, at, "w", action, token) for n, (at, action, token) in enumerate(events)], columns=["job", "seq", "at", "owner", "action", "token"])
+    out = next(jobs.lease_step((1,), iter([pdf[4:], pdf[:4]]), Once()))
+    assert out["verdict"].tolist() == ["claimed", "pending", "refused_waiting", "claimed", "pending", "claimed", "failed", "refused_failed"]
