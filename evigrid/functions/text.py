@@ -114,3 +114,18 @@ def citation_form(text: Column) -> Column:
     for one, letters in LIGATURES.items():
         text = F.replace(text, F.lit(one), F.lit(letters))
     return collapse_spaces(nfc(text))
+
+
+#: What a unit note and a scope note may say.
+UNIT_NOTE = r"^(?i:단위|unit)\s*:\s*((?:천 )?(?:tCO2e|tCO₂e|kgCO2e|t|kg|g|GJ|TJ|MJ|kWh|MWh|GWh|m3|m³|㎥|L|%p?|톤|원|백만원|억원|개|명|건|대))$"
+SCOPE_NOTE = r"^(?:Scope:\s*)?(Scope [123])$"
+
+
+def unit_note(text: Column) -> Column:
+    """The unit of a note that is nothing but a unit note, else null."""
+    return F.nullif(F.regexp_extract(F.trim(text), UNIT_NOTE, 1), F.lit(""))
+
+
+def scope_note(text: Column) -> Column:
+    """The scope of a note that is nothing but a scope note, else null."""
+    return F.nullif(F.regexp_extract(F.trim(text), SCOPE_NOTE, 1), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
-from evigrid.operators import sizing
+from evigrid.operators import graph, sizing
 
 #: Input bytes of vectors in a block.
 BLOCK_BYTES = 1 << 20
@@ -141,3 +141,35 @@ def repeated_lines(pages: DataFrame, group: str, page: str, text: str, *, most_c
     total = one.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     counted = one.select(group, F.explode("lines").alias("line")).groupBy(group, "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
     return counted.join(total, F.col(group).eqNullSafe(F.col("_g"))).filter(F.col("pages") >= share * F.col("_n")).select(group, "line", "pages")
+
+
+def own_first(fused: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score: the claim's own sources (query_id, id, place) in their order, then the fused hits
+    (query_id, id, score) by score and id; each source once, k in all."""
+    first = own.groupBy("query_id", "id").agg(F.min("place").alias("place"))
+    every = first.join(fused.select("query_id", "id", "score"), ["query_id", "id"], "full_outer")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("place"), F.desc_nulls_last("score"), "id"))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def listed(routes: DataFrame, order: str = "id") -> DataFrame:
+    """(query_id, id) rows of a route without scores, ranked in the order of their ids."""
+    return routes.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order)))
+
+
+def table_context(claims: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The table around a claim in one of its rows: claim, id, role. claims: claim, table_id, row_no; members: table_id, id,
+    row_no (null for what is no row or cell), text; edges: child, parent. Rows after the claim's row, and all that hangs
+    below them, are later; what only repeats the text of a kept cell above it is repeated; the table itself is context;
+    the rest is kept."""
+    up = graph.ancestors(edges)
+    rows = claims.withColumnRenamed("row_no", "claim_row").join(members, "table_id")
+    structural = rows.filter(F.col("row_no").isNotNull()).withColumn("later", F.col("row_no") > F.col("claim_row"))
+    below = structural.select("claim", F.col("id").alias("ancestor"), "later", F.col("text").alias("above")).join(up.select("node", "ancestor"), "ancestor")
+    loose = rows.filter(F.col("row_no").isNull() & (F.col("id") != F.col("table_id")))
+    met = loose.join(below.select("claim", F.col("node").alias("id"), "later", "above"), ["claim", "id"], "left")
+    role = F.when(F.bool_or(F.coalesce("later", F.lit(False))), "later").when(F.bool_or(F.coalesce(~F.col("later") & (F.col("above") == F.col("text")), F.lit(False))), "repeated").otherwise("kept")
+    out = met.groupBy("claim", "id").agg(role.alias("role"))
+    own = structural.select("claim", "id", F.when(F.col("later"), "later").otherwise("kept").alias("role"))
+    return out.unionByName(own).unionByName(claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
+

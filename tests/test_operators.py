@@ -212,3 +212,47 @@ def test_a_failed_job_waits_and_gives_up():
     pdf = pd.DataFrame([(1, n, at, "w", action, token) for n, (at, action, token) in enumerate(events)], columns=["job", "seq", "at", "owner", "action", "token"])
     out = next(jobs.lease_step((1,), iter([pdf[4:], pdf[:4]]), Once()))
     assert out["verdict"].tolist() == ["claimed", "pending", "refused_waiting", "claimed", "pending", "claimed", "failed", "refused_failed"]
+
+
+def test_ids_are_version_five(spark):
+    import uuid
+
+    from evigrid.functions import ids
+
+    names = ["", "a|0|4", "é中", "x" * 300]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(ids.uuid5("6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94", F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.UUID("6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94"), n)) for n in names]
+
+
+def test_a_reply_with_one_wrong_span_is_refused_whole(spark):
+    from evigrid.operators import claims
+
+    text = "We cut 1,234.5 tonnes. So we say.  "
+    blocks = spark.createDataFrame([(k, 1, "verified", False, text) for k in range(6)] + [(9, 2, "verified", False, "  ")], "source_id int, page int, quality string, fragment boolean, text string")
+    replies = spark.createDataFrame([(k, None) for k in range(7)], "source_id int, failure string")
+    spans = [(0, 0, 22, text[:22], "claim", None), (1, 0, 9, text[:9], "claim", None), (2, 0, 22, "other", "claim", None), (3, 0, 22, text[:22], "excluded", None), (4, 0, 22, text[:22], "unknown", "x"), (4, 20, 26, text[20:26], "unknown", "y")]
+    out = claims.discover(blocks, replies, spark.createDataFrame(spans, "source_id int, start int, end int, quote string, kind string, reason string"), namespace="6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["source_id"], []).append((r["start"], r["end"], r["outcome"], r["reason"]))
+    assert sorted(got[0]) == [(0, 22, "claim", None), (22, 35, "unknown", "unprocessed_span")]
+    assert all(got[k] == [(None, None, "unknown", "MODEL_SPAN_OR_SCHEMA_INVALID")] for k in (1, 2, 3, 4))
+    assert got[5] == [(0, 35, "unknown", "unprocessed_span")] and got[9] == [(None, None, "unknown", "empty_source")]
+
+
+def test_cursors_are_signed():
+    from evigrid.operators import listing
+
+    one = listing.cursor(b"k", ["runs", "t"], 100, 50)
+    assert listing.position_of(b"k", ["runs", "t"], one, 49) == 100
+    for secret, scope, text, now in ((b"x", ["runs", "t"], one, 49), (b"k", ["runs", "u"], one, 49), (b"k", ["runs", "t"], one, 50), (b"k", ["runs", "t"], one.replace("100", "200"), 49)):
+        with pytest.raises(ValueError):
+            listing.position_of(secret, scope, text, now)
+    with pytest.raises(ValueError):
+        listing.frozen_page(None, 0, 101)
+
+
+def test_finite_decimals():
+    from fractions import Fraction
+
+    assert [numeric.terminating(Fraction(a, b)) for a, b in ((1, 8), (1, 3), (-5, 2), (0, 7), (10**20 + 1, 10))] == ["0.125", None, "-2.5", "0", "10000000000000000000.1"]
