@@ -113,6 +113,28 @@ def trim() -> None:
         return
 
 
+#: Texts over this many bytes are worked on in parts.
+LONG = 4 << 20
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def parts(raw: np.ndarray, blanks: bool) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of about LONG bytes of one text: cut at ASCII white space, so that no word is cut (a word
+    that is longer than a part makes it as long), or else at any character."""
+    at = 0
+    while at < len(raw):
+        stop = at + LONG
+        while stop < len(raw):
+            near = raw[stop : stop + 65536]
+            found = np.flatnonzero(_BLANK[near] if blanks else (near & 0xC0) != 0x80)
+            if len(found):
+                stop += int(found[0])
+                break
+            stop += len(near)
+        yield at, min(stop, len(raw))
+        at = stop
+
+
 def text_offsets(col: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     if len(col) == 0:

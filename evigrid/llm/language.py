@@ -168,7 +168,13 @@ class Languages:
         return out, begin[ends]
 
     def phrases(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases [document, language], symbols per document, has a letter)."""
+        """(phrases [document, language], symbols per document, has a letter). A very long text is parsed part by part."""
+        if len(ends) != 2 or len(raw) <= common.LONG:
+            return self._phrases(raw, ends)
+        every = [self._phrases(raw[a:b], np.array([0, b - a])) for a, b in common.parts(raw, False)]
+        return sum(x[0] for x in every), sum(x[1] for x in every), np.logical_or.reduce([x[2] for x in every])
+
+    def _phrases(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         points, at = letters_only(*code_points(raw, ends))
         docs = len(at) - 1
         has = np.bincount(np.repeat(np.arange(docs), np.diff(at)), points != 32, docs) > 0

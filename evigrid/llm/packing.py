@@ -106,6 +106,12 @@ class WordEncoder:
         self.sizes = np.insert(self.sizes, at, size)
         self.pool = np.concatenate([self.pool, ids])
 
+    def encode_one(self, raw: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of one very long text, in parts cut at white space, which no piece crosses."""
+        every = [self.encode([raw[a:b].tobytes().decode("utf-8", "replace")], end_id)[0] for a, b in common.parts(raw, True)]
+        ids = np.concatenate([*(x[:-1] for x in every[:-1]), every[-1]])
+        return ids, np.array([0, len(ids)])
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); end_id follows each text."""
         odd = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
@@ -170,8 +176,9 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         try:
             for batch in common.slices(batches, "text"):
                 raw, ends = common.text_bytes(batch.column("text"))
-                raw = raw.tobytes()
-                ids, at = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], end_id)
+                long = batch.num_rows == 1 and len(raw) > common.LONG
+                whole, raw = raw, raw.tobytes()
+                ids, at = encoder.encode_one(whole, end_id) if long else encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], end_id)
                 data = ids.astype(np.uint16 if small else np.uint32)
                 blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column("id"), batch.column("source"), pa.array(np.diff(at)), blob], ["uid", "id", "source", "n", "ids"])

@@ -72,7 +72,17 @@ class Threshold:
 
 
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(full hashes, 52-bit hashes, offsets) of the distinct shingles of at most 4096 documents, sorted within each."""
+    """(full hashes, 52-bit hashes, offsets) of the distinct shingles of at most 4096 documents, sorted within each. A very
+    long text is worked on in parts that share words - 1 words."""
+    if len(ends) != 2 or len(raw) <= common.LONG:
+        return _sets(raw, ends, words)
+    every = [_sets(raw[a:b], np.array([0, b - a]), words) for a, b in _overlapping(raw, words)]
+    full, short = (np.concatenate([x[k] for x in every]) for k in (0, 1))
+    short, pick = np.unique(short, return_index=True)
+    return full[pick], short, np.array([0, len(short)])
+
+
+def _sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs = len(ends) - 1
     raw = _LOWER[raw]
     start, end, doc = word_spans(raw, ends)
@@ -99,6 +109,17 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndar
     return key[pick], packed & np.uint64((1 << 52) - 1), np.concatenate([[0], np.cumsum(size)])
 
 
+def _overlapping(raw: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """Parts of one text; each begins with the last words - 1 words of the one before, and has words of its own."""
+    begin = 0
+    for _, stop in common.parts(raw, True):
+        own, _, _ = word_spans(raw[begin:stop], np.array([0, stop - begin]))
+        if len(own) < (2 * words if stop < len(raw) else words if begin else 0):
+            continue  # too few words: the next part takes them along, or there are no new ones
+        yield begin, stop
+        begin += int(own[1 - words]) if words > 1 and len(own) >= words else stop - begin
+
+
 def part_counts(short: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Shingles of each document in each of COUNTS parts of the domain, at most 255."""
     docs = len(at) - 1

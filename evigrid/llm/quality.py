@@ -7,7 +7,8 @@ matrices of a fixed size, not rows. A fifth of the training rows is kept for the
 
 Defined results: null and empty texts have all-zero counts and get a score like any other; repeated rows are scored
 each; a document with several labels counts with their mean; null labels and labels of unknown documents are ignored;
-without any usable label every score is 0.5; extra columns are dropped.
+without any usable label every score is 0.5; with labels of one kind only, every score is that label; extra columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -48,25 +49,39 @@ def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def statistics(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The STATS of each document, as float64 [document, statistic]."""
+    """The STATS of each document, as float64 [document, statistic]. A very long text is counted in parts, which adds
+    nothing to the counts but that a word is not compared with the last one of the part before."""
+    if len(ends) != 2 or len(raw) <= common.LONG:
+        sums, _ = _counts(raw, ends)
+    else:
+        every = [_counts(raw[a:b], np.array([0, b - a])) for a, b in common.parts(raw, True)]
+        sums = np.sum([x[0] for x in every], axis=0)
+        sums[:, -1] = len(np.unique(np.concatenate([x[1] for x in every])))
+    count = sums[:, :13]
+    words, total, squares, again, clean, capital, size, distinct = sums[:, 13:].T
+    each, chars = np.maximum(words, 1), np.maximum(size, 1)
+    mean = total / each
+    letters = np.maximum(count[:, 1] + count[:, 2], 1)
+    return np.stack([np.log1p(size), np.log1p(words), mean, np.sqrt(np.maximum(squares / each - mean**2, 0)), count[:, 2] / letters, count[:, 3] / chars, count[:, 6] / each, count[:, 7] / each, count[:, 8] / each, count[:, 9] / each, count[:, 10] / each, count[:, 5] / each, again / each, distinct / each, count[:, 11] / chars, count[:, 12] / chars, clean / each, capital / each], axis=1)
+
+
+def _counts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of each document: 13 classes of bytes, words, their bytes, squares of these, repeated neighbours, clean ends,
+    capitals, bytes, distinct words; keys of the distinct words)."""
     docs = len(ends) - 1
     doc_of = np.repeat(np.arange(docs), np.diff(ends))
     count = np.bincount(doc_of * 13 + _CLASS[raw], minlength=docs * 13).reshape(docs, 13).astype(float)
     start, end, doc = word_spans(raw, ends)
-    words = np.bincount(doc, minlength=docs).astype(float)
     size = (end - start).astype(float)
-    total, squares = np.bincount(doc, size, docs), np.bincount(doc, size * size, docs)
-    each = np.maximum(words, 1)
-    mean = total / each
     key = common.span_hash(common.prefix_hash(raw), start, end) >> np.uint64(24) | (doc.astype(np.uint64) << np.uint64(40))
     again = np.bincount(doc[1:][key[1:] == key[:-1]], minlength=docs) if len(key) else np.zeros(docs)
-    distinct = np.bincount((np.unique(key) >> np.uint64(40)).astype(np.int64), minlength=docs)
+    keys = np.unique(key)
+    distinct = np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=docs)
     last = _CLASS[raw[end - 1]] if len(end) else np.zeros(0, np.int64)
     clean = np.bincount(doc, np.isin(last, (1, 2, 9, 10, 12)).astype(float), docs)
     capital = np.bincount(doc, (_CLASS[raw[start]] == 2).astype(float) if len(start) else None, docs)
-    chars = np.maximum(np.diff(ends), 1)
-    letters = np.maximum(count[:, 1] + count[:, 2], 1)
-    return np.stack([np.log1p(np.diff(ends)), np.log1p(words), mean, np.sqrt(np.maximum(squares / each - mean**2, 0)), count[:, 2] / letters, count[:, 3] / chars, count[:, 6] / each, count[:, 7] / each, count[:, 8] / each, count[:, 9] / each, count[:, 10] / each, count[:, 5] / each, again / each, distinct / each, count[:, 11] / chars, count[:, 12] / chars, clean / each, capital / each], axis=1)
+    rest = [np.bincount(doc, minlength=docs), np.bincount(doc, size, docs), np.bincount(doc, size * size, docs), again, clean, capital, np.diff(ends), distinct]
+    return np.hstack([count, np.stack(rest, axis=1).astype(float)]), keys
 
 
 def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +196,7 @@ def crc_of(col: str) -> Column:
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and x, the array of STATS, per row; staged, as fitting and scoring both read it."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return common.staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stats_of, f"id {kind}, x array<double>"), "quality-stats")
+    return common.staged(common.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stats_of, f"id {kind}, x array<double>"), "quality-stats")
 
 
 def learnt(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str) -> Model | None:

@@ -318,3 +318,30 @@ def test_normal_forms_do_not_split_letters():
     raw = text.encode()
     _, _, has = own.phrases(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert has.tolist() == [True]
+
+
+# --- very long texts -------------------------------------------------------------------------------------------------
+
+
+def test_parts_of_long_texts_change_nothing(monkeypatch):
+    from evigrid.llm import common
+
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdeé中 ") for _ in range(rng.choice([1, 3, 9, 300]))) + rng.choice(["", "\n", ".", "!"]) for _ in range(2500)) + "  "
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    own = language.Languages({"a": "abcd é abba", "b": "eeé 中 aab"})
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    want = partenum.shingle_sets(raw, ends, 4), quality.statistics(raw, ends), own.phrases(raw, ends), encoder.encode([text], 1)[0]
+    for long in (700, 2_000, 40_000):
+        monkeypatch.setattr(common, "LONG", long)
+        got = partenum.shingle_sets(raw, ends, 4)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want[0], strict=True))
+        again = quality.STATS.index("repeats")
+        assert np.allclose(np.delete(quality.statistics(raw, ends), again, 1), np.delete(want[1], again, 1))
+        phrases, size, has = own.phrases(raw, ends)
+        assert (np.abs(phrases - want[2][0]) <= 2 * len(raw) / long + 2 * len(text) / language.BLOCK).all() and has.all()
+        assert np.array_equal(encoder.encode_one(raw, 1)[0], want[3])
+    few = np.frombuffer(b"word " * 3, np.uint8)
+    monkeypatch.setattr(common, "LONG", 4)
+    assert len(partenum.shingle_sets(few, np.array([0, len(few)]), 4)[1]) == 1
