@@ -100,3 +100,19 @@ def classification_report(rows: DataFrame, truth: str, predicted: str, labels: S
     top = F.greatest(*[F.col(f"t{k}") for k in range(len(labels))]) if len(labels) > 1 else F.col("t0")
     share = lambda c: F.try_divide(c.cast("double"), F.nullif(F.col("n"), F.lit(0)))
     return x.select("n", share(F.col("made")).alias("coverage"), share(F.col("right")).alias("accuracy"), share(top).alias("majority"), mean_f1("t").alias("macro_f1"), mean_f1("s").alias("selective_f1"))
+
+
+def search_complete(searched: Column, readable: Column, unreadable: Column, pages: Column) -> Column:
+    """Was every page 1 to `pages` searched and readable, in order, and none unreadable? Only then a miss is an absence."""
+    expected = F.when(pages > 0, F.sequence(F.lit(1), pages.cast("int"))).otherwise(F.array().cast("array<int>"))
+    plain = lambda c: F.transform(c, lambda x: x.cast("int"))
+    return F.coalesce((plain(searched) == expected) & (plain(readable) == expected) & (F.size(unreadable) == 0), F.lit(False))
+
+
+def ranked_evidence(pages: DataFrame, claims: DataFrame, by: Sequence[str], page: str, priority: str, density: str, cap: int = 30) -> DataFrame:
+    """by, page, place: the claims' own pages first, in order, then pages by priority and density, `cap` in all per group.
+    The rank limit runs map-side first."""
+    own = claims.select(*by, page).distinct().withColumn("_own", F.lit(0))
+    every = pages.join(own, [*by, page], "left")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("_own"), F.when(F.col("_own").isNull(), F.col(priority)).asc(), F.when(F.col("_own").isNull(), F.col(density)).desc(), page))
+    return every.withColumn("place", rank).filter(F.col("place") <= cap).select(*by, page, "place")

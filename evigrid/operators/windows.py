@@ -61,10 +61,10 @@ def running_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], amo
     return F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) <= limit
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
-    """The value at place ceil(share * n) of the ascending order, without interpolation."""
-    rank, n = F.row_number().over(Window.partitionBy(*keys).orderBy(value)), F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("_r", rank).withColumn("_n", n).filter(F.col("_r") == F.ceil(F.col("_n") * share)).select(*keys, value)
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, share: float) -> DataFrame:
+    """by, value: the value at place ceil(share * n) of each group's order. Values are counted map-side, so a large group
+    is not sorted in one task."""
+    return df.groupBy(*by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(value))
 
 
 def interleave(df: DataFrame, kind: str, order: Sequence[str], each: int, most: int) -> DataFrame:

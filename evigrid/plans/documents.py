@@ -128,6 +128,18 @@ def f6_batch(spark, d):
     return records.batch(x, table(spark, d, "labels").select("doc_id"), "doc_id", ["n_chars", "doc_id"], 50)
 
 
+def f11_search_complete(spark, d):
+    """Turns as pages of a conversation; long ones are readable."""
+    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max(F.char_length("text")).alias("n"))
+    sets = c.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.col("turn") + 1)).alias("searched"), F.array_sort(F.collect_set(F.when(F.col("n") > 30, F.col("turn") + 1))).alias("readable"), F.max(F.col("turn") + 1).alias("pages"))
+    return sets.select("conv_id", records.search_complete(F.col("searched"), F.col("readable"), F.array_except("searched", "readable"), F.col("pages")).alias("complete"))
+
+
+def t4_ranked_evidence(spark, d):
+    x = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("lang") == "en", 1).otherwise(2).alias("priority"), "n_chars")
+    return records.ranked_evidence(x, x.filter("doc_id % 50 = 0"), ["source"], "doc_id", "priority", "n_chars")
+
+
 def a17_report(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("quality").cast("string").alias("t"), F.when(F.col("doc_id") % 9 == 0, None).when(F.col("text").rlike(r"!!|\*\*\*"), "0").otherwise("1").alias("p"))
     out = records.classification_report(x, "t", "p", ["0", "1"])
@@ -187,6 +199,8 @@ SELECT o_custkey, seq, expected, resolution, met, CASE WHEN expected = met THEN
     "r3_nearest_section": (r3_nearest_section, "SELECT 's' || s_suppkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey WHEN r_regionkey < 3 THEN 'r' || r_regionkey ELSE '-' END AS section, CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN r_regionkey < 3 THEN r_name ELSE '-' END AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "j26_bound_facts": (j26_bound_facts, "WITH o AS (SELECT o_orderkey, o_orderstatus AS raw, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS unit, o_custkey AS kind FROM orders) SELECT o_orderkey, EXISTS (SELECT 1 FROM o b WHERE b.o_orderkey % 2 = 0 AND b.raw = a.raw AND b.unit IS NOT DISTINCT FROM a.unit AND b.kind = a.kind) AS bound FROM o a"),
     "f6_batch": (f6_batch, "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY n_chars, doc_id LIMIT 50"),
+    "f11_search_complete": (f11_search_complete, "WITH c AS (SELECT conv_id, turn, max(length(text)) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, count(*) = max(turn) + 1 AND min(turn) = 0 AND min(n) > 30 AS complete FROM c GROUP BY 1"),
+    "t4_ranked_evidence": (t4_ranked_evidence, "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 50 <> 0, CASE WHEN doc_id % 50 <> 0 THEN CASE WHEN lang = 'en' THEN 1 ELSE 2 END END, CASE WHEN doc_id % 50 <> 0 THEN n_chars END DESC, doc_id) AS place FROM documents QUALIFY place <= 30"),
     "a17_report": (a17_report, r"""WITH x AS (SELECT quality AS t, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN regexp_matches(text, '!!|\*\*\*') THEN 0 ELSE 1 END AS p FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT count(*) AS n, count(p) AS made, count(*) FILTER (t = p) AS hit, count(*) FILTER (t = 0) AS t0, count(*) FILTER (t = 1) AS t1, count(*) FILTER (p = 0) AS p0, count(*) FILTER (p = 1) AS p1, count(*) FILTER (t = 0 AND p = 0) AS h0, count(*) FILTER (t = 1 AND p = 1) AS h1, count(*) FILTER (t = 0 AND p IS NOT NULL) AS s0, count(*) FILTER (t = 1 AND p IS NOT NULL) AS s1 FROM x)
 SELECT n, round(made / n, 6) AS coverage, round(hit / n, 6) AS accuracy, round(greatest(t0, t1) / n, 6) AS majority, round((2.0 * h0 / (t0 + p0) + 2.0 * h1 / (t1 + p1)) / 2, 6) AS macro_f1, round((2.0 * h0 / (s0 + p0) + 2.0 * h1 / (s1 + p1)) / 2, 6) AS selective_f1 FROM c"""),

@@ -256,3 +256,11 @@ def test_finite_decimals():
     from fractions import Fraction
 
     assert [numeric.terminating(Fraction(a, b)) for a, b in ((1, 8), (1, 3), (-5, 2), (0, 7), (10**20 + 1, 10))] == ["0.125", None, "-2.5", "0", "10000000000000000000.1"]
+
+
+def test_fusion_takes_the_first_group_that_fits(spark):
+    schema = "doc long, page int, kind string, id long, parser string, x0 double, y0 double, x1 double, y1 double, text string"
+    rows = [(1, 1, "p", 1, "a", 0.0, 0.0, 10.0, 10.0, "t"), (1, 1, "p", 2, "b", 0.0, 0.0, 10.0, 9.0, "t"), (1, 1, "p", 3, "c", 0.0, 1.0, 10.0, 10.0, "u"), (1, 1, "p", 4, "b", 50.0, 0.0, 60.0, 10.0, "v"), (1, 1, "q", 5, "b", 0.0, 0.0, 10.0, 10.0, "t")]
+    out = sorted((r["kind"], r["first_id"], r["members"], r["winner"], r["issue"]) for r in geometry.fuse(spark.createDataFrame(rows, schema)).collect())
+    # 3 overlaps 2 by 8/10 and 1 by 9/10, so it joins them; its text differs
+    assert out == [("p", 1, 3, None, "text_conflict"), ("p", 4, 1, 4, None), ("q", 5, 1, 5, None)]
