@@ -38,3 +38,26 @@ def inventory_state(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Conflict before all; unanimous positives are present; an uncovered source is unknown; else absent in the scope."""
     agg = votes.groupBy(*keys).agg(F.bool_or(F.col("state") == "conflict").alias("c"), F.bool_and(F.col("state") == "present").alias("p"), F.bool_or(F.col("state").isin("unknown", "missing")).alias("u"), F.bool_or(F.col("state") == "present").alias("some"))
     return agg.select(*keys, F.when(F.col("c") | (F.col("some") & ~F.col("p") & ~F.col("u")), "conflict").when(F.col("p"), "present").when(F.col("u"), "unknown").otherwise("absent_in_scope").alias("inventory"))
+
+
+#: Profiles of partial_facts: is a unanimous conflict kept, and one that only some replicas could report?
+PROFILES = {"v1": (False, False), "v2": (True, False), "v3": (True, True)}
+
+
+def partial_facts(votes: DataFrame, keys: Sequence[str], profile: str = "v3", replicas: int = 3) -> DataFrame:
+    """keys, state, agreement of each element that guarded replicas voted on. votes: keys, replicate, state, value,
+    binding, scope, verified, a row per replicate that did not fail. Several different votes are a conflict; a failed
+    replicate leaves the element unknown; present needs every vote bound and verified; and as no vote has authority over
+    what was not found, absence stays unknown."""
+    unanimous, surviving = PROFILES[profile]
+    ballot = ["state", "value", "binding", "scope"]
+    cells = votes.groupBy(*keys, *ballot).agg(F.count("*").alias("n"), F.bool_and(F.coalesce("verified", F.lit(False))).alias("fine"))
+    per = cells.groupBy(*keys).agg(
+        F.count("*").alias("_kinds"), F.sum("n").alias("_votes"), F.max("n").alias("agreement"), F.bool_or(F.col("state") == "conflict").alias("_conflict"), F.min("state").alias("_state"),
+        F.bool_and(F.col("binding").isNotNull()).alias("_bound"), F.bool_and("fine").alias("_fine"),
+    )
+    state = (
+        F.when(F.col("_kinds") > 1, "conflict").when(F.lit(surviving) & F.col("_conflict"), "conflict").when(F.col("_votes") < replicas, "unknown").when((F.col("_state") == "present") & F.col("_bound") & F.col("_fine"), "present")
+        .when(F.lit(unanimous) & F.col("_conflict"), "conflict").otherwise("unknown")
+    )
+    return per.select(*keys, state.alias("state"), "agreement")

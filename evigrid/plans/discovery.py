@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import periods as D
 from evigrid.functions import text as T
-from evigrid.operators import claims, ladder, listing, numeric
+from evigrid.operators import claims, ladder, listing, numeric, votes
 from evigrid.operators import retrieval as R
 from evigrid.plans import decisions, retrieval
 from evigrid.sources.tables import table
@@ -260,6 +260,26 @@ CASE WHEN final = 'blocked_evidence' AND eopen = '' THEN floor ELSE '-' END AS f
 array_to_string(list_sort(list_distinct(list_filter(string_split(egaps, ',') || [CASE WHEN status = 'blocked_rule_gap' AND override = '-' THEN 'GAP-007' ELSE '' END, CASE WHEN own IN ('E1', 'E2') AND NOT sample THEN 'GAP-005' ELSE '' END], lambda x: x <> ''))), ',') AS gaps, missing, every AS unresolved, excluded, rules FROM n"""
 
 
+def a4_partial_facts(spark, d):
+    """Lines as votes of three replicas on elements of an order; some replicas fail, some votes are not bound."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    state = F.when(k % 7 == 0, "conflict").when(k % 5 == 0, "absent").when(k % 4 == 0, "unknown").when((k % 3 == 0) & (n % 3 == 2), "absent").otherwise("present")
+    votes_ = li.filter((k % 11 != 0) | (n % 3 != 1)).select(
+        "l_orderkey", F.floor((n - 1) / 3).cast("int").alias("element"), (n % 3).alias("replicate"), state.alias("state"), F.when(state == "present", "v").alias("value"), F.when(k % 13 != 0, "b").alias("binding"), F.lit("local_claim").alias("scope"), ((k % 17 != 0) | (n % 3 != 0)).alias("verified"),
+    )
+    out = None
+    for profile in votes.PROFILES:
+        own = votes.partial_facts(votes_, ["l_orderkey", "element"], profile).withColumn("profile", F.lit(profile))
+        out = own if out is None else out.union(own)
+    return out
+
+
+A4 = """WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), v AS (SELECT k, (n - 1) // 3 AS element, n, CASE WHEN k % 7 = 0 THEN 'conflict' WHEN k % 5 = 0 THEN 'absent' WHEN k % 4 = 0 THEN 'unknown' WHEN k % 3 = 0 AND n % 3 = 2 THEN 'absent' ELSE 'present' END AS state FROM l WHERE k % 11 <> 0 OR n % 3 <> 1),
+a AS (SELECT k, element, count(*) AS votes, count(DISTINCT state) AS kinds, min(state) AS state, bool_and(k % 17 <> 0 OR n % 3 <> 0) AS fine, greatest(count(*) FILTER (state = 'present'), count(*) FILTER (state = 'absent'), count(*) FILTER (state IN ('unknown', 'conflict'))) AS agreement FROM v GROUP BY 1, 2)
+SELECT k AS l_orderkey, element, CASE WHEN kinds > 1 THEN 'conflict' WHEN profile = 'v3' AND state = 'conflict' THEN 'conflict' WHEN votes < 3 THEN 'unknown' WHEN state = 'present' AND k % 13 <> 0 AND fine THEN 'present' WHEN profile <> 'v1' AND state = 'conflict' THEN 'conflict' ELSE 'unknown' END AS state, agreement, profile
+FROM a CROSS JOIN (VALUES ('v1'), ('v2'), ('v3')) AS p(profile)"""
+
 #: Texts that state a period, by key modulo 7.
 PROSE = ("Report of 2024-01-01 ~ 2024-12-31.", "대상 기간은 2023년 1월 1일부터 12월 31일까지입니다.", "FY 2022 and fiscal year 2021", "January 1, 2020 to December 31, 2021", "2024년 3월부터 2024년 5월 까지", "2024.13.01 - 2024.14.02", "no period")
 PROSE_SQL = "(VALUES (0, DATE '2024-01-01', DATE '2024-12-31', 'date_range', 0), (1, DATE '2023-01-01', DATE '2023-12-31', 'date_range', 0), (2, DATE '2022-01-01', DATE '2022-12-31', 'fiscal_year_calendar', 0), (2, DATE '2021-01-01', DATE '2021-12-31', 'fiscal_year_calendar', 1), (3, DATE '2020-01-01', DATE '2021-12-31', 'date_range', 0), (4, DATE '2024-03-01', DATE '2024-05-31', 'month_range', 0)) AS t(m, a, b, kind, nth)"
@@ -333,6 +353,7 @@ SELECT run, CAST(spent AS DOUBLE) AS run_total, CAST(d AS DOUBLE) AS day_total,
     "p11_exceptions_performance": (_exceptions("performance"), _exceptions_sql("performance")),
     "p11_exceptions_management": (_exceptions("management"), _exceptions_sql("management")),
     "p10_goal_decision": (p10_goal_decision, _goal_decision_sql()),
+    "a4_partial_facts": (a4_partial_facts, A4),
     "x23_prose_periods": (x23_prose_periods, f"SELECT o_orderkey, nth, CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS \"end\", kind FROM orders JOIN {PROSE_SQL} ON o_orderkey % 7 = m"),
     "p26_detected_period": (p26_detected_period, f"WITH c AS (SELECT o_custkey, a, CASE WHEN o_orderkey % 35 <> 1 THEN b END AS b FROM orders JOIN {PROSE_SQL} ON o_orderkey % 7 = m), g AS (SELECT o_custkey, count(DISTINCT CASE WHEN b IS NOT NULL THEN a || '/' || b END) AS n, bool_or(b IS NULL) AS open, min(a) AS a, min(b) AS b FROM c GROUP BY 1) SELECT o_custkey, CASE WHEN n = 1 AND NOT open THEN 'detected' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND NOT open THEN CAST(a AS VARCHAR) ELSE '-' END AS start, CASE WHEN n = 1 AND NOT open THEN CAST(b AS VARCHAR) ELSE '-' END AS \"end\" FROM g"),
     "x12_notes": (x12_notes, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'tCO2e' WHEN 1 THEN '천 kWh' WHEN 6 THEN '%p' ELSE '-' END AS unit, CASE p_partkey % 8 WHEN 3 THEN 'Scope 2' WHEN 4 THEN 'Scope 1' ELSE '-' END AS scope, CASE p_partkey % 8 WHEN 7 THEN 2023 ELSE -1 END AS year FROM part"),
