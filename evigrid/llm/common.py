@@ -68,8 +68,9 @@ def clear_staged(keep: set[str] | None = None) -> None:
     _staged[:] = [x for x in _staged if x not in own]
 
 
-def staged_paths() -> set[str]:
-    return {path for _, path, _ in _staged}
+def staged_paths() -> list[str]:
+    """The paths of the tables that are staged now, the newest last."""
+    return [path for _, path, _ in _staged]
 
 
 def input_bytes(df: DataFrame) -> int:
