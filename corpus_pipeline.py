@@ -77,10 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each result written as Parquet and read again. What a stage has staged for
     itself is removed as soon as its result is written, and that result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(common.staged_paths())
     for name, stage in STAGES[:-1]:
-        before = common.staged_paths()
         docs = common.staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        here = set(docs.inputFiles()[:1])
-        keep = {p for p in common.staged_paths() - before if any(p.split("/")[-1] in f for f in here)}
-        common.clear_staged(keep | {p for p in before if "/stage-" not in p})
+        common.clear_staged({*others, common.staged_paths()[-1]})
     return STAGES[-1][1](spark, docs, sf_dir)
