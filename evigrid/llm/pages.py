@@ -31,6 +31,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from zlib import crc32
 
@@ -77,11 +78,19 @@ class Node:
     @property
     def sign(self) -> str:
         """Tag, role and names; numbers in names tell pages apart, not places."""
-        own = ".".join(_NUMBER.sub("0", n) for n in self.names)
-        return f"{self.tag}#{self.role}.{own}"
+        return _sign(self.tag, self.role, self.names)
 
 
 _NUMBER = re.compile("[0-9]+")
+#: What is known of element signs is kept; a task meets few.
+KNOWN_SIGNS = 20_000
+
+
+@lru_cache(KNOWN_SIGNS)
+def _sign(tag: str, role: str, names: tuple[str, ...]) -> str:
+    return f"{tag}#{role}." + ".".join(_NUMBER.sub("0", n) for n in names)
+
+
 INLINE_ALIKE = frozenset("a b i em strong span u s small sub sup code mark q cite abbr time br wbr font tt kbd var ins del img".split())
 
 
@@ -347,10 +356,12 @@ def _merge(final: bool) -> Callable[[pa.Table], pa.Table]:
 SALTS = 64
 
 
+@lru_cache(KNOWN_SIGNS)
 def tag_of(sign: str) -> str:
     return sign[: sign.index("#", 1)]
 
 
+@lru_cache(KNOWN_SIGNS)
 def never(sign: str) -> bool:
     """Elements that HTML defines as no part of the text around them."""
     role = sign[sign.index("#", 1) + 1 :].split(".", 1)[0]
@@ -361,6 +372,7 @@ def names_of(sign: str) -> set[str]:
     return {word for name in sign[sign.index("#", 1) + 1 :].split(".")[1:] for word in (name, *re.split("[-_]+", name))}
 
 
+@lru_cache(KNOWN_SIGNS)
 def marked(sign: str) -> bool:
     """Does a name (or a form) mark the element as no part of an article?"""
     return tag_of(sign) == "form" or (tag_of(sign) not in ("body", "html", "main", "article") and not NAMES.isdisjoint(names_of(sign)))
@@ -372,6 +384,7 @@ def holds(slot: Slot) -> bool:
     return any(tag_of(k.sign) not in TABLES or holds(k) for k in slot.kids) if tag in TABLES else tag not in TEXTUAL
 
 
+@lru_cache(KNOWN_SIGNS)
 def leaning(sign: str) -> float:
     """What names break ties with."""
     if marked(sign):
