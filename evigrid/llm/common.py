@@ -116,7 +116,7 @@ def trim() -> None:
 
 #: Texts over this many bytes are worked on in parts.
 LONG = 4 << 20
-_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 def parts(raw: np.ndarray, blanks: bool) -> Iterator[tuple[int, int]]:
@@ -127,7 +127,7 @@ def parts(raw: np.ndarray, blanks: bool) -> Iterator[tuple[int, int]]:
         stop = at + LONG
         while stop < len(raw):
             near = raw[stop : stop + 65536]
-            found = np.flatnonzero(_BLANK[near] if blanks else (near & 0xC0) != 0x80)
+            found = np.flatnonzero(BLANK[near] if blanks else (near & 0xC0) != 0x80)
             if len(found):
                 stop += int(found[0])
                 break
@@ -154,6 +154,26 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+class WordIds(dict[bytes, int]):
+    """word -> number, in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_codes(raw: np.ndarray, ends: np.ndarray, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, text of each word) of texts cut at ASCII white space; a long text is cut part by part."""
+    codes, size = [np.zeros(0, np.int64)], np.zeros(len(ends) - 1, np.int64)
+    number = ids.__getitem__
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        for c, d in parts(raw[a:b], True) if b - a > LONG else [(0, b - a)]:
+            words = raw[a + c : a + d].tobytes().split()
+            codes.append(np.fromiter(map(number, words), np.int64, len(words)))
+            size[k] += len(words)
+    return np.concatenate(codes), np.repeat(np.arange(len(size)), size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (xor-shift and multiply rounds)."""
     x = x ^ (x >> np.uint64(32))
