@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrid.functions import ids
@@ -44,7 +44,8 @@ def discover(blocks: DataFrame, replies: DataFrame, spans: DataFrame, *, namespa
 
     blocks: source_id, page, quality, fragment, text; replies: source_id, failure (null if there are spans); spans:
     source_id, start, end, quote, kind, reason; pages: the declared subset, all if None. A block gets one row with the
-    first reason that keeps it out, or a row for each span and for each stretch that no span covers."""
+    first reason that keeps it out, or a row for each span and for each stretch that no span covers. Reasons, kinds and
+outcomes are fixed values."""
     outside = F.lit(False) if pages is None else ~F.col("page").isin(*pages)
     state = F.when(F.col("quality") == "conflicted", "conflict").when(F.col("quality") == "unreadable", "unreadable").otherwise("unknown")
     answered = replies.select("source_id", "failure", F.lit(True).alias("answered"))
@@ -55,22 +56,27 @@ def discover(blocks: DataFrame, replies: DataFrame, spans: DataFrame, *, namespa
         .when(~F.coalesce(F.col("quality").isin("verified", "unverified"), F.lit(False)), out(F.coalesce("quality", F.lit("unknown")), state)).when(F.coalesce(blank(F.col("text")), F.lit(True)), out("empty_source", "unknown"))
         .when(F.col("answered").isNull(), out("extraction_failed", "unknown")).when(F.col("failure").isNotNull(), out(F.coalesce("failure", F.lit("")), "unknown"))
     )
-    b = b.withColumn("_first", first)
-    none = F.lit(None)
-    shut = b.filter("_first is not null").select("source_id", "page", none.cast("int").alias("start"), none.cast("int").alias("end"), "_first.outcome", "_first.reason", none.cast("string").alias("quote"))
-    opened = b.filter("_first is null").select("source_id", "page", "text")
-    # a closing mark at the end of each text lets the last gap be found like any other
-    marks = opened.select("source_id", "page", "text", F.char_length("text").alias("start"), F.char_length("text").alias("end"), none.cast("string").alias("quote"), F.lit("end").alias("kind"), none.cast("string").alias("reason"))
-    given = opened.join(spans, "source_id").select("source_id", "page", "text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "quote", "kind", "reason")
-    order = Window.partitionBy("source_id").orderBy("start", "end", F.col("kind") == "end")
-    every = given.unionByName(marks).withColumn("_cursor", F.coalesce(F.lag("end").over(order), F.lit(0)))
-    fine = (F.col("kind") == "end") | (span_fine(F.col("text"), F.col("start"), F.col("end"), F.col("quote"), F.col("kind"), F.col("reason")) & (F.col("_cursor") <= F.col("start")))
-    every = every.withColumn("_fine", F.min(F.coalesce(fine, F.lit(False))).over(Window.partitionBy("source_id")))
-    refused = every.filter("not _fine and kind = 'end'").select("source_id", "page", none.cast("int").alias("start"), none.cast("int").alias("end"), F.lit("unknown").alias("outcome"), F.lit("MODEL_SPAN_OR_SCHEMA_INVALID").alias("reason"), none.cast("string").alias("quote"))
-    sound = every.filter("_fine")
-    told = sound.filter("kind <> 'end'").select("source_id", "page", "start", "end", F.col("kind").alias("outcome"), "reason", "quote")
-    between = F.substring("text", F.col("_cursor") + 1, F.col("start") - F.col("_cursor"))
-    gaps = sound.filter((F.col("_cursor") < F.col("start")) & ~blank(between)).select("source_id", "page", F.col("_cursor").alias("start"), F.col("start").alias("end"), F.lit("unknown").alias("outcome"), F.lit("unprocessed_span").alias("reason"), between.alias("quote"))
-    out = shut.unionByName(refused).unionByName(told).unionByName(gaps)
+    b = b.withColumn("_first", first).select("source_id", "page", "text", "_first")
+    # a block's spans in one sorted array: neighbours in it tell the cursor and the gaps, and nothing is put together
+    # again after it was shuffled
+    given = spans.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "quote", "kind", "reason"))).alias("spans"))
+    b = b.join(given, "source_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(given.schema["spans"].dataType)))
+    text, size = F.col("text"), F.char_length("text")
+    cursor = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+    fine = F.forall(F.transform("spans", lambda x, i: span_fine(text, x["start"], x["end"], x["quote"], x["kind"], x["reason"]) & F.coalesce(cursor(i) <= x["start"], F.lit(False))), lambda x: x)
+
+    def row(start: Column, end: Column, outcome: Column, reason: Column, quote: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), outcome.alias("outcome"), reason.alias("reason"), quote.cast("string").alias("quote"))
+
+    none, unknown = F.lit(None), F.lit("unknown")
+    borders = F.concat(F.transform("spans", lambda x, i: F.struct(cursor(i).alias("a"), x["start"].alias("b"))), F.array(F.struct(F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).alias("a"), size.alias("b"))))
+    between = lambda g: F.substring(text, g["a"] + 1, g["b"] - g["a"])
+    gaps = F.transform(F.filter(borders, lambda g: (g["a"] < g["b"]) & ~blank(between(g))), lambda g: row(g["a"], g["b"], unknown, F.lit("unprocessed_span"), between(g)))
+    told = F.transform("spans", lambda x: row(x["start"], x["end"], x["kind"], x["reason"], x["quote"]))
+    rows = (
+        F.when(F.col("_first").isNotNull(), F.array(row(none, none, F.col("_first.outcome"), F.col("_first.reason"), none)))
+        .when(~fine, F.array(row(none, none, unknown, F.lit("MODEL_SPAN_OR_SCHEMA_INVALID"), none))).otherwise(F.concat(told, gaps))
+    )
+    found = b.select("source_id", "page", F.explode(rows).alias("r")).select("source_id", "page", "r.*")
     name = F.concat_ws("|", F.col("source_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), F.sha2(F.col("quote"), 256))
-    return out.withColumn("claim_id", F.when(F.col("outcome") == "claim", ids.uuid5(namespace, name)))
+    return found.withColumn("claim_id", F.when(F.col("outcome") == "claim", ids.uuid5(namespace, name)))

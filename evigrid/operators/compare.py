@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigrid.operators import sizing
+
 
 def compare(current: DataFrame, prior: DataFrame, keys: Sequence[str], content: str, id_col: str) -> DataFrame:
     """keys, current_id, prior_id, change and reason. Keys are counted on both sides first: of a key that is unique on both
@@ -25,10 +27,11 @@ def compare(current: DataFrame, prior: DataFrame, keys: Sequence[str], content:
     unclear = both.filter(several).select(*keys)
     none = F.lit(None).cast(current.schema[id_col].dataType)
     rest = [F.lit("ambiguous").alias("change"), F.lit("comparison_key_not_unique").alias("reason")]
-    return (
-        single.unionByName(current.join(unclear, list(keys), "left_semi").select(*keys, F.col(id_col).alias("current_id"), none.alias("prior_id"), *rest))
-        .unionByName(prior.join(unclear, list(keys), "left_semi").select(*keys, none.alias("current_id"), F.col(id_col).alias("prior_id"), *rest))
-    )
+    return sizing.together(
+        single,
+        current.join(unclear, list(keys), "left_semi").select(*keys, F.col(id_col).alias("current_id"), none.alias("prior_id"), *rest),
+        prior.join(unclear, list(keys), "left_semi").select(*keys, none.alias("current_id"), F.col(id_col).alias("prior_id"), *rest),
+    )
 
 
 def versions_verdict(current: DataFrame, prior: DataFrame, company: str, year: str) -> DataFrame:

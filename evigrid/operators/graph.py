@@ -23,7 +23,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
         rounds += 1
         found = newest.join(step, F.col("ancestor") == F.col("at")).select("node", F.col("next").alias("ancestor")).distinct()
         newest = sizing.settled(found.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(rounds)))
-        every = every.unionByName(newest)
+        every = sizing.together(every, newest)
     return every
 
 
@@ -31,15 +31,15 @@ def bundles(blocks: DataFrame, edges: DataFrame, attached: DataFrame) -> DataFra
     """For each block: itself, its ancestors, and what is attached (captions, footnotes) to any of these. blocks: id;
     attached: id, target. Returns root, member."""
     own = blocks.select(F.col("id").alias("root"), F.col("id").alias("member"))
-    core = own.union(ancestors(edges).select(F.col("node").alias("root"), F.col("ancestor").alias("member")).join(blocks.select(F.col("id").alias("root")), "root", "left_semi"))
+    core = sizing.together(own, ancestors(edges).select(F.col("node").alias("root"), F.col("ancestor").alias("member")).join(blocks.select(F.col("id").alias("root")), "root", "left_semi"))
     extra = core.join(attached.select(F.col("target").alias("member"), F.col("id").alias("extra")), "member").select("root", F.col("extra").alias("member"))
-    return core.union(extra).distinct()
+    return sizing.together(core, extra).distinct()
 
 
 def note_targets(roots: DataFrame, parents: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes that hold for an observation: those of its own blocks and of their ancestors. roots: id; parents: child,
     parent; notes: note, target. Returns id, note, distance (0: its own block; the least, if a note is met twice)."""
-    reach = roots.select("id", F.col("id").alias("target"), F.lit(0).alias("distance")).union(ancestors(parents).select(F.col("node").alias("id"), F.col("ancestor").alias("target"), "distance").join(roots.select("id").distinct(), "id", "left_semi"))
+    reach = sizing.together(roots.select("id", F.col("id").alias("target"), F.lit(0).alias("distance")), ancestors(parents).select(F.col("node").alias("id"), F.col("ancestor").alias("target"), "distance").join(roots.select("id").distinct(), "id", "left_semi"))
     return reach.join(notes.select("target", "note"), "target").groupBy("id", "note").agg(F.min("distance").alias("distance"))
 
 

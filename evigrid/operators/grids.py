@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
+from evigrid.operators import sizing
 
 #: Slots of one cell at most; larger spans are an error of the source.
 MOST_SLOTS = 100_000
@@ -34,3 +35,139 @@ def observations(cells: DataFrame, header_rows: int = 1, stub_columns: int = 1)
     out = body.join(head, ["tbl", "c"], "left").join(stub, ["tbl", "r"], "left")
     resolved = F.when((state == "present") & (F.col("header").isNull() | F.col("metric").isNull()), "unreadable").otherwise(state)
     return out.select("tbl", "cell", "r", "c", "header", "metric", resolved.alias("state"), F.when(resolved == "present", T.number_literal(F.col("text"))).alias("value"))
+
+
+def layout(cells: DataFrame) -> DataFrame:
+    """tbl, first_row, first_col, header_end, stub_cols of each table, from its own spans: the cell in its first corner says
+    how many rows are header; a column whose cell in the first row is as deep as that, and the first column, are stubs."""
+    corner = cells.groupBy("tbl").agg(F.min("row").alias("first_row"), F.min("col").alias("first_col"))
+    depth = cells.join(corner, "tbl").filter((F.col("row") == F.col("first_row")) & (F.col("col") == F.col("first_col"))).groupBy("tbl").agg(F.max("row_span").alias("_depth"))
+    known = corner.join(depth, "tbl", "left").withColumn("_depth", F.coalesce("_depth", F.lit(1)))
+    stubs = cells.join(known, "tbl").filter((F.col("row") == F.col("first_row")) & (F.col("row_span") == F.col("_depth"))).groupBy("tbl").agg(F.collect_set("col").alias("_stubs"))
+    out = known.join(stubs, "tbl", "left")
+    return out.select("tbl", "first_row", "first_col", (F.col("first_row") + F.col("_depth")).alias("header_end"), F.array_sort(F.array_union(F.coalesce("_stubs", F.array().cast("array<int>")), F.array(F.col("first_col")))).alias("stub_cols"))
+
+
+def headers(cells: DataFrame) -> DataFrame:
+    """tbl, cell, header, role of each cell and its headers: column_header (in the header rows, above the cell, and its
+    columns hold the cell's), else row_header (left of the cell in a stub column, and its rows hold the cell's) or
+    row_qualifier (the same in any other column).
+
+    A header is posted on each grid line it covers and a cell asks on its own first line only, so the joins are equi-joins
+    on table and line, and a pair meets once."""
+    known = cells.join(layout(cells), "tbl")
+    fits = F.col("row_span") * F.col("col_span") <= MOST_SLOTS
+    span = lambda a, n: F.sequence(F.col(a), F.col(a) + F.when(fits, F.col(n)).otherwise(F.raise_error(F.lit("cell spans too many slots")).cast("int")) - 1)
+    band = [F.col(c).alias(f"h_{c}") for c in ("cell", "row", "col", "row_span", "col_span")]
+    focal = cells.select("tbl", "cell", "row", "col", "row_span", "col_span")
+    above = known.filter((F.col("row") + F.col("row_span")) <= F.col("header_end")).select("tbl", *band, F.explode(span("col", "col_span")).alias("col"))
+    held = (F.col("h_col") <= F.col("col")) & (F.col("col") + F.col("col_span") <= F.col("h_col") + F.col("h_col_span"))
+    by_column = focal.join(above, ["tbl", "col"]).filter(held & (F.col("h_row") + F.col("h_row_span") <= F.col("row")))
+    by_column = by_column.select("tbl", "cell", F.col("h_cell").alias("header"), F.lit("column_header").alias("role"))
+    left = known.select("tbl", *band, F.array_contains("stub_cols", F.col("col")).alias("stub"), F.explode(span("row", "row_span")).alias("row"))
+    held = (F.col("h_row") <= F.col("row")) & (F.col("row") + F.col("row_span") <= F.col("h_row") + F.col("h_row_span"))
+    by_row = focal.join(left, ["tbl", "row"]).filter(held & (F.col("h_col") + F.col("h_col_span") <= F.col("col")))
+    by_row = by_row.select("tbl", "cell", F.col("h_cell").alias("header"), F.when(F.col("stub"), "row_header").otherwise("row_qualifier").alias("role"))
+    return by_column.unionAll(by_row)
+
+
+#: Rows and columns of a table that is laid out as text.
+MOST_ROWS, MOST_COLUMNS = 500, 100
+
+
+def laid_out(cells: DataFrame) -> DataFrame:
+    """tbl, cell, row, col, row_span, col_span, text, start, end, row_start, row_end, status: each table as text, one line a
+    row with tabs between its columns, and the place of every cell in it. A cell stands at its first slot; slots that no
+    cell starts in are empty. status: ok, or why a table has no text (same_slot, too_large); such cells have null places.
+
+    Running sums of the lengths before a cell give its place, so no text is built for that; `laid_out_text` builds it."""
+    size = cells.groupBy("tbl").agg(F.max(F.col("row") + F.col("row_span")).alias("_rows"), F.max(F.col("col") + F.col("col_span")).alias("_cols"), F.count("*").alias("_n"), F.count_distinct("row", "col").alias("_slots"))
+    status = F.when(F.col("_n") > F.col("_slots"), "same_slot").when((F.col("_rows") > MOST_ROWS) | (F.col("_cols") > MOST_COLUMNS), "too_large").otherwise("ok")
+    c = cells.join(size.withColumn("status", status), "tbl").withColumn("_len", F.char_length("text"))
+    order = Window.partitionBy("tbl").orderBy("row", "col")
+    before = F.coalesce(F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows_before = F.coalesce(F.sum("_len").over(Window.partitionBy("tbl").orderBy("row").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_row = F.sum("_len").over(Window.partitionBy("tbl", "row"))
+    ends = F.col("row") * F.col("_cols")  # each row has its columns' tabs and one line end, but for the last tab
+    c = c.withColumn("start", (before + ends + F.col("col")).cast("int")).withColumn("row_start", (rows_before + ends).cast("int"))
+    c = c.withColumn("row_end", (F.col("row_start") + in_row + F.col("_cols") - 1).cast("int")).withColumn("end", F.col("start") + F.col("_len"))
+    place = [F.when(F.col("status") == "ok", F.col(x)).alias(x) for x in ("start", "end", "row_start", "row_end")]
+    return c.select("tbl", "cell", "row", "col", "row_span", "col_span", "text", *place, "status")
+
+
+def laid_out_text(cells: DataFrame) -> DataFrame:
+    """tbl, text of every table with status ok in laid_out()."""
+    size = laid_out(cells).filter("status = 'ok'").groupBy("tbl").agg(F.max(F.col("row") + F.col("row_span")).alias("_rows"), F.max(F.col("col") + F.col("col_span")).alias("_cols"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "text"))).alias("_at"))
+    cell = lambda r, c: F.coalesce(F.col("_at")[F.struct(r.alias("row"), c.alias("col"))], F.lit(""))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    return size.select("tbl", F.array_join(F.transform(upto("_rows"), lambda r: F.array_join(F.transform(upto("_cols"), lambda c: cell(r, c)), "\t")), "\n").alias("text"))
+
+
+#: What a year header, a number, a unit, a foot note, a header word, an environmental and a financial label are.
+YEAR = r"^(?:19|20)\d{2}(?:\s*년)?$"
+NUMERIC = r"^[+−-]?\d+(?:[,.]\d+)*%?$"
+UNIT = r"(?i)^(?:천|만)?(?:tCO[₂2](?:eq|e)?|MWh|GJ|TJ|kWh|톤|t|kg|m[³3]|㎥|%|MW|대)(?:/(?:백만원|천원|원|대|년|연|매출액|생산량))?$"
+FOOTNOTE = r"^\s*(?:\d+[.)]|[※*])"
+HEADER = r"^(?:지표명|구분|단위|항목|연도|지표)$"
+ENVIRONMENT = r"(?i)온실가스|배출|에너지|전력|재생|폐기물|용수|취수|수자원|친환경|재활용|탄소|Scope|CO[₂2]|HEV|PHEV|EV|태양광|대기오염|수질오염|질소산화|황산화|COD|TOC|Dust"
+FINANCIAL = r"자본변동표|자본잉여금|이익잉여금|지배기업 소유주지분|금융자산"
+REGIONS = ("국내", "해외")
+INTENSITY, POLLUTANT = "원단위", r"(?i)Dust|COD|TOC|NOx|SOx|VOCs|HAPs|SS|T-N|T-P"
+HEAD_ROWS, MOST_OBSERVATIONS = 4, 24
+
+
+def year_table(cells: DataFrame, *, most: int = MOST_OBSERVATIONS, environment: str = ENVIRONMENT, financial: str = FINANCIAL) -> DataFrame:
+    """Observations of tables with a column for each year: tbl, row, start, end, value, unit, metric, year, comparisons
+    (array of struct year, value, by column). cells: tbl, cell, row, col, row_span, col_span, text.
+
+    Year headers stand in the first HEAD_ROWS rows, each year in one column and each column with one year; the labels
+    before the first of them name something environmental and nothing financial. A row below counts if it has one unit, a
+    label that is no header word or foot note, and a number in the latest year's column. Its metric is the path of labels:
+    cells left of the years whose rows hold it (for a region or an intensity also the scope or pollutant last named above
+    it), then header cells over the latest year that are no year; a label once. The first `most` rows of a table are kept."""
+    c = sizing.staged(laid_out(cells).filter("status = 'ok'").withColumn("t", F.trim("text")), "grids")
+    y = c.filter((F.col("row") < HEAD_ROWS) & F.col("t").rlike(YEAR)).select("tbl", "row", "col", F.substring("t", 1, 4).alias("year"))
+    by_column = y.groupBy("tbl", "col").agg(F.count_distinct("year").alias("_n"), F.min("year").alias("year"), F.max("row").alias("row"))
+    heads = by_column.groupBy("tbl").agg(F.max("_n").alias("_n"), F.count("*").alias("_cols"), F.count_distinct("year").alias("_years"), F.max("row").alias("header_row"), F.min("col").alias("first"), F.max(F.struct("year", "col")).alias("latest"), F.array_sort(F.collect_list(F.struct("col", "year"))).alias("years"))
+    heads = heads.filter("_n = 1 and _cols = _years").drop("_n", "_cols", "_years")
+    labels = c.join(heads, "tbl").filter(F.col("col") < F.col("first")).groupBy("tbl").agg(F.bool_or(F.col("text").rlike(environment)).alias("env"), F.bool_or(F.col("text").rlike(financial)).alias("fin"))
+    heads = heads.join(labels.filter("env and not fin").select("tbl"), "tbl", "left_semi")
+    body = c.join(heads, "tbl")
+    unit = F.regexp_replace("text", r"\s", "").rlike(UNIT)
+    word = ~unit & ~F.col("t").rlike(HEADER) & (F.col("t") != "")
+    stub = F.col("col") < F.col("first")
+    rows = body.filter(F.col("row") > F.col("header_row")).groupBy("tbl", "row").agg(
+        F.min("row_start").alias("start"), F.min("row_end").alias("end"), F.count_if(stub & unit).alias("_units"), F.max(F.when(stub & unit, F.col("text"))).alias("unit"),
+        F.min(F.when(stub & ~unit & (F.col("t") != ""), F.struct("col", "t"))).alias("_label"), F.max(F.when(F.col("col") == F.col("latest.col"), F.col("t"))).alias("value"),
+        F.map_from_entries(F.collect_list(F.when(~stub, F.struct("col", "text")))).alias("_texts"),
+    )
+    label = F.col("_label.t")
+    rows = rows.filter((F.col("_units") == 1) & label.isNotNull() & ~label.rlike(FOOTNOTE) & ~label.rlike(HEADER) & F.col("value").rlike(NUMERIC) & ~F.col("value").rlike(YEAR))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("tbl").orderBy("row"))).filter(F.col("_nth") <= most)
+    stubs = body.filter(stub & word).select("tbl", F.col("col").alias("_c"), F.col("start").alias("_s"), "text", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)).alias("row"))
+    over = body.filter((F.col("row") <= F.col("header_row")) & ~F.col("t").rlike(YEAR) & word & (F.col("col") <= F.col("latest.col")) & (F.col("latest.col") < F.col("col") + F.col("col_span"))).groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("_over"))
+    named = F.struct(F.col("col").alias("_c"), F.col("start").alias("_s"), "text", "t")
+    last = F.last(F.when((F.col("row") >= 1) & (F.col("t") != "") & ~F.col("t").isin(*REGIONS), named), ignorenulls=True).over(Window.partitionBy("tbl", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    group = (F.col("t").isin(*REGIONS) & F.col("_last.t").contains("Scope")) | (F.col("t").startswith(INTENSITY) & F.col("_last.t").rlike(POLLUTANT))
+    above = body.filter(stub).withColumn("_last", last).filter(group).select("tbl", "_last._c", "_last._s", "_last.text", "row")
+    stubs = stubs.unionByName(above)
+    path = rows.select("tbl", "row").join(stubs, ["tbl", "row"]).groupBy("tbl", "row").agg(F.array_sort(F.collect_list(F.struct("_c", "_s", "text"))).alias("_path"))
+    out = rows.join(path, ["tbl", "row"], "left").join(over, "tbl", "left").join(heads.select("tbl", "years", "latest"), "tbl")
+    none = F.array().cast("array<string>")
+    metric = F.array_distinct(F.concat(F.coalesce(F.transform("_path", lambda x: x["text"]), none), F.coalesce(F.transform("_over", lambda x: x["text"]), none)))
+    others = F.transform(F.filter("years", lambda x: x["col"] != F.col("latest.col")), lambda x: F.struct(x["year"].alias("year"), F.coalesce(F.col("_texts")[x["col"]], F.lit("")).alias("value")))
+    return out.select("tbl", "row", "start", "end", "value", "unit", F.array_join(metric, " / ").alias("metric"), F.col("latest.year").alias("year"), others.alias("comparisons"))
+
+
+def located(candidates: DataFrame, tables: DataFrame) -> DataFrame:
+    """Which table a cell is in, by what its parsers say. candidates: cell, parser, table_native, row, col, row_span, col_span
+    (one row for each parser's copy of a cell); tables: parser, native, tbl (a table's names; null where a parser has none).
+    Returns cell, tbl, row, col, row_span, col_span, issue: parse_conflict where copies name more than one place,
+    table_layout_unresolved where the place is in no table or no proper one; places with an issue are null."""
+    alias = tables.select("parser", F.col("native").alias("table_native"), "tbl").dropDuplicates(["parser", "table_native"])
+    place = ("tbl", "row", "col", "row_span", "col_span")
+    seen = candidates.join(alias, ["parser", "table_native"], "left").withColumn("row_span", F.coalesce("row_span", F.lit(1))).withColumn("col_span", F.coalesce("col_span", F.lit(1)))
+    one = seen.groupBy("cell").agg(F.count_distinct(F.to_json(F.struct(*place))).alias("_n"), F.first(F.struct(*place)).alias("_at"))
+    proper = F.col("_at.tbl").isNotNull() & (F.col("_at.row") >= 0) & (F.col("_at.col") >= 0) & F.col("_at.row_span").between(1, 1000) & F.col("_at.col_span").between(1, 1000)
+    issue = F.when(F.col("_n") > 1, "parse_conflict").when(~F.coalesce(proper, F.lit(False)), "table_layout_unresolved")
+    return one.select("cell", *[F.when(issue.isNull(), F.col(f"_at.{c}")).alias(c) for c in place], issue.alias("issue"))

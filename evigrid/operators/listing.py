@@ -91,7 +91,7 @@ def archived(spend: DataFrame, totals: DataFrame, cutoff: int) -> tuple[DataFram
     """(spend rows that stay, totals with the others added). Settled rows from before the cutoff leave only their sum per
     event; what is not settled stays whatever its age."""
     old = (F.col("status") == "settled") & (F.col("created") < cutoff)
-    rolled = spend.filter(old).select("event", "amount").unionByName(totals.select("event", "amount")).groupBy("event").agg(F.sum("amount").alias("amount"))
+    rolled = sizing.together(spend.filter(old).select("event", "amount"), totals.select("event", "amount")).groupBy("event").agg(F.sum("amount").alias("amount"))
     return spend.filter(~F.coalesce(old, F.lit(False))), rolled
 
 

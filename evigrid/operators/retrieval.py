@@ -88,7 +88,7 @@ def fuse(routes: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
     for n, route in enumerate(routes):
         own = route.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
         own = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).withColumn("route", F.lit(n))
-        every = own if every is None else every.unionByName(own)
+        every = own if every is None else sizing.together(every, own)
     return top(every.groupBy("query_id", "id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), F.count("*").alias("routes")), k, digits=9)
 
 
@@ -171,5 +171,5 @@ def table_context(claims: DataFrame, members: DataFrame, edges: DataFrame) -> Da
     role = F.when(F.bool_or(F.coalesce("later", F.lit(False))), "later").when(F.bool_or(F.coalesce(~F.col("later") & (F.col("above") == F.col("text")), F.lit(False))), "repeated").otherwise("kept")
     out = met.groupBy("claim", "id").agg(role.alias("role"))
     own = structural.select("claim", "id", F.when(F.col("later"), "later").otherwise("kept").alias("role"))
-    return out.unionByName(own).unionByName(claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
+    return sizing.together(out, own, claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
 

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.plans import decisions, discovery, documents, gates, retrieval, tabular
+from evigrid.plans import decisions, discovery, documents, gates, retrieval, structure, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, tabular, decisions, documents, gates, discovery)
+MODULES = (retrieval, tabular, decisions, documents, gates, discovery, structure)
 
 
 def digest(df: DataFrame) -> DataFrame:
