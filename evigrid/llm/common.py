@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-_staged: list[tuple[SparkSession, str, int]] = []
+from evigrid.operators.sizing import clear_staged, input_bytes, shared_dir, staged, staged_paths
+
+__all__ = ["clear_staged", "input_bytes", "shared_dir", "staged", "staged_paths"]
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a text operator needs a small multiple of it.
 BATCH_BYTES = "2m"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset on one machine (local tests) a temporary one is
-    made and set; on a cluster an unset folder is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df; its session's Arrow batches are kept to BATCH_BYTES, unless the user has set their size. The size is read when
     a plan runs, which may be after the operator has returned, so the setting stays."""
@@ -42,47 +27,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors,
-    gives later readers column pruning, and pins values (such as row numbers) that a recomputation could change."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _staged:
-        atexit.register(clear_staged)
-    _staged.append((spark, path, threading.get_ident()))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(keep: set[str] | None = None) -> None:
-    """Remove the staged tables, all of them at the driver's exit. With `keep`: those of this thread whose path is not in
-    it, for a caller whose results of the others are written."""
-    own = [x for x in _staged if keep is None or (x[1] not in keep and x[2] == threading.get_ident())]
-    for spark, path, _ in own:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            break
-    _staged[:] = [x for x in _staged if x not in own]
-
-
-def staged_paths() -> list[str]:
-    """The paths of the tables that are staged now, the newest last."""
-    return [path for _, path, _ in _staged]
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; for a file scan, the bytes of its files. Sizes the number of buckets. Where
-    Catalyst has none (rows made by the driver), the bytes of the text columns are summed."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1 << 60:
-        return size
-    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
-    return int(df.select(F.sum(sum(texts, F.lit(0)).cast("long"))).first()[0] or 0)
-
-
 def buckets(df: DataFrame, each: int, least: int = 8) -> int:
     """Buckets of about `each` input bytes, so that a bucket stays as small when the input grows (2^20 of them at most,
     so that at 100 TB a bucket holds about 100 MB of input at least)."""

@@ -10,19 +10,21 @@ pages costs each task only its own part.
 
 The wrapper of a host is read off its template. A node whose text was the same on SUPPORT or more distinct pages is
 constant, and so template, unless it holds nine tenths of the host's text. The other nodes are slots; a slot weighs as much
-varying text as it holds outside links. From the root the wrapper follows the heaviest container while it outweighs what
-stands beside it, and keeps it; it also keeps headings and paragraphs that vary beside it and containers that weigh a
-quarter of it, and drops the rest. Names and roles only break ties: they make a container lighter or heavier, and inside
-what is kept they drop a small part. Elements that HTML itself defines as no part of the text (scripts, navigation,
-footers and so on) are never text.
+varying text as it holds outside links. From the root the wrapper goes down as long as a container has no paragraphs of
+its own, and leaves out what is template beside the rest: constants, lists of links, parts that names mark, and containers of another
+kind than the heaviest that weigh less than a quarter of it. A container with paragraphs of its own is kept whole but for
+constants, what names mark and what HTML itself defines as no part of the text (scripts, navigation, footers and so on).
+An article element, and a container with a heading of its own, is an article: no part of it goes because it is small.
+Names and roles only break ties: they make a container lighter or heavier, and a marked part goes where it is the smaller.
 
-Every page is then aligned with its host's wrapper, and its kept slots are written out. A page that the wrapper does not
-fit (nothing is kept, or most of its text is in nodes the template does not have) gets the wrapper of its own tree.
+Every page is then aligned with its host's wrapper, and its kept slots are written out. Nodes that the wrapper does not
+know are kept unless they are links, marked or no text. A page of which nothing is kept gets the wrapper of its own tree.
 
 Defined results: null, empty or text-free html gives an empty text; a null or odd url has the host ""; copies of a page
 count as one page where constants are concerned; nesting beyond DEPTH is flattened; broken markup is closed as browsers
-do; a host of fewer than SUPPORT distinct pages has no constants; a template keeps the NODES nodes met most often; extra
-columns are dropped.
+do; a host of fewer than SUPPORT distinct pages has no constants; a template keeps the NODES nodes met most often, and
+others count as unknown to it; words of an id count only if it is short and they are known names (others tell pages or
+sections apart, not places); extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -91,6 +93,12 @@ def _sign(tag: str, role: str, names: tuple[str, ...]) -> str:
     return f"{tag}#{role}." + ".".join(_NUMBER.sub("0", n) for n in names)
 
 
+def known_words(name: str) -> tuple[str, ...]:
+    """The words of an id that name a place on any page; none of a long id, which is some title."""
+    words = [w for w in re.split("[-_\\s]+", name.lower()) if w]
+    return tuple(w for w in words if w in NAMES or w in MAIN_NAMES) if len(words) <= 2 else ()
+
+
 INLINE_ALIKE = frozenset("a b i em strong span u s small sub sup code mark q cite abbr time br wbr font tt kbd var ins del img".split())
 
 
@@ -122,8 +130,10 @@ class TreeBuilder(HTMLParser):
         names: tuple[str, ...] = ()
         role = ""
         for key, value in attrs:
-            if key in ("class", "id") and value:
+            if key == "class" and value:
                 names += tuple(value.lower().split())
+            elif key == "id" and value:
+                names += known_words(value)
             elif key == "role" and value:
                 role = value.lower()
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and re.search(r"display\s*:\s*none", value)):
@@ -402,12 +412,12 @@ def wrapper_of(template: Slot) -> list:
 
     def volumes(s: Slot) -> tuple[int, int, int]:
         """(varying characters outside links, all outside links, in links) of the subtree."""
-        varying, plain, links = s.chars if s.varied or len(s.seen) < SUPPORT else 0, s.chars, s.links
+        varying, plain, linked = s.chars if s.varied or len(s.seen) < SUPPORT else 0, s.chars, s.links
         for k in s.kids:
             own = volumes(k)
             if not never(k.sign):
-                varying, plain, links = varying + own[0], plain + own[1], links + own[2]
-        every[id(s)] = varying, plain, links
+                varying, plain, linked = varying + own[0], plain + own[1], linked + own[2]
+        every[id(s)] = varying, plain, linked
         return every[id(s)]
 
     _, whole, _ = volumes(template)
@@ -418,9 +428,9 @@ def wrapper_of(template: Slot) -> list:
     none_varies = every[id(template)][0] == 0
 
     def weight(s: Slot) -> float:
-        varying, plain, links = every[id(s)]
+        varying, plain, linked = every[id(s)]
         text = plain if none_varies or (s.same and not constant(s)) else varying
-        return text * text / max(1, text + links)
+        return text * text / max(1, text + linked)
 
     def kept(s: Slot) -> list:
         """Everything in s, but constants, what is never text, and small parts that names mark."""
@@ -436,34 +446,49 @@ def wrapper_of(template: Slot) -> list:
             out = []
         return [s.sign, KEPT, 0, out]
 
-    def select(s: Slot) -> list:
-        kids = [k for k in s.kids if not never(k.sign)]
-        holders = [k for k in kids if holds(k)]
+    def template_part(k: Slot, beside: float) -> bool:
+        """Is k, with so much weight beside it, no part of an article: never text, constant, marked, or links?"""
+        _, plain, linked = every[id(k)]
+        return never(k.sign) or constant(k) or (marked(k.sign) and leaning(k.sign) * weight(k) < beside) or (linked > 0 and linked >= 2 * plain)
+
+    def stands_for_article(sign: str) -> bool:
+        return leaning(sign) >= 4
+
+    def alike(a: Slot, b: Slot) -> bool:
+        """Are both the same kind of part, such as two sections?"""
+        return a.sign == b.sign and not {tag_of(k.sign) for k in a.kids}.isdisjoint(tag_of(k.sign) for k in b.kids)
+
+    def select(s: Slot, inside: bool = False) -> list:
+        """inside: s is part of an article, so nothing goes because it is lighter than what stands beside it."""
+        whole_of = sum(weight(k) for k in s.kids if not never(k.sign))
+        live = [k for k in s.kids if not template_part(k, whole_of - weight(k))]
+        holders = [k for k in live if holds(k) and weight(k)]
         best = max(holders, key=lambda k: weight(k) * leaning(k.sign), default=None)
-        rest = (s.chars if s.varied or len(s.seen) < SUPPORT else 0) + sum(weight(k) for k in kids if k not in holders and tag_of(k.sign) not in HEADINGS)
-        if best is None or not weight(best) or 2 * weight(best) * leaning(best.sign) < 3 * rest:
+        loose = (s.chars if s.varied or len(s.seen) < SUPPORT else 0) + sum(weight(k) for k in live if not holds(k) and tag_of(k.sign) not in HEADINGS)
+        nested = any(stands_for_article(k.sign) for k in holders)
+        if best is None or loose:
             return kept(s)
-        most = weight(best) * leaning(best.sign)
+        inside = inside or (not nested and (stands_for_article(s.sign) or any(tag_of(k.sign) in HEADINGS and weight(k) for k in live)))
         out = []
         for k in s.kids:
-            if k is best or (k in holders and not constant(k) and not marked(k.sign) and (leaning(k.sign) > 1 or 4 * weight(k) >= most) and weight(k)):
-                out.append(select(k))
-            elif k in kids and k not in holders and not constant(k) and not marked(k.sign) and 2 * every[id(k)][2] <= every[id(k)][1]:
+            if k not in live:
+                out.append([k.sign, DROPPED, 0, []])
+            elif k not in holders:
                 out.append(kept(k))
-            elif k in holders and not constant(k) and not marked(k.sign) and (inner := mains(k)) is not None:
-                out.append(inner)
+            elif inside or alike(k, best) or leaning(k.sign) > 1 or 4 * weight(k) >= weight(best) * leaning(best.sign):
+                out.append(select(k, inside))
             else:
-                out.append([k.sign, DROPPED, 0, []])
+                out.append(mains(k) or [k.sign, DROPPED, 0, []])
         return [s.sign, PATH, 0, out]
 
     def mains(s: Slot) -> list | None:
         """The elements that stand for an article inside a container that is not kept itself."""
         out = []
         for k in s.kids:
-            if never(k.sign) or marked(k.sign) or constant(k):
+            if template_part(k, 0):
                 out.append(None)
             else:
-                out.append(select(k) if leaning(k.sign) > 1 and weight(k) else mains(k))
+                out.append(select(k) if stands_for_article(k.sign) and weight(k) else mains(k))
         if all(x is None for x in out):
             return None
         return [s.sign, PATH, 0, [x or [k.sign, DROPPED, 0, []] for x, k in zip(out, s.kids, strict=True)]]
@@ -487,7 +512,7 @@ class Extraction:
         self.chosen: list[Node] = []
         self.left_out: set[int] = set()
         self.spared: set[int] = set()  # kept although names mark them
-        self.lost = self.found = 0
+        self.found = 0
         if wrapper.decision == KEPT:
             self.chosen.append(root)
             self.inside(wrapper, slot)
@@ -503,7 +528,9 @@ class Extraction:
         for known, q in self.pairs(wrapper, slot):
             kid = slot.kids[q]
             if known is None:
-                self.lost += 0 if never(kid.sign) or marked(kid.sign) else volume(kid)
+                if not (never(kid.sign) or marked(kid.sign) or links(kid) > volume(kid)):
+                    self.chosen += [node for node, _ in slot.runs[q]]
+                    self.found += volume(kid)
                 continue
             if known.decision == DROPPED or (known.decision == CONSTANT and known.text == kid.text):
                 continue
@@ -574,12 +601,16 @@ def volume(slot: Slot) -> int:
     return slot.chars + sum(volume(k) for k in slot.kids if not never(k.sign))
 
 
+def links(slot: Slot) -> int:
+    return slot.links + sum(links(k) for k in slot.kids if not never(k.sign))
+
+
 def extracted(html: str, wrapper: Wrapper | None) -> str:
     """The main text of a page under the wrapper of its host; without one, or where it does not fit, under its own."""
     root = parse(html)
     slot = fold(root, 0)
     done = Extraction(wrapper, slot, root) if wrapper is not None else None
-    if done is None or done.lost > done.found or not done.found:
+    if done is None or not done.found:
         done = Extraction(Wrapper(wrapper_of(slot)), slot, root)
     return done.text()
 

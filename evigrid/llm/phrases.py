@@ -235,9 +235,13 @@ def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lea
     phrase = F.concat_ws(" ", "wa", "wb", "wc")
     ranked = named.select("lang", phrase.alias("phrase"), F.col("f").alias("a"), "best.l", "best.r", "best.score", "best.cut")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    if keep is not None:  # first within salted parts of a language
-        salt = F.pmod(F.xxhash64("phrase"), F.lit(common.buckets(phrases, 1 << 20)))
-        ranked = ranked.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= keep)
+    if keep is not None:  # first within salted parts of a language, each round in fewer of them
+        parts = common.buckets(phrases, 1 << 20)
+        while parts > 1:
+            salt = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+            own = Window.partitionBy("lang", salt).orderBy(*order)
+            ranked = ranked.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= keep)
+            parts //= 64
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     ranked = ranked.filter(F.col("rank") <= keep) if keep is not None else ranked
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("cut").cast("long").alias("cut"))

@@ -172,6 +172,44 @@ def test_short_parts_deep_nests_and_odd_pages(spark):
     assert pages.extract_pages(table(spark, [], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("inner", ["section", "div"])
+@pytest.mark.parametrize("host", ["one", "own"])
+def test_no_part_of_an_article_is_lost(spark, outer, inner, host):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows, want = [], {}
+    for kind in range(4):
+        for k in range(5):
+            parts = [say(n) for n in (300, 60, 40, 20)]
+            title = f"Title {k}"
+            body = [
+                "".join(f"<{inner}><p>{x}</p></{inner}>" for x in parts),
+                f"<h1>{title}</h1>" + "".join(f"<{inner} class={c}><p>{x}</p></{inner}>" for c, x in zip(("lead", "body", "facts", "inset"), (parts[2], parts[0], parts[3], parts[1]), strict=True)),
+                "".join(f"<{inner} id={say(1)}-{say(1)}-{say(1)}><h2>Part {n}, {k}</h2><p>{x}</p></{inner}>" for n, x in enumerate(parts)),
+                f"<h1>{title}</h1><p>{parts[0]}</p><div class=box><p>{parts[3]}</p></div><p>{parts[1]}</p><{inner}>{parts[2]}</{inner}>",
+            ][kind]
+            blocks = [
+                parts, [title, parts[2], parts[0], parts[3], parts[1]], [x for n, p in enumerate(parts) for x in (f"Part {n}, {k}", p)], [title, parts[0], parts[3], parts[1], parts[2]],
+            ][kind]
+            page = f"<html><body><nav><a href=/>home</a></nav><div class=cookie>We use cookies, visitor {say(2)}</div><{outer}>{body}</{outer}><div class=comments><p>{say(30)}</p></div><ul><li><a href=x>{say(3)}</a></li><li><a href=y>{say(3)}</a></li></ul><footer>end</footer></body></html>"
+            rows.append((10 * kind + k, f"http://{kind}{k if host == 'own' else ''}.example/", page))
+            want[10 * kind + k] = "\n".join(blocks)
+    assert extract(spark, rows) == want
+
+
+def test_text_in_nodes_that_the_template_has_lost_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(pages, "NODES", 40)
+    page = lambda k: "<body><div>" + "".join(f"<div class={'abcdefghijklmnopqrstuvwxyz'[(k * 5 + j) % 26] * 3}><p>part {j} of page {k}</p></div>" for j in range(8)) + "</div></body>"
+    t = pages.fold(pages.parse(page(0)), 0)
+    for k in range(1, 20):
+        t = pages.pruned(pages.blend(t, pages.fold(pages.parse(page(k)), k)))
+    assert t.nodes() <= 40
+    wrapper = pages.Wrapper(json.loads(json.dumps(pages.wrapper_of(t))))
+    for k in range(20):
+        assert pages.extracted(page(k), wrapper) == "\n".join(f"part {j} of page {k}" for j in range(8))
+
+
 def test_a_template_has_a_bound():
     fold = lambda k: pages.fold(pages.parse("".join(f"<div class={'abcdefghijklmnopqrstuvwxyz'[(k + j) % 26] * (j + 1)}>t</div>" for j in range(900)) + f"<main>text {k}</main>"), k)
     t = fold(0)
