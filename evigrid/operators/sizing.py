@@ -87,3 +87,12 @@ def together(first: DataFrame, *others: DataFrame) -> DataFrame:
     for x in others:
         out = out.unionByName(x)
     return out.coalesce(1 << 20)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the staged tables, removed with them."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(clear_staged)
+    _staged.append((spark, path, threading.get_ident()))
+    return path
