@@ -4,7 +4,7 @@ Each vector is represented by its PREFIX nearest of PIVOTS pivots, in order of d
 posts the vectors that have it in their prefix, with the position. A query walks the files of its own prefix; with
 absent pivots at position PREFIX, a shared pivot at positions i and j lowers the footrule distance by
 2 * (PREFIX - max(i, j)), so summing PREFIX - max(i, j) over the postings ranks all vectors by footrule distance. The
-CANDIDATES share of a shard that ranks first is measured exactly, in double precision. Defined results: see search.py.
+CANDIDATES share of a shard that ranks first (LEAST vectors at least) is measured exactly, in double precision. Defined results: see search.py.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from . import common, search
 
-PIVOTS = 128
-PREFIX = 64
+PIVOTS = 512
+PREFIX = 128
 #: Pivots are drawn from a bounded sample of this many rows per vector length.
 SAMPLE_ROWS = 2_048
 SPREAD = 0.5
-#: Share of a shard's vectors measured exactly for each query, at any size of the table.
-CANDIDATES = 0.35
+#: Share of a shard's vectors measured exactly for each query, at any size of the table, and how many at least.
+CANDIDATES, LEAST = 0.05, 192
 
 
 def pivot_order(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -40,9 +40,9 @@ def permutation_index(pivots: dict[int, np.ndarray], share: float) -> Callable[[
         order = pivot_order(vectors, own, prefix)
         posted = np.argsort(order.reshape(-1), kind="stable")  # by pivot, then vector
         file_ends = np.searchsorted(order.reshape(-1)[posted], np.arange(len(own) + 1))
-        rows, places = posted // prefix, (posted % prefix).astype(np.int32)
+        rows, places = (posted // prefix).astype(np.int32), (posted % prefix).astype(np.int16)
         n = len(vectors)
-        most = min(n, max(k, int(np.ceil(share * n))))
+        most = min(n, max(k, LEAST, int(np.ceil(share * n))))
 
         def find(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = np.arange(n)
@@ -50,7 +50,7 @@ def permutation_index(pivots: dict[int, np.ndarray], share: float) -> Callable[[
                 total = np.zeros(n, np.int32)
                 for i, p in enumerate(pivot_order(q[None], own, prefix)[0]):
                     a, b = file_ends[p], file_ends[p + 1]
-                    total[rows[a:b]] += prefix - np.maximum(places[a:b], i)
+                    total[rows[a:b]] += prefix - np.maximum(places[a:b], np.int16(i))
                 key = total.astype(np.int64) * n + np.arange(n - 1, -1, -1)
                 near = np.argpartition(-key, most - 1)[:most]
             return near, np.sqrt(((vectors[near] - q) ** 2).sum(1))

@@ -72,14 +72,13 @@ class Threshold:
 
 
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(full hashes, 52-bit hashes, offsets) of the distinct shingles of at most 4096 documents, sorted within each. A very
-    long text is worked on in parts that share words - 1 words."""
+    """(64-bit hashes, their upper 52 bits, offsets) of the distinct shingles of at most 4096 documents, sorted within each.
+    A very long text is worked on in parts that share words - 1 words."""
     if len(ends) != 2 or len(raw) <= common.LONG:
         return _sets(raw, ends, words)
     every = [_sets(raw[a:b], np.array([0, b - a]), words) for a, b in _overlapping(raw, words)]
-    full, short = (np.concatenate([x[k] for x in every]) for k in (0, 1))
-    short, pick = np.unique(short, return_index=True)
-    return full[pick], short, np.array([0, len(short)])
+    full = np.unique(np.concatenate([x[0] for x in every]))
+    return full, full >> np.uint64(12), np.array([0, len(full)])
 
 
 def _sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,9 +103,16 @@ def _sets(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np
         keys.append(common.mix(value))
         owner.append(short)
     key, who = np.concatenate(keys), np.concatenate(owner).astype(np.uint64)
-    packed, pick = np.unique(who << np.uint64(52) | key >> np.uint64(12), return_index=True)
+    packed = who << np.uint64(52) | key >> np.uint64(12)
+    order = np.argsort(packed, kind="stable")
+    next_to = (packed[order[1:]] == packed[order[:-1]]) & (key[order[1:]] != key[order[:-1]])
+    if next_to.any():  # two shingles that differ in their last 12 bits only
+        order = np.lexsort((key, who))
+    packed, key = packed[order], key[order]
+    new = np.concatenate([[True], (packed[1:] != packed[:-1]) | (key[1:] != key[:-1])])[: len(key)]
+    packed, key = packed[new], key[new]
     size = np.bincount((packed >> np.uint64(52)).astype(np.int64), minlength=docs)
-    return key[pick], packed & np.uint64((1 << 52) - 1), np.concatenate([[0], np.cumsum(size)])
+    return key, packed & np.uint64((1 << 52) - 1), np.concatenate([[0], np.cumsum(size)])
 
 
 def _overlapping(raw: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
@@ -290,14 +296,14 @@ def _verify(threshold: Threshold) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(centres: pa.Table, members: pa.Table) -> pa.Table:
         left: dict[int, np.ndarray] = {}
         for batch in common.slices(iter(centres.to_batches()), "text1"):
-            _, short, at = shingle_sets(*common.text_bytes(batch.column("text1")), threshold.words)
+            full, _, at = shingle_sets(*common.text_bytes(batch.column("text1")), threshold.words)
             for k, a in enumerate(batch.column("a1").to_pylist()):
-                left[a] = short[at[k] : at[k + 1]]
+                left[a] = full[at[k] : at[k + 1]]
         linked_a, linked_b = [], []
         for batch in common.slices(iter(members.to_batches()), "text"):
-            _, short, at = shingle_sets(*common.text_bytes(batch.column("text")), threshold.words)
+            full, _, at = shingle_sets(*common.text_bytes(batch.column("text")), threshold.words)
             for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                x, y = left[a], short[at[k] : at[k + 1]]
+                x, y = left[a], full[at[k] : at[k + 1]]
                 if len(x) > len(y):
                     x, y = y, x
                 place = np.searchsorted(y, x)

@@ -2,9 +2,8 @@
 
 All rows are dealt into shards by a hash of their id and the queries into blocks; each (shard, block) pair is one task
 group of bounded size, which builds its index over the shard and answers the block. A block has as many queries as a
-shard has rows, so an index is built once for that many answers, and a vector is sent once for that many comparisons:
-the queries grow with the rows, and answering them, not moving vectors, is what the work consists of. Equal vectors of a shard are one
-entry with the `k + 1` smallest ids, which is all that any k nearest can need of them, so many copies neither crowd
+shard has rows, so an index is built once for that many answers, and a vector is sent once for that many comparisons. Equal
+vectors of a shard are one entry with the `k + 1` smallest ids, which is all that any k nearest can need of them, so many copies neither crowd
 an index nor its candidates.
 
 Defined results: a vector that is null, empty, all zero, or holds a null or non-finite component takes no part, neither
@@ -22,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 16_384
+#: Rows of a shard at most, and shards at least for tables of more than FEW_ROWS rows each; queries of a block.
+SHARD_ROWS, SHARDS, FEW_ROWS = 65_536, 64, 4_096
+BLOCK_QUERIES = 65_536
 EVERY = 100
 
 #: A search over one shard: query vector -> (entries, scores), not yet ranked.
@@ -34,7 +34,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vid, v, dim of the vectors that take part."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vid").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("v"))
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"  # travels as it is, and is measured as doubles
+    return df.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).filter(F.col("vid").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("v"))
 
 
 def matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -81,7 +82,7 @@ def answer(make: Callable[[np.ndarray, int], Find], k: int, kind: str) -> Callab
 
 def in_blocks(rows: DataFrame, make: Callable[[np.ndarray, int], Find], k: int, kind: str, n_rows: int) -> DataFrame:
     """query_id, rank, vec_id, score: the queries are the rows whose vid is divisible by EVERY. rows: of usable()."""
-    shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_rows // EVERY // BLOCK_QUERIES))
+    shards, blocks = max(1, -(-n_rows // SHARD_ROWS), min(SHARDS, n_rows // FEW_ROWS)), max(1, -(-n_rows // EVERY // BLOCK_QUERIES))
     of = lambda n, seed: F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("shard", of(shards, 5)).withColumn("block", each(blocks))
