@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigrid.functions.text import stripped
+
 #: Accepted forms of a period: a year, a range of years, a date or a range of dates.
 YEAR_FORM = r"^(?i:FY\s*)?([0-9]{4})(?:년)?(?:\s+[Qq][1-4])?$"
 YEARS_FORM = r"^([0-9]{4})년?\s*[-–—~]\s*([0-9]{4})년?$"
@@ -118,4 +120,4 @@ def detected_period(candidates: DataFrame, key: str) -> DataFrame:
 
 def year_literal(text: Column) -> Column:
     """The one year of a text such as 2024, FY 2024 or 2024년; null for any other text."""
-    return F.nullif(F.regexp_extract(F.trim(text), r"^(?i:FY\s*)?((?:19|20)[0-9]{2})(?:년|년도)?$", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(stripped(text), r"^(?i:FY\s*)?((?:19|20)[0-9]{2})(?:년|년도)?$", 1), F.lit("")).cast("int")

@@ -59,8 +59,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def normalized_key(text: Column) -> Column:
-    """Lower-cased text with single spaces, for joining on names."""
-    return F.lower(collapse_spaces(text))
+    """Composed, case-folded text with single spaces, for joining on names."""
+    return key_form(text)
 
 
 def sentences(text: Column) -> Column:
@@ -105,6 +105,17 @@ def nfkc_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+@F.pandas_udf(StringType())
+def key_form(text: pd.Series) -> pd.Series:
+    """Canonical composition, case folding and single spaces: the form in which names are equal."""
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold()).split()))
+
+
+def stripped(text: Column) -> Column:
+    """Without any white space at its ends, the ideographic space among it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 #: Typographic ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
 
@@ -123,9 +134,9 @@ SCOPE_NOTE = r"^(?:Scope:\s*)?(Scope [123])$"
 
 def unit_note(text: Column) -> Column:
     """The unit of a note that is nothing but a unit note, else null."""
-    return F.nullif(F.regexp_extract(F.trim(text), UNIT_NOTE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(stripped(text), UNIT_NOTE, 1), F.lit(""))
 
 
 def scope_note(text: Column) -> Column:
     """The scope of a note that is nothing but a scope note, else null."""
-    return F.nullif(F.regexp_extract(F.trim(text), SCOPE_NOTE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(stripped(text), SCOPE_NOTE, 1), F.lit(""))

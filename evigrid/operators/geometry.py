@@ -53,9 +53,10 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of blocks of different parsers on one page and of one kind with IoU of at least `least` (over 0.5).
 
     Such boxes differ in width and height by less than a factor of 1 / least, so they stand in the same or in
-    neighbouring size classes of that base, and their centres lie less than (1 - least) / least of the smaller width (and
-    height) apart. The grid's cells are that wide for the larger class of a pair, so a pair meets in one of nine cells,
-    whatever the boxes' size: an equi-join, with no pair lost and no dense cell of small boxes for the large ones."""
+    neighbouring size classes of that base. Their intersection is at least least / (1 + least) of the sum of both widths
+    (and heights), so their centres lie at most (1 - least) / (1 + least) of the larger width apart. The grid's cells are
+    that wide for the larger class of a pair, so a pair meets in one of nine cells, whatever the boxes' size: an
+    equi-join, with no pair lost and no dense cell of small boxes for the large ones."""
     if not 0.5 < least <= 1:
         raise ValueError("least must be over 0.5 and at most 1")
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -63,7 +64,7 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
     size = blocks.filter((width > 0) & (height > 0)).withColumn("cw", F.floor(F.log(width) / math.log(base)).cast("int")).withColumn("ch", F.floor(F.log(height) / math.log(base)).cast("int"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cell = lambda at, c: F.floor(at / (F.pow(F.lit(base), F.col(c) + 1) * ((1 - least) / least) + 1e-9)).cast("long")
+    cell = lambda at, c: F.floor(at / (F.pow(F.lit(base), F.col(c) + 1) * ((1 - least) / (1 + least)) * (1 + 1e-9) + 1e-9)).cast("long")
 
     # the left side is posted under its own class and the one above, so that both sides name the larger class of the pair
     def posted(side: str, classes: bool, cells: bool) -> DataFrame:

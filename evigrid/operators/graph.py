@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from evigrid.operators import sizing
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """edges: child, parent. Returns node, ancestor, distance (the least). A node that is its own ancestor is an error.
+    nodes (one column): only the ancestors of these, and only cycles that one of these is in.
 
     Each round extends the newest pairs by one step and keeps those not met before, so the work is that of the closure,
     not of its paths, and a cycle of any length is met in the round of its length. Rounds are checkpointed."""
     step = edges.select(F.col("child").alias("at"), F.col("parent").alias("next")).filter("at is not null and next is not null").distinct()
 
-    newest = sizing.settled(step.select(F.col("at").alias("node"), F.col("next").alias("ancestor"), F.lit(1).alias("distance")))
+    begin = step
+    if nodes is not None:
+        begin = step.join(nodes.select(F.col(nodes.columns[0]).alias("at")).distinct(), "at", "left_semi")
+    newest = sizing.settled(begin.select(F.col("at").alias("node"), F.col("next").alias("ancestor"), F.lit(1).alias("distance")))
     every, rounds = newest, 1
     while not newest.isEmpty():
         if not newest.filter("node = ancestor").isEmpty():

@@ -21,7 +21,7 @@ BLOCK_BYTES = 1 << 20
 
 def term_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, terms, len of every non-blank text, even with no term. Staged, so that texts are cut into terms once."""
-    rows = docs.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms"))
+    rows = sizing.spread(docs.select(id_col, text_col)).filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("terms"))
     return sizing.staged(rows.withColumn("len", F.size("terms")), "terms")
 
 
@@ -31,10 +31,11 @@ def corpus_of(lists: DataFrame) -> DataFrame:
 
 
 def frequencies(lists: DataFrame) -> DataFrame:
-    """term, df (texts that have it) and cf (its occurrences). Both counts are pre-aggregated by term, not by text."""
-    df = lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    cf = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-    return df.join(cf, "term")
+    """term, df (texts that have it) and cf (its occurrences). A text's terms stand sorted in its own row, so the first of
+    each is known there, and both counts are summed by term before anything is shuffled."""
+    rows = lists.select(F.array_sort("terms").alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).alias("first")))
+    return rows.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_col: str) -> DataFrame:
@@ -162,11 +163,11 @@ def table_context(claims: DataFrame, members: DataFrame, edges: DataFrame) -> Da
     row_no (null for what is no row or cell), text; edges: child, parent. Rows after the claim's row, and all that hangs
     below them, are later; what only repeats the text of a kept cell above it is repeated; the table itself is context;
     the rest is kept."""
-    up = graph.ancestors(edges)
     rows = claims.withColumnRenamed("row_no", "claim_row").join(members, "table_id")
     structural = rows.filter(F.col("row_no").isNotNull()).withColumn("later", F.col("row_no") > F.col("claim_row"))
-    below = structural.select("claim", F.col("id").alias("ancestor"), "later", F.col("text").alias("above")).join(up.select("node", "ancestor"), "ancestor")
     loose = rows.filter(F.col("row_no").isNull() & (F.col("id") != F.col("table_id")))
+    up = graph.ancestors(edges, loose.select("id"))
+    below = structural.select("claim", F.col("id").alias("ancestor"), "later", F.col("text").alias("above")).join(up.select("node", "ancestor"), "ancestor")
     met = loose.join(below.select("claim", F.col("node").alias("id"), "later", "above"), ["claim", "id"], "left")
     role = F.when(F.bool_or(F.coalesce("later", F.lit(False))), "later").when(F.bool_or(F.coalesce(~F.col("later") & (F.col("above") == F.col("text")), F.lit(False))), "repeated").otherwise("kept")
     out = met.groupBy("claim", "id").agg(role.alias("role"))

@@ -28,6 +28,15 @@ def blocks(df: DataFrame, each: int, least: int = 8) -> int:
     return int(min(1 << 20, max(least, -(-input_bytes(df) // each))))
 
 
+#: Inputs of fewer bytes are dealt out anew for work that is bound by the processor: they can be one split.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df; a small one over all cores, as its files may be fewer than these."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(df) <= SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset on one machine (local tests) a temporary one is
     made and set; on a cluster an unset folder is an error."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,27 +13,13 @@ from evigrid.sources.tables import table
 from evigrid.streaming import jobs
 
 
-class _Replay:
-    """State of a batch replay: the streaming step runs over all of a job's events at once."""
-
-    def __init__(self) -> None:
-        self.exists, self.get = False, None
-
-    def update(self, value: tuple) -> None:
-        self.exists, self.get = True, value
-
-
 def z1_leases(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as the lease traffic of one job, folded by the same step as the stream."""
     k = F.col("event_id")
     action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "click", "heartbeat").when(k % 11 == 3, "fail").otherwise("claim")
     # events a few minutes apart become seconds apart, so that leases are met while they run
     e = table(spark, d, "events").select(F.col("user_id").alias("job"), k.alias("seq"), F.floor(F.unix_timestamp("ts") / 600).alias("at"), F.concat(F.lit("w"), k % 2).alias("owner"), action.alias("action"), (1 + k % 2).alias("token"))
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(jobs.lease_step(key, iter([pdf]), _Replay()))
-
-    return e.groupBy("job").applyInPandas(fold, jobs.OUT).select("job", "seq", "token", "verdict")
+    return jobs.replayed(e).select("job", "seq", "token", "verdict")
 
 
 def z5_outbox(spark, d):

@@ -12,34 +12,10 @@ from evigrid.operators import windows as W
 from evigrid.sources.tables import table
 
 
-def j25_document_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Sources against a registry: the first failing check is the reason."""
-    src = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("published"))
-    reg = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment", F.lit(True).alias("known")).filter("c_nationkey <> 7")
-    x = src.join(reg, "o_custkey", "left")
-    reason = (
-        F.when(F.col("known").isNull(), "registry_missing").when(F.col("o_orderkey") % 13 == 0, "synthetic_mismatch").when(F.col("c_mktsegment") == "MACHINERY", "identity_mismatch")
-        .when(F.col("published") > F.lit("1998-01-01").cast("date"), "as_of_mismatch").when(F.col("o_orderstatus") == "P", "not_relevant").otherwise("accepted")
-    )
-    return x.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 def q10_anchors(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(R.anchors(F.col("text")), ",").alias("anchors"))
 
 
-def q11_element_status(spark, d):
-    x = table(spark, d, "documents").select("source", (F.instr("text", "tion") > 0).alias("hit"), F.col("lang"))
-    agg = x.groupBy("source", "lang").agg(F.bool_or("hit").alias("found"), F.count("*").alias("searched"))
-    return agg.select("source", "lang", F.when(F.col("found"), "confirmed").when(F.col("searched") >= 3, "not_found_in_report").otherwise("undetermined").alias("status"))
-
-
-def q13_track_freeze(spark, d):
-    p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_returnflag"))).alias("packet"))
-    own = F.filter("packet", lambda x: x["l_returnflag"] == "R")
-    return p.select("l_orderkey", F.size(own).cast("long").alias("elements"), F.sha2(F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["l_linenumber"], x["l_returnflag"])), "|"), 256).alias("packet_sha256"))
-
-
 def q12_merged_windows(spark, d):
     e = table(spark, d, "events").filter("event_type = 'click'").select("user_id", F.unix_timestamp("ts").alias("at"))
     return W.merged(e.select("user_id", (F.col("at") - 600).alias("start"), (F.col("at") + 600).alias("end")), ["user_id"], "start", "end")
@@ -57,11 +33,6 @@ def f10_validity(spark, d):
     return x.select("s_suppkey", D.valid_at(F.lit("1996-06-01").cast("date"), F.col("starts"), ends).alias("valid"))
 
 
-def f14_forbidden_fields(spark, d):
-    e = table(spark, d, "events").select("event_id", F.json_object_keys("props").alias("keys"))
-    return e.select("event_id", (F.size(F.array_intersect("keys", F.array(F.lit("grade"), F.lit("label")))) == 0).alias("clean"))
-
-
 def j3_table_compatibility(spark, d):
     """Cells pair up only where their parents pair up."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -71,11 +42,6 @@ def j3_table_compatibility(spark, d):
     return parents.join(left, "a").join(right, ["b", "l_linenumber"]).select("a", "b", "l_linenumber")
 
 
-def j12_normalized_key(spark, d):
-    c = table(spark, d, "customer").select(T.normalized_key(F.concat(F.lit(" "), "c_mktsegment", F.lit("  X "))).alias("key"))
-    return c.groupBy("key").agg(F.count("*").alias("n"))
-
-
 def j15_head_revision(spark, d):
     o = table(spark, d, "orders").withColumn("rev", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     heads = o.groupBy("o_custkey").agg(F.max("rev").alias("rev")).select("o_custkey", F.concat("o_custkey", F.lit(":"), F.lpad(F.col("rev").cast("string"), 10, "0")).alias("k"))
@@ -89,21 +55,6 @@ def j16_using(spark, d):
     return r.join(F.broadcast(n), ["nation"]).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-def j28_prior_run(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("runs"), F.min("o_orderkey").alias("run"))
-    return o.select("o_custkey", "y", F.when(F.col("runs") > 1, "ambiguous").otherwise("found").alias("state"), F.when(F.col("runs") == 1, F.col("run")).alias("run"))
-
-
-def a2_coverage(spark, d):
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("selected"), F.count("quality").alias("processed"))
-    return x.withColumn("status", F.when(F.col("processed") == F.col("selected"), "complete").when(F.col("processed") == 0, "not_run").otherwise("partial"))
-
-
-def a7_admission(spark, d):
-    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("replicas"), F.count_distinct("l_returnflag").alias("values"), F.count_if(F.col("l_tax") < 0.05).alias("present"))
-    return x.select("l_orderkey", ((F.col("replicas") >= 3) & (F.col("values") == 1) & (F.col("present") >= 2)).alias("admitted"))
-
-
 def w14_cumulative(spark, d):
     x = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y"), "l_returnflag").agg(F.count("*").alias("n"))
     return x.withColumn("running", F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("y")))
@@ -126,21 +77,13 @@ def u8_worlds(spark, d):
 
 
 QUERIES = {
-    "j25_document_gate": (j25_document_gate, "SELECT CASE WHEN c_custkey IS NULL OR c_nationkey = 7 THEN 'registry_missing' WHEN o_orderkey % 13 = 0 THEN 'synthetic_mismatch' WHEN c_mktsegment = 'MACHINERY' THEN 'identity_mismatch' WHEN CAST(o_orderdate AS DATE) > DATE '1998-01-01' THEN 'as_of_mismatch' WHEN o_orderstatus = 'P' THEN 'not_relevant' ELSE 'accepted' END AS reason, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1"),
     "q10_anchors": (q10_anchors, r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b((?:19|20)[0-9]{2})\b', 1), list_transform(regexp_extract_all(lower(text), 'scope\s*([0-9]+)', 1), lambda s: 'scope' || s)))), ',') AS anchors FROM documents"),
-    "q11_element_status": (q11_element_status, "SELECT source, lang, CASE WHEN bool_or(instr(text, 'tion') > 0) THEN 'confirmed' WHEN count(*) >= 3 THEN 'not_found_in_report' ELSE 'undetermined' END AS status FROM documents GROUP BY 1, 2"),
     "q12_merged_windows": (q12_merged_windows, 'WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 600 AS start, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS "end" FROM events WHERE event_type = \'click\'), g AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), p AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end") AS part FROM g) SELECT user_id, min(start) AS start, max("end") AS "end", count(*) AS spans FROM p GROUP BY user_id, part'),
-    "q13_track_freeze": (q13_track_freeze, "WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':R', '|' ORDER BY l_linenumber) AS s FROM p GROUP BY 1) SELECT o.l_orderkey, coalesce(n, 0) AS elements, sha256(coalesce(s, '')) AS packet_sha256 FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN a USING (l_orderkey)"),
     "f8_policy_gate": (f8_policy_gate, "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'policy_unapproved' WHEN p_partkey % 7 = 0 THEN 'stage_not_supported' WHEN p_partkey % 5 = 0 THEN 'synthetic_policy_real_packet' WHEN p_partkey % 3 = 0 THEN 'item_not_enabled' ELSE 'open' END AS reason FROM part"),
     "f10_validity": (f10_validity, "SELECT s_suppkey, DATE '1995-01-01' + CAST(s_suppkey * 11 % 900 AS INTEGER) <= DATE '1996-06-01' AND (s_suppkey % 4 = 0 OR DATE '1996-06-01' < DATE '1995-01-01' + CAST(s_suppkey * 11 % 900 AS INTEGER) + 200) AS valid FROM supplier"),
-    "f14_forbidden_fields": (f14_forbidden_fields, "SELECT event_id, NOT list_has_any(json_keys(props), ['grade', 'label']) AS clean FROM events"),
     "j3_table_compatibility": (j3_table_compatibility, "WITH p AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey, o_orderpriority HAVING min(o_orderkey) < max(o_orderkey)), l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT a, b, x.l_linenumber FROM p JOIN l x ON x.l_orderkey = a JOIN l y ON y.l_orderkey = b AND x.l_linenumber = y.l_linenumber"),
-    "j12_normalized_key": (j12_normalized_key, "SELECT lower(c_mktsegment) || ' x' AS key, count(*) AS n FROM customer GROUP BY 1"),
     "j15_head_revision": (j15_head_revision, "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
     "j16_using": (j16_using, "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
-    "j28_prior_run": (j28_prior_run, "SELECT o_custkey, year(o_orderdate) AS y, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN count(*) = 1 THEN min(o_orderkey) ELSE -1 END AS run FROM orders GROUP BY 1, 2"),
-    "a2_coverage": (a2_coverage, "SELECT source, count(*) AS selected, count(quality) AS processed, CASE WHEN count(quality) = count(*) THEN 'complete' WHEN count(quality) = 0 THEN 'not_run' ELSE 'partial' END AS status FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
-    "a7_fact_admission": (a7_admission, "SELECT l_orderkey, count(DISTINCT l_linenumber) >= 3 AND count(DISTINCT l_returnflag) = 1 AND count(*) FILTER (l_tax < 0.05) >= 2 AS admitted FROM lineitem GROUP BY 1"),
     "w13_running_totals": (w14_cumulative, "WITH x AS (SELECT year(l_shipdate) AS y, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT *, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY y) AS BIGINT) AS running FROM x"),
     "x11_number_literal": (x11_number_literal, "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'missing' WHEN 2 THEN 'unreadable' ELSE 'present' END AS state, CASE p_partkey % 4 WHEN 0 THEN printf('%.2f', p_retailprice) WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE '' END AS value FROM part"),
     "x25_display_interval": (x25_display_interval, "SELECT p_partkey, round(CAST((CAST(p_retailprice AS DECIMAL(12,1)) - 0.05) * 1000 AS DOUBLE), 4) AS low, round(CAST((CAST(p_retailprice AS DECIMAL(12,1)) + 0.05) * 1000 AS DOUBLE), 4) AS high FROM part"),

@@ -89,12 +89,6 @@ def evidence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pack_evidence(hits.select(F.col("query_id").alias("claim"), "rank", F.col("id").alias("bundle"), "tokens", F.floor(F.col("tokens") / 3).alias("shared")))
 
 
-def scope_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    scope = F.when(F.col("doc_id") % 10 == 0, "local_claim").when(F.col("source") == "src0", "same_table").otherwise("global_bound")
-    return d.select(scope.alias("scope")).groupBy("scope").agg(F.count("*").alias("n"))
-
-
 BM25 = (
     """
 WITH d AS (SELECT doc_id AS id, """
@@ -128,7 +122,6 @@ QUERIES = {
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score, routes FROM g QUALIFY rank <= 12"""),
     "q6_evidence_packing": (evidence_packing, None),
     "q7_admitted_hits": (admission, "SELECT lang, count(*) FILTER (doc_id % 3 <> 0) AS admitted, count(*) FILTER (doc_id % 3 = 0) AS rejected FROM documents GROUP BY lang"),
-    "q8_scope_class": (scope_class, "SELECT CASE WHEN doc_id % 10 = 0 THEN 'local_claim' WHEN source = 'src0' THEN 'same_table' ELSE 'global_bound' END AS scope, count(*) AS n FROM documents GROUP BY 1"),
     "q9_literal_hits": (literal_hits, r"""WITH s AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), c AS (
 SELECT doc_id, CAST((length(t) - length(replace(t, 'ofthe', ''))) / 5 AS BIGINT) AS of_the, CAST((length(t) - length(replace(t, 'tion', ''))) / 4 AS BIGINT) AS tion FROM s)
 SELECT * FROM c WHERE of_the > 0 OR tion > 0"""),

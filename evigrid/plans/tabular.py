@@ -471,7 +471,7 @@ UNION ALL SELECT a.o_custkey, a.o_orderpriority, a.o_orderkey, b.o_orderkey, 'mo
     "a21_period_decision": (a21_period_decision, "WITH o AS (SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS n, min(year(o_orderdate)) AS p, count(*) FILTER (o_orderstatus = 'P') AS u FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN n = 1 AND u = 0 THEN 'detected' WHEN n = 0 THEN 'not_found' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 AND u = 0 THEN p END AS period FROM o"),
     "a22_capacity": (a22_capacity, "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)"),
     "x1_sentences": (x1_sentences, None),
-    "x4_x13_text": (x_text, r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''=a' ELSE 'a' END AS safe, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key_md5, 'present' AS state FROM documents"),
+    "x4_x13_text": (x_text, r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '''=a' ELSE 'a' END AS safe, md5(replace(lower(nfc_normalize(trim(regexp_replace(text, '\s+', ' ', 'g')))), 'ß', 'ss')) AS key_md5, 'present' AS state FROM documents"),
     "x19_periods": (x19_periods, "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 5 AS INTEGER) AS b FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN year(a) <= 1995 WHEN 4 THEN a <= b ELSE true END AS supported, CASE WHEN a <= b THEN a END AS start, CASE WHEN a <= b THEN b END AS \"end\" FROM o"),
     "x24_year_apart": (x24_year_apart, "WITH o AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT o_custkey, year(b) = year(a) + 1 AND month(a) = month(b) AND day(a) = day(b) AS apart, last_day(a) = CAST(a AS DATE) AS month_end FROM o"),
     "x27_amounts": (x27_amounts, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * CASE c_custkey % 9 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 5 THEN 100000000 WHEN 6 THEN 1000000000000 WHEN 8 THEN NULL ELSE 1 END AS DECIMAL(30,4)) AS amount FROM customer"),

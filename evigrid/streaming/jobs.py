@@ -19,41 +19,81 @@ OUT = "job long, seq long, at long, owner string, token long, verdict string"
 STATE = "owner string, token long, expires long, state string, due long, attempts long"
 
 
+class Lease:
+    """One job: a claim takes a free or expired lease, from whoever held it, and gets a greater fencing token; while a lease
+    runs nobody gets it, its owner neither. A heartbeat, commit or failure needs the running lease and its token. After a
+    failure the job waits 2^attempt seconds, and is failed after MOST_ATTEMPTS."""
+
+    __slots__ = ("owner", "token", "expires", "state", "due", "attempts")
+
+    def __init__(self, owner: str = "", token: int = 0, expires: int = 0, state: str = "pending", due: int = 0, attempts: int = 0):
+        self.owner, self.token, self.expires, self.state, self.due, self.attempts = owner, token, expires, state, due, attempts
+
+    def plain(self) -> tuple:
+        return self.owner, self.token, self.expires, self.state, self.due, self.attempts
+
+    def take(self, at: int, owner: str, action: str, token: int) -> str:
+        """The verdict on one event."""
+        held = self.owner != "" and at < self.expires
+        if self.state != "pending":
+            return "refused_" + self.state
+        if action == "claim":
+            if held:
+                return "refused_leased"
+            if at < self.due:
+                return "refused_waiting"
+            self.owner, self.token, self.expires, self.attempts = owner, self.token + 1, at + LEASE_SECONDS, self.attempts + 1
+            return "claimed"
+        if action == "cancel":
+            self.state = "cancelled"
+        elif not held or owner != self.owner or token != self.token:
+            return "refused_fenced"
+        elif action == "heartbeat":
+            self.expires = at + LEASE_SECONDS
+            return "renewed"
+        elif action == "fail":
+            self.state = "failed" if self.attempts >= MOST_ATTEMPTS else "pending"
+            self.owner, self.due = "", at + 2**self.attempts
+        else:
+            self.state = "committed"
+        return self.state
+
+
+FIELDS = ("seq", "at", "owner", "action", "token")
+
+
 def lease_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One job's events in order of time: claim, heartbeat, commit, fail, cancel. A claim takes a free or expired lease,
-    from whoever held it, and gets a greater fencing token; while a lease runs nobody gets it, its owner neither. A
-    heartbeat, commit or failure needs the running lease and its token. After a failure the job waits 2^attempt seconds,
-    and is failed after MOST_ATTEMPTS. A trigger's events of one job are ordered as a whole, however many batches hold
+    """One job's events in order of time. A trigger's events of one job are ordered as a whole, however many batches hold
     them; seq orders events of one second."""
-    owner, token, expires, done, due, attempts = state.get if state.exists else ("", 0, 0, "pending", 0, 0)
+    lease = Lease(*(state.get if state.exists else ()))
+    every = pd.concat(list(batches)).sort_values(["at", "seq"])
     rows = []
-    for e in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples(index=False):
-        held = owner != "" and e.at < expires
-        if done != "pending":
-            verdict = "refused_" + done
-        elif e.action == "claim":
-            if held:
-                verdict = "refused_leased"
-            elif e.at < due:
-                verdict = "refused_waiting"
-            else:
-                owner, token, expires, attempts, verdict = e.owner, token + 1, e.at + LEASE_SECONDS, attempts + 1, "claimed"
-        elif e.action == "cancel":
-            done = verdict = "cancelled"
-        elif not held or e.owner != owner or e.token != token:
-            verdict = "refused_fenced"
-        elif e.action == "heartbeat":
-            expires, verdict = e.at + LEASE_SECONDS, "renewed"
-        elif e.action == "fail":
-            done = verdict = "failed" if attempts >= MOST_ATTEMPTS else "pending"
-            owner, due = "", e.at + 2**attempts
-        else:
-            done = verdict = "committed"
-        rows.append((key[0], e.seq, e.at, e.owner, token, verdict))
-    state.update((owner, token, expires, done, due, attempts))
+    for seq, at, owner, action, token in zip(*(every[c].tolist() for c in FIELDS), strict=True):
+        verdict = lease.take(at, owner, action, token)
+        rows.append((key[0], seq, at, owner, lease.token, verdict))
+    state.update(lease.plain())
     yield pd.DataFrame(rows, columns=["job", "seq", "at", "owner", "token", "verdict"])
 
 
+def replayed(events: DataFrame) -> DataFrame:
+    """The same verdicts over a table of events: jobs are dealt out by key and each task goes once through its rows in
+    order, with the lease of the job it is at. A job of any number of events takes the memory of one batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lease = object(), Lease()
+        for pdf in batches:
+            tokens, verdicts = [], []
+            for job, _, at, owner, action, token in zip(*(pdf[c].tolist() for c in ("job", *FIELDS)), strict=True):
+                if job != now:
+                    now, lease = job, Lease()
+                verdicts.append(lease.take(at, owner, action, token))
+                tokens.append(lease.token)
+            yield pd.DataFrame({"job": pdf["job"], "seq": pdf["seq"], "at": pdf["at"], "owner": pdf["owner"], "token": tokens, "verdict": verdicts})
+
+    rows = events.select("job", *FIELDS).repartition("job").sortWithinPartitions("job", "at", "seq")
+    return rows.mapInPandas(run, OUT)
+
+
 def leases(events: DataFrame) -> DataFrame:
     """events (streaming): job, seq, at (seconds), owner, action, token -> a verdict for each. State is kept per job."""
     return events.groupBy("job").applyInPandasWithState(lease_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
