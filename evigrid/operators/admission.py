@@ -290,3 +290,21 @@ def report_rows(refs: DataFrame, decisions: DataFrame, labels: dict[str, str], p
     state = F.when(c("decision_revision") == 0, "unfinished").otherwise(c("status"))
     shown = lambda v: F.when(c("error").isNull(), v)
     return x.withColumn("error", error).select(refs["claim"], "decision_revision", shown(state).alias("state"), shown(c("grade")).alias("grade"), shown(c("label")).alias("label"), "error").distinct()
+
+
+def scoped_decisions(decisions: DataFrame, scopes: DataFrame, facts: DataFrame, policies: Sequence[str]) -> DataFrame:
+    """decisions (claim, doc, status, grade) with confirmed, basis and reason: may absence inside a declared scope stand? scopes:
+    claim, doc, run, selected (array of pages), inspected, policy, absent (array of fact names), receipt; facts: claim, fact,
+    state. A scope counts if it is of the claim's document, its pages were all looked at, it follows a known policy, it names
+    just the facts that are absent, and no fact is in conflict; a decision that is not decided stays what it is."""
+    f = facts.groupBy("claim").agg(F.array_sort(F.collect_set(F.when(F.col("state") == "absent_in_scope", F.col("fact")))).alias("_absent"), F.bool_or(F.col("state") == "conflict").alias("_conflict"))
+    s = scopes.select("claim", F.col("doc").alias("_doc"), "run", "selected", "inspected", "policy", F.array_sort(F.array_distinct("absent")).alias("_named"), "receipt")
+    x, c = decisions.join(s, "claim", "left").join(f, "claim", "left"), F.col
+    none = F.array().cast("array<string>")
+    reason = first_reason(
+        (c("_doc").isNull(), "scope_missing"), (c("_doc") != c("doc"), "scope_of_another_document"), (c("run").isNull() | (c("run") == ""), "run_missing"), (F.coalesce(F.size("selected"), F.lit(0)) <= 0, "no_pages_selected"), (differs(c("inspected"), c("selected")), "pages_not_inspected"),
+        (~F.coalesce(c("policy").isin(*policies), F.lit(False)), "policy_unknown"), (F.coalesce(c("_conflict"), F.lit(False)), "fact_in_conflict"), (F.size(F.coalesce("_named", none)) == 0, "no_absent_facts"), (differs(F.coalesce("_named", none), F.coalesce("_absent", none)), "absent_facts_differ"),
+    )
+    fine = reason.isNull() & (c("status") == "decided")
+    basis = F.when(fine, F.sha2(F.to_json(F.struct("claim", "doc", "run", "selected", "policy", "_named", "receipt", "status", "grade")), 256))
+    return x.select(*decisions.columns, fine.alias("confirmed"), basis.alias("basis"), reason.alias("reason"))

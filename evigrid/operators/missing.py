@@ -56,14 +56,15 @@ def compact(text: Column) -> Column:
 def anchors(quote: Column) -> Column:
     """struct of metric, metric_distinctive, period and boundary (sorted arrays): the words of a claim that its evidence
     should share. An absent axis is empty and never invented."""
-    found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(quote, F.lit(f"({p})"), F.lit(0))))
-    period, boundary = found(PERIOD), found(BOUNDARY)
-    words = F.transform(F.regexp_extract_all(quote, F.lit(f"({WORD})"), F.lit(0)), lambda w: F.regexp_replace(w, PARTICLE, ""))
-    verb = lambda w: F.lit(False) if not VERB_END else _any([w.endswith(e) for e in VERB_END])
-    fine = lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOP_WORDS) & ~w.rlike(NO_METRIC) & ~verb(w) & ~F.array_contains(boundary, w) & ~w.rlike(r"^\d+$")
-    metric = F.array_sort(F.array_distinct(F.filter(words, fine)))
-    distinctive = F.filter(metric, lambda w: w.rlike("[A-Za-z]") | (F.char_length(w) >= DISTINCTIVE))
-    return F.struct(metric.alias("metric"), distinctive.alias("metric_distinctive"), period.alias("period"), boundary.alias("boundary"))
+    found = lambda q, p: F.array_sort(F.array_distinct(F.regexp_extract_all(q, F.lit(f"({p})"), F.lit(0))))
+    verb = lambda w: _any([w.endswith(e) for e in VERB_END])
+    fine = lambda w, boundary: (F.char_length(w) >= 2) & ~w.isin(*STOP_WORDS) & ~w.rlike(NO_METRIC) & ~verb(w) & ~F.array_contains(boundary, w) & ~w.rlike(r"^\d+$")
+    # each step is bound once to a row's value: what a lambda reads would else be worked out again for every word
+    one = F.array(F.struct(quote.alias("q"), found(quote, PERIOD).alias("period"), found(quote, BOUNDARY).alias("boundary"), F.array_distinct(F.regexp_extract_all(quote, F.lit(f"({WORD})"), F.lit(0))).alias("words")))
+    one = F.transform(one, lambda x: F.struct(x["period"].alias("period"), x["boundary"].alias("boundary"), F.array_distinct(F.transform(x["words"], lambda w: F.regexp_replace(w, PARTICLE, ""))).alias("words")))
+    one = F.transform(one, lambda x: F.struct(F.array_sort(F.filter(x["words"], lambda w: fine(w, x["boundary"]))).alias("metric"), x["period"].alias("period"), x["boundary"].alias("boundary")))
+    one = F.transform(one, lambda x: F.struct(x["metric"].alias("metric"), F.filter(x["metric"], lambda w: w.rlike("[A-Za-z]") | (F.char_length(w) >= DISTINCTIVE)).alias("metric_distinctive"), x["period"].alias("period"), x["boundary"].alias("boundary")))
+    return F.get(one, F.lit(0))
 
 
 def _any(parts: Sequence[Column]) -> Column:

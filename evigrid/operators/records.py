@@ -67,6 +67,25 @@ def sealed(rows: DataFrame, columns: Sequence[str], name: str = "seal") -> DataF
     return rows.withColumn(name, F.sha2(body, 256))
 
 
+def reusable(new: DataFrame, done: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """new with key (a hash of all parts that a result depends on), reused (the result of the latest ready run of that key)
+    and state: reused, not_ready where runs of the key have no ready result, missing. done: parts, result, ready, at."""
+    keyed = lambda df: sealed(df, parts, "key")
+    prior = keyed(done).groupBy("key").agg(F.max(F.when(F.col("ready"), F.struct("at", "result"))).alias("_best"))
+    out = keyed(new).join(prior.withColumn("_met", F.lit(True)), "key", "left")
+    state = F.when(F.col("_best").isNotNull(), "reused").when(F.col("_met"), "not_ready").otherwise("missing")
+    return out.withColumn("reused", F.col("_best.result")).withColumn("state", state).drop("_best", "_met")
+
+
+def handed_off(results: DataFrame, published: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
+    """results (key, parts) with seal and state: unchanged where what was published under the key has the same seal, replaced
+    where it has another, new where nothing was."""
+    own = sealed(results, parts)
+    before = sealed(published, parts).select(key, F.col("seal").alias("_before"))
+    out = own.join(before, key, "left")
+    return out.withColumn("state", F.when(F.col("_before").isNull(), "new").when(F.col("_before") == F.col("seal"), "unchanged").otherwise("replaced")).drop("_before")
+
+
 def bound(facts: DataFrame, bindings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """facts with `bound`: a trusted binding agrees with every key, nulls with nulls."""
     own = bindings.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_found", F.lit(True))

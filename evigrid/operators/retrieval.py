@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
-from evigrid.operators import graph, sizing
+from evigrid.operators import admission, graph, sizing
 
 #: Input bytes of vectors in a block.
 BLOCK_BYTES = 1 << 20
@@ -174,3 +174,29 @@ def table_context(claims: DataFrame, members: DataFrame, edges: DataFrame) -> Da
     own = structural.select("claim", "id", F.when(F.col("later"), "later").otherwise("kept").alias("role"))
     return sizing.together(out, own, claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
 
+
+
+def packets(claims: DataFrame, fused: DataFrame, blocks: DataFrame, tables: DataFrame, elements: DataFrame, identity: Sequence[str], *, k: int = 12, each: int = 1600, total: int = 12_000) -> DataFrame:
+    """One evidence packet for each claim: claim, blocked, candidates, rejected and packet_sha256.
+
+    claims: claim, source_id, place, verified, identity... (a row for each of its own sources); fused: query_id, id, score;
+    blocks: source_id, identity..., text_hash, tokens, shared; the hash under which the index knew a source is fused.hash;
+    tables: source_id, root; elements: element, scopes. The claim's own sources come first, then the fused hits; a hit of
+    another identity or text is rejected; what is left is put in scope, gets the elements it may serve, and is packed
+    whole under the budget. A claim with an own source that is not verified is blocked, but keeps its packet."""
+    own = claims.select(F.col("claim").alias("query_id"), F.col("source_id").alias("id"), "place")
+    ranked = own_first(fused.select("query_id", "id", "score"), own, k).select(F.col("query_id").alias("claim"), "rank", F.col("id").alias("source_id"))
+    told = fused.groupBy(F.col("query_id").alias("claim"), F.col("id").alias("source_id")).agg(F.min("hash").alias("text_hash"))
+    per_claim = claims.groupBy("claim").agg(F.bool_and(F.coalesce("verified", F.lit(False))).alias("_verified"), *[F.first(c).alias(c) for c in identity])
+    hits = ranked.join(told, ["claim", "source_id"], "left").join(per_claim, "claim")
+    known = blocks.select("source_id", F.col("text_hash").alias("_hash"), "tokens", "shared")
+    hits = hits.join(known, "source_id", "left").withColumn("text_hash", F.coalesce("text_hash", "_hash"))
+    admitted = admit(hits.drop("_hash"), blocks, identity, id_col="source_id", hash_col="text_hash")
+    scoped = admission.allowed_elements(admission.source_scope(admitted, claims, tables), elements)
+    bundles = scoped.filter("admitted").select("claim", "rank", F.col("source_id").alias("bundle"), "tokens", "shared")
+    state = pack_evidence(bundles, each=each, total=total, most=k).select("claim", F.col("bundle").alias("source_id"), "state")
+    rows = scoped.join(state, ["claim", "source_id"], "left")
+    item = F.struct("rank", F.col("source_id").alias("id"), "scope", "elements", "state")
+    out = rows.groupBy("claim").agg(F.array_sort(F.collect_list(F.when(F.col("admitted"), item))).alias("candidates"), F.array_sort(F.collect_list(F.when(~F.col("admitted"), F.col("source_id")))).alias("rejected"))
+    out = out.join(per_claim.select("claim", (~F.col("_verified")).alias("blocked")), "claim")
+    return out.withColumn("packet_sha256", F.sha2(F.to_json(F.struct("claim", "blocked", "candidates", "rejected")), 256))

@@ -128,6 +128,21 @@ def selectable(g: Grammar, text: str, kind: str, context: Sequence[str]) -> bool
     return (measured and dated) or (has(g.assertion, text) and (measured or dated or has(g.status, text) or has(g.means, text)))
 
 
+def selectable_text(text: Column, kind: Column, context: Column, grammar: Grammar | None = None) -> Column:
+    """selectable() as an expression: nothing but pattern tests, so a filter over many sentences stays in the engine."""
+    g = grammar or Grammar()
+    test = lambda p, t=text: t.rlike("(?i)" + p)
+    measured, dated = test(g.quantity), test(g.year)
+    axes = F.array_join(context, " ")
+    cell = ((kind == "table_cell") | (F.size(context) > 0)) & test(r"^(?:[\d,.+−\s-]+\s*(?:" + g.unit + r")?)$")
+    located = (F.size(context) > 0) & test(g.environment, axes) & test(g.year, axes) & test(g.unit, F.concat(axes, F.lit(" "), text))
+    told = (measured & dated) | (test(g.assertion) & (measured | dated | test(g.status) | test(g.means)))
+    return (
+        F.when(test(g.nonclaim), False).when(test(g.assurance) & test(g.procedure) & ~(measured & dated & test(g.disclosed)), False)
+        .when(cell, located).when(~test(g.environment) & ~test(g.dependent), False).otherwise(told)
+    )
+
+
 def sentence_cuts(g: Grammar, value: str, connectives: int) -> list[int]:
     """Ascending cuts of one sentence, 0 and its end included: after a connective between two assertions, before each
     target year but the first, and, within what these leave, after a conjunction of two metrics."""

@@ -303,8 +303,11 @@ NOTES = ("unit: tCO2e", "단위 : 천 kWh", "Unit: 3 t", "Scope: Scope 2", " Sco
 
 
 def x12_notes(spark, d):
-    text = F.element_at(F.array(*[F.lit(x) for x in NOTES]), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(T.unit_note(text), F.lit("-")).alias("unit"), F.coalesce(T.scope_note(text), F.lit("-")).alias("scope"), D.year_literal(text).alias("year"))
+    """Notes as documents end them: with nothing, with white space of several kinds, or with more of their text."""
+    k = F.col("doc_id")
+    note = F.element_at(F.array(*[F.lit(x) for x in NOTES]), (F.char_length("text") % 8 + 1).cast("int"))
+    text = F.concat(note, F.when(k % 4 == 0, "\u3000\n").when(k % 4 == 1, F.left("text", F.lit(2))).when(k % 4 == 2, "\r\n\t").otherwise(""))
+    return table(spark, d, "documents").select(k, F.coalesce(T.unit_note(text), F.lit("-")).alias("unit"), F.coalesce(T.scope_note(text), F.lit("-")).alias("scope"), D.year_literal(text).alias("year"))
 
 
 def q5_four_routes(spark, d):
@@ -356,7 +359,7 @@ SELECT run, CAST(spent AS DOUBLE) AS run_total, CAST(d AS DOUBLE) AS day_total,
     "a4_partial_facts": (a4_partial_facts, A4),
     "x23_prose_periods": (x23_prose_periods, f"SELECT o_orderkey, nth, CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS \"end\", kind FROM orders JOIN {PROSE_SQL} ON o_orderkey % 7 = m"),
     "p26_detected_period": (p26_detected_period, f"WITH c AS (SELECT o_custkey, a, CASE WHEN o_orderkey % 35 <> 1 THEN b END AS b FROM orders JOIN {PROSE_SQL} ON o_orderkey % 7 = m), g AS (SELECT o_custkey, count(DISTINCT CASE WHEN b IS NOT NULL THEN a || '/' || b END) AS n, bool_or(b IS NULL) AS open, min(a) AS a, min(b) AS b FROM c GROUP BY 1) SELECT o_custkey, CASE WHEN n = 1 AND NOT open THEN 'detected' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND NOT open THEN CAST(a AS VARCHAR) ELSE '-' END AS start, CASE WHEN n = 1 AND NOT open THEN CAST(b AS VARCHAR) ELSE '-' END AS \"end\" FROM g"),
-    "x12_notes": (x12_notes, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'tCO2e' WHEN 1 THEN '천 kWh' WHEN 6 THEN '%p' ELSE '-' END AS unit, CASE p_partkey % 8 WHEN 3 THEN 'Scope 2' WHEN 4 THEN 'Scope 1' ELSE '-' END AS scope, CASE p_partkey % 8 WHEN 7 THEN 2023 ELSE -1 END AS year FROM part"),
+    "x12_notes": (x12_notes, "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN -1 ELSE length(text) % 8 END AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'tCO2e' WHEN 1 THEN '천 kWh' WHEN 6 THEN '%p' ELSE '-' END AS unit, CASE k WHEN 3 THEN 'Scope 2' WHEN 4 THEN 'Scope 1' ELSE '-' END AS scope, CASE k WHEN 7 THEN 2023 ELSE -1 END AS year FROM n"),
     "q5_four_routes": (q5_four_routes, ROUTES + """, i AS (SELECT item_id AS query_id FROM benchmark), r AS (SELECT query_id, id, rank FROM l UNION ALL SELECT query_id, id, rank FROM v
 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM documents JOIN i ON doc_id % 200 = query_id UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM documents JOIN i ON doc_id // 50 = query_id),
 g0 AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY query_id, id), g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 13), o AS (SELECT doc_id AS query_id, doc_id AS id FROM documents WHERE doc_id IN (SELECT query_id FROM i)),

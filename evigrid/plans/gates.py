@@ -12,10 +12,6 @@ from evigrid.operators import windows as W
 from evigrid.sources.tables import table
 
 
-def q10_anchors(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(R.anchors(F.col("text")), ",").alias("anchors"))
-
-
 def q12_merged_windows(spark, d):
     e = table(spark, d, "events").filter("event_type = 'click'").select("user_id", F.unix_timestamp("ts").alias("at"))
     return W.merged(e.select("user_id", (F.col("at") - 600).alias("start"), (F.col("at") + 600).alias("end")), ["user_id"], "start", "end")
@@ -71,13 +67,7 @@ def x25_display_interval(spark, d):
     return x.select("p_partkey", F.round(low.cast("double"), 4).alias("low"), F.round(high.cast("double"), 4).alias("high"))
 
 
-def u8_worlds(spark, d):
-    n = table(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("r_regionkey")).cast("int") - 1)).alias("world"))
-    return n.select("r_regionkey", "world", F.bit_count("world").cast("long").alias("true_facts"))
-
-
 QUERIES = {
-    "q10_anchors": (q10_anchors, r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b((?:19|20)[0-9]{2})\b', 1), list_transform(regexp_extract_all(lower(text), 'scope\s*([0-9]+)', 1), lambda s: 'scope' || s)))), ',') AS anchors FROM documents"),
     "q12_merged_windows": (q12_merged_windows, 'WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 600 AS start, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS "end" FROM events WHERE event_type = \'click\'), g AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), p AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end") AS part FROM g) SELECT user_id, min(start) AS start, max("end") AS "end", count(*) AS spans FROM p GROUP BY user_id, part'),
     "f8_policy_gate": (f8_policy_gate, "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'policy_unapproved' WHEN p_partkey % 7 = 0 THEN 'stage_not_supported' WHEN p_partkey % 5 = 0 THEN 'synthetic_policy_real_packet' WHEN p_partkey % 3 = 0 THEN 'item_not_enabled' ELSE 'open' END AS reason FROM part"),
     "f10_validity": (f10_validity, "SELECT s_suppkey, DATE '1995-01-01' + CAST(s_suppkey * 11 % 900 AS INTEGER) <= DATE '1996-06-01' AND (s_suppkey % 4 = 0 OR DATE '1996-06-01' < DATE '1995-01-01' + CAST(s_suppkey * 11 % 900 AS INTEGER) + 200) AS valid FROM supplier"),
@@ -87,5 +77,4 @@ QUERIES = {
     "w13_running_totals": (w14_cumulative, "WITH x AS (SELECT year(l_shipdate) AS y, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT *, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY y) AS BIGINT) AS running FROM x"),
     "x11_number_literal": (x11_number_literal, "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'missing' WHEN 2 THEN 'unreadable' ELSE 'present' END AS state, CASE p_partkey % 4 WHEN 0 THEN printf('%.2f', p_retailprice) WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE '' END AS value FROM part"),
     "x25_display_interval": (x25_display_interval, "SELECT p_partkey, round(CAST((CAST(p_retailprice AS DECIMAL(12,1)) - 0.05) * 1000 AS DOUBLE), 4) AS low, round(CAST((CAST(p_retailprice AS DECIMAL(12,1)) + 0.05) * 1000 AS DOUBLE), 4) AS high FROM part"),
-    "u8_worlds": (u8_worlds, "SELECT r_regionkey, CAST(w AS INTEGER) AS world, bit_count(w) AS true_facts FROM region, unnest(range(CAST(pow(2, r_regionkey) AS BIGINT))) AS t(w)"),
 }

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.plans import admissions, decisions, discovery, documents, exchange, gates, retrieval, structure, tabular
+from evigrid.plans import admissions, decisions, discovery, documents, evidence, exchange, gates, retrieval, structure, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, tabular, decisions, documents, gates, discovery, structure, exchange, admissions)
+MODULES = (retrieval, tabular, decisions, documents, gates, discovery, structure, exchange, admissions, evidence)
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -266,12 +266,6 @@ def f4_declared_subset(spark, d):
     return x.groupBy(F.coalesce(reason, F.lit("selected")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def f5_eligibility(spark, d):
-    t = F.col("text")
-    gate = F.when(t.rlike("(?i)all rights reserved"), "non_claim").when(t.rlike(r"\b(19|20)[0-9]{2}\b"), "year").when(t.rlike("[0-9]"), "bare_number").otherwise("plain")
-    return table(spark, d, "documents").select("doc_id", gate.alias("gate"))
-
-
 def f12_readable(spark, d):
     letters = F.char_length(F.regexp_replace("text", "[^A-Za-zÀ-ÿ]", ""))
     return table(spark, d, "documents").select("doc_id", ((letters >= 80) & (F.regexp_count("text", F.lit(r"\(cid:")) < 3)).alias("readable"))
@@ -383,16 +377,6 @@ def s17_csv_sink(spark, d):
     return table(spark, d, "part").select("p_partkey", T.csv_safe(F.concat(F.when(F.col("p_size") % 5 == 0, "-").when(F.col("p_size") % 7 == 0, "@").otherwise(""), F.col("p_name"))).alias("cell"))
 
 
-def s20_handoff(spark, d):
-    return _orders(spark, d).select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("seal"))
-
-
-def s21_reuse(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.md5("text"), "lang"), 256).alias("key"))
-    prior = x.filter("doc_id % 2 = 0").select("key").distinct()
-    return x.filter("doc_id % 2 = 1").join(prior, "key", "left_semi").select("doc_id")
-
-
 def z7_rate_buckets(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.window("ts", "1 hour")["start"].alias("hour")).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -457,7 +441,6 @@ UNION ALL SELECT a.o_custkey, a.o_orderpriority, a.o_orderkey, b.o_orderkey, 'mo
     "f1_optional_filter": (f1_optional_filter, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT 'low_open', count(*) FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'O' HAVING count(*) > 0"),
     "f2_facets": (f2_facets, "SELECT lang, CASE WHEN quality IS NULL THEN 'hold' WHEN toxic = 1 THEN 'provisional' ELSE 'confirmed' END AS bucket, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE instr(lower(source || ' ' || lang || ' ' || text), 'the') > 0 GROUP BY 1, 2"),
     "f4_declared_subset": (f4_declared_subset, "SELECT CASE WHEN lang <> 'en' THEN 'other_language' WHEN n_chars < 200 THEN 'too_short' ELSE 'selected' END AS reason, count(*) AS n FROM documents GROUP BY 1"),
-    "f5_eligibility": (f5_eligibility, r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)all rights reserved') THEN 'non_claim' WHEN regexp_matches(text, '\b(19|20)[0-9]{2}\b') THEN 'year' WHEN regexp_matches(text, '[0-9]') THEN 'bare_number' ELSE 'plain' END AS gate FROM documents"),
     "f12_readable": (f12_readable, r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 80 AND len(regexp_extract_all(text, '\(cid:')) < 3 AS readable FROM documents"),
     "f15_ordered_spans": (f15_ordered_spans, f'WITH s AS ({SPAN}), f AS (SELECT k, coalesce(lag("end") OVER (PARTITION BY k ORDER BY start, "end", id) <= start, true) AS fine FROM s) SELECT k, bool_and(fine) AS disjoint FROM f GROUP BY k'),
     "a1_summary": (a1_summary, "WITH g AS (SELECT lang, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 'E3' WHEN quality = 1 THEN 'E2' ELSE 'E0' END AS g FROM documents LEFT JOIN labels USING (doc_id)) SELECT lang, count(*) FILTER (g = 'E0') AS \"E0\", count(*) FILTER (g = 'E1') AS \"E1\", count(*) FILTER (g = 'E2') AS \"E2\", count(*) FILTER (g = 'E3') AS \"E3\", count(*) FILTER (g IS NULL) AS undecided, round(count(*) FILTER (g = 'E3') / nullif(count(g), 0), 6) AS rate FROM g GROUP BY lang"),
@@ -478,8 +461,6 @@ UNION ALL SELECT a.o_custkey, a.o_orderpriority, a.o_orderkey, b.o_orderkey, 'mo
     "x32_entity_set": (x32_entity_set, "SELECT n_regionkey, '[' || string_agg('\"' || lower(n_name) || '\"', ',' ORDER BY lower(n_name)) || ']' AS entities FROM nation GROUP BY 1"),
     "x35_page_refs": (x35_page_refs, "SELECT p_partkey, array_to_string(range(p_size, p_size + p_partkey % 4 + 1), ',') AS pages FROM part"),
     "s17_csv_sink": (s17_csv_sink, "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '''-' WHEN p_size % 7 = 0 THEN '''@' ELSE '' END || p_name AS cell FROM part"),
-    "s20_handoff": (s20_handoff, "SELECT o_orderkey, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS seal FROM orders"),
-    "s21_reuse": (s21_reuse, "SELECT doc_id FROM documents a WHERE doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND a.text = b.text AND a.lang = b.lang)"),
     "z3_retry_delay": (z3_retry_delay, "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 5 < 3 THEN 'pending' ELSE 'failed' END AS state, CASE WHEN event_id % 7 <> 0 AND event_id % 5 < 3 THEN CASE WHEN event_id % 3 = 0 THEN least(60, event_id % 100) ELSE CAST(pow(2, event_id % 5) AS BIGINT) END END AS delay FROM events"),
     "z7_rate_buckets": (z7_rate_buckets, "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1"),
     "z8_progress": (z8_progress, "SELECT user_id, max(event_id) AS progress FROM events GROUP BY user_id"),

@@ -125,3 +125,18 @@ def commit_once(batch: DataFrame, batch_id: int, path: str) -> None:
 def pending(outbox: DataFrame, sent: DataFrame, now: int) -> DataFrame:
     """Outbox events that are due and not marked as sent."""
     return outbox.filter(F.col("due") <= now).join(sent.select("event_id"), "event_id", "left_anti")
+
+
+def commit_with_next(batch: DataFrame, batch_id: int, path: str, next_kind: dict[str, str]) -> None:
+    """foreachBatch sink for committed jobs (job, run, kind, token, payload, at): the artifact, the job that follows its kind
+    and the event that tells of it are one write, so none of them is there without the others; a replayed batch writes the
+    same folder again. Of several commits of a job the one of the greatest token stands."""
+    last = batch.groupBy("job").agg(F.max(F.struct("token", "at", "run", "kind", "payload")).alias("c")).select("job", "c.*")
+    follows = F.create_map(*[F.lit(v) for pair in next_kind.items() for v in pair])[F.col("kind")] if next_kind else F.lit(None).cast("string")
+    rows = F.array(
+        F.struct(F.lit("artifact").alias("record"), F.col("kind").alias("kind"), F.col("payload").alias("payload"), F.col("at").alias("due")),
+        F.struct(F.lit("job").alias("record"), follows.alias("kind"), F.lit(None).cast("string").alias("payload"), F.col("at").alias("due")),
+        F.struct(F.lit("event").alias("record"), F.concat(F.lit("committed:"), "kind").alias("kind"), F.col("job").cast("string").alias("payload"), F.col("at").alias("due")),
+    )
+    out = last.select("job", "run", "token", F.inline(F.filter(rows, lambda r: r["kind"].isNotNull())))
+    out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
