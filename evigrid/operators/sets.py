@@ -28,8 +28,8 @@ def entity_set(names: Column) -> Column:
 def worlds(df: DataFrame, unknown: str, *, most: int = 16) -> DataFrame:
     """The rows of df once for each way in which its unknown facts (an array of names) can turn out: world (a number from
     0) and facts (map of name to boolean). A row of more than `most` unknown facts is an error."""
-    names = F.array_sort(F.array_distinct(F.array_compact(F.col(unknown))))
+    names = F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.col(unknown)))), F.array().cast("array<string>"))
     n = F.when(F.size(names) <= most, F.size(names)).otherwise(F.raise_error(F.lit("too many unknown facts")).cast("int"))
-    out = df.withColumn("_names", F.coalesce(names, F.array().cast("array<string>"))).withColumn("world", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)))
+    out = df.withColumn("_names", names).withColumn("world", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)))
     facts = F.map_from_arrays("_names", F.transform("_names", lambda x, i: F.col("world").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0))
     return out.withColumn("facts", facts).drop("_names")
