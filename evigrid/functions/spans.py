@@ -125,9 +125,8 @@ def joinable(raw: str) -> list[int]:
     """Offsets of single spaces that may be deleted: between two words of Hangul only, neither of them nor both together
     a unit, and not inside a unit that stands in pieces."""
     inside = np.zeros(len(raw) + 1, bool)
-    for unit in _units():
-        for found in unit.finditer(raw):
-            inside[found.start() + 1 : found.end()] = True
+    for found in _units().finditer(raw):
+        inside[found.start(1) + 1 : found.end(1)] = True
     words = list(re.finditer(r"\S+", raw))
     out = []
     for a, b in zip(words, words[1:], strict=False):
@@ -138,8 +137,10 @@ def joinable(raw: str) -> list[int]:
 
 
 @lru_cache(1)
-def _units() -> tuple[re.Pattern, ...]:
-    return tuple(re.compile("(?<![가-힣])" + " *".join(u) + "(?![가-힣])") for u in PROTECTED if len(u) > 1)
+def _units() -> re.Pattern:
+    """Where a unit of several letters begins; group 1 is the longest one there. Units can begin inside another."""
+    longest_first = sorted((u for u in PROTECTED if len(u) > 1), key=len, reverse=True)
+    return re.compile("(?<![가-힣])(?=((?:" + "|".join(" *".join(u) for u in longest_first) + ")(?![가-힣])))")
 
 
 def _hangul(word: str) -> bool:

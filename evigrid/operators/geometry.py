@@ -54,8 +54,9 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
 
     Such boxes differ in width and height by less than a factor of 1 / least, so they stand in the same or in
     neighbouring size classes of that base. Their intersection is at least least / (1 + least) of the sum of both widths
-    (and heights), so their centres lie at most (1 - least) / (1 + least) of the larger width apart. The grid's cells are
-    that wide for the larger class of a pair, so a pair meets in one of nine cells, whatever the boxes' size: an
+    (and heights), so their centres lie at most (1 - least) / (1 + least) of the larger width apart. The grid is that of
+    the right box's class, its cells twice as wide as the reach of any partner: a right box is posted in the (at most four)
+    cells that its reach touches, a left box in its own cell of the grids of its nine classes. A pair meets in one cell: an
     equi-join, with no pair lost and no dense cell of small boxes for the large ones."""
     if not 0.5 < least <= 1:
         raise ValueError("least must be over 0.5 and at most 1")
@@ -63,22 +64,16 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
     base = max(1 / least, 1.01) + 1e-9
     size = blocks.filter((width > 0) & (height > 0)).withColumn("cw", F.floor(F.log(width) / math.log(base)).cast("int")).withColumn("ch", F.floor(F.log(height) / math.log(base)).cast("int"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cell = lambda at, c: F.floor(at / (F.pow(F.lit(base), F.col(c) + 1) * ((1 - least) / (1 + least)) * (1 + 1e-9) + 1e-9)).cast("long")
-
-    # the left side is posted under its own class and the one above, so that both sides name the larger class of the pair
-    def posted(side: str, classes: bool, cells: bool) -> DataFrame:
-        out = size.select("doc", "page", "kind", F.explode(F.array("cw", F.col("cw") + 1)).alias("gw") if classes else F.col("cw").alias("gw"), "cw", "ch", x.alias("_x"), y.alias("_y"), *[F.col(c).alias(f"{side}{c}") for c in ("id", "parser", "x0", "y0", "x1", "y1")])
-        out = out.withColumn("gh", F.explode(F.array("ch", F.col("ch") + 1)) if classes else F.col("ch"))
-        out = out.withColumn("gx", cell(F.col("_x"), "gw")).withColumn("gy", cell(F.col("_y"), "gh"))
-        if cells:
-            out = out.withColumn("gx", F.explode(F.transform(near, lambda d: F.col("gx") + d))).withColumn("gy", F.explode(F.transform(near, lambda d: F.col("gy") + d)))
-        return out.select("doc", "page", "kind", "gw", "gh", "gx", "gy", F.col("cw").alias(f"{side}cw"), F.col("ch").alias(f"{side}ch"), *[f"{side}{c}" for c in ("id", "parser", "x0", "y0", "x1", "y1")])
-
-    left, right = posted("l_", True, False), posted("r_", True, True)
-    both = left.join(right, ["doc", "page", "kind", "gw", "gh", "gx", "gy"]).filter("l_parser < r_parser")
-    # a pair of one class also meets one class up: only where both name the larger class it counts
-    both = both.filter((F.col("gw") == F.greatest("l_cw", "r_cw")) & (F.col("gh") == F.greatest("l_ch", "r_ch")))
+    reach = lambda c: F.pow(F.lit(base), F.col(c) + 2) * ((1 - least) / (1 + least)) * (1 + 1e-9) + 1e-9
+    cell = lambda at, c: F.floor(at / (2 * reach(c))).cast("long")
+    kept = ("id", "parser", "x0", "y0", "x1", "y1")
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    touched = lambda at, c: F.explode(F.array_distinct(F.array(cell(at - reach(c), c), cell(at + reach(c), c))))
+    own = lambda side: ["doc", "page", "kind", "gw", "gh", "gx", "gy", *[F.col(c).alias(f"{side}{c}") for c in kept]]
+    left = size.withColumn("gw", near("cw")).withColumn("gh", near("ch")).withColumn("gx", cell(x, "gw")).withColumn("gy", cell(y, "gh")).select(*own("l_"))
+    right = size.withColumn("gw", F.col("cw")).withColumn("gh", F.col("ch")).withColumn("gx", touched(x, "cw")).withColumn("gy", touched(y, "ch")).select(*own("r_"))
+    # what is posted is several times the table, which Spark's estimate does not know: no side is sent to all
+    both = left.join(right.hint("merge"), ["doc", "page", "kind", "gw", "gh", "gx", "gy"]).filter("l_parser < r_parser")
     return both.withColumn("iou", iou(box_of("l_"), box_of("r_"))).filter(F.col("iou") >= least).select("doc", "page", "kind", "l_id", "r_id", F.round("iou", 6).alias("iou"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,21 +104,22 @@ def admit(hits: DataFrame, blocks: DataFrame, identity: Sequence[str], *, id_col
 def pack_evidence(bundles: DataFrame, *, most: int = 12, each: int = 1600, total: int = 12_000) -> DataFrame:
     """Greedy budget packing per claim: claim, rank, bundle, tokens, and shared (tokens of context already admitted).
     A bundle over the budget is retried without its shared context, else left out whole. The decision depends on all
-    earlier ones, so each claim is folded in order; a claim has at most a few dozen bundles."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "bundle"])
-        used, count, states = 0, 0, []
-        for tokens, shared in zip(pdf["tokens"], pdf["shared"], strict=True):
-            state = "omitted"
-            for cost, name in ((tokens, "admitted"), (tokens - shared, "admitted_without_context")):
-                if count < most and cost <= each and used + cost <= total:
-                    used, count, state = used + cost, count + 1, name
-                    break
-            states.append(state)
-        return pdf.assign(state=states)[["claim", "rank", "bundle", "state"]]
-
-    return bundles.groupBy("claim").applyInPandas(fold, "claim long, rank int, bundle long, state string")
+    earlier ones, so each claim is folded in order; a claim has at most a few dozen bundles, gathered in one row."""
+    own = bundles.groupBy("claim").agg(F.sort_array(F.collect_list(F.struct("rank", "bundle", "tokens", "shared"))).alias("_all"))
+    kinds = dict(bundles.dtypes)
+    none = F.array().cast(f"array<struct<rank:{kinds['rank']},bundle:{kinds['bundle']},state:string>>")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = lambda cost: F.coalesce((acc["count"] < most) & (cost <= each) & (acc["used"] + cost <= total), F.lit(False))
+        less = x["tokens"] - x["shared"]
+        state = F.when(fits(x["tokens"]), "admitted").when(fits(less), "admitted_without_context").otherwise("omitted")
+        cost = F.when(fits(x["tokens"]), x["tokens"]).when(fits(less), less).otherwise(0)
+        more = F.when(fits(x["tokens"]) | fits(less), 1).otherwise(0)
+        row = F.struct(x["rank"].alias("rank"), x["bundle"].alias("bundle"), state.alias("state"))
+        return F.struct((acc["used"] + cost).cast("long").alias("used"), (acc["count"] + more).alias("count"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return own.select("claim", F.inline(F.aggregate("_all", start, step)["out"]))
 
 
 def density(text: Column, pattern: str, least: int = 200) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions import spans as A
-from evigrid.operators import grids, missing, recovery, selection, splitting
+from evigrid.operators import grids, missing, recovery, selection, sizing, splitting
 from evigrid.sources.tables import table
 from evigrid.streaming import queues
 
@@ -17,6 +17,11 @@ from evigrid.streaming import queues
 MARKED = {c: unicodedata.normalize("NFD", c) for c in "éèêçàñóáäöü"}
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents over all cores: the work on their texts is what takes time."""
+    return sizing.spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def spelt_out(text: Column) -> Column:
     for whole, parts in MARKED.items():
         text = F.replace(text, F.lit(whole), F.lit(parts))
@@ -33,12 +38,12 @@ def _there_and_back(raw: DataFrame, *steps: str) -> DataFrame:
 
 
 def x5_line_ends(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _docs(spark, d)
     return _there_and_back(docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")).alias("raw")), "line_ends")
 
 
 def x6_normal_offsets(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _docs(spark, d)
     raw = spelt_out(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")))
     return _there_and_back(docs.select("doc_id", raw.alias("raw")), "line_ends", "composed")
 
@@ -49,7 +54,7 @@ SYLLABLES = "가나다라마바사아자차카타파하거너더러머버서어
 
 def x7_display(spark: SparkSession, d: str) -> DataFrame:
     """Texts in Hangul letters, every second of the spaces that may go deleted."""
-    docs = table(spark, d, "documents").select("doc_id", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", SYLLABLES).alias("raw"))
+    docs = _docs(spark, d).select("doc_id", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", SYLLABLES).alias("raw"))
     rows = docs.withColumn("may", A.joinable_spaces(F.col("raw"))).withColumn("gone", F.filter("may", lambda x, i: i % 2 == 0))
     rows = rows.withColumn("m", A.aligned(F.col("raw"), deleted=F.col("gone")))
     last = F.char_length("m.text")
@@ -68,7 +73,7 @@ def told(text: Column) -> Column:
 
 
 def _told(spark, d):
-    return table(spark, d, "documents").select("doc_id", told(F.col("text")).alias("text"), F.when(F.col("doc_id") % 10 == 7, "table_row").otherwise("paragraph").alias("kind"))
+    return _docs(spark, d).select("doc_id", told(F.col("text")).alias("text"), F.when(F.col("doc_id") % 10 == 7, "table_row").otherwise("paragraph").alias("kind"))
 
 
 def x8_atoms(spark, d):
@@ -141,7 +146,7 @@ TERMS = ("of the", "and", "tion on")
 
 
 def q9_literal_positions(spark, d):
-    return missing.literal_hits(table(spark, d, "documents").select("doc_id", "text"), TERMS).select("doc_id", "term", "start", "end", "quote")
+    return missing.literal_hits(_docs(spark, d), TERMS).select("doc_id", "term", "start", "end", "quote")
 
 
 def _speaking(spark, d):
@@ -149,7 +154,7 @@ def _speaking(spark, d):
     k = F.col("doc_id")
     text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" the 2024 kWh ")), F.lit(" of "), F.lit(" of Scope 1 "))
     tail = F.when(k % 4 == 0, " 2024 Scope 1").when(k % 4 == 1, " 2023 kWh").when(k % 4 == 2, " 10 MWh").otherwise(" Scope 2")
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), F.concat(F.left("text", F.lit(40)), tail).alias("quote"))
+    return _docs(spark, d).select("doc_id", text.alias("text"), F.concat(F.left("text", F.lit(40)), tail).alias("quote"))
 
 
 def j22_windows(spark, d):
