@@ -126,13 +126,14 @@ def year_table(cells: DataFrame, *, most: int = MOST_OBSERVATIONS, environment:
     cells left of the years whose rows hold it (for a region or an intensity also the scope or pollutant last named above
     it), then header cells over the latest year that are no year; a label once. The first `most` rows of a table are kept."""
     c = sizing.staged(laid_out(cells).filter("status = 'ok'").withColumn("t", F.trim("text")), "grids")
+    unsent = sizing.unsent
     y = c.filter((F.col("row") < HEAD_ROWS) & F.col("t").rlike(YEAR)).select("tbl", "row", "col", F.substring("t", 1, 4).alias("year"))
     by_column = y.groupBy("tbl", "col").agg(F.count_distinct("year").alias("_n"), F.min("year").alias("year"), F.max("row").alias("row"))
     heads = by_column.groupBy("tbl").agg(F.max("_n").alias("_n"), F.count("*").alias("_cols"), F.count_distinct("year").alias("_years"), F.max("row").alias("header_row"), F.min("col").alias("first"), F.max(F.struct("year", "col")).alias("latest"), F.array_sort(F.collect_list(F.struct("col", "year"))).alias("years"))
     heads = heads.filter("_n = 1 and _cols = _years").drop("_n", "_cols", "_years")
-    labels = c.join(heads, "tbl").filter(F.col("col") < F.col("first")).groupBy("tbl").agg(F.bool_or(F.col("text").rlike(environment)).alias("env"), F.bool_or(F.col("text").rlike(financial)).alias("fin"))
-    heads = heads.join(labels.filter("env and not fin").select("tbl"), "tbl", "left_semi")
-    body = c.join(heads, "tbl")
+    labels = c.join(unsent(heads), "tbl").filter(F.col("col") < F.col("first")).groupBy("tbl").agg(F.bool_or(F.col("text").rlike(environment)).alias("env"), F.bool_or(F.col("text").rlike(financial)).alias("fin"))
+    heads = heads.join(unsent(labels.filter("env and not fin").select("tbl")), "tbl", "left_semi")
+    body = c.join(unsent(heads), "tbl")
     unit = F.regexp_replace("text", r"\s", "").rlike(UNIT)
     word = ~unit & ~F.col("t").rlike(HEADER) & (F.col("t") != "")
     stub = F.col("col") < F.col("first")
@@ -151,8 +152,8 @@ def year_table(cells: DataFrame, *, most: int = MOST_OBSERVATIONS, environment:
     group = (F.col("t").isin(*REGIONS) & F.col("_last.t").contains("Scope")) | (F.col("t").startswith(INTENSITY) & F.col("_last.t").rlike(POLLUTANT))
     above = body.filter(stub).withColumn("_last", last).filter(group).select("tbl", "_last._c", "_last._s", "_last.text", "row")
     stubs = stubs.unionByName(above)
-    path = rows.select("tbl", "row").join(stubs, ["tbl", "row"]).groupBy("tbl", "row").agg(F.array_sort(F.collect_list(F.struct("_c", "_s", "text"))).alias("_path"))
-    out = rows.join(path, ["tbl", "row"], "left").join(over, "tbl", "left").join(heads.select("tbl", "years", "latest"), "tbl")
+    path = rows.select("tbl", "row").join(unsent(stubs), ["tbl", "row"]).groupBy("tbl", "row").agg(F.array_sort(F.collect_list(F.struct("_c", "_s", "text"))).alias("_path"))
+    out = rows.join(unsent(path), ["tbl", "row"], "left").join(unsent(over), "tbl", "left").join(unsent(heads.select("tbl", "years", "latest")), "tbl")
     none = F.array().cast("array<string>")
     metric = F.array_distinct(F.concat(F.coalesce(F.transform("_path", lambda x: x["text"]), none), F.coalesce(F.transform("_over", lambda x: x["text"]), none)))
     others = F.transform(F.filter("years", lambda x: x["col"] != F.col("latest.col")), lambda x: F.struct(x["year"].alias("year"), F.coalesce(F.col("_texts")[x["col"]], F.lit("")).alias("value")))

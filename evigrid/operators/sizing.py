@@ -88,6 +88,12 @@ def staged_paths() -> list[str]:
     return [path for _, path, _ in _staged]
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is not broadcast. Spark's size check goes by the bytes of files, and staged rows of few
+    different values pack so well that millions of them pass it and then do not fit the driver."""
+    return df.hint("merge")
+
+
 def together(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Rows of all, by name. Spark 4.1 lets a union keep the partitioning of its children, and where adaptive execution
     has coalesced these differently, what is grouped or windowed after it by their key is wrong. A narrow coalesce that
