@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evigrid.functions import spans
-from evigrid.operators import grids
+from evigrid.operators import admission, grids
 from evigrid.plans import structure
 from pyspark.sql import functions as F
 
@@ -40,3 +40,15 @@ def test_a_round_trip_counts_what_the_map_says(spark):
 def test_line_ends_leave_no_array_of_offsets_behind(spark):
     plan = structure.x5_line_ends(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "transform(" not in plan
+
+
+def test_statements_are_judged_once_for_claims_that_say_the_same(spark):
+    claims = spark.createDataFrame([(None if k == 0 else 1, k, "m", "2024", ["a"], ["f"]) for k in range(40)], "doc int, claim int, metric string, period string, entities array<string>, facilities array<string>")
+    none = F.array().cast("array<string>")
+    some = [F.array(F.lit(x)) for x in ("m", "a", "f")]
+    excluded = [none.alias(f"excluded_{x}") for x in ("metrics", "periods", "entities", "facilities")]
+    statements = spark.range(3).select(F.lit(1).alias("doc"), F.col("id").alias("statement"), F.lit("limited").alias("level"), F.lit("p").alias("provider"), F.lit("s").alias("standard"), F.lit("2024").alias("period"), *[c.alias(n) for c, n in zip(some, ("metrics", "entities", "facilities"), strict=True)], *excluded, none.alias("unresolved"), F.lit(False).alias("unread_exclusions"))
+    out = admission.assurance_match(claims, statements, ["doc"])
+    rows = out.collect()
+    assert len(rows) == 39 * 3 + 1 and sum(r["status"] == "covered" for r in rows) == 117 and {r["claim"] for r in rows} == set(range(40))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
