@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,9 +48,10 @@ def literal_hits(pages: DataFrame, terms: Sequence[str], *, text: str = "text")
     return pages.select("*", F.inline(places(F.col(text))))
 
 
-def compact(text: Column) -> Column:
-    """Case-folded, without any white space: what anchors are compared in."""
-    return F.regexp_replace(T.folded(text), r"(?U)\s+", "")
+def compact(text: Column, fold: Callable[[Column], Column] = T.folded) -> Column:
+    """Case-folded, without any white space: what anchors are compared in. fold: another way to level case, such as
+    F.lower, which leaves a sharp s as it is."""
+    return F.regexp_replace(fold(text), r"(?U)\s+", "")
 
 
 def anchors(quote: Column) -> Column:
@@ -74,31 +75,31 @@ def _any(parts: Sequence[Column]) -> Column:
     return out
 
 
-def windows(hits: DataFrame, pages: DataFrame, keys: Sequence[str], *, text: str = "text", size: int = PREVIEW) -> DataFrame:
+def windows(hits: DataFrame, pages: DataFrame, keys: Sequence[str], *, text: str = "text", size: int = PREVIEW, fold: Callable[[Column], Column] = T.folded) -> DataFrame:
     """keys, w_start, w_end, preview, compact of the distinct windows of `size` characters around hits (keys, start)."""
     near = hits.select(*keys, F.greatest(F.col("start") - size // 2, F.lit(0)).alias("_a")).distinct()
     at = near.join(pages.select(*keys, F.col(text).alias("_text")), list(keys))
     end = F.least(F.char_length("_text"), F.col("_a") + size)
     at = at.select(*keys, "_text", F.greatest(end - size, F.lit(0)).alias("w_start"), end.alias("w_end"))
     shown = F.substring("_text", F.col("w_start") + 1, F.col("w_end") - F.col("w_start"))
-    return at.select(*keys, "w_start", "w_end", shown.alias("preview")).distinct().withColumn("compact", compact(F.col("preview")))
+    return at.select(*keys, "w_start", "w_end", shown.alias("preview")).distinct().withColumn("compact", compact(F.col("preview"), fold))
 
 
-def candidates(claims: DataFrame, shown: DataFrame, on: Sequence[str]) -> DataFrame:
+def candidates(claims: DataFrame, shown: DataFrame, on: Sequence[str], *, fold: Callable[[Column], Column] = T.folded) -> DataFrame:
     """Windows that may speak of a claim: claims: claim, on..., quote; shown: windows(). A window is a candidate if it has
     one of the claim's metrics (a distinctive one where the claim has any) or one of its units. It is matched if it has
-    enough metrics, all periods and all boundaries; else rejected, with each reason.
+    enough metrics, all periods and all boundaries; else rejected, with each reason. fold is that of windows().
 
     Claims meet the windows of the same `on` (a document, say) through one anchor they share: claims are posted by their
     metrics and units, and a window by those words of the same document's claims that it holds."""
-    c = claims.withColumn("_anchors", anchors(F.col("quote"))).withColumn("_units", F.array_distinct(F.transform(F.regexp_extract_all("quote", F.lit(f"({UNIT})"), F.lit(0)), lambda u: compact(u))))
-    words = F.array_union(F.transform(F.col("_anchors.metric"), lambda m: compact(m)), F.col("_units"))
+    c = claims.withColumn("_anchors", anchors(F.col("quote"))).withColumn("_units", F.array_distinct(F.transform(F.regexp_extract_all("quote", F.lit(f"({UNIT})"), F.lit(0)), lambda u: compact(u, fold))))
+    words = F.array_union(F.transform(F.col("_anchors.metric"), lambda m: compact(m, fold)), F.col("_units"))
     posted = c.select("claim", *on, F.explode(words).alias("_word"))
     asked = posted.groupBy(*on).agg(F.collect_set("_word").alias("_asked"))
     held = shown.join(asked, list(on)).withColumn("_word", F.explode(F.filter("_asked", lambda w: F.contains(F.col("compact"), w)))).drop("_asked")
     met = held.join(posted, [*on, "_word"]).select("claim", *[x for x in shown.columns]).distinct()
     rows = met.join(c.select("claim", "_anchors", "_units"), "claim")
-    matched = {axis: F.filter(F.col(f"_anchors.{axis}"), lambda t: F.contains(F.col("compact"), compact(t))) for axis in AXES}
+    matched = {axis: F.filter(F.col(f"_anchors.{axis}"), lambda t: F.contains(F.col("compact"), compact(t, fold))) for axis in AXES}
     rows = rows.select("*", *[m.alias(axis) for axis, m in matched.items()])
     required = F.least(F.lit(MOST_METRICS), F.size("_anchors.metric"))
     distinct_ok = (F.size("_anchors.metric_distinctive") == 0) | (F.size("metric_distinctive") > 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 from evigrid.functions import spans
 from evigrid.operators import admission, grids
 from evigrid.plans import structure
@@ -52,3 +53,12 @@ def test_statements_are_judged_once_for_claims_that_say_the_same(spark):
     rows = out.collect()
     assert len(rows) == 39 * 3 + 1 and sum(r["status"] == "covered" for r in rows) == 117 and {r["claim"] for r in rows} == set(range(40))
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_windows_compare_a_sharp_s_as_sql_does(spark, tmp_path):
+    text = "Nicht sch kg " + "x" * 300 + " scope 1 erßch kg end"
+    spark.createDataFrame([(4, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(structure.QUERIES["j22_windows"][1]).fetchall()
+    assert want and sorted(tuple(r) for r in structure.j22_windows(spark, str(tmp_path)).collect()) == sorted(want)
