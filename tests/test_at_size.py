@@ -49,7 +49,7 @@ def test_statements_are_judged_once_for_claims_that_say_the_same(spark):
     some = [F.array(F.lit(x)) for x in ("m", "a", "f")]
     excluded = [none.alias(f"excluded_{x}") for x in ("metrics", "periods", "entities", "facilities")]
     statements = spark.range(3).select(F.lit(1).alias("doc"), F.col("id").alias("statement"), F.lit("limited").alias("level"), F.lit("p").alias("provider"), F.lit("s").alias("standard"), F.lit("2024").alias("period"), *[c.alias(n) for c, n in zip(some, ("metrics", "entities", "facilities"), strict=True)], *excluded, none.alias("unresolved"), F.lit(False).alias("unread_exclusions"))
-    out = admission.assurance_match(claims, statements, ["doc"])
+    out = admission.assurance_match(claims.coalesce(1), statements, ["doc"])
     rows = out.collect()
     assert len(rows) == 39 * 3 + 1 and sum(r["status"] == "covered" for r in rows) == 117 and {r["claim"] for r in rows} == set(range(40))
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
