@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigrid.operators import firstfit
+
 Box = tuple[Column, Column, Column, Column]
 
 
@@ -80,30 +84,24 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
 def fuse(blocks: DataFrame, least: float = 0.8) -> DataFrame:
     """Greedy groups per page and kind: a block joins the first group all of whose members it overlaps by `least`. The
     order (parser, id) matters, so the fold runs over the blocks of one page. Groups with differing texts have no winner."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[int]] = []
-        pdf = pdf.sort_values(["parser", "id"]).reset_index(drop=True)
-        boxes = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
-
-        def overlap(i: int, j: int) -> bool:
-            w = min(boxes[i][2], boxes[j][2]) - max(boxes[i][0], boxes[j][0])
-            h = min(boxes[i][3], boxes[j][3]) - max(boxes[i][1], boxes[j][1])
-            both = max(w, 0) * max(h, 0)
-            whole = sum((boxes[k][2] - boxes[k][0]) * (boxes[k][3] - boxes[k][1]) for k in (i, j)) - both
-            return whole > 0 and both >= least * whole
-
-        for i in range(len(pdf)):
-            for g in groups:
-                if all(overlap(i, j) and pdf["parser"][i] != pdf["parser"][j] for j in g):
-                    g.append(i)
-                    break
-            else:
-                groups.append([i])
-        rows = []
-        for g in groups:
-            agree = pdf["text"][g].nunique(dropna=False) == 1
-            rows.append((pdf["doc"][0], pdf["page"][0], pdf["kind"][0], int(pdf["id"][g[0]]), len(g), int(pdf["id"][g[0]]) if agree else None, None if agree else "text_conflict"))
-        return pd.DataFrame(rows, columns=["doc", "page", "kind", "first_id", "members", "winner", "issue"]).astype({"winner": "Int64"})
-
-    return blocks.groupBy("doc", "page", "kind").applyInPandas(fold, "doc long, page int, kind string, first_id long, members int, winner long, issue string")
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+
+    def fold(table: pa.Table) -> pa.RecordBatch:
+        page, parser, text = firstfit.page_numbers(table), firstfit.codes(table.column("parser")), firstfit.codes(table.column("text"))
+        boxes = np.column_stack([table.column(c).to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1")])
+        # blocks of one page, parser and box are one class, that does not fit itself
+        values, first, of = np.unique(np.column_stack((page, parser, boxes)), axis=0, return_index=True, return_inverse=True)
+        own = parser[first]
+        near = firstfit.partners(len(values), firstfit.fitting(page[first], boxes[first], lambda a, b, both, whole: (both >= least * whole) & (own[a] != own[b]), least))
+        groups = firstfit.first_fit(of.ravel().tolist(), near)
+        at = np.array([g[0] for g in groups])
+        agree = np.array([len(g) == 1 or (text[g] == text[g[0]]).all() for g in groups])
+        head = table.select(["doc", "page", "kind", "id"]).take(at).combine_chunks()
+        doc, number, kind, one = (head.column(c).combine_chunks() for c in head.column_names)
+        columns = [doc, number, kind, one, pa.array([len(g) for g in groups], pa.int32()), pc.if_else(pa.array(agree), one, None), pa.array([None if x else "text_conflict" for x in agree], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "page", "kind", "first_id", "members", "winner", "issue"])
+
+    rows = blocks.select(F.col("doc").cast("long").alias("doc"), F.col("page").cast("int").alias("page"), "kind", F.col("id").cast("long").alias("id"), "parser", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+    order = [F.col(c).asc_nulls_last() for c in ("parser", "id")]
+    return firstfit.by_pages(rows, order, fold, "doc long, page int, kind string, first_id long, members int, winner long, issue string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 from evigrid.functions import spans
-from evigrid.operators import admission, grids
+from evigrid.operators import admission, firstfit, fusion, geometry, grids
 from evigrid.plans import structure
 from pyspark.sql import functions as F
 
@@ -62,3 +64,34 @@ def test_windows_compare_a_sharp_s_as_sql_does(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(structure.QUERIES["j22_windows"][1]).fetchall()
     assert want and sorted(tuple(r) for r in structure.j22_windows(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def boxes_of_page(spark, n: int):
+    """n boxes in a column, as two parsers saw them, and one that repeats."""
+    rows = [(1, 1, "p", 3 * k + p, f"p{p}", 0.0, 20.0 * k, 40.0 + p, 20.0 * k + 15, "t") for k in range(n) for p in (0, 1)] + [(1, 1, "p", 3 * n + k, f"p{k % 2}", 500.0, 0.0, 540.0, 15.0, "t") for k in range(n)]
+    return spark.createDataFrame(rows, "doc long, page int, kind string, id long, parser string, x0 double, y0 double, x1 double, y1 double, text string")
+
+
+def test_a_full_page_is_fused_without_asking_every_group(spark):
+    began = time.time()
+    out = geometry.fuse(boxes_of_page(spark, 3000)).collect()
+    assert len(out) == 4500 and {r["members"] for r in out} == {2} and time.time() - began < 20
+
+
+def test_first_fit_is_that_of_every_group(spark):
+    import random
+
+    deal = random.Random(5)
+    for _ in range(300):
+        n = deal.randint(1, 8)
+        near = [set() for _ in range(n)]
+        for a in range(n):
+            for b in range(a, n):
+                if deal.random() < 0.6:
+                    near[a].add(b)
+                    near[b].add(a)
+        classes, plain = [deal.randrange(n) for _ in range(20)], []
+        for at, c in enumerate(classes):
+            fit = next((g for g in plain if all(classes[x] in near[c] for x in g)), None)
+            plain.append([at]) if fit is None else fit.append(at)
+        assert firstfit.first_fit(classes, near) == plain
