@@ -11,11 +11,16 @@ import unicodedata
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigrid.operators import firstfit, sizing
+
 LEAST = 0.8
+BOX = ("x0", "y0", "x1", "y1")
 GRID, MIXED = ("row number=", "column number="), ("mixed_parser_name=", "mixed_parser_version=")
 #: Quality, and issue kind and state.
 ISSUES = {"conflict": ("parse_conflict", "open"), "invalid": ("source_geometry_invalid", "unreadable"), "unlocated": ("source_unlocated", "open")}
@@ -37,11 +42,14 @@ def _starts(x: Column, prefixes: Sequence[str]) -> Column:
     return out
 
 
-def overlap(a: tuple, b: tuple) -> bool:
-    """IoU of at least LEAST; boxes are (x0, y0, x1, y1)."""
-    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return whole > 0 and both / whole >= LEAST
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of at least LEAST; boxes are rows of x0, y0, x1, y1."""
+    both = np.maximum(0.0, np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])) * np.maximum(0.0, np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]))
+    return _alike(both, firstfit.area(a) + firstfit.area(b) - both)
+
+
+def _alike(both: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0) >= LEAST
 
 
 def fused_blocks(blocks: DataFrame, *, tenant: str, manifest: str, version: int = 3, mixed: bool = False) -> DataFrame:
@@ -58,47 +66,61 @@ def fused_blocks(blocks: DataFrame, *, tenant: str, manifest: str, version: int
     if version < 3:
         known = known.withColumn("invalid", F.when(F.col("invalid"), F.raise_error(F.lit("this version of fusion admits no invalid geometry")).cast("boolean")).otherwise(F.lit(False)))
     located = ~F.coalesce(F.col("invalid"), F.lit(False)) & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
-    box = F.when(located, F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]))
-    rows = known.select("doc", "page", "kind", "parser", "run", "family", "native", box.alias("box"), F.coalesce("invalid", F.lit(False)).alias("invalid"), "text", context_of(F.col("context"), F.col("kind"), version).alias("context"), "table_native")
+    box = [F.when(located, F.col(c).cast("double")).alias(c) for c in BOX]
+    context = F.to_json(context_of(F.col("context"), F.col("kind"), version)).alias("context")
+    names = [F.col("doc").cast("long").alias("doc"), F.col("page").cast("int").alias("page"), "kind", "parser", "run", "family", "native"]
+    rows = known.select(*names, *box, located.alias("located"), F.coalesce("invalid", F.lit(False)).alias("invalid"), "text", context, "table_native")
     if version >= 4:
-        tables = rows.filter("kind = 'table'").select("doc", "run", F.col("native").alias("table_native"), F.struct("page", "box", "context").alias("tbl"))
-        rows = rows.join(tables, ["doc", "run", "table_native"], "left")
-    else:
-        rows = rows.withColumn("tbl", F.lit(None).cast("struct<page:int,box:array<double>,context:array<string>>"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["parser", "run", "native"], kind="stable")
-        kind = pdf["kind"].iloc[0]
-        items = list(zip(*(pdf[c].tolist() for c in ("run", "native", "family", "box", "invalid", "text", "context", "table_native", "tbl")), strict=True))
-        boxes = [None if x[3] is None else tuple(x[3]) for x in items]
-        contexts = [tuple(x[6]) for x in items]
-
-        def tables_fit(i: int, j: int) -> bool:
-            if version < 4 or kind == "table" or (items[i][7] is None and items[j][7] is None):
-                return True
-            a, b = items[i][8], items[j][8]
-            return a is not None and b is not None and a["page"] == b["page"] and a["box"] is not None and b["box"] is not None and tuple(a["context"]) == tuple(b["context"]) and overlap(tuple(a["box"]), tuple(b["box"]))
-
-        groups: list[list[int]] = []
-        for k in range(len(items)):
-            fits = (g for g in groups if boxes[k] is not None and all(boxes[j] is not None and contexts[j] == contexts[k] and overlap(boxes[j], boxes[k]) and tables_fit(j, k) for j in g))
-            found = next(fits, None)
-            if found is None:
-                groups.append([k])
-            else:
-                found.append(k)
+        of_table = ("page", "located", "context", *BOX)
+        tables = rows.filter("kind = 'table'").select("doc", "run", F.col("native").alias("table_native"), *[F.col(c).alias(f"table_{c}") for c in of_table])
+        rows = rows.join(sizing.unsent(tables), ["doc", "run", "table_native"], "left")
+
+    def fold(table: pa.Table) -> pa.RecordBatch:
+        column = lambda c: table.column(c).combine_chunks()
+        flag = lambda c: column(c).fill_null(False).to_numpy(zero_copy_only=False)
+        corners = lambda prefix: np.nan_to_num(np.column_stack([column(prefix + c).to_numpy(zero_copy_only=False).astype(float) for c in BOX]), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        seen, page, boxes = flag("located"), firstfit.page_numbers(table), corners("")
+        told = [page, seen, firstfit.codes(column("context")), boxes]
+        if version >= 4:
+            is_table = pc.equal(column("kind"), "table").fill_null(False).to_numpy(zero_copy_only=False)
+            free, placed, at, axes, outer = is_table | ~column("table_native").is_valid().to_numpy(zero_copy_only=False), flag("table_located"), firstfit.codes(column("table_page")), firstfit.codes(column("table_context")), corners("table_")
+            told += [is_table, free, placed, at, axes, outer]
+        # blocks of which all this is equal are one class
+        _, first, of = np.unique(np.column_stack(told).astype(float), axis=0, return_index=True, return_inverse=True)
+
+        def tables_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            if version < 4:
+                return np.ones(len(a), bool)
+            return is_table[a] | (free[a] & free[b]) | (placed[a] & placed[b] & (at[a] == at[b]) & (axes[a] == axes[b]) & _overlap(outer[a], outer[b]))
+
+        def fits(a: np.ndarray, b: np.ndarray, both: np.ndarray, whole: np.ndarray) -> np.ndarray:
+            a, b = first[a], first[b]
+            return _alike(both, whole) & seen[a] & seen[b] & (told[2][a] == told[2][b]) & tables_fit(a, b)
+
+        near = firstfit.partners(len(first), firstfit.fitting(page[first], boxes[first], fits, LEAST))
+        for k in np.flatnonzero(seen[first] & _overlap(boxes[first], boxes[first]) & tables_fit(first, first)).tolist():
+            near[k].add(k)
+        groups = firstfit.first_fit(of.ravel().tolist(), near)
+        flat = np.array([k for g in groups for k in g])
+        starts = np.cumsum([0, *(len(g) for g in groups)])
+        doc, number, kind = (column(c).take(flat[starts[:-1]]) for c in firstfit.PAGE)
+        members = pa.StructArray.from_arrays([column("run").take(flat), column("native").take(flat)], ["run", "native"])
+        run, native, family, text, invalid = column("run").to_pylist(), column("native").to_pylist(), column("family").to_pylist(), column("text").to_pylist(), flag("invalid")
         out = []
         for g in groups:
-            keys = tuple((items[k][0], items[k][1]) for k in g)
-            conflict = len({unicodedata.normalize("NFC", items[k][5] or "") for k in g}) > 1
-            state = "conflicted" if conflict else "unlocated" if boxes[g[0]] is None else "unverified"
-            issue = None if state == "unverified" else ISSUES["invalid" if any(items[k][4] for k in g) else "conflict" if conflict else "unlocated"]
-            members = [{"run": a, "native": b} for a, b in keys]
-            own = str(uuid.uuid5(uuid.UUID(manifest), f"{tenant}:{keys}"))
-            out.append((pdf["doc"].iloc[0], pdf["page"].iloc[0], kind, own, members, sorted({items[k][2] for k in g}), state, None if conflict else 0, None if conflict else items[g[0]][5], *(issue or (None, None))))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in BLOCK.replace("struct<run:string,native:string>", "s").split(", ")]).astype({"winner": "Int64"})
-
-    return rows.groupBy("doc", "page", "kind").applyInPandas(fold, BLOCK)
+            keys = tuple((run[k], native[k]) for k in g)
+            conflict = len(g) > 1 and len({unicodedata.normalize("NFC", x or "") for x in {text[k] for k in g}}) > 1
+            state = "conflicted" if conflict else "unverified" if seen[g[0]] else "unlocated"
+            issue = (None, None) if state == "unverified" else ISSUES["invalid" if any(invalid[k] for k in g) else "conflict" if conflict else "unlocated"]
+            own = str(uuid.uuid5(space, f"{tenant}:{keys}"))
+            out.append((own, sorted({family[k] for k in g}), state, None if conflict else 0, None if conflict else text[g[0]], *issue))
+        own, families, quality, winner, said, issue, state = zip(*out, strict=True)
+        texts = [pa.array(x, pa.string()) for x in (quality, said, issue, state)]
+        columns = [doc, number, kind, pa.array(own), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), members), pa.array(families, pa.list_(pa.string())), texts[0], pa.array(winner, pa.int32()), *texts[1:]]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCK.replace("struct<run:string,native:string>", "s").split(", ")])
+
+    space = uuid.UUID(manifest)
+    return firstfit.by_pages(rows, [F.col(c).asc_nulls_last() for c in ("parser", "run", "native")], fold, BLOCK)
 
 
 def aliases(fused: DataFrame) -> DataFrame:

@@ -78,6 +78,20 @@ def test_a_full_page_is_fused_without_asking_every_group(spark):
     assert len(out) == 4500 and {r["members"] for r in out} == {2} and time.time() - began < 20
 
 
+def versions_of_page(spark, n: int):
+    blocks = boxes_of_page(spark, n)
+    columns = [F.col("parser").alias("run"), F.col("parser").alias("family"), F.format_string("%06d", "id").alias("native"), F.lit(False).alias("invalid"), F.array(F.lit("a")).alias("context"), F.lit(None).cast("string").alias("table_native")]
+    return blocks.select("doc", "page", "kind", "parser", "x0", "y0", "x1", "y1", "text", *columns)
+
+
+def test_a_full_page_of_graphs_is_fused_in_every_version(spark):
+    rows = versions_of_page(spark, 2000)
+    for version in (1, 4, 5):
+        began = time.time()
+        out = fusion.fused_blocks(rows, tenant="t", manifest="6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94", version=version, mixed=version == 5).collect()
+        assert sorted(len(r["members"]) for r in out) == [2] * 2000 + [2000] and time.time() - began < 20
+
+
 def test_first_fit_is_that_of_every_group(spark):
     import random
 
