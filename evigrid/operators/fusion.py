@@ -135,6 +135,6 @@ def fused_edges(fused: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges
     for side in ("source", "target"):
         own = names.select("doc", "run", F.col("native").alias(f"{side}_native"), F.col("source_id").alias(f"_{side}"))
-        out = out.join(own, ["doc", "run", f"{side}_native"], "left")
+        out = out.join(sizing.unsent(own), ["doc", "run", f"{side}_native"], "left")
     known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit("dangling native edge")).cast("string")).otherwise(F.col(c))
     return out.select("doc", known("_source").alias("source_id"), known("_target").alias("target_id"), "relation").distinct()

@@ -92,6 +92,13 @@ def test_a_full_page_of_graphs_is_fused_in_every_version(spark):
         assert sorted(len(r["members"]) for r in out) == [2] * 2000 + [2000] and time.time() - began < 20
 
 
+def test_edges_of_fused_graphs_send_no_side_to_all(spark):
+    rows = versions_of_page(spark, 40)
+    fused = fusion.fused_blocks(rows, tenant="t", manifest="6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94", version=4)
+    edges = rows.select("doc", "run", F.col("native").alias("source_native"), F.col("native").alias("target_native"), F.lit("same").alias("relation"))
+    assert "Broadcast" not in final_plan(fusion.fused_edges(fused, edges))
+
+
 def test_first_fit_is_that_of_every_group(spark):
     import random
 
