@@ -16,6 +16,8 @@ from evigrid.operators import admission, graph, sizing
 
 #: Input bytes of vectors in a block.
 BLOCK_BYTES = 1 << 20
+#: Bytes of staged lists of terms in a block.
+TERM_BYTES = 4 << 20
 
 
 def term_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,19 +41,23 @@ def frequencies(lists: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_col: str) -> DataFrame:
     """query_id, id, score for all matches with a positive score: sum over the query's distinct terms of
-    ln(1 + (N - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len / avg)). Terms are filtered before the
-    postings are grouped, so only the queried part of the index is shuffled, by document, so that a document's scores
-    are summed where its postings are. Spark broadcasts the queries' terms as long as they are few."""
+    ln(1 + (N - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len / avg)). The lists of terms are dealt out
+    by document before they are taken apart, so that what is made of them (occurrences, postings, and a score for each query
+    and document) is counted and summed where it is made and never shuffled. They are dealt into blocks of about
+    TERM_BYTES, so a task's scores do not grow with the input. The lists are read twice, for df and for the scores: that is
+    less than to keep the postings. Spark broadcasts the queries' terms as long as they are few."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.search_terms(F.col(query_col)))).alias("term"))
     wanted = sizing.staged(wanted, "query-terms")
     lists = term_lists(docs, id_col, text_col)
-    terms = lists.select("id", "len", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = sizing.staged(terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+    by_id = lists.repartition(sizing.blocks(lists, TERM_BYTES), "id")
+    terms = by_id.select("id", "len", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = sizing.staged(hits.groupBy("term").agg(F.count("*").alias("df")), "term-df")
-    scored = hits.join(df, "term").crossJoin(F.broadcast(corpus_of(lists)))  # one row
+    known = sizing.staged(wanted.join(df, "term").crossJoin(F.broadcast(corpus_of(lists))), "term-weights")  # one row
+    scored = hits.join(known, "term")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") * F.col("n") / F.col("total")))
-    return scored.withColumn("w", weight).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
+    return scored.withColumn("w", weight).groupBy("query_id", "id").agg(F.sum("w").alias("score")).filter("score > 0")
 
 
 def top(ranked: DataFrame, k: int, *, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "id", digits: int = 6) -> DataFrame:

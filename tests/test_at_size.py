@@ -6,7 +6,7 @@ import time
 
 import duckdb
 from evigrid.functions import spans
-from evigrid.operators import admission, firstfit, fusion, geometry, grids
+from evigrid.operators import admission, firstfit, fusion, geometry, grids, retrieval
 from evigrid.plans import structure
 from pyspark.sql import functions as F
 
@@ -126,3 +126,12 @@ def test_prefixes_copy_no_text_beside_its_atoms(spark):
 def test_texts_of_the_grammar_are_worked_out_once(spark):
     plan = structure.x10_refined(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == len(structure.WORDS)
+
+
+def test_scores_are_summed_where_the_documents_are(spark):
+    docs = spark.createDataFrame([(k % 9, f"carbon energy {k}") for k in range(12)], "id long, text string")
+    items = spark.createDataFrame([(1, "carbon 3"), (2, "energy")], "q long, text string")
+    out = retrieval.bm25(docs, items, id_col="id", text_col="text", query_id="q", query_col="text")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(id") == 1
+    assert len(out.collect()) == 18
