@@ -7,7 +7,7 @@ import time
 import duckdb
 from evigrid.functions import spans
 from evigrid.operators import admission, firstfit, fusion, geometry, grids, retrieval
-from evigrid.plans import structure
+from evigrid.plans import admissions, structure
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -135,3 +135,7 @@ def test_scores_are_summed_where_the_documents_are(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(id") == 1
     assert len(out.collect()) == 18
+
+
+def test_facts_are_admitted_without_a_copy_of_each_row_for_each_count(spark):
+    assert "Expand" not in admissions.a7_fact_admission(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
