@@ -81,9 +81,7 @@ def laid_out(cells: DataFrame) -> DataFrame:
     cell starts in are empty. status: ok, or why a table has no text (same_slot, too_large); such cells have null places.
 
     Running sums of the lengths before a cell give its place, so no text is built for that; `laid_out_text` builds it."""
-    size = cells.groupBy("tbl").agg(F.max(F.col("row") + F.col("row_span")).alias("_rows"), F.max(F.col("col") + F.col("col_span")).alias("_cols"), F.count("*").alias("_n"), F.count_distinct("row", "col").alias("_slots"))
-    status = F.when(F.col("_n") > F.col("_slots"), "same_slot").when((F.col("_rows") > MOST_ROWS) | (F.col("_cols") > MOST_COLUMNS), "too_large").otherwise("ok")
-    c = cells.join(size.withColumn("status", status), "tbl").withColumn("_len", F.char_length("text"))
+    c = _measured(cells)
     order = Window.partitionBy("tbl").orderBy("row", "col")
     before = F.coalesce(F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows_before = F.coalesce(F.sum("_len").over(Window.partitionBy("tbl").orderBy("row").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,12 +93,29 @@ def laid_out(cells: DataFrame) -> DataFrame:
     return c.select("tbl", "cell", "row", "col", "row_span", "col_span", "text", *place, "status")
 
 
+def _measured(cells: DataFrame) -> DataFrame:
+    """cells with _rows, _cols and status of their table, _len of their text, and _row and _col, where the cell before
+    starts (0, 0 for a table's first). All are windows in one order, so that the cells of a table are sorted once."""
+    order, whole = Window.partitionBy("tbl").orderBy("row", "col"), Window.partitionBy("tbl")
+    c = cells.withColumn("_len", F.char_length("text")).withColumns({f"_{x}": F.lag(x).over(order) for x in ("row", "col")})
+    same = F.coalesce((F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col")), F.lit(False))
+    c = c.withColumns({"_same": F.bool_or(same).over(whole), "_rows": F.max(F.col("row") + F.col("row_span")).over(whole), "_cols": F.max(F.col("col") + F.col("col_span")).over(whole)})
+    status = F.when(F.col("_same"), "same_slot").when((F.col("_rows") > MOST_ROWS) | (F.col("_cols") > MOST_COLUMNS), "too_large").otherwise("ok")
+    return c.withColumns({"status": status, "_row": F.coalesce("_row", F.lit(0)), "_col": F.coalesce("_col", F.lit(0))})
+
+
 def laid_out_text(cells: DataFrame) -> DataFrame:
-    """tbl, text of every table with status ok in laid_out()."""
-    size = laid_out(cells).filter("status = 'ok'").groupBy("tbl").agg(F.max(F.col("row") + F.col("row_span")).alias("_rows"), F.max(F.col("col") + F.col("col_span")).alias("_cols"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "text"))).alias("_at"))
-    cell = lambda r, c: F.coalesce(F.col("_at")[F.struct(r.alias("row"), c.alias("col"))], F.lit(""))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    return size.select("tbl", F.array_join(F.transform(upto("_rows"), lambda r: F.array_join(F.transform(upto("_cols"), lambda c: cell(r, c)), "\t")), "\n").alias("text"))
+    """tbl, text of every table with status ok in laid_out(): each cell's text after the tabs and line ends between it and
+    the cell before it, and those after the last."""
+    c = _measured(cells).filter("status = 'ok'")
+    tabs = lambda n: F.repeat(F.lit("\t"), n)
+    full = tabs(F.col("_cols") - 1)  # the tabs of a whole row
+    gap = F.when(F.col("row") == F.col("_row"), tabs(F.col("col") - F.col("_col"))).otherwise(F.concat(tabs(F.col("_cols") - 1 - F.col("_col")), F.repeat(F.concat(F.lit("\n"), full), F.col("row") - F.col("_row") - 1), F.lit("\n"), tabs(F.col("col"))))
+    piece = F.struct("row", "col", F.concat(gap, F.coalesce("text", F.lit(""))).alias("piece"))
+    out = c.groupBy("tbl").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"), F.first("_rows").alias("_rows"), F.first("_cols").alias("_cols"))
+    last = F.element_at("_pieces", -1)
+    rest = F.concat(tabs(F.col("_cols") - 1 - last["col"]), F.repeat(F.concat(F.lit("\n"), full), F.col("_rows") - 1 - last["row"]))
+    return out.select("tbl", F.concat(F.array_join(F.transform("_pieces", lambda x: x["piece"]), ""), rest).alias("text"))
 
 
 #: What a year header, a number, a unit, a foot note, a header word, an environmental and a financial label are.

@@ -37,6 +37,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(df) <= SPREAD_BYTES else df
 
 
+def dealt(df: DataFrame, *keys: str, each: int = 1 << 20) -> DataFrame:
+    """df shuffled once by the keys, for all grouping, windows and joins by them (and more) that follow, in a number of
+    partitions that follows its input. Adaptive execution goes by packed bytes when it joins partitions, and rows of few
+    different values pack so well that a task gets many millions of them."""
+    return df.repartition(blocks(df, each), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset on one machine (local tests) a temporary one is
     made and set; on a cluster an unset folder is an error."""

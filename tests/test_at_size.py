@@ -139,3 +139,15 @@ def test_scores_are_summed_where_the_documents_are(spark):
 
 def test_facts_are_admitted_without_a_copy_of_each_row_for_each_count(spark):
     assert "Expand" not in admissions.a7_fact_admission(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_laid_out_as_text_are_shuffled_once(spark):
+    """No task's rows depend on how well they pack: the only shuffle is by number, and that follows the input."""
+    assert "ENSURE_REQUIREMENTS" not in final_plan(structure.x34_laid_out(spark, DATA))
+
+
+def test_a_laid_out_text_has_all_tabs_and_lines_between_and_after_cells(spark):
+    cells = [(1, 1, 1, 1, 1, 1, "a"), (1, 2, 3, 0, 2, 1, None), (1, 3, 3, 2, 1, 2, "b"), (2, 4, 0, 0, 1, 1, "c"), (2, 5, 0, 0, 1, 1, "d")]
+    df = spark.createDataFrame(cells, "tbl long, cell int, row int, col int, row_span int, col_span int, text string")
+    assert [(r["tbl"], r["text"]) for r in grids.laid_out_text(df).collect()] == [(1, "\t\t\t\n\ta\t\t\n\t\t\t\n\t\tb\t\n\t\t\t")]
+    assert {r["cell"]: (r["start"], r["status"]) for r in grids.laid_out(df).collect()} == {1: (5, "ok"), 2: (13, "ok"), 3: (15, "ok"), 4: (None, "same_slot"), 5: (None, "same_slot")}
