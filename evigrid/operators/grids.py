@@ -37,38 +37,36 @@ def observations(cells: DataFrame, header_rows: int = 1, stub_columns: int = 1)
     return out.select("tbl", "cell", "r", "c", "header", "metric", resolved.alias("state"), F.when(resolved == "present", T.number_literal(F.col("text"))).alias("value"))
 
 
-def layout(cells: DataFrame) -> DataFrame:
-    """tbl, first_row, first_col, header_end, stub_cols of each table, from its own spans: the cell in its first corner says
-    how many rows are header; a column whose cell in the first row is as deep as that, and the first column, are stubs."""
-    corner = cells.groupBy("tbl").agg(F.min("row").alias("first_row"), F.min("col").alias("first_col"))
-    depth = cells.join(corner, "tbl").filter((F.col("row") == F.col("first_row")) & (F.col("col") == F.col("first_col"))).groupBy("tbl").agg(F.max("row_span").alias("_depth"))
-    known = corner.join(depth, "tbl", "left").withColumn("_depth", F.coalesce("_depth", F.lit(1)))
-    stubs = cells.join(known, "tbl").filter((F.col("row") == F.col("first_row")) & (F.col("row_span") == F.col("_depth"))).groupBy("tbl").agg(F.collect_set("col").alias("_stubs"))
-    out = known.join(stubs, "tbl", "left")
-    return out.select("tbl", "first_row", "first_col", (F.col("first_row") + F.col("_depth")).alias("header_end"), F.array_sort(F.array_union(F.coalesce("_stubs", F.array().cast("array<int>")), F.array(F.col("first_col")))).alias("stub_cols"))
-
-
 def headers(cells: DataFrame) -> DataFrame:
     """tbl, cell, header, role of each cell and its headers: column_header (in the header rows, above the cell, and its
     columns hold the cell's), else row_header (left of the cell in a stub column, and its rows hold the cell's) or
-    row_qualifier (the same in any other column).
-
-    A header is posted on each grid line it covers and a cell asks on its own first line only, so the joins are equi-joins
-    on table and line, and a pair meets once."""
-    known = cells.join(layout(cells), "tbl")
+    row_qualifier (the same in any other column). How many rows are header says the cell in the table's first corner; a column
+    whose cell in the first row is as deep as that, and the first column, are stubs.
+
+    A cell is posted on each row it covers, a header also on each column; it asks on its own first row and column only, so
+    a pair meets once. The cells of a line are one window: all of it needs one shuffle by table."""
+    axes = ("row", "col")
+    whole = Window.partitionBy("tbl")
+    c = cells.select("tbl", "cell", "row", "col", "row_span", "col_span").withColumns({f"_{x}": F.min(x).over(whole) for x in axes})
+    first = F.col("row") == F.col("_row")
+    c = c.withColumn("_depth", F.coalesce(F.max(F.when(first & (F.col("col") == F.col("_col")), F.col("row_span"))).over(whole), F.lit(1)))
+    c = c.withColumn("_stubs", F.collect_set(F.when(first & (F.col("row_span") == F.col("_depth")), F.col("col"))).over(whole))
+    above = F.col("row") + F.col("row_span") <= F.col("_row") + F.col("_depth")
+    c = c.withColumns({"stub": F.array_contains("_stubs", F.col("col")) | (F.col("col") == F.col("_col")), "above": F.coalesce(above, F.lit(False))})
     fits = F.col("row_span") * F.col("col_span") <= MOST_SLOTS
-    span = lambda a, n: F.sequence(F.col(a), F.col(a) + F.when(fits, F.col(n)).otherwise(F.raise_error(F.lit("cell spans too many slots")).cast("int")) - 1)
-    band = [F.col(c).alias(f"h_{c}") for c in ("cell", "row", "col", "row_span", "col_span")]
-    focal = cells.select("tbl", "cell", "row", "col", "row_span", "col_span")
-    above = known.filter((F.col("row") + F.col("row_span")) <= F.col("header_end")).select("tbl", *band, F.explode(span("col", "col_span")).alias("col"))
-    held = (F.col("h_col") <= F.col("col")) & (F.col("col") + F.col("col_span") <= F.col("h_col") + F.col("h_col_span"))
-    by_column = focal.join(above, ["tbl", "col"]).filter(held & (F.col("h_row") + F.col("h_row_span") <= F.col("row")))
-    by_column = by_column.select("tbl", "cell", F.col("h_cell").alias("header"), F.lit("column_header").alias("role"))
-    left = known.select("tbl", *band, F.array_contains("stub_cols", F.col("col")).alias("stub"), F.explode(span("row", "row_span")).alias("row"))
-    held = (F.col("h_row") <= F.col("row")) & (F.col("row") + F.col("row_span") <= F.col("h_row") + F.col("h_row_span"))
-    by_row = focal.join(left, ["tbl", "row"]).filter(held & (F.col("h_col") + F.col("h_col_span") <= F.col("col")))
-    by_row = by_row.select("tbl", "cell", F.col("h_cell").alias("header"), F.when(F.col("stub"), "row_header").otherwise("row_qualifier").alias("role"))
-    return by_column.unionAll(by_row)
+    span = lambda a: F.sequence(F.col(a), F.col(a) + F.when(fits, F.col(f"{a}_span")).otherwise(F.raise_error(F.lit("cell spans too many slots")).cast("int")) - 1)
+    kept = ("tbl", "cell", "row", "col", "row_span", "col_span", "stub", "above")
+    lines = c.select(*kept, F.explode(F.array(F.lit(True), F.lit(False))).alias("by_row"))
+    lines = lines.select(*kept, "by_row", F.explode(F.when(F.col("by_row"), span("row")).when(F.col("above"), span("col")).otherwise(F.array("col"))).alias("line"))
+    header = F.when(F.col("by_row") | F.col("above"), F.struct("cell", "row", "col", "row_span", "col_span", "stub"))
+    lines = lines.withColumn("_headers", F.collect_list(header).over(Window.partitionBy("tbl", "by_row", "line")))
+    own = lines.filter(F.col("line") == F.when(F.col("by_row"), F.col("row")).otherwise(F.col("col")))
+    met = own.select("tbl", "cell", "row", "col", "row_span", "col_span", "by_row", F.explode("_headers").alias("h"))
+    held = lambda x: (F.col(f"h.{x}") <= F.col(x)) & (F.col(x) + F.col(f"{x}_span") <= F.col(f"h.{x}") + F.col(f"h.{x}_span"))
+    before = lambda x: F.col(f"h.{x}") + F.col(f"h.{x}_span") <= F.col(x)
+    met = met.filter(F.when(F.col("by_row"), held("row") & before("col")).otherwise(held("col") & before("row")))
+    role = F.when(~F.col("by_row"), "column_header").when(F.col("h.stub"), "row_header").otherwise("row_qualifier")
+    return met.select("tbl", "cell", F.col("h.cell").alias("header"), role.alias("role"))
 
 
 #: Rows and columns of a table that is laid out as text.

@@ -151,3 +151,8 @@ def test_a_laid_out_text_has_all_tabs_and_lines_between_and_after_cells(spark):
     df = spark.createDataFrame(cells, "tbl long, cell int, row int, col int, row_span int, col_span int, text string")
     assert [(r["tbl"], r["text"]) for r in grids.laid_out_text(df).collect()] == [(1, "\t\t\t\n\ta\t\t\n\t\t\t\n\t\tb\t\n\t\t\t")]
     assert {r["cell"]: (r["start"], r["status"]) for r in grids.laid_out(df).collect()} == {1: (5, "ok"), 2: (13, "ok"), 3: (15, "ok"), 4: (None, "same_slot"), 5: (None, "same_slot")}
+
+
+def test_headers_are_found_after_one_shuffle(spark):
+    plan = final_plan(structure.j20_headers(spark, DATA))
+    assert "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
