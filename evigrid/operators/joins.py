@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,26 @@ def unique_or_null(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("matches"), F.when(F.count("*") == 1, F.first(value)).alias(value))
 
 
+def unique_at(points: DataFrame, entries: DataFrame, key: str, at: str, starts: str, ends: str, value: str, *, days: int = 64) -> DataFrame:
+    """points with matches and value: how many entries of the key are valid at the day (from starts, before ends; a null end
+    is open), and the value (a whole number) where it is exactly one, else null.
+
+    No point meets the entries themselves: their begins and ends are counted by key and day, and running sums of counts and
+    of values say what holds from each such day to the next. These spans are posted in stretches of `days`."""
+    kind = dict(entries.dtypes)[value]
+    proper = F.col(value).isNotNull() & F.col(starts).isNotNull() & (F.col(ends).isNull() | (F.col(ends) > F.col(starts)))
+    turns = entries.filter(proper).select(key, F.col(value).cast("decimal(20,0)").alias("_v"), F.inline(F.array(F.struct(F.col(starts).alias("_from"), F.lit(1).alias("_d")), F.struct(F.col(ends).alias("_from"), F.lit(-1).alias("_d")))))
+    turns = turns.filter("_from is not null").groupBy(key, "_from").agg(F.sum("_d").alias("_d"), F.sum(F.when(F.col("_d") > 0, F.col("_v")).otherwise(-F.col("_v"))).alias("_v"))
+    w = Window.partitionBy(key).orderBy("_from")
+    spans = turns.select(key, "_from", F.lead("_from").over(w).alias("_until"), F.sum("_d").over(w).alias("_n"), F.sum("_v").over(w).alias("_v")).filter("_n > 0").withColumn("_v", F.when(F.col("_n") == 1, F.col("_v").cast(kind)))
+    stretch = lambda day: F.floor(F.unix_date(day) / days)
+    closed = spans.filter("_until is not null").withColumn("_s", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.date_sub("_until", 1))))).withColumnRenamed(key, "_key")
+    still = spans.filter("_until is null").select(F.col(key).alias("_key2"), F.col("_from").alias("_since"), F.col("_n").alias("_n2"), F.col("_v").alias("_v2"))
+    met = points.join(closed, (F.col(key) == F.col("_key")) & (stretch(F.col(at)) == F.col("_s")) & (F.col("_from") <= F.col(at)) & (F.col(at) < F.col("_until")), "left")
+    met = met.join(still, (F.col(key) == F.col("_key2")) & (F.col("_since") <= F.col(at)), "left")
+    return met.select(*points.columns, F.coalesce("_n", "_n2", F.lit(0)).alias("matches"), F.coalesce("_v", "_v2").alias(value))
+
+
 def near(left: DataFrame, right: DataFrame, key: str, position: str, distance: int) -> DataFrame:
     """Rows of `left` with a row of `right` under the same key at most `distance` away: both sides meet in stretches of
     that width, the right side posted in its own and both neighbours."""

@@ -208,9 +208,8 @@ def j14_claimable(spark, d):
 def j17_valid_entry(spark, d):
     n = table(spark, d, "supplier").select("s_nationkey", F.to_date(F.date_add(F.lit("1992-01-01"), (F.col("s_suppkey") % 50 * 40).cast("int"))).alias("starts"), "s_suppkey").withColumn("ends", F.date_add("starts", 300))
     o = _orders(spark, d).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("s_nationkey"), F.to_date("o_orderdate").alias("as_of"))
-    hit = o.join(n, "s_nationkey").filter(D.valid_at(F.col("as_of"), F.col("starts"), F.col("ends")))
-    one = J.unique_or_null(hit, ["o_orderkey"], "s_suppkey")
-    return o.select("o_orderkey").join(one, "o_orderkey", "left").select("o_orderkey", F.coalesce("matches", F.lit(0)).alias("matches"), "s_suppkey")
+    met = J.unique_at(o, n, "s_nationkey", "as_of", "starts", "ends", "s_suppkey").groupBy("o_orderkey").agg(F.sum("matches").alias("matches"), F.max("s_suppkey").alias("s_suppkey"))
+    return met.select("o_orderkey", "matches", F.when(F.col("matches") == 1, F.col("s_suppkey")).alias("s_suppkey"))
 
 
 def j18_as_of(spark, d):

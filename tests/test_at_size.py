@@ -6,8 +6,8 @@ import time
 
 import duckdb
 from evigrid.functions import spans
-from evigrid.operators import admission, firstfit, fusion, geometry, grids, retrieval
-from evigrid.plans import admissions, structure
+from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval
+from evigrid.plans import admissions, decisions, structure, tabular
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -156,3 +156,25 @@ def test_a_laid_out_text_has_all_tabs_and_lines_between_and_after_cells(spark):
 def test_headers_are_found_after_one_shuffle(spark):
     plan = final_plan(structure.j20_headers(spark, DATA))
     assert "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
+
+
+def test_entries_valid_at_a_day_are_counted_without_meeting_them(spark):
+    entries = [("a", 1, "2020-01-01", "2020-03-01"), ("a", 2, "2020-02-01", "2020-05-01"), ("a", 3, "2020-05-01", None), ("a", 4, "2020-06-01", "2020-06-01"), ("b", 5, "2020-01-01", None), ("b", None, "2020-01-01", None)]
+    e = spark.createDataFrame(entries, "k string, v long, s string, e string").select("k", "v", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
+    days = {("a", "2019-12-31"): (0, None), ("a", "2020-01-01"): (1, 1), ("a", "2020-02-15"): (2, None), ("a", "2020-03-01"): (1, 2), ("a", "2020-05-01"): (1, 3), ("a", "2030-01-01"): (1, 3), ("b", "2020-07-01"): (1, 5), ("c", "2020-01-01"): (0, None), (None, "2020-01-01"): (0, None)}
+    p = spark.createDataFrame(list(days), "k string, d string").withColumn("at", F.to_date("d"))
+    assert {(r["k"], r["d"]): (r["matches"], r["v"]) for r in joins.unique_at(p, e, "k", "at", "s", "e", "v").collect()} == days
+
+
+def test_spans_votes_and_copies_are_dealt_by_number(spark):
+    assert "ENSURE_REQUIREMENTS" not in final_plan(tabular.r4_page_components(spark, DATA))
+    assert "ENSURE_REQUIREMENTS" not in final_plan(decisions.a3_strict_consensus(spark, DATA))
+    assert "ENSURE_REQUIREMENTS" not in final_plan(structure.x36_distinct_sources(spark, DATA))
+
+
+def test_boxes_of_the_last_parser_ask_nobody(spark):
+    rows = [(1, 1, "p", k, f"p{k % 2}", 0.0, 0.0, 10.0, 10.0) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc long, page int, kind string, id long, parser string, x0 double, y0 double, x1 double, y1 double")
+    out = geometry.matching_pairs(df)
+    assert {(r["l_id"], r["r_id"]) for r in out.collect()} == {(0, 1), (0, 3), (2, 1), (2, 3)}
+    assert "_last" in out._jdf.queryExecution().optimizedPlan().toString()
