@@ -10,6 +10,7 @@ from evigrid.functions import text as T
 from evigrid.operators import compare as C
 from evigrid.operators import joins as J
 from evigrid.operators import sets as S
+from evigrid.operators import sizing
 from evigrid.operators import windows as W
 from evigrid.sources.tables import table
 
@@ -69,7 +70,7 @@ def w8_previous_context(spark, d):
 
 
 def _spans(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("start"), F.col("l_quantity").cast("int").alias("n"), "l_linenumber")
+    li = sizing.dealt(table(spark, d, "lineitem").select("l_orderkey", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("start"), F.col("l_quantity").cast("int").alias("n"), "l_linenumber"), "l_orderkey")
     return li.select(F.col("l_orderkey").alias("k"), "start", (F.col("start") + F.col("n") + 1).alias("end"), F.col("l_linenumber").alias("id"))
 
 
