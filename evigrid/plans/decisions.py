@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import periods as D
 from evigrid.operators import geometry as G
-from evigrid.operators import graph, grids, ladder, numeric, reconcile, votes
+from evigrid.operators import graph, grids, ladder, numeric, reconcile, sizing, votes
 from evigrid.sources import html_tables
 from evigrid.sources.tables import table
 
@@ -18,7 +18,8 @@ STATE = "CASE WHEN l_quantity > 45 THEN 'conflict' WHEN l_quantity > 40 THEN 'un
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     """The lines of an order stand for three replicates' votes in turn; of several of one replicate the greatest counts."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", F.pmod(F.col("l_linenumber") - 1, F.lit(3)).alias("replicate")).agg(F.first("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("value"), F.max("l_tax").alias("l_tax"), F.max("l_quantity").alias("q"))
+    li = sizing.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_tax"), "l_orderkey")
+    li = li.groupBy("l_orderkey", F.pmod(F.col("l_linenumber") - 1, F.lit(3)).alias("replicate")).agg(F.first("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("value"), F.max("l_tax").alias("l_tax"), F.max("l_quantity").alias("q"))
     return li.withColumn("l_quantity", F.col("q")).select("l_orderkey", "replicate", F.expr(STATE).alias("state"), "value", (F.col("l_tax") < 0.07).alias("verified"))
 
 
