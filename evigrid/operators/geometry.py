@@ -66,7 +66,9 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
         raise ValueError("least must be over 0.5 and at most 1")
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     base = max(1 / least, 1.01) + 1e-9
-    size = blocks.filter((width > 0) & (height > 0)).withColumn("cw", F.floor(F.log(width) / math.log(base)).cast("int")).withColumn("ch", F.floor(F.log(height) / math.log(base)).cast("int"))
+    # the first parser of all is never a right box and the last never a left one: such rows are not posted
+    ends = blocks.agg(F.min("parser").alias("_first"), F.max("parser").alias("_last"))
+    size = blocks.filter((width > 0) & (height > 0)).crossJoin(F.broadcast(ends)).withColumn("cw", F.floor(F.log(width) / math.log(base)).cast("int")).withColumn("ch", F.floor(F.log(height) / math.log(base)).cast("int"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     reach = lambda c: F.pow(F.lit(base), F.col(c) + 2) * ((1 - least) / (1 + least)) * (1 + 1e-9) + 1e-9
     cell = lambda at, c: F.floor(at / (2 * reach(c))).cast("long")
@@ -74,8 +76,8 @@ def matching_pairs(blocks: DataFrame, least: float = 0.8) -> DataFrame:
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
     touched = lambda at, c: F.explode(F.array_distinct(F.array(cell(at - reach(c), c), cell(at + reach(c), c))))
     own = lambda side: ["doc", "page", "kind", "gw", "gh", "gx", "gy", *[F.col(c).alias(f"{side}{c}") for c in kept]]
-    left = size.withColumn("gw", near("cw")).withColumn("gh", near("ch")).withColumn("gx", cell(x, "gw")).withColumn("gy", cell(y, "gh")).select(*own("l_"))
-    right = size.withColumn("gw", F.col("cw")).withColumn("gh", F.col("ch")).withColumn("gx", touched(x, "cw")).withColumn("gy", touched(y, "ch")).select(*own("r_"))
+    left = size.filter(F.col("parser") < F.col("_last")).withColumn("gw", near("cw")).withColumn("gh", near("ch")).withColumn("gx", cell(x, "gw")).withColumn("gy", cell(y, "gh")).select(*own("l_"))
+    right = size.filter(F.col("parser") > F.col("_first")).withColumn("gw", F.col("cw")).withColumn("gh", F.col("ch")).withColumn("gx", touched(x, "cw")).withColumn("gy", touched(y, "ch")).select(*own("r_"))
     # what is posted is several times the table, which Spark's estimate does not know: no side is sent to all
     both = left.join(right.hint("merge"), ["doc", "page", "kind", "gw", "gh", "gx", "gy"]).filter("l_parser < r_parser")
     return both.withColumn("iou", iou(box_of("l_"), box_of("r_"))).filter(F.col("iou") >= least).select("doc", "page", "kind", "l_id", "r_id", F.round("iou", 6).alias("iou"))
