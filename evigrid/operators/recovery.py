@@ -69,7 +69,7 @@ def distinct_sources(refs: DataFrame, keys: tuple[str, ...] = ("doc", "page")) -
     leads a new one; so disjoint boxes are never joined over a third. Equal references are one before they are ordered;
     without a box a reference is alone."""
     box = ("x0", "y0", "x1", "y1")
-    named = refs.withColumn("_quote", T.collapse_spaces(T.nfc("quote")))
+    named = sizing.dealt(refs.withColumn("_quote", T.collapse_spaces(T.nfc("quote"))), *keys, each=4 << 20)  # after the Python step, which forgets it
     own = [*keys, "_quote", "source_id", "quote", "start", "end", "state", *box]
     boxed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
     once = named.withColumn("_alone", F.when(~boxed, F.col("position"))).groupBy(*own, "_alone").agg(F.min("position").alias("position"), F.count("*").alias("copies"))
