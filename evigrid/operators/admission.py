@@ -77,21 +77,35 @@ def raw_candidates(candidates: DataFrame, blocks: DataFrame, *, tolerance: float
     return x.select(*candidates.columns, reason.alias("reason"))
 
 
+def scope_of(own: Column, same: Column) -> Column:
+    """The scope of a hit: is it the claim's own source, is it in a table of one?"""
+    return F.when(own, "local_claim").when(same, "same_table").otherwise("global_bound")
+
+
 def source_scope(hits: DataFrame, claims: DataFrame, tables: DataFrame) -> DataFrame:
     """hits (claim, source_id) with scope: local_claim for a source of the claim itself, same_table for one in a table that
     one of the claim's sources is in, else global_bound. claims: claim, source_id; tables: source_id, root (of its table)."""
     own = claims.select("claim", "source_id").distinct().withColumn("_own", F.lit(True))
     held = claims.join(tables, "source_id").select("claim", "root").distinct()
     same = hits.select("claim", "source_id").distinct().join(tables, "source_id").join(held, ["claim", "root"]).select("claim", "source_id", F.lit(True).alias("_same")).distinct()
-    scope = F.when(F.col("_own").isNotNull(), "local_claim").when(F.col("_same").isNotNull(), "same_table").otherwise("global_bound")
+    scope = scope_of(F.col("_own"), F.col("_same"))
     return hits.join(own, ["claim", "source_id"], "left").join(same, ["claim", "source_id"], "left").withColumn("scope", scope).drop("_own", "_same")
 
 
+def with_elements(rows: DataFrame, elements: DataFrame) -> DataFrame:
+    """rows beside `_elements`, the sorted elements of each scope, for `elements_of`. elements: element, scopes (array); a list
+    of the rule pack, so it has a bound and is one row here. A join by scope would shuffle all rows into three places."""
+    one = elements.select("element", F.explode("scopes").alias("scope")).filter("scope is not null").groupBy("scope").agg(F.array_sort(F.collect_set("element")).alias("elements"))
+    return rows.crossJoin(F.broadcast(one.agg(F.map_from_entries(F.collect_list(F.struct("scope", "elements"))).alias("_elements"))))  # one row
+
+
+def elements_of(scope: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col("_elements"), scope), F.array().cast("array<string>"))
+
+
 def allowed_elements(scoped: DataFrame, elements: DataFrame) -> DataFrame:
-    """scoped (with scope) with elements: those whose allowed scopes hold it, sorted. elements: element, scopes (array); a
-    list of the rule pack, so it has a bound."""
-    one = elements.select("element", F.explode("scopes").alias("scope")).groupBy("scope").agg(F.array_sort(F.collect_set("element")).alias("elements"))
-    return scoped.join(one, "scope", "left").withColumn("elements", F.coalesce("elements", F.array().cast("array<string>")))
+    """scoped (with scope) with elements: those whose allowed scopes hold it, sorted."""
+    return with_elements(scoped, elements).withColumn("elements", elements_of(F.col("scope"))).drop("_elements")
 
 
 def element_status(tags: DataFrame, refs: DataFrame, hits: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -107,25 +107,31 @@ def admit(hits: DataFrame, blocks: DataFrame, identity: Sequence[str], *, id_col
     return hits.join(own, id_col, "left").withColumn("admitted", F.coalesce(fine, F.lit(False))).drop("found", *[f"b_{c}" for c in (*identity, hash_col)])
 
 
-def pack_evidence(bundles: DataFrame, *, most: int = 12, each: int = 1600, total: int = 12_000) -> DataFrame:
-    """Greedy budget packing per claim: claim, rank, bundle, tokens, and shared (tokens of context already admitted).
-    A bundle over the budget is retried without its shared context, else left out whole. The decision depends on all
-    earlier ones, so each claim is folded in order; a claim has at most a few dozen bundles, gathered in one row."""
-    own = bundles.groupBy("claim").agg(F.sort_array(F.collect_list(F.struct("rank", "bundle", "tokens", "shared"))).alias("_all"))
-    kinds = dict(bundles.dtypes)
-    none = F.array().cast(f"array<struct<rank:{kinds['rank']},bundle:{kinds['bundle']},state:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), none.alias("out"))
+def packed_costs(tokens: Column, most: int, each: int, total: int) -> Column:
+    """What each bundle of an ordered list costs under the budget, null for one left out. tokens: array of (whole, part), the
+    tokens with and without the context already admitted. The decision depends on all earlier ones, so the list is folded."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), F.array().cast("array<bigint>").alias("costs"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = lambda cost: F.coalesce((acc["count"] < most) & (cost <= each) & (acc["used"] + cost <= total), F.lit(False))
-        less = x["tokens"] - x["shared"]
-        state = F.when(fits(x["tokens"]), "admitted").when(fits(less), "admitted_without_context").otherwise("omitted")
-        cost = F.when(fits(x["tokens"]), x["tokens"]).when(fits(less), less).otherwise(0)
-        more = F.when(fits(x["tokens"]) | fits(less), 1).otherwise(0)
-        row = F.struct(x["rank"].alias("rank"), x["bundle"].alias("bundle"), state.alias("state"))
-        return F.struct((acc["used"] + cost).cast("long").alias("used"), (acc["count"] + more).alias("count"), F.concat(acc["out"], F.array(row)).alias("out"))
+        fits = lambda c: (acc["count"] < most) & (x[c] <= each) & (acc["used"] + x[c] <= total)
+        cost = F.when(fits("whole"), x["whole"]).when(fits("part"), x["part"]).cast("long")
+        return F.struct((acc["used"] + F.coalesce(cost, F.lit(0))).cast("long").alias("used"), (acc["count"] + F.when(cost.isNull(), 0).otherwise(1)).alias("count"), F.concat(acc["costs"], F.array(cost)).alias("costs"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["costs"])
+
 
-    return own.select("claim", F.inline(F.aggregate("_all", start, step)["out"]))
+def packed_state(cost: Column, tokens: Column) -> Column:
+    return F.when(cost.isNull(), "omitted").when(cost == tokens, "admitted").otherwise("admitted_without_context")
+
+
+def pack_evidence(bundles: DataFrame, *, most: int = 12, each: int = 1600, total: int = 12_000) -> DataFrame:
+    """Greedy budget packing per claim: claim, rank, bundle, tokens, and shared (tokens of context already admitted).
+    A bundle over the budget is retried without its shared context, else left out whole. A claim has at most a few dozen
+    bundles, gathered in one row."""
+    own = bundles.groupBy("claim").agg(F.sort_array(F.collect_list(F.struct("rank", "bundle", "tokens", "shared"))).alias("_all"))
+    costs = packed_costs(F.transform("_all", lambda x: F.struct(x["tokens"].alias("whole"), (x["tokens"] - x["shared"]).alias("part"))), most, each, total)
+    rows = F.zip_with("_all", "_costs", lambda x, c: F.struct(x["rank"].alias("rank"), x["bundle"].alias("bundle"), packed_state(c, x["tokens"]).alias("state")))
+    return own.withColumn("_costs", costs).select("claim", F.inline(rows))
 
 
 def density(text: Column, pattern: str, least: int = 200) -> Column:
@@ -189,20 +195,30 @@ def packets(claims: DataFrame, fused: DataFrame, blocks: DataFrame, tables: Data
     blocks: source_id, identity..., text_hash, tokens, shared; the hash under which the index knew a source is fused.hash;
     tables: source_id, root; elements: element, scopes. The claim's own sources come first, then the fused hits; a hit of
     another identity or text is rejected; what is left is put in scope, gets the elements it may serve, and is packed
-    whole under the budget. A claim with an own source that is not verified is blocked, but keeps its packet."""
-    own = claims.select(F.col("claim").alias("query_id"), F.col("source_id").alias("id"), "place")
-    ranked = own_first(fused.select("query_id", "id", "score"), own, k).select(F.col("query_id").alias("claim"), "rank", F.col("id").alias("source_id"))
-    told = fused.groupBy(F.col("query_id").alias("claim"), F.col("id").alias("source_id")).agg(F.min("hash").alias("text_hash"))
-    per_claim = claims.groupBy("claim").agg(F.bool_and(F.coalesce("verified", F.lit(False))).alias("_verified"), *[F.first(c).alias(c) for c in identity])
-    hits = ranked.join(told, ["claim", "source_id"], "left").join(per_claim, "claim")
-    known = blocks.select("source_id", F.col("text_hash").alias("_hash"), "tokens", "shared")
-    hits = hits.join(known, "source_id", "left").withColumn("text_hash", F.coalesce("text_hash", "_hash"))
-    admitted = admit(hits.drop("_hash"), blocks, identity, id_col="source_id", hash_col="text_hash")
-    scoped = admission.allowed_elements(admission.source_scope(admitted, claims, tables), elements)
-    bundles = scoped.filter("admitted").select("claim", "rank", F.col("source_id").alias("bundle"), "tokens", "shared")
-    state = pack_evidence(bundles, each=each, total=total, most=k).select("claim", F.col("bundle").alias("source_id"), "state")
-    rows = scoped.join(state, ["claim", "source_id"], "left")
-    item = F.struct("rank", F.col("source_id").alias("id"), "scope", "elements", "state")
-    out = rows.groupBy("claim").agg(F.array_sort(F.collect_list(F.when(F.col("admitted"), item))).alias("candidates"), F.array_sort(F.collect_list(F.when(~F.col("admitted"), F.col("source_id")))).alias("rejected"))
-    out = out.join(per_claim.select("claim", (~F.col("_verified")).alias("blocked")), "claim")
+    whole under the budget. A claim with an own source that is not verified is blocked, but keeps its packet. Rows are dealt
+    by claim, for their rank, by source, for what is known of it, and by claim again; all else is told within a claim's row."""
+    own = claims.select("claim", "source_id", "place", F.lit(True).alias("_own"), F.coalesce("verified", F.lit(False)).alias("_verified"), F.struct(*identity).alias("_identity"))
+    hits = fused.select(F.col("query_id").alias("claim"), F.col("id").alias("source_id"), "score", F.col("hash").alias("text_hash"))
+    every = own.unionByName(hits, allowMissingColumns=True).filter("claim is not null")
+    n = sizing.blocks(every, 1 << 20)
+    met = sizing.in_parts(every, n, "claim").groupBy("claim", "source_id").agg(F.min("place").alias("place"), F.max("score").alias("score"), F.min("text_hash").alias("text_hash"), F.max("_own").alias("_own"), F.min("_verified").alias("_verified"), F.max("_identity").alias("_identity"))
+    claim = Window.partitionBy("claim")
+    rank = F.row_number().over(claim.orderBy(F.asc_nulls_last("place"), F.desc_nulls_last("score"), "source_id"))
+    ranked = met.withColumn("rank", rank).withColumn("_identity", F.max("_identity").over(claim)).filter(F.col("_identity").isNotNull() & ((F.col("rank") <= k) | F.col("_own")))
+    known = blocks.select("source_id", F.col("text_hash").alias("_hash"), "tokens", "shared", F.struct(*identity).alias("_block"))
+    roots = tables.filter("root is not null").groupBy("source_id").agg(F.collect_set("root").alias("roots"))
+    admitted = F.col("_block").isNotNull() & F.coalesce("text_hash", "_hash").eqNullSafe(F.col("_hash"))
+    for c in identity:
+        admitted = admitted & F.col("_block")[c].eqNullSafe(F.col("_identity")[c])
+    rows = ranked.join(sizing.unsent(known), "source_id", "left").join(sizing.unsent(roots), "source_id", "left").select("claim", "_own", "_verified", "roots", F.when(F.col("rank") <= k, F.struct("rank", F.col("source_id").alias("id"), F.coalesce("_own", F.lit(False)).alias("own"), admitted.alias("admitted"), "roots", F.col("tokens").alias("whole"), (F.col("tokens") - F.col("shared")).alias("part"))).alias("_item"))
+    told = sizing.in_parts(rows, n, "claim").groupBy("claim").agg((~F.min("_verified")).alias("blocked"), F.flatten(F.collect_list(F.when(F.col("_own"), F.col("roots")))).alias("_held"), F.array_sort(F.collect_list("_item")).alias("_items"))
+    told = admission.with_elements(told, elements).withColumn("_admitted", F.filter("_items", lambda x: x["admitted"]))
+    told = told.withColumn("_costs", packed_costs(F.col("_admitted"), k, each, total))
+
+    def candidate(x: Column, cost: Column) -> Column:
+        scope = admission.scope_of(x["own"], F.arrays_overlap(x["roots"], F.col("_held")))
+        return F.struct(x["rank"].alias("rank"), x["id"].alias("id"), scope.alias("scope"), admission.elements_of(scope).alias("elements"), packed_state(cost, x["whole"]).alias("state"))
+
+    rejected = F.array_compact(F.array_sort(F.transform(F.filter("_items", lambda x: ~x["admitted"]), lambda x: x["id"])))
+    out = told.select("claim", F.zip_with("_admitted", "_costs", candidate).alias("candidates"), rejected.alias("rejected"), "blocked")
     return out.withColumn("packet_sha256", F.sha2(F.to_json(F.struct("claim", "blocked", "candidates", "rejected")), 256))

@@ -44,6 +44,12 @@ def dealt(df: DataFrame, *keys: str, each: int = 1 << 20) -> DataFrame:
     return df.repartition(blocks(df, each), *keys)
 
 
+def in_parts(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df shuffled once by the keys into this number of partitions, or one more: never into Spark's own number, for which it
+    may take a union of coalesced sides as dealt already."""
+    return df.repartition(parts + (parts == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset on one machine (local tests) a temporary one is
     made and set; on a cluster an unset folder is an error."""

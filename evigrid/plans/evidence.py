@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
 from evigrid.operators import admission as M
-from evigrid.operators import missing, records, sets, splitting
+from evigrid.operators import missing, records, sets, sizing, splitting
 from evigrid.operators import retrieval as R
 from evigrid.plans import structure
 from evigrid.plans.admissions import SCOPES
@@ -58,7 +58,8 @@ def s21_reuse(spark, d):
 
 def p7_packet(spark, d):
     """Orders as claims with their first line's part as own source; parts of their lines as hits; brands as tables."""
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("n"), F.max("l_quantity").alias("score"), F.max("l_suppkey").alias("s"))
+    lines = sizing.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_suppkey"), "l_orderkey")
+    li = lines.groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("n"), F.max("l_quantity").alias("score"), F.max("l_suppkey").alias("s"))
     first = li.groupBy("q").agg(F.min_by(F.struct("p", "n", "s"), F.struct("n", "p")).alias("f")).select("q", "f.*")
     claims = first.select(F.col("q").alias("claim"), F.col("p").alias("source_id"), F.lit(1).alias("place"), (F.col("s") % 10 > 0).alias("verified"), F.lit("t").alias("tenant"))
     part = table(spark, d, "part").groupBy("p_partkey").agg(F.max("p_brand").alias("root"), F.max("p_size").alias("size"))

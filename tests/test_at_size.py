@@ -7,7 +7,7 @@ import time
 import duckdb
 from evigrid.functions import spans
 from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval
-from evigrid.plans import admissions, decisions, structure, tabular
+from evigrid.plans import admissions, decisions, evidence, structure, tabular
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -178,3 +178,18 @@ def test_boxes_of_the_last_parser_ask_nobody(spark):
     out = geometry.matching_pairs(df)
     assert {(r["l_id"], r["r_id"]) for r in out.collect()} == {(0, 1), (0, 3), (2, 1), (2, 3)}
     assert "_last" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_of_packets_are_shuffled_thrice_and_never_by_scope(spark):
+    plan = evidence.p7_packet(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 8 and plan.count("hashpartitioning(scope") <= 1  # that one is the rule pack
+
+
+def test_a_packet_takes_each_source_once_and_no_hit_of_an_unknown_claim(spark):
+    claims = spark.createDataFrame([(1, 10, 0, True, "t"), (1, 11, 0, None, "t"), (None, 12, 0, True, "t")], "claim long, source_id long, place int, verified boolean, tenant string")
+    fused = spark.createDataFrame([(1, 13, 0.5, "h13"), (1, 13, 0.7, "h13"), (1, 14, 0.6, None), (2, 13, 0.9, "h13"), (None, 13, 0.9, "h13")], "query_id long, id long, score double, hash string")
+    blocks = spark.createDataFrame([(k, "t", f"h{k}", 100 if k < 14 else None, 0) for k in (10, 11, 13, 14)], "source_id long, tenant string, text_hash string, tokens int, shared int")
+    tables = spark.createDataFrame([(11, "r"), (13, "r"), (14, None), (10, None)], "source_id long, root string")
+    elements = spark.createDataFrame([("A", ["same_table", None])], "element string, scopes array<string>")
+    got = retrieval.packets(claims, fused, blocks, tables, elements, ["tenant"], k=4).collect()
+    assert [(r["claim"], r["blocked"], [tuple(x) for x in r["candidates"]], r["rejected"]) for r in got] == [(1, True, [(1, 10, "local_claim", [], "admitted"), (2, 11, "local_claim", [], "admitted"), (3, 13, "same_table", ["A"], "admitted"), (4, 14, "global_bound", [], "omitted")], [])]
