@@ -18,7 +18,7 @@ GRAMMAR = splitting.Grammar()
 
 def f5_eligibility(spark: SparkSession, d: str) -> DataFrame:
     """Which sentences of texts in the grammar's words may hold a claim; some count as cells with axes."""
-    docs = structure._docs(spark, d).select("doc_id", structure.told(F.col("text")).alias("text"))
+    docs = sizing.dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id", each=4 << 20).select("doc_id", structure.told(F.col("text")).alias("text"))
     s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "s"))
     cell = F.col("n") % 11 == 3
     value = F.when(cell, F.concat(F.lit("1,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.when(F.col("n") % 2 == 0, "톤").otherwise(""))).when(F.col("n") % 17 == 5, F.concat(F.lit("GRI 1 "), "s")).when(F.col("n") % 13 == 7, F.concat(F.lit("auditor, sampling: "), "s")).otherwise(F.col("s"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
 
 import duckdb
 import pyarrow as pa
 from evigrid.functions import spans
-from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval
+from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval, splitting
 from evigrid.plans import admissions, decisions, evidence, exchange, structure, tabular
 from evigrid.sources import archives
 from pyspark.sql import functions as F
@@ -205,3 +207,26 @@ def test_members_go_out_together_and_without_contents_nobody_reads(spark):
     whole, bare = archives.archive_members(files), archives.archive_members(files, content=False)
     assert bare.columns == whole.columns[:-1] and {tuple(r) for r in bare.collect()} == {tuple(r) for r in whole.drop("content").collect()}
     assert bare.count() == 13
+
+
+def test_texts_are_told_by_one_look_and_as_word_by_word(spark):
+    texts = ["", None, "the", "THE of,in-the\nThat\tis thethe the_ the1 Thé the\u0301 \u0130n", "온the of온 it  it.for", "  as\r\nare "]
+    texts += [" ".join(random.Random(k).choices([*structure.WORDS, "x", "The.", "é", "-"], k=40)) for k in range(40)]
+    one_by_one = F.col("t")
+    for word, said in structure.WORDS.items():
+        one_by_one = F.regexp_replace(one_by_one, rf"(?i)\b{word}\b", said)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(structure.told(F.col("t")).alias("got"), one_by_one.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    assert "regexp_replace(regexp_replace(" not in evidence.f5_eligibility(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_look_at_the_next_character_misses_no_word():
+    g, rng = splitting.Grammar(), random.Random(3)
+    for name in ("environment", "assertion", "year", "nonclaim", "assurance", "status", "means"):
+        pattern = getattr(g, name)
+        plain = re.sub(r"\(\?=\[[^]]*\]\)", "", pattern)
+        assert plain != pattern
+        words = [w for w in re.split(r"\\[sbd][*+]?|\(\?[:=<!]*|[()|\[\]^\\.?]", plain) if w] + ["2030", "1999년", "GRI 1", "TCFD", "sasb 색인", "x", " ", "단위:", "Scope 2", "ISO 14001 인증", "도입"]
+        for _ in range(3000):
+            text = "".join(rng.choice((w, w.upper())) for w in rng.choices(words, k=2))
+            assert [m.span() for m in re.finditer(pattern, text, re.I)] == [m.span() for m in re.finditer(plain, text, re.I)]
