@@ -13,20 +13,21 @@ def ancestors(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     nodes (one column): only the ancestors of these, and only cycles that one of these is in.
 
     Each round extends the newest pairs by one step and keeps those not met before, so the work is that of the closure,
-    not of its paths, and a cycle of any length is met in the round of its length. Rounds are checkpointed."""
-    step = edges.select(F.col("child").alias("at"), F.col("parent").alias("next")).filter("at is not null and next is not null").distinct()
-
+    not of its paths, and a cycle of any length is met in the round of its length. Edges and rounds are staged; edges are
+    worked out once and not told apart, only the pairs that come of them."""
+    step = edges.select(F.col("child").alias("at"), F.col("parent").alias("next")).filter("at is not null and next is not null")
+    step = sizing.staged(step, "edges")
     begin = step
     if nodes is not None:
-        begin = step.join(nodes.select(F.col(nodes.columns[0]).alias("at")).distinct(), "at", "left_semi")
-    newest = sizing.settled(begin.select(F.col("at").alias("node"), F.col("next").alias("ancestor"), F.lit(1).alias("distance")))
+        begin = step.join(sizing.unsent(nodes.select(F.col(nodes.columns[0]).alias("at"))), "at", "left_semi")
+    newest = sizing.staged(begin.select(F.col("at").alias("node"), F.col("next").alias("ancestor"), F.lit(1).alias("distance")).distinct(), "ancestors")
     every, rounds = newest, 1
     while not newest.isEmpty():
         if not newest.filter("node = ancestor").isEmpty():
             raise ValueError("cycle in parent edges")
         rounds += 1
         found = newest.join(step, F.col("ancestor") == F.col("at")).select("node", F.col("next").alias("ancestor")).distinct()
-        newest = sizing.settled(found.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(rounds)))
+        newest = sizing.staged(found.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(rounds)), "ancestors")
         every = sizing.together(every, newest)
     return every
 

@@ -171,21 +171,24 @@ def listed(routes: DataFrame, order: str = "id") -> DataFrame:
 
 
 def table_context(claims: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
-    """The table around a claim in one of its rows: claim, id, role. claims: claim, table_id, row_no; members: table_id, id,
-    row_no (null for what is no row or cell), text; edges: child, parent. Rows after the claim's row, and all that hangs
-    below them, are later; what only repeats the text of a kept cell above it is repeated; the table itself is context;
-    the rest is kept."""
-    rows = claims.withColumnRenamed("row_no", "claim_row").join(members, "table_id")
-    structural = rows.filter(F.col("row_no").isNotNull()).withColumn("later", F.col("row_no") > F.col("claim_row"))
-    loose = rows.filter(F.col("row_no").isNull() & (F.col("id") != F.col("table_id")))
+    """The table around a claim in one of its rows: claim, id, role. claims: claim, table_id, row_no (of one table each);
+    members: table_id, id, row_no (null for what is no row or cell), text; edges: child, parent. Rows after the claim's row,
+    and all that hangs below them, are later; what only repeats the text of a kept cell above it is repeated; the table
+    itself is context; the rest is kept.
+
+    What hangs below the rows is told once for a table, not for each of its claims: of the rows above it the last, and the
+    first one with its text, are all that a claim's row is compared with."""
+    own = sizing.staged(members.join(sizing.unsent(claims.select("table_id").distinct()), "table_id", "left_semi").select("table_id", "id", "row_no", "text"), "context-members")
+    structural = own.filter("row_no is not null")
+    loose = own.filter("row_no is null and id <> table_id")
     up = graph.ancestors(edges, loose.select("id"))
-    below = structural.select("claim", F.col("id").alias("ancestor"), "later", F.col("text").alias("above")).join(up.select("node", "ancestor"), "ancestor")
-    met = loose.join(below.select("claim", F.col("node").alias("id"), "later", "above"), ["claim", "id"], "left")
-    role = F.when(F.bool_or(F.coalesce("later", F.lit(False))), "later").when(F.bool_or(F.coalesce(~F.col("later") & (F.col("above") == F.col("text")), F.lit(False))), "repeated").otherwise("kept")
-    out = met.groupBy("claim", "id").agg(role.alias("role"))
-    own = structural.select("claim", "id", F.when(F.col("later"), "later").otherwise("kept").alias("role"))
-    return sizing.together(out, own, claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
-
+    above = up.select("node", "ancestor").join(sizing.unsent(structural.select("table_id", F.col("id").alias("ancestor"), F.col("row_no").alias("_row"), F.col("text").alias("_above"))), "ancestor").select("table_id", F.col("node").alias("id"), "_row", "_above")
+    bound = loose.join(sizing.unsent(above), ["table_id", "id"], "left").groupBy("table_id", "id").agg(F.max("_row").alias("_last"), F.min(F.when(F.col("_above") == F.col("text"), F.col("_row"))).alias("_same"))
+    ranges = claims.groupBy("claim", "table_id").agg(F.min("row_no").alias("_first"), F.max("row_no").alias("_to"))
+    role = F.when(F.col("_last") > F.col("_first"), "later").when(F.col("_same") <= F.col("_to"), "repeated").otherwise("kept")
+    out = sizing.unsent(ranges).join(bound, "table_id").select("claim", "id", role.alias("role"))
+    rows = sizing.unsent(claims.withColumnRenamed("row_no", "claim_row")).join(structural, "table_id").select("claim", "id", F.when(F.col("row_no") > F.col("claim_row"), "later").otherwise("kept").alias("role"))
+    return sizing.together(out, rows, claims.select("claim", F.col("table_id").alias("id"), F.lit("context").alias("role")))
 
 
 def packets(claims: DataFrame, fused: DataFrame, blocks: DataFrame, tables: DataFrame, elements: DataFrame, identity: Sequence[str], *, k: int = 12, each: int = 1600, total: int = 12_000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import periods as D
 from evigrid.functions import text as T
-from evigrid.operators import claims, ladder, listing, numeric, votes
+from evigrid.operators import claims, ladder, listing, numeric, sizing, votes
 from evigrid.operators import retrieval as R
 from evigrid.plans import decisions, retrieval
 from evigrid.sources.tables import table
@@ -326,7 +326,8 @@ def q5_four_routes(spark, d):
 
 def q7_table_context(spark, d):
     """Orders as tables, their lines as rows; each line has a note below it, and some notes repeat their row's text."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("text"))
+    lines = sizing.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey")
+    li = sizing.staged(lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("text")), "table-rows")
     t, n = F.col("l_orderkey") * 100, F.col("l_linenumber")
     rows = li.select(t.alias("table_id"), (t + n).alias("id"), n.alias("row_no"), "text")
     notes = li.select(t.alias("table_id"), (t + 50 + n).alias("id"), F.lit(None).cast("int").alias("row_no"), F.when(n % 2 == 0, F.col("text")).otherwise("x").alias("text"))

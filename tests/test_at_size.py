@@ -10,7 +10,7 @@ import duckdb
 import pyarrow as pa
 from evigrid.functions import spans
 from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval, splitting
-from evigrid.plans import admissions, decisions, evidence, exchange, structure, tabular
+from evigrid.plans import admissions, decisions, discovery, evidence, exchange, structure, tabular
 from evigrid.sources import archives
 from pyspark.sql import functions as F
 
@@ -230,3 +230,39 @@ def test_a_look_at_the_next_character_misses_no_word():
         for _ in range(3000):
             text = "".join(rng.choice((w, w.upper())) for w in rng.choices(words, k=2))
             assert [m.span() for m in re.finditer(pattern, text, re.I)] == [m.span() for m in re.finditer(plain, text, re.I)]
+
+
+def test_what_hangs_below_rows_is_told_once_for_a_table(spark):
+    """Against the definition, for tables with several claims, notes below notes, below several rows and below other tables."""
+    rng = random.Random(5)
+    members, edges = [], []
+    for t in (100, 200, 300):
+        members += [(t, t, None, "head")] + [(t, t + n, n, rng.choice("ab")) for n in range(1, 7)] + [(t, t + 10 + n, None, rng.choice("abc")) for n in range(20)]
+        edges += [(t + n, t) for n in range(1, 7)]
+        for n in range(19):
+            edges += [(t + 10 + n, p) for p in rng.sample([*range(t + 1, t + 7), *range(t + 10, t + 10 + n), 101], rng.randint(1, 2))]
+    edges += edges[:9]
+    claims = [(t * 10 + r, t, r) for t in (100, 200) for r in (1, 3, 6)] + [(7, 300, None)]
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+
+    def above(x):
+        return set().union(*[{p} | above(p) for p in up.get(x, ())])
+
+    want = set()
+    for claim, t, at in claims:
+        rows = {i: (r, x) for u, i, r, x in members if u == t and r is not None}
+        want |= {(claim, t, "context")} | {(claim, i, "later" if at and r > at else "kept") for i, (r, _) in rows.items()}
+        for _, i, r, x in members:
+            if _ == t and r is None and i != t:
+                met = [rows[a] for a in above(i) if a in rows]
+                want.add((claim, i, "later" if at and any(n > at for n, _ in met) else "repeated" if at and any(y == x for _, y in met) else "kept"))
+    df = [spark.createDataFrame(x, s) for x, s in ((claims, "claim long, table_id long, row_no int"), (members, "table_id long, id long, row_no int, text string"), (edges, "child long, parent long"))]
+    got = [tuple(r) for r in retrieval.table_context(*df).collect()]
+    assert len(got) == len(want) and set(got) == want and {r for _, _, r in want} == {"kept", "later", "repeated", "context"}
+
+
+def test_members_of_tables_are_sent_to_nobody_and_rounds_are_staged(spark):
+    plan = discovery.q7_table_context(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "ExistingRDD" not in plan
