@@ -54,14 +54,14 @@ def compact(text: Column, fold: Callable[[Column], Column] = T.folded) -> Column
     return F.regexp_replace(fold(text), r"(?U)\s+", "")
 
 
-def anchors(quote: Column) -> Column:
+def anchors(quote: Column, *, period: str = PERIOD, boundary: str = BOUNDARY) -> Column:
     """struct of metric, metric_distinctive, period and boundary (sorted arrays): the words of a claim that its evidence
-    should share. An absent axis is empty and never invented."""
+    should share. An absent axis is empty and never invented. period, boundary: other patterns of what these are."""
     found = lambda q, p: F.array_sort(F.array_distinct(F.regexp_extract_all(q, F.lit(f"({p})"), F.lit(0))))
     verb = lambda w: _any([w.endswith(e) for e in VERB_END])
     fine = lambda w, boundary: (F.char_length(w) >= 2) & ~w.isin(*STOP_WORDS) & ~w.rlike(NO_METRIC) & ~verb(w) & ~F.array_contains(boundary, w) & ~w.rlike(r"^\d+$")
     # each step is bound once to a row's value: what a lambda reads would else be worked out again for every word
-    one = F.array(F.struct(quote.alias("q"), found(quote, PERIOD).alias("period"), found(quote, BOUNDARY).alias("boundary"), F.array_distinct(F.regexp_extract_all(quote, F.lit(f"({WORD})"), F.lit(0))).alias("words")))
+    one = F.array(F.struct(quote.alias("q"), found(quote, period).alias("period"), found(quote, boundary).alias("boundary"), F.array_distinct(F.regexp_extract_all(quote, F.lit(f"({WORD})"), F.lit(0))).alias("words")))
     one = F.transform(one, lambda x: F.struct(x["period"].alias("period"), x["boundary"].alias("boundary"), F.array_distinct(F.transform(x["words"], lambda w: F.regexp_replace(w, PARTICLE, ""))).alias("words")))
     one = F.transform(one, lambda x: F.struct(F.array_sort(F.filter(x["words"], lambda w: fine(w, x["boundary"]))).alias("metric"), x["period"].alias("period"), x["boundary"].alias("boundary")))
     one = F.transform(one, lambda x: F.struct(x["metric"].alias("metric"), F.filter(x["metric"], lambda w: w.rlike("[A-Za-z]") | (F.char_length(w) >= DISTINCTIVE)).alias("metric_distinctive"), x["period"].alias("period"), x["boundary"].alias("boundary")))
@@ -85,14 +85,14 @@ def windows(hits: DataFrame, pages: DataFrame, keys: Sequence[str], *, text: str
     return at.select(*keys, "w_start", "w_end", shown.alias("preview")).distinct().withColumn("compact", compact(F.col("preview"), fold))
 
 
-def candidates(claims: DataFrame, shown: DataFrame, on: Sequence[str], *, fold: Callable[[Column], Column] = T.folded) -> DataFrame:
+def candidates(claims: DataFrame, shown: DataFrame, on: Sequence[str], *, fold: Callable[[Column], Column] = T.folded, period: str = PERIOD, boundary: str = BOUNDARY, unit: str = UNIT) -> DataFrame:
     """Windows that may speak of a claim: claims: claim, on..., quote; shown: windows(). A window is a candidate if it has
     one of the claim's metrics (a distinctive one where the claim has any) or one of its units. It is matched if it has
-    enough metrics, all periods and all boundaries; else rejected, with each reason. fold is that of windows().
+    enough metrics, all periods and all boundaries; else rejected, with each reason. fold is that of windows(); period, boundary and unit are other patterns of what these are.
 
     Claims meet the windows of the same `on` (a document, say) through one anchor they share: claims are posted by their
     metrics and units, and a window by those words of the same document's claims that it holds."""
-    c = claims.withColumn("_anchors", anchors(F.col("quote"))).withColumn("_units", F.array_distinct(F.transform(F.regexp_extract_all("quote", F.lit(f"({UNIT})"), F.lit(0)), lambda u: compact(u, fold))))
+    c = claims.withColumn("_anchors", anchors(F.col("quote"), period=period, boundary=boundary)).withColumn("_units", F.array_distinct(F.transform(F.regexp_extract_all("quote", F.lit(f"({unit})"), F.lit(0)), lambda u: compact(u, fold))))
     words = F.array_union(F.transform(F.col("_anchors.metric"), lambda m: compact(m, fold)), F.col("_units"))
     posted = c.select("claim", *on, F.explode(words).alias("_word"))
     asked = posted.groupBy(*on).agg(F.collect_set("_word").alias("_asked"))

@@ -70,6 +70,20 @@ def test_windows_compare_a_sharp_s_as_sql_does(spark, tmp_path):
     assert want and sorted(tuple(r) for r in structure.j22_windows(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def same_as_sql(spark, tmp_path, texts) -> None:
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(structure.QUERIES["j22_windows"][1]).fetchall()
+    assert want and sorted(tuple(r) for r in structure.j22_windows(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_windows_know_years_and_units_as_sql_does(spark, tmp_path):
+    """A card number holds a year for the SQL; a per cent sign is no unit to it."""
+    far = "x" * 300
+    same_as_sql(spark, tmp_path, [(7, f"To hetion ndesble, outh 4016670676581972 {far} scope 1 outh 1972"), (3, f"Thin%%% or*** {far} scope 1 at 5 % {far} thin scope 2"), (2, f"Que password=11dc549046db720917 et les. {far} 2024 que et")])
+
+
 def boxes_of_page(spark, n: int):
     """n boxes in a column, as two parsers saw them, and one that repeats."""
     rows = [(1, 1, "p", 3 * k + p, f"p{p}", 0.0, 20.0 * k, 40.0 + p, 20.0 * k + 15, "t") for k in range(n) for p in (0, 1)] + [(1, 1, "p", 3 * n + k, f"p{k % 2}", 500.0, 0.0, 540.0, 15.0, "t") for k in range(n)]
