@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrid.functions import text as T
+from evigrid.operators import sizing
 
 #: Characters of a window, metric anchors that must be met at most, and the length from which a Hangul word is
 #: distinctive; words that are no anchor; units; endings and particles of a word.
@@ -109,3 +114,107 @@ def candidates(claims: DataFrame, shown: DataFrame, on: Sequence[str], *, fold:
     rows = rows.filter(((F.size("metric") > 0) & distinct_ok) | same_unit).withColumn("_failures", failures)
     reason = F.when(F.size("_failures") > 0, F.array_join("_failures", "; "))
     return rows.withColumn("linkage", F.when(F.size("_failures") == 0, "matched").otherwise("rejected")).withColumn("rejection_reason", reason).drop("_anchors", "_units", "_failures", "compact")
+
+
+def folded(text: str) -> str:
+    """T.folded of one text."""
+    return text.lower() if text.isascii() else "".join(T.FOLDED.get(c, c) for c in text).lower()
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How own_candidates reads texts and quotes; as it stands, like literal_hits, anchors and candidates. bounded: a word
+    that is a boundary is no metric."""
+
+    period: str = PERIOD
+    boundary: str = BOUNDARY
+    unit: str = UNIT
+    word: str = WORD
+    space: str = r"\s"
+    fold: Callable[[str], str] = folded
+    bounded: bool = True
+
+
+def own_candidates(texts: DataFrame, key: str, terms: Sequence[str], reading: Reading | None = None, *, size: int = PREVIEW) -> DataFrame:
+    """claim, w_start, w_end, metric, period, boundary, linkage and rejection_reason of candidates() where each text
+    (key, text, quote) has its own claim: its quote, against the windows around the literal places of the terms in all texts
+    of the key. The texts are shuffled once by their key; windows and their words never leave the task."""
+    own = reading or Reading()
+    known = sizing.dealt(texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("claim"), "text", "quote"), "claim", each=4 << 20)
+    grouped = known.groupBy("claim").agg(F.collect_list(F.struct("text", "quote")).alias("rows"))
+    kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.string())] * 3, pa.string(), pa.string()]
+    names = ["claim", "w_start", "w_end", "metric", "period", "boundary", "linkage", "rejection_reason"]
+    schema = f"claim {grouped.schema['claim'].dataType.simpleString()}, w_start int, w_end int, metric array<string>, period array<string>, boundary array<string>, linkage string, rejection_reason string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(terms, own, size)
+        for batch in batches:
+            claims, every = batch.column("claim"), batch.column("rows")
+            for begin in range(0, batch.num_rows, 64):  # few texts have many windows
+                at, found = [], []
+                for k in range(begin, min(begin + 64, batch.num_rows)):
+                    more = list(judge([(x["text"], x["quote"]) for x in every[k].as_py()]))
+                    at += [k] * len(more)
+                    found += more
+                if found:
+                    columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([claims.take(pa.array(at)), *columns], names)
+
+    return grouped.mapInArrow(run, schema)
+
+
+@lru_cache(1 << 10)
+def _place(term: str, space: str) -> re.Pattern:
+    """Where a term stands, case and white space ignored. Its first character is spelt in each of its cases: a search for
+    one of a few characters runs over a text much faster than one that levels the case of all."""
+    first, *rest = [re.escape(c) for c in term if not c.isspace()]
+    cases = re.findall(first, "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))), re.I)
+    return re.compile("".join(["[", *map(re.escape, cases), "]", *(f"{space}*(?i:{c})" for c in rest)]))
+
+
+def _judge(terms: Sequence[str], own: Reading, size: int) -> Callable[[list[tuple[str | None, str | None]]], Iterator[tuple]]:
+    """The rows of own_candidates, without their claim, for the texts and quotes of one key."""
+    places = [_place(t, own.space) for t in dict.fromkeys(terms) if t.strip()]
+    period, boundary, unit, word, space = (re.compile(x) for x in (own.period, own.boundary, own.unit, own.word, f"{own.space}+"))
+    particle, no_metric, stop = re.compile(PARTICLE), re.compile(NO_METRIC), frozenset(STOP_WORDS)
+    compacted = lambda x: own.fold(space.sub("", x))
+    every = lambda p, x: sorted({m[0] for m in p.finditer(x)})
+
+    def read(quote: str) -> tuple:
+        bounds = every(boundary, quote)
+        words = {particle.sub("", w) for w in every(word, quote)}
+        metric = sorted(w for w in words if len(w) >= 2 and w not in stop and not no_metric.search(w) and not w.endswith(VERB_END) and not (own.bounded and w in bounds))
+        distinctive = frozenset(w for w in metric if re.search("[A-Za-z]", w) or len(w) >= DISTINCTIVE)
+        pairs = [[(x, compacted(x)) for x in axis] for axis in (metric, every(period, quote), bounds)]
+        return *pairs, distinctive, {compacted(u) for u in every(unit, quote)}
+
+    def judge(rows: list[tuple[str | None, str | None]]) -> Iterator[tuple]:
+        starts = {max(m.start() - size // 2, 0) for text, _ in rows if text is not None for p in places for m in p.finditer(text)}
+        spans = set()
+        for text, _ in rows if starts else ():
+            for a in starts:
+                end = a + size if text is None else min(len(text), a + size)
+                spans.add((max(end - size, 0), end))
+        for text, quote in rows if starts else ():
+            if text is None or quote is None:
+                continue
+            metrics, periods, bounds, distinctive, units = read(quote)
+            if not metrics and not units:
+                continue
+            required = min(MOST_METRICS, len(metrics))
+            # windows overlap, so white space is taken out once for all of them
+            edges = sorted({x for span in spans for x in span})
+            pieces = [space.sub("", text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            whole, at = "".join(pieces), dict(zip(edges, accumulate(map(len, pieces), initial=0), strict=True))
+            for a, b in spans:
+                shown = own.fold(whole[at[a] : at[b]])
+                metric = [w for w, c in metrics if c in shown]
+                fine = not distinctive or not distinctive.isdisjoint(metric)
+                if not (metric and fine) and not any(u in shown for u in units):
+                    continue
+                when, where = ([w for w, c in axis if c in shown] for axis in (periods, bounds))
+                failed = (not (required and len(metric) >= required and fine), len(when) != len(periods), len(where) != len(bounds))
+                reason = "; ".join(r for r, x in zip(REASONS, failed, strict=True) if x)
+                yield a, b, metric, when, where, "rejected" if reason else "matched", reason or None
+
+    return judge

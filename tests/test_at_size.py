@@ -9,7 +9,7 @@ import time
 import duckdb
 import pyarrow as pa
 from evigrid.functions import spans
-from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, retrieval, splitting
+from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, missing, retrieval, splitting
 from evigrid.plans import admissions, decisions, discovery, evidence, exchange, structure, tabular
 from evigrid.sources import archives
 from pyspark.sql import functions as F
@@ -84,6 +84,27 @@ def test_windows_know_years_and_units_as_sql_does(spark, tmp_path):
     same_as_sql(spark, tmp_path, [(7, f"To hetion ndesble, outh 4016670676581972 {far} scope 1 outh 1972"), (3, f"Thin%%% or*** {far} scope 1 at 5 % {far} thin scope 2"), (2, f"Que password=11dc549046db720917 et les. {far} 2024 que et")])
 
 
+def test_windows_of_odd_texts_are_those_of_sql(spark, tmp_path):
+    """Texts that share an id share their windows; white space, borders and case are those of the SQL."""
+    far = "x" * 300
+    texts = [(1, f"Kilo wor {far} 2024 kilo"), (1, f"Kilo of {far} wor of the sco\u00a0pe 1 kilo kwh"), (2, f"ékg İÄΣ ab {far} Scope1 äς Ab iä"), (3, None), (None, "a 2024 b"), (4, ""), (5, f"Scope1 2024 thing {far} scope\t1 thing scope1"), (6, "ab\u00a0cd 2024 abcd ab\x0bcd")]
+    same_as_sql(spark, tmp_path, texts)
+
+
+def test_windows_leave_no_task_with_their_texts(spark):
+    plan = final_plan(structure.j22_windows(spark, DATA))
+    assert "Join" not in plan and set(re.findall(r"Exchange (\w+)", plan)) == {"hashpartitioning"} and plan.split("== Initial Plan ==")[0].count("Exchange hash") == 1
+
+
+def test_candidates_of_own_texts_are_those_of_the_joins(spark):
+    texts = ["서울사업장은 2024년 재생에너지 120 MWh 사용량 " + "가" * 300 + " 재생에너지를 확대 2024 MWh", "Straße 2023 water 5 % " + "x" * 300 + " STRASSE 2024 WATER 3 %", "x Scope 1 · 2 of 12024 ", "", None]
+    rows = spark.createDataFrame([(k, x, x and x[:30]) for k, x in enumerate(texts)], "doc long, text string, quote string")
+    terms = ("재생에너지", "2024", "scope 1")
+    joined = missing.candidates(rows.select(F.col("doc").alias("claim"), "doc", "quote"), missing.windows(missing.literal_hits(rows, terms).select("doc", "start"), rows, ["doc"]), ["doc"])
+    own = missing.own_candidates(rows, "doc", terms)
+    assert own.count() > 3 and sorted(map(str, own.collect())) == sorted(map(str, joined.select(*own.columns).collect()))
+
+
 def boxes_of_page(spark, n: int):
     """n boxes in a column, as two parsers saw them, and one that repeats."""
     rows = [(1, 1, "p", 3 * k + p, f"p{p}", 0.0, 20.0 * k, 40.0 + p, 20.0 * k + 15, "t") for k in range(n) for p in (0, 1)] + [(1, 1, "p", 3 * n + k, f"p{k % 2}", 500.0, 0.0, 540.0, 15.0, "t") for k in range(n)]
