@@ -131,6 +131,31 @@ def first_fit(classes: Sequence[int], near: Sequence[set[int]]) -> list[list[int
     return groups
 
 
+def small_first_fit(page: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first member of each item's group, for items that stand page by page and in their order; (a, b), a before b, are
+    all pairs that fit. The items of all pages that have one place in the order are put at once, so this is for many
+    small pages: a step is one of numpy for each place."""
+    n = len(page)
+    group, size = np.arange(n), np.ones(n, np.int64)
+    if not len(a):
+        return group
+    place = np.arange(n) - np.maximum.accumulate(np.where(np.diff(page, prepend=page[0] - 1) > 0, np.arange(n), 0))
+    order = np.lexsort((b, place[b]))
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.diff(place[b], prepend=-1, append=n)).tolist()
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        # an item fits a group if it fits as many of its members as there are; the oldest group is the one that begins first
+        met, times = np.unique(b[begin:end] * n + group[a[begin:end]], return_counts=True)
+        item, found = np.divmod(met, n)
+        whole = times == size[found]
+        item, found = item[whole], found[whole]
+        first = np.flatnonzero(np.diff(item, prepend=-1))
+        item, found = item[first], found[first]
+        group[item] = found
+        size[found] += 1
+    return group
+
+
 def _first(c: int, mates: set[int], held: list[set[int]], begun: dict[int, list[int]], asked: dict[int, dict[int, int]]) -> int | None:
     past = asked.setdefault(c, {})
     heads = [(begun[d][past.get(d, 0)], d) for d in mates if d in begun and past.get(d, 0) < len(begun[d])]

@@ -7,6 +7,7 @@ import re
 import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from evigrid.functions import spans
 from evigrid.operators import admission, firstfit, fusion, geometry, grids, joins, missing, retrieval, splitting
@@ -147,6 +148,54 @@ def test_a_full_page_of_graphs_is_fused_in_every_version(spark):
         assert sorted(len(r["members"]) for r in out) == [2] * 2000 + [2000] and time.time() - began < 20
 
 
+def counts_of_blocks(rows, versions):
+    out = {}
+    for version in versions:
+        given = rows if version >= 3 else rows.filter("not invalid")
+        for r in fusion.fused_blocks(given, tenant="t", manifest="6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94", version=version, mixed=version == 5).collect():
+            told = (1, len(r["members"]) > 1, r["quality"] == "conflicted", r["issue"] == "source_geometry_invalid", r["quality"] == "unlocated")
+            key = (r["doc"], r["page"], r["kind"], version)
+            out[key] = tuple(a + b for a, b in zip(out.get(key, (0,) * 5), told, strict=True))
+    return out
+
+
+def test_counts_of_all_versions_are_those_of_the_blocks(spark):
+    """With crowded pages, tables given twice or not at all, cells without one, contexts that differ and no geometry."""
+    deal, rows = random.Random(7), []
+    for k in range(1500):
+        doc, kind, parser = deal.randrange(6), deal.choice(["table_cell", "table_cell", "paragraph", "table"]), f"p{deal.randrange(2)}"
+        x, y, wide = (0.0, 0.0, 20.0) if doc == 5 else (deal.choice([0.0, 1.0, 2.0, 50.0]), deal.choice([0.0, 1.0, 30.0, 60.0]), deal.choice([19.0, 20.0, 21.0]))
+        context = deal.choice([None, [], ["row number=1", "year=1"], ["row number=2", "year=1"], ["mixed_parser_name=a", "year=1"], ["year=1", None]])
+        rows.append((doc, 1 + k % 2, kind, parser, parser, parser, f"t{k % 9}" if kind == "table" else f"b{k:04}", x, y, x + wide, deal.choice([y + 15, y + 15, y + 15, None]), deal.choice([False] * 6 + [True, None]), deal.choice(["a", "e\u0301", "\u00e9", None]), context, deal.choice([None, "t1", "t2", "t3", "none"]) if kind == "table_cell" else None))
+    df = spark.createDataFrame(rows, "doc long, page int, kind string, parser string, run string, family string, native string, x0 double, y0 double, x1 double, y1 double, invalid boolean, text string, context array<string>, table_native string")
+    versions = (1, 2, 3, 4, 5)
+    once = df.dropDuplicates(["doc", "run", "native"]).localCheckpoint()
+    for given in (once, once.union(once.filter("native in ('t1', 't2')"))):
+        got = {(r["doc"], r["page"], r["kind"], r["version"]): tuple(r[c] for c in fusion.COUNTS) for r in fusion.fused_counts(given, versions).collect()}
+        assert got == counts_of_blocks(given, versions) and any(x[2] for x in got.values()) and any(x[3] for x in got.values())
+
+
+def test_small_pages_are_grouped_as_one_by_one():
+    deal = random.Random(3)
+    for _ in range(200):
+        sizes = [deal.randint(1, 9) for _ in range(deal.randint(1, 6))]
+        page, a, b, want, begin = [], [], [], [], 0
+        for p, n in enumerate(sizes):
+            near = [{k} | set() for k in range(n)]
+            for y in range(n):
+                for x in range(y):
+                    if deal.random() < 0.6:
+                        near[x].add(y), near[y].add(x), a.append(begin + x), b.append(begin + y)
+            first = {k: g[0] for g in firstfit.first_fit(range(n), near) for k in g}
+            want += [begin + first[k] for k in range(n)]
+            page, begin = page + [p] * n, begin + n
+        assert firstfit.small_first_fit(np.array(page), np.array(a, int), np.array(b, int)).tolist() == want
+
+
+def test_versions_are_told_from_one_pass(spark):
+    assert final_plan(exchange.p1_versions(spark, DATA)).split("== Initial Plan ==")[0].count("MapInArrow") == 1
+
+
 def test_edges_of_fused_graphs_send_no_side_to_all(spark):
     rows = versions_of_page(spark, 40)
     fused = fusion.fused_blocks(rows, tenant="t", manifest="6f1d3c52-8a0b-4c7e-9d2f-0b5a1e3c7d94", version=4)
